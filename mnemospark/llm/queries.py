@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import class_lm, decontam, exact_dedup, near_dedup, packing, sharding, substring_dedup, token_files
+from mnemospark.llm import (
+    class_lm,
+    decontam,
+    exact_dedup,
+    near_dedup,
+    packing,
+    sharding,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +61,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -60,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_class_lm": op8_class_lm,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {

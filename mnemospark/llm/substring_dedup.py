@@ -13,8 +13,9 @@ have equal anchors at equal places, so only anchors (about 1 in 85 bytes) take p
    which agree for s bytes before; where both hold for another anchor, the string that starts s bytes before
    the anchor is repeated.  The first and last such s give the bytes that the anchor removes.
 
-Anchors that occur over ``hot`` times (few: their number is bounded by all anchors / hot) aren't
-brought together: the hash of each of their 169 strings is counted with partial sums instead.
+Anchors that occur over ``hot`` times (few: their number is bounded by all anchors / hot) stand in lines or passages that
+repeat, so most of their surroundings are the same bytes.  Equal surroundings are counted with partial sums, within a document
+already where it is read; one of each goes to the sort, and its answer goes back to its places by ``attach_groups``.
 
 Defined cases: null texts are empty; texts under 200 bytes lose nothing; strings never cross documents; repeated rows
 repeat each other's strings; an empty table gives an empty result; other columns are ignored.
@@ -35,7 +36,7 @@ LENGTH = 200
 GRAM = 32
 #: Bytes after the anchor's gram that the multikey quicksort looks at.
 SHALLOW = 32
-HOT = 200_000
+HOT = 20_000
 #: Rows that a task sorts at once (more only where one anchor has more).
 CHUNK = 8_000
 
@@ -158,13 +159,17 @@ def deep_shallow(rows: list[int], texts: list[bytes], start: int = GRAM, shallow
     return out
 
 
-def repeated_strings(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated_strings(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For rows grouped by ``keys``: the least and the largest s whose string (from s bytes before the anchor on) is repeated.
 
-    ``left`` is the bytes before the anchor, ``right`` those from it on.  Rows without any have a largest s of -1.
+    ``left`` is the bytes before the anchor, ``right`` those from it on.  Rows without any have a largest s of -1.  ``times``
+    says how often a row's bytes occur; all strings of rows that occur twice are repeated.
     """
     m = len(keys)
     low, high = np.full(m, length, np.int64), np.full(m, -1, np.int64)
+    for i in np.flatnonzero(times > 1).tolist() if times is not None else ():
+        if len(left[i]) + len(right[i]) >= length:
+            low[i], high[i] = max(0, length - len(right[i])), len(left[i])
     edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), m]
     order: list[int] = []
     groups: list[int] = []
@@ -201,7 +206,7 @@ def repeated_strings(keys: np.ndarray, left: list[bytes], right: list[bytes], le
         twice[by[:-1][same]] = True
         hit = at[ok[twice]]
         low[hit] = np.minimum(low[hit], s)
-        high[hit] = s
+        high[hit] = np.maximum(high[hit], s)
     return low, high
 
 
@@ -220,19 +225,17 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-_PLACES = "anchor long, doc_id long, text_key long, place long, before binary, after binary, s int"
+_PLACES = "anchor long, doc_id long, text_key long, places array<long>, before binary, after binary, heavy boolean"
 
 
 def _placed(rows: DataFrame, bitmap: np.ndarray, bits: int, hot: list[int]) -> DataFrame:
-    """The anchors that may be repeated, with the bytes around them; of hot anchors, a row for each string, with its hash."""
+    """The anchors that may be repeated, with the bytes around them; of hot anchors, a row for all equal surroundings in a text."""
     shared = rows.sparkSession.sparkContext.broadcast((bitmap, np.array(sorted(hot), dtype=np.int64)))
     depth = LENGTH - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         bitmap, hot = shared.value
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int32()]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.binary()] * 2 + [pa.bool_()]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out: list[list] = [[] for _ in range(7)]
@@ -242,15 +245,17 @@ def _placed(rows: DataFrame, bitmap: np.ndarray, bits: int, hot: list[int]) -> D
                     k = _bit(h.view(np.int64), bits)
                     live = np.flatnonzero((bitmap[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
                     is_hot = np.isin(h[live].view(np.int64), hot)
+                    same: dict[tuple[int, bytes, bytes], list[int]] = {}
                     for a, anchor, heavy in zip(at[live].tolist(), h[live].view(np.int64).tolist(), is_hot.tolist(), strict=True):
+                        before, after = raw[max(0, a - depth):a], raw[a:a + LENGTH]
                         if heavy:
-                            for s in range(max(0, a + LENGTH - len(raw)), min(a, depth) + 1):
-                                string = xxhash.xxh128_digest(raw[a - s:a - s + LENGTH])
-                                for c, v in zip(out, (anchor, doc, key, a, string, None, s), strict=True):
-                                    c.append(v)
+                            same.setdefault((anchor, before, after), []).append(a)
                         else:
-                            for c, v in zip(out, (anchor, doc, key, a, raw[max(0, a - depth):a], raw[a:a + LENGTH], None), strict=True):
+                            for c, v in zip(out, (anchor, doc, key, [a], before, after, False), strict=True):
                                 c.append(v)
+                    for (anchor, before, after), places in same.items():
+                        for c, v in zip(out, (anchor, doc, key, places, before, after, True), strict=True):
+                            c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _PLACES.split(", ")])
 
     return rows.select("doc_id", "text_key", "text").mapInArrow(run, _PLACES)
@@ -260,21 +265,18 @@ def _bit(h: np.ndarray, bits: int) -> np.ndarray:
     return h & np.int64((1 << bits) - 1)
 
 
-def _sorted_spans(places: DataFrame) -> DataFrame:
-    """doc_id, text_key, begin, end of what each anchor removes."""
+def _sorted(rows: DataFrame) -> DataFrame:
+    """``rows`` (anchor, id, before, after, times) with low and high of ``repeated_strings`` in the place of the bytes; only rows with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def spans(table: pa.Table) -> pa.RecordBatch:
-            keys = table.column("anchor").to_numpy()
-            low, high = repeated_strings(keys, table.column("before").to_pylist(), table.column("after").to_pylist())
+        def found(table: pa.Table) -> pa.RecordBatch:
+            keys, times = table.column("anchor").to_numpy(), table.column("times").to_numpy()
+            low, high = repeated_strings(keys, table.column("before").to_pylist(), table.column("after").to_pylist(), times=times)
             hit = np.flatnonzero(high >= 0)
-            place = table.column("place").to_numpy()[hit]
-            picked = table.select(["doc_id", "text_key"]).take(pa.array(hit)).combine_chunks()
-            return pa.RecordBatch.from_arrays([
-                _flat(picked.column(0)), _flat(picked.column(1)), pa.array(place - high[hit]), pa.array(place + LENGTH - low[hit])],
-                names=["doc_id", "text_key", "begin", "end"])
+            picked = table.select(["id", "times"]).take(pa.array(hit)).combine_chunks()
+            return pa.RecordBatch.from_arrays([_flat(picked.column(0)), _flat(picked.column(1)), pa.array(low[hit]), pa.array(high[hit])], names=["id", "times", "low", "high"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
@@ -285,26 +287,38 @@ def _sorted_spans(places: DataFrame) -> DataFrame:
                 other = np.flatnonzero(keys != keys[-1])
                 cut = int(other[-1]) + 1 if len(other) else 0
                 if cut >= CHUNK // 2:
-                    yield spans(table.slice(0, cut))
+                    yield found(table.slice(0, cut))
                     table = table.slice(cut)
                 rest = table
         if rest is not None and rest.num_rows:
-            yield spans(rest)
+            yield found(rest)
 
-    rows = places.where("s is null").select("anchor", "doc_id", "text_key", "place", "before", "after")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, text_key long, begin long, end long")
+    kind = rows.schema["id"].dataType.simpleString()
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "before", "after", "times")
+    return ordered.mapInArrow(run, f"id {kind}, times long, low long, high long")
 
 
-def _flat(column: pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+def _light_spans(places: DataFrame) -> DataFrame:
+    """doc_id, text_key, begin, end of what each anchor removes."""
+    rows = places.where("not heavy").select(
+        "anchor", F.struct("doc_id", "text_key", F.col("places")[0].alias("place")).alias("id"), "before", "after", F.lit(1).cast("long").alias("times"))
+    return _sorted(rows).select("id.doc_id", "id.text_key", (F.col("id.place") - F.col("high")).alias("begin"), (F.col("id.place") + LENGTH - F.col("low")).alias("end"))
 
 
-def _hot_spans(places: DataFrame) -> DataFrame:
-    """The same for hot anchors, by counting their strings."""
-    strings = places.where("s is not null").select("doc_id", "text_key", "place", "s", F.col("before").alias("string"))
-    counts = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = attach_groups(strings, counts, "string", "n", strings.count()).where("n is not null")
-    return twice.select("doc_id", "text_key", (F.col("place") - F.col("s")).alias("begin"), (F.col("place") - F.col("s") + LENGTH).alias("end"))
+def _heavy_spans(places: DataFrame) -> DataFrame:
+    """The same for hot anchors, whose equal surroundings are counted first."""
+    around = F.md5(F.concat(F.col("anchor").cast("string").cast("binary"), F.lit(":").cast("binary"), F.octet_length("before").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("before"), F.col("after")))
+    rows = places.where("heavy").withColumn("around", around)
+    distinct = rows.groupBy("around").agg(F.first("anchor").alias("anchor"), F.first("before").alias("before"), F.first("after").alias("after"), F.sum(F.size("places")).cast("long").alias("times"))
+    answers = _sorted(distinct.select("anchor", F.col("around").alias("id"), "before", "after", "times")).withColumnRenamed("id", "around")
+    slim = rows.select("doc_id", "text_key", "places", "around")
+    back = attach_groups(slim, persist(answers, "substring-heavy"), "around", "times", slim.count()).where("high is not null")
+    ends = F.transform("places", lambda p: F.struct((p - F.col("high")).alias("begin"), (p + LENGTH - F.col("low")).alias("end")))
+    return back.select("doc_id", "text_key", F.explode(ends).alias("x")).select("doc_id", "text_key", "x.begin", "x.end")
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -321,9 +335,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         bitmap[at:at + 4096] = np.frombuffer(r["_bm"], np.uint8)
     common = [r.anchor for r in counts.where(F.col("n") > hot).select("anchor").collect()]  # at most anchors / hot
     places = persist(_placed(rows, bitmap, bits, common), "substring-places")
-    spans = _sorted_spans(places)
+    spans = _light_spans(places)
     if common:
-        spans = spans.union(_hot_spans(places))
+        spans = spans.union(_heavy_spans(places))
     return persist(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "substring-spans")
 
 

@@ -66,11 +66,12 @@ def _steps():
 
 
 def stemmed(df: DataFrame, word: str, out: str) -> DataFrame:
-    """``df`` with the stem of column ``word``: one projection for each step, so each is computed once and stays in generated code."""
-    df = df.withColumn(out, F.col(word))
-    for step in _steps():
-        df = df.withColumn(out, step(F.col(out)))
-    return df
+    """``df`` with the stem of column ``word``.
+
+    The steps are lambdas, which bind the word once each: as a chain of projections the optimizer would substitute every step
+    into the next (and into a join's null filter), and the expression would grow as a power of the steps.
+    """
+    return df.withColumn(out, stem_array(F.array(F.col(word)))[0])
 
 
 def stem_array(array: Column) -> Column:

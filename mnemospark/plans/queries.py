@@ -14,7 +14,7 @@ from mnemospark.plans import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ASKED = [(1, "than onesen thou"), (2, "pour le thand than"), (3, "the reat onthat heat")]
+ASKED = [(1, "than onesen thou"), (2, "pour le thand than"), (3, "onesen thou")]
 
 
 def query(oracle: str | None = None):
@@ -199,8 +199,8 @@ def _events(spark, sf_dir):
 
 
 _FED = sql.terms("SELECT conv_id * 1000 + turn AS doc_id, substr(text, 1, 40) AS text FROM conversations WHERE role = 'user'") + """, ev AS (
-SELECT array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms, 'src' || ((doc_id // 1000) % 5) AS source, doc_id % 1000 AS at FROM pos GROUP BY doc_id),
-fb AS (SELECT terms, source, count(*) AS "count", max(at) AS last_at FROM ev GROUP BY terms, source)"""
+SELECT array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms, 'src' || ((doc_id // 1000) % 5) AS source, doc_id % 1000 AS tm FROM pos GROUP BY doc_id),
+fb AS (SELECT terms, source, count(*) AS "count", max(tm) AS last_at FROM ev GROUP BY terms, source)"""
 
 
 def _feedback(spark, sf_dir, limit=10**9):

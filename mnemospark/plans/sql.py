@@ -60,7 +60,7 @@ FROM (SELECT qid, term, count(*) AS times FROM qt GROUP BY ALL) JOIN post USING
 BOOST = """, qd AS (SELECT DISTINCT qid, term FROM qt), qn AS (SELECT qid, count(*) AS q FROM qd GROUP BY qid),
 hit AS (SELECT qid, doc_id, pos, term FROM pos JOIN qd USING (term)),
 nxt AS (SELECT a.qid, a.doc_id, a.pos, b.term, min(b.pos) AS p FROM hit a JOIN hit b ON a.qid = b.qid AND a.doc_id = b.doc_id AND b.pos >= a.pos GROUP BY ALL),
-sp AS (SELECT qid, doc_id, pos, count(*) AS have, max(p) - pos AS span FROM nxt GROUP BY ALL),
+sp AS (SELECT qid, doc_id, pos, count(*) AS have, max(p) - pos AS span FROM nxt GROUP BY qid, doc_id, pos),
 best AS (SELECT qid, doc_id, max(have) AS d, min(span) FILTER (WHERE have = top) AS span FROM (SELECT *, max(have) OVER (PARTITION BY qid, doc_id) AS top FROM sp) GROUP BY ALL),
 prox AS (SELECT qid, doc_id, CASE WHEN d >= 2 AND q >= 2 THEN d / q * (d - 1) / span ELSE 0.0 END AS proximity FROM best JOIN qn USING (qid)),
 ph AS (SELECT DISTINCT qid, doc_id FROM (SELECT qid, doc_id, pos - qpos AS st, count(DISTINCT qpos) AS c FROM pos JOIN qt USING (term) GROUP BY ALL)

@@ -78,22 +78,21 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
 
     Hot groups (``size`` over ``total * HOT_SHARE``: at most 500, so their broadcast is bounded) are
     joined where their rows stand; the rows of all other groups meet in a shuffled join, in which rows that
-    are already served get a spread-out key that matches nothing.
+    are already served, or have a null key, get a spread-out key whose match, if any, is ignored.
     """
     if key in groups.columns and len(groups.columns) == 1:
         raise ValueError("groups has no values to attach")
     limit = max(HOT_LEAST, int(total * HOT_SHARE))
     values = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
-    cold = groups.where(F.col(size) <= limit).select(
-        F.lit(0).alias("_cs"), F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
+    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
     joined = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
-    spread = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(
-        F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if not c.startswith("_big")]), F.lit(1 << 20)).cast("int"))
-    joined = joined.withColumn("_rs", spread).join(
-        cold, (F.col("_rs") == F.col("_cs")) & (F.col(key) == F.col("_ck")), "left")
-    return joined.select(
-        *[F.col(c) for c in rows.columns], *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
+    spread = F.xxhash64(*[F.col(c) for c in rows.columns])
+    joined = joined.withColumn("_rs", F.col("_hot").isNull() & F.col(key).isNotNull())
+    joined = joined.withColumn("_rk", F.when(F.col("_rs"), F.col(key)).otherwise(spread.cast(rows.schema[key].dataType)))
+    joined = joined.join(cold, F.col("_rk") == F.col("_ck"), "left")
+    found = F.when(F.col("_rs"), F.col("_cold"))
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col("_hot")[v], found[v]).alias(v) for v in values])
 
 
 def bitmap_of(keys: DataFrame, key: Column, bits: int = 23) -> DataFrame:

@@ -10,19 +10,27 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 MAX_FILE = 64 << 20
-#: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps at most; when half as many are new, those not asked for since the last time go.
+CACHE_WORDS = 800_000
 
 _unsafe = re.compile(r"[\s\x1c-\x1f] |[^\S\n ]|[\x1c-\x1f]|\n\s")
 _encoders: dict[tuple[int, bool], Encoder] = {}
 
 
+def _uneven(text: str) -> bool:
+    """Whether ``text`` has white space other than single spaces and newlines; printable characters include no other."""
+    if "  " in text or "\n " in text or "\n\n" in text:
+        return True
+    return not text.replace("\n", " ").isprintable() and _unsafe.search(text) is not None
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -55,14 +63,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of a word that follows ``lead`` (a space, or nothing at the start of a text or line)."""
+    """Ids of a word that follows ``lead`` (a space, or nothing at the start of a text or line).
+
+    ``old`` holds the words of the generation before, which come back on demand.
+    """
 
     def __init__(self, owner: Encoder, lead: str):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.old = owner, lead, {}
 
     def __missing__(self, word: str) -> bytes:
         own = self.owner
+        if (ids := self.old.get(word)) is not None:
+            return self._keep(word, ids)
         if "\n" in word:
             head, _, tail = word.partition("\n")
             before = self[head] if head or self.lead else b""
@@ -75,7 +88,11 @@ class _Words(dict):
             ids = self[word[:-1]] + own.marks[word[-1]]
         else:
             ids = own.whole(self.lead + word)
-        if len(self) >= CACHE_WORDS:
+        return self._keep(word, ids)
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -88,6 +105,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = special_as_text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
         plan = json.loads(spec)
         pre = plan.get("pre_tokenizer") or {}
         self.by_word = (
@@ -105,18 +123,21 @@ class Encoder:
             self.after, self.starts = _Words(self, " "), _Words(self, "")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def letters(self, word: str) -> bytes:
         """The ids of one pre-token, by the library's BPE model."""
         mapped = word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.kind).tobytes()
+        return self.packed([t.id for t in self.model.tokenize(mapped)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, as little-endian integers of ``kind``; null is the empty text."""
         if not text:
             return b""
-        if not self.by_word or _unsafe.search(text) or (self.special and self.special.search(text)):
+        if not self.by_word or _uneven(text) or (self.special and self.special.search(text)):
             return self.whole(text)
         words = text.split(" ")
         first = self.starts[words[0]] if words[0] else b""

@@ -4,15 +4,19 @@
   lineage and survive the loss of an executor; nothing is kept on an executor's own disk.
 * ``attach_groups``: give each row of a group its group's values although one group may hold a third
   of all rows.
+* ``tidied``: Python tasks that leave no unused memory in their worker.
 * ``bitmap_of``/``in_bitmap``: a set of keys as a bitmap of fixed size, for filters before a shuffle.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,23 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives the memory that its task has freed back to the system.
+
+    Workers are reused and share an executor's memory with the JVM: what one stage's tasks hold on to, the next stage lacks.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The whole text; null counts as the empty text."""
     return F.coalesce(df[column], F.lit(""))

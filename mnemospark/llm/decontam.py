@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import persist, rows_without, text_key
+from mnemospark.llm.common import persist, rows_without, text_key, tidied
 
 WINDOW = 10
 SHINGLE = 5
@@ -177,7 +177,7 @@ def _counted(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(s[some])], names=["k", "i", "n"])
 
     out = {k: np.zeros(len(s), dtype=np.int64) for k, s in index.shingles.items()}
-    for r in docs.select("text").mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(tidied(run), "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.k][r.i] = r.n
     shared.unpersist()
     return out
@@ -212,7 +212,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shin
                         part.column("doc_id"), part.column("text_key"), text, pa.array([f[0] for f in found], pa.int64()),
                         pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=part.schema.names)
 
-        state = state.mapInArrow(run, _STATE)
+        state = state.mapInArrow(tidied(run), _STATE)
     return state.drop("text")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm import tokens
-from mnemospark.llm.common import persist
+from mnemospark.llm.common import persist, tidied
 
 WINDOW = 1024
 END_ID = 0
@@ -47,7 +47,7 @@ def _encoded(docs: DataFrame, tokenizer: str | None, end_id: int) -> DataFrame:
                     [pa.array(np.full(len(n), part, dtype=np.int32)), piece.column(0), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     names=["part", "doc_id", "start_in_part", "n", "ids"])
 
-    return persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED), "pack-ids")
+    return persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), _ENCODED), "pack-ids")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     placed = encoded.join(F.broadcast(offsets), "part")
-    return placed.select("doc_id", (F.col("base") + F.col("start_in_part")).alias("at"), "n", "ids").mapInArrow(cut, _PIECES)
+    return placed.select("doc_id", (F.col("base") + F.col("start_in_part")).alias("at"), "n", "ids").mapInArrow(tidied(cut), _PIECES)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
@@ -92,4 +92,4 @@ def with_crc(pieces: DataFrame) -> DataFrame:
             columns = [pa.array(crc, pa.int64()) if k == i else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=["ids_crc32" if x == "ids" else x for x in batch.schema.names])
 
-    return pieces.mapInArrow(run, _PIECES.replace("ids binary", "ids_crc32 long"))
+    return pieces.mapInArrow(tidied(run), _PIECES.replace("ids binary", "ids_crc32 long"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import attach_groups, bitmap_of, in_bitmap, persist, text_key, text_of
+from mnemospark.llm.common import attach_groups, bitmap_of, in_bitmap, persist, text_key, text_of, tidied
 
 LENGTH = 200
 GRAM = 32
@@ -222,7 +222,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                 h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
-    return rows.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    return rows.select("text").mapInArrow(tidied(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 _PLACES = "anchor long, doc_id long, text_key long, places array<long>, before binary, after binary, heavy boolean"
@@ -258,7 +258,7 @@ def _placed(rows: DataFrame, bitmap: np.ndarray, bits: int, hot: list[int]) -> D
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _PLACES.split(", ")])
 
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, _PLACES)
+    return rows.select("doc_id", "text_key", "text").mapInArrow(tidied(run), _PLACES)
 
 
 def _bit(h: np.ndarray, bits: int) -> np.ndarray:
@@ -295,7 +295,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "before", "after", "times")
-    return ordered.mapInArrow(run, f"id {kind}, times long, low long, high long")
+    return ordered.mapInArrow(tidied(run), f"id {kind}, times long, low long, high long")
 
 
 def _light_spans(places: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, bits: int = 23) -> DataFrame
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(parts, pa.int64()), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return whole.unionByName(hit.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
+    return whole.unionByName(hit.mapInArrow(tidied(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 ORACLE = r"""

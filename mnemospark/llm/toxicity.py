@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import doc_hash, persist, rows_without, text_key
+from mnemospark.llm.common import doc_hash, persist, rows_without, text_key, tidied
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
@@ -57,7 +57,7 @@ class Vocabulary(dict):
         self.terms = terms
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = found = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
         return found
@@ -156,7 +156,7 @@ class Model:
             return self.bare, []
         key = tuple(sorted(counts.items()))
         if key not in self.memo:
-            if len(self.memo) >= 100_000:
+            if len(self.memo) >= 20_000:
                 self.memo.clear()
             raw, evidence = self.index.vote(*self.vector(counts), self.k)
             self.memo[key] = float(np.interp(raw, self.xs, self.ys)), evidence
@@ -194,7 +194,7 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[bytes]:
     size = examples.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
     clean, toxic = max(1, size.clean), max(1, size.toxic)
     rate = toxic / (clean + toxic)
-    seen = examples.where("toxic in (0, 1)").select("toxic", "text").mapInArrow(run, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    seen = examples.where("toxic in (0, 1)").select("toxic", "text").mapInArrow(tidied(run), "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     n = F.col("c") + F.col("t")
     t, c = F.col("t"), F.col("c")
     part = lambda x, share: F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
@@ -218,7 +218,7 @@ def _document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
 
     out = np.zeros(len(terms), dtype=np.float64)
-    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
+    for r in docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
         out[r.term] = r.n
     return out
 
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
                 batch.column(0), batch.column(1), pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "terms", "times"])
 
-    made = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>, times array<int>")
+    made = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(tidied(run), "doc_id long, toxic int, terms array<int>, times array<int>")
     rows = sorted((r.doc_id, r.toxic, list(r.terms), list(r.times)) for r in made.collect())  # at most max_examples rows
     return Model(terms, idf, rows, k)
 
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     names=["doc_id", "text_key", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, score double, evidence array<long>")
+    return rows.mapInArrow(tidied(run), "doc_id long, text_key long, score double, evidence array<long>")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -50,13 +50,21 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which a worker gives the memory that its task has freed back to the system.
+#: What a worker holds between the tasks of one stage; the tasks of any other stage drop it.
+held: dict[tuple, object] = {}
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives the memory that its task has freed back to the system; with ``keep`` what is ``held`` stays.
 
     Workers are reused and share an executor's memory with the JVM: what one stage's tasks hold on to, the next stage lacks.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from mnemospark.llm import common  # the worker's own module, not a copy of it
+
+        if not keep:
+            common.held.clear()
         try:
             yield from run(batches)
         finally:

@@ -47,7 +47,7 @@ def _encoded(docs: DataFrame, tokenizer: str | None, end_id: int) -> DataFrame:
                     [pa.array(np.full(len(n), part, dtype=np.int32)), piece.column(0), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     names=["part", "doc_id", "start_in_part", "n", "ids"])
 
-    return persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), _ENCODED), "pack-ids")
+    return persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run, keep=True), _ENCODED), "pack-ids")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:

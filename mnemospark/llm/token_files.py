@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
             fs.move(mine, name)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [n], "n_ids": [total]})
 
-    files = ranged.select("doc_id", "text").mapInArrow(tidied(run), "part int, file string, n_docs long, n_ids long").collect()
+    files = ranged.select("doc_id", "text").mapInArrow(tidied(run, keep=True), "part int, file string, n_docs long, n_ids long").collect()
     files.sort(key=lambda f: f.part)  # a row for each file; an orderBy would run the encoding a second time, to sample it
     starts = np.concatenate([[0], np.cumsum([f.n_ids for f in files])]).tolist()
     made = [(f.part, _uri(path, f.file), f.n_docs, f.n_ids, s) for f, s in zip(files, starts, strict=False)]

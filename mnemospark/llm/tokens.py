@@ -16,12 +16,13 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from mnemospark.llm.common import held
+
 MAX_FILE = 64 << 20
 #: Words whose ids a worker keeps at most; when half as many are new, those not asked for since the last time go.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _unsafe = re.compile(r"[\s\x1c-\x1f] |[^\S\n ]|[\x1c-\x1f]|\n\s")
-_encoders: dict[tuple[int, bool], Encoder] = {}
 
 
 def _uneven(text: str) -> bool:
@@ -47,12 +48,12 @@ def load(spark: SparkSession, path: str | None) -> Broadcast:
 
 
 def encoder(spec: Broadcast, special_as_text: bool = False) -> Encoder:
-    """The worker's encoder for ``spec``: made once, with its cache, for all tasks that the worker runs."""
+    """The worker's encoder for ``spec``: made once, with its cache, for all tasks of the stage that the worker runs."""
     key = (hash(spec.value), special_as_text)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec.value, special_as_text)
-    return _encoders[key]
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(spec.value, special_as_text)
+    return held[key]
 
 
 def _byte_letters() -> dict[int, str]:

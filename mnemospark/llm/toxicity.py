@@ -187,7 +187,7 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[bytes]:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for t in {t for w in set(words_of(text)) for t in terms_of(w)}:
                     counts.setdefault(t, [0, 0])[y] += 1
-                if len(counts) > 300_000:
+                if len(counts) > 100_000:
                     yield out()
         yield out()
 

@@ -6,15 +6,16 @@ sends each class down one branch for a minwise token that the node's own hash se
 second one: about 1 / similarity of them), so classes that are alike tend to stay together and others part:
 
 * a node of up to ``small`` classes is compared exhaustively, on minwise tokens;
-* a larger one compares all its classes with two members picked by hashes, and is branched again, ``depth`` times at most.
-  Nodes that are large to the end hold groups of copies, whose members share most tokens: there it is the picked members of
-  all nodes of all trees and levels (over a hundred, each compared with the whole group) that connect the group.
+* a larger one compares all its classes with two members picked by hashes, and is branched again, ``depth`` times at most;
+* nodes that are large to the end hold groups of copies, or of documents on one template.  Those that share members form one group, whose
+  classes, where confirmed links haven't joined them already, are compared whole: in pairs of blocks, on their full
+  sets, so that no sample decides; of each pair of blocks only links that join something come out.
 
-Candidates must agree on a share of minwise tokens that is five standard deviations below the threshold; every
+Candidates of the trees must agree on a share of minwise tokens that is five standard deviations below the threshold; every
 link is then confirmed on the full sets, read again for the classes that have candidates.  A pair of
 similarity 0.8 stays together over k levels of a tree with a probability of at least 0.8^k, so 16 trees miss it with
-a probability of at most (1 - 0.8^k)^16: 7e-12 at one level, 8e-8 at two, 1e-5 at three, 2e-4 at four.  A document of a large
-group of copies that is linked with a share f of the group is missed with a probability of about (1 - f)^100.
+a probability of at most (1 - 0.8^k)^16: 7e-12 at one level, 8e-8 at two, 1e-5 at three, 2e-4 at four, 2e-3 at five.  Within a group that
+is compared whole nothing is missed; its cost grows with the square of the classes that no link has joined.
 
 Components come from min-label propagation with pointer jumping over tables in the shared folder.
 
@@ -38,6 +39,9 @@ TOKENS = 64
 TREES = 16
 SMALL = 24
 DEPTH = 5
+#: A block of a group that is compared whole has about so many classes and shingles at most.
+BLOCK = 512
+BLOCK_SHINGLES = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,9 +196,8 @@ def _compare_hub(large: DataFrame, count: int, t: int, least: float, percent: in
     return both.select("cls", "n", "sig", *[hub(i, name) for i in (0, 1) for name in ("cls", "n", "sig")]).mapInArrow(tidied(run), "a string, b string")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """The pairs of classes (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, bits: int) -> DataFrame:
+    """The full sets (cls, shingles) of the ``wanted`` classes (cls), from the rows that represent them."""
     named = reps.join(wanted, "cls", "left_semi").select("doc_id", "text_key")
     bitmap = persist(bitmap_of(named, F.xxhash64("doc_id", "text_key"), bits), "near-reps")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text")
@@ -208,7 +211,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, p
                     pa.array([_digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
         _hashes.clear()
 
-    sets = persist(rows.mapInArrow(tidied(run), "cls string, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return persist(rows.mapInArrow(tidied(run), "cls string, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """The pairs of classes (a, b) whose full sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = _sets(docs, wanted, reps, width, bits)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,6 +237,83 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, p
     return both.select("a", "b", "sa", "sb").mapInArrow(tidied(compare), "a string, b string")
 
 
+def _shared(sets: list[np.ndarray], left: int, chunk: int = 4096) -> np.ndarray:
+    """How many shingles each of the first ``left`` sets shares with each other one (with each of them all, if there is no other)."""
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat)
+    flat, who = flat[order], who[order]
+    col = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+    often = np.bincount(col) > 1
+    who, col = who[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
+    right = left if left < len(sets) else 0
+    out = np.zeros((left, len(sets) - right), dtype=np.int64)
+    for lo in range(0, int(often.sum()), chunk):
+        i, j = np.searchsorted(col, [lo, lo + chunk])
+        has = np.zeros((len(sets), chunk), dtype=np.float32)
+        has[who[i:j], col[i:j] - lo] = 1
+        out += (has[:left] @ has[right:].T).astype(np.int64)
+    return out
+
+
+def _compare_whole(docs: DataFrame, rest: DataFrame, labels: DataFrame, classes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """Links (a, b) that join components ``labels`` (v, comp) within the groups that the large nodes ``rest`` (node, cls) form.
+
+    A group is dealt into blocks of about one set size, those of a component with many members apart; each pair of blocks that
+    isn't of one such component, and whose sizes allow links, is a unit of work.
+    """
+    count = rest.count()
+    hubs = rest.groupBy("node").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("of"))
+    spokes = attach_groups(rest, hubs, "node", "of", count).where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    known = components(spokes, "near-rest").select(F.col("v").alias("cls"), F.col("comp").alias("grp")).join(classes.select("cls", "n"), "cls")
+    known = known.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    known = persist(known.withColumn("part", F.xxhash64("grp", "comp")), "near-rest")
+    mixed = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("of")).where("lo <> hi")
+    known = attach_groups(known, mixed.select("grp", "of"), "grp", "of", count).where("of is not null").drop("of")
+    big = known.groupBy("part").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= BLOCK)
+    known = attach_groups(known, big, "part", "members", count).withColumn("part", F.when(F.col("members").isNotNull(), F.col("part")).otherwise(0)).drop("members")
+    # sets that can be linked are in the same size or in the next one
+    known = known.withColumn("size", F.floor(F.log("n") / max(1.001 * float(np.log(100 / percent)), 1e-3)))
+    known = persist(known.withColumn("deal", F.xxhash64("grp", "part", "size")), "near-rest")
+    dealt = known.groupBy("deal").agg(F.count(F.lit(1)).alias("of"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = attach_groups(known, dealt, "deal", "of", count).withColumn("block", F.xxhash64("deal", F.pmod(F.xxhash64("cls"), F.col("blocks"))))
+    rows = persist(rows.select("grp", "part", "size", "block", "cls", "comp"), "near-rest")
+    blocks = persist(rows.select("grp", "part", "size", "block").distinct(), "near-blocks")
+    other = blocks.select("grp", *[F.col(c).alias(f"{c}2") for c in ("part", "size", "block")])
+    units = blocks.join(other, "grp").where("block <= block2 and abs(size - size2) <= 1 and (part <> part2 or part = 0)")
+    units = units.select(F.xxhash64("block", "block2").alias("unit"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    units = persist(units, "near-units")
+    rows = persist(rows.join(units, "block", "left_semi").select("block", "cls", "comp"), "near-rest")
+    sets = _sets(docs, rows.select("cls"), classes, width, bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        block, cls, comp = table.column("block").to_numpy(), table.column("cls").to_pylist(), table.column("comp").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        n = np.array([len(s) for s in sets])
+        left = int((block == block[0]).sum())
+        right = left if left < len(sets) else 0
+        both = _shared(sets, left)
+        ids = np.unique(comp, return_inverse=True)[1]
+        ok = (100 * both >= percent * (n[:left, None] + n[None, right:] - both)) & (ids[:left, None] != ids[None, right:])
+        into = list(range(len(sets)))
+
+        def top(x: int) -> int:
+            while into[x] != x:
+                into[x] = x = into[into[x]]
+            return x
+
+        a, b = [], []
+        for i, j in np.argwhere(ok).tolist():
+            x, y = top(int(ids[i])), top(int(ids[right + j]))
+            if x != y:
+                into[x] = y
+                a.append(min(cls[i], cls[right + j]))
+                b.append(max(cls[i], cls[right + j]))
+        return pa.Table.from_batches([_pairs_batch(a, b)])
+
+    return rows.join(sets, "cls").join(units, "block").select("unit", "block", "cls", "comp", "shingles").groupBy("unit").applyInArrow(run, "a string, b string")
+
+
 def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
     """Connected components of ``links`` (a, b): v and its component's smallest name ``comp``."""
     ways = persist(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))), name)
@@ -262,6 +348,7 @@ def near_duplicates(
     level = classes.select("cls", F.explode(roots).alias("node"))
     level = persist(level, "near-level")
     with_sig = classes.select("cls", "n", "sig")
+    rest = None
     for d in range(depth):
         size = level.count()
         counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("node_n")).where("node_n > 1")
@@ -271,8 +358,11 @@ def near_duplicates(
         large = live.where(F.col("node_n") > small)
         n_large = large.count()
         if not n_large:
-                    break
+            break
         rounds.append(persist(_compare_hub(large, n_large, t, least, percent).distinct(), "near-pairs"))
+        if d == depth - 1:
+            rest = large.select("node", "cls")
+            break
         # which token a node selects depends on the node alone; one node in four sends its rows down a second branch
         one = F.pmod(F.xxhash64("node", F.lit(d), F.lit("one")), F.lit(t)).cast("int")
         two = F.pmod(F.xxhash64("node", F.lit(d), F.lit("two")), F.lit(t)).cast("int")
@@ -286,6 +376,10 @@ def near_duplicates(
     pairs = persist(pairs.distinct(), "near-pairs")
     links = persist(_confirmed(docs, pairs, classes, width, percent, bits), "near-links")
     labels = components(links)
+    if rest is not None:
+        joins = persist(_compare_whole(docs, rest, labels, classes, width, percent, bits), "near-links")
+        if joins.limit(1).count():
+            labels = components(persist(links.union(joins), "near-links"))
     known = classes.select("cls", "docs", "doc_id").join(labels.withColumnRenamed("v", "cls"), "cls")
     first_id = persist(known.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("of")), "near-first")
     linked = persist(attach_groups(known, first_id, "comp", "of", total).select("cls", "docs", "component_id"), "near-linked")

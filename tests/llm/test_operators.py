@@ -85,6 +85,19 @@ def test_near_duplicates_against_brute_force(docs, empty):
     assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_one_template_against_brute_force(spark):
+    """All pairs of 400 texts are 0.778 alike, but those of 2i and 2i + 1, which share twelve words more, 0.802; one size more is linked with none."""
+    word = lambda *x: "w" + "x".join(map(str, x))
+    texts = [[*(word(k) for k in range(700)), *(word("pair", i // 2, k) for k in range(12)), *(word("own", i, k) for k in range(88))] for i in range(400)]
+    texts.append([word(k) for k in range(100)])
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows, 1).collect()}
+    sets = [set(t) for t in texts]
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert linked == {(i + 1, i) for i in range(0, 400, 2)}
+    assert got == {i: i - i % 2 if i < 400 else i for i in range(401)}
+
+
 def test_pii_base_and_redaction(spark, empty):
     rows = [(1, "mail a.b@c.de_f@g.hi or +1 (386) 555-3733, 4539578763621486, 1.2.3.4 and 999.1.1.1", "", "", 0, ""), (2, None, "", "", 0, "")]
     docs = spark.createDataFrame(rows, SCHEMA)

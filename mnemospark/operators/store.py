@@ -34,12 +34,12 @@ def forget(rows: DataFrame, needle: str) -> DataFrame:
     return rows.where(~F.col("source").contains(needle))
 
 
-def reinforce(feedback: DataFrame, events: DataFrame, limit: int = MAX_FEEDBACK) -> DataFrame:
-    """Feedback (terms, source, count, last_at) with events (terms, source, at) counted in; the ``limit`` confirmed last stay."""
+def reinforce(feedback: DataFrame, events: DataFrame, limit: int | None = MAX_FEEDBACK) -> DataFrame:
+    """Feedback (terms, source, count, last_at) with events (terms, source, at) counted in; the ``limit`` confirmed last stay (None: all)."""
     fresh = events.where(F.size("terms") > 0).select(F.array_sort(F.array_distinct("terms")).alias("terms"), "source", F.lit(1).cast("long").alias("count"), F.col("at").alias("last_at"))
     both = feedback.select("terms", "source", "count", "last_at").unionByName(fresh)
     merged = both.groupBy("terms", "source").agg(F.sum("count").alias("count"), F.max("last_at").alias("last_at"))
-    return merged.orderBy(F.desc("last_at"), "source", "terms").limit(limit)
+    return merged if limit is None else merged.orderBy(F.desc("last_at"), "source", "terms").limit(limit)
 
 
 def stats(chunks: DataFrame) -> DataFrame:

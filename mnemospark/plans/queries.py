@@ -195,7 +195,7 @@ def cosine_dim_mismatch(spark, sf_dir):
 
 def _events(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select(T.tokenize(F.substring("text", 1, 40)).alias("terms"), F.concat(F.lit("src"), F.col("conv_id") % 5).alias("source"), F.col("turn").alias("at"))
+    return c.select(T.tokenize(F.col("text")).alias("terms"), F.concat(F.lit("src"), F.col("conv_id") % 5).alias("source"), F.col("turn").alias("at"))
 
 
 _FED = sql.terms("SELECT conv_id * 1000 + turn AS doc_id, substr(text, 1, 40) AS text FROM conversations WHERE role = 'user'") + """, ev AS (
@@ -203,7 +203,7 @@ SELECT array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms, 'src' || (
 fb AS (SELECT terms, source, count(*) AS "count", max(tm) AS last_at FROM ev GROUP BY terms, source)"""
 
 
-def _feedback(spark, sf_dir, limit=10**9):
+def _feedback(spark, sf_dir, limit=None):
     none = spark.createDataFrame([], "terms array<string>, source string, count long, last_at long")
     return store.reinforce(none, _events(spark, sf_dir), limit)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
 from mnemospark.operators import chunking, store
+from mnemospark.plans import queries
 
 
 @pytest.mark.parametrize(("word", "stem"), [
@@ -56,3 +57,15 @@ def test_upsert_is_idempotent(spark):
     once = store.upsert(rows, rows.where("source = 's1'"), rows.where("source = 's1'"))
     assert {r.id for r in once.collect()} == {"a", "b"} and once.count() == 2
     assert {r.id for r in store.forget(rows, "s1").collect()} == {"b"}
+
+
+def test_feedback_takes_whole_turns(spark, tmp_path):
+    """Turns that differ only after 40 characters, or hold only stop words before, are counted apart."""
+    filler = "the and of to in is it the and of to in is it "
+    turns = [(1, 1, "user", filler + "alpha"), (1, 2, "user", filler + "beta"), (1, 3, "user", filler + "alpha"), (2, 1, "assistant", "gamma"), (3, 1, "user", "delta"), (4, 1, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {("alpha", "src1", 2, 3), ("beta", "src1", 1, 2), ("delta", "src3", 1, 1)}
+    stems = {w: T.stemmed(spark.createDataFrame([(w,)], "w string"), "w", "s").first().s for w in ("alpha", "beta", "delta")}
+    want = {(stems[w], *rest) for w, *rest in want}
+    assert {tuple(r) for r in queries.feedback_upsert(spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in queries.feedback_cap(spark, str(tmp_path)).collect()} == want

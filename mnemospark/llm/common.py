@@ -25,10 +25,13 @@ _roots: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's shared checkpoint folder (a local one only where none is set)."""
+    """A new path below the cluster's shared checkpoint folder; where none is set, a local one is used on a single machine alone."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or "/tmp/checkpoints"
         _roots[app] = f"{base.rstrip('/')}/mnemospark-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _roots[app])
     return f"{_roots[app]}/{name}-{next(_serial)}"
@@ -116,9 +119,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
     cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
     joined = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
+    kind = rows.schema[key].dataType
     spread = F.xxhash64(*[F.col(c) for c in rows.columns])
+    spread = (spread.cast("string") if kind.typeName() == "binary" else spread).cast(kind)
     joined = joined.withColumn("_rs", F.col("_hot").isNull() & F.col(key).isNotNull())
-    joined = joined.withColumn("_rk", F.when(F.col("_rs"), F.col(key)).otherwise(spread.cast(rows.schema[key].dataType)))
+    joined = joined.withColumn("_rk", F.when(F.col("_rs"), F.col(key)).otherwise(spread))
     joined = joined.join(cold, F.col("_rk") == F.col("_ck"), "left")
     found = F.when(F.col("_rs"), F.col("_cold"))
     return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col("_hot")[v], found[v]).alias(v) for v in values])
@@ -131,15 +136,30 @@ def bitmap_of(keys: DataFrame, key: Column, bits: int = 23) -> DataFrame:
         F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_bm"))
 
 
-def in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, bits: int = 23) -> DataFrame:
-    """``df`` with a boolean column ``_hit``: false only for keys that aren't in the set (true also for a few others)."""
-    k = F.pmod(key, F.lit(1 << bits)) + F.lit(1)
-    df = df.withColumn("_bm_k", k).withColumn("_bm_row", F.bitmap_bucket_number("_bm_k"))
-    joined = df.join(F.broadcast(bitmap), "_bm_row", "left")
-    byte = F.expr("ascii(decode(substring(_bm, cast(bitmap_bit_position(_bm_k) div 8 as int) + 1, 1), 'ISO-8859-1'))")
-    bit = F.expr("shiftleft(1, cast(bitmap_bit_position(_bm_k) % 8 as int))")
+def in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, out: str, bits: int = 23) -> DataFrame:
+    """``df`` with a boolean column ``out``: false only for keys that aren't in the set (true also for a few others).
+
+    ``df`` mustn't have a column of that name; its other columns may have any names.
+    """
+    k, at, row, bits_of = (f"{out}_{x}" for x in ("key", "at", "row", "bits"))
+    known = bitmap.select(F.col("_bm_row").alias(row), F.col("_bm").alias(bits_of))
+    df = df.select(*[df[_quoted(c)] for c in df.columns], (F.pmod(key, F.lit(1 << bits)) + F.lit(1)).alias(k))
+    joined = df.withColumn(at, F.bitmap_bit_position(k).cast("int")).join(F.broadcast(known), F.bitmap_bucket_number(k) == F.col(row), "left")
+    byte = F.ascii(F.decode(F.substring(F.col(bits_of), F.floor(F.col(at) / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    bit = F.expr(f"shiftleft(1, {at} % 8)")
     hit = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
-    return joined.withColumn("_hit", hit).drop("_bm", "_bm_k", "_bm_row")
+    return joined.withColumn(out, hit).drop(bits_of, k, row, at)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has columns that begin with it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
 
 
 def text_key(df: DataFrame, column: str = "text") -> Column:
@@ -148,14 +168,14 @@ def text_key(df: DataFrame, column: str = "text") -> Column:
 
 
 def _by_key(docs: DataFrame, keys: DataFrame, bits: int, how: str) -> DataFrame:
-    hashed = F.xxhash64("doc_id", "text_key")
-    mark = docs.withColumn("__ms_key", text_key(docs))
-    mark = in_bitmap(mark, F.xxhash64("doc_id", "__ms_key"), persist(bitmap_of(keys, hashed, bits), "row-keys"), bits)
-    names = keys.select(F.col("doc_id").alias("__ms_id"), F.col("text_key").alias("__ms_tk"))
-    maybe = mark.where("_hit").join(
-        names, F.col("doc_id").eqNullSafe(F.col("__ms_id")) & (F.col("__ms_key") == F.col("__ms_tk")), how)
-    out = maybe if how == "left_semi" else mark.where("not _hit").unionByName(maybe)
-    return out.select(*docs.columns)
+    own = _free(docs, "__ms")
+    hashed, tk, hit, ki, kt = F.xxhash64("doc_id", "text_key"), f"{own}_tk", f"{own}_hit", f"{own}_ki", f"{own}_kt"
+    mark = docs.withColumn(tk, text_key(docs))
+    mark = in_bitmap(mark, F.xxhash64("doc_id", tk), persist(bitmap_of(keys, hashed, bits), "row-keys"), hit, bits)
+    names = keys.select(F.col("doc_id").alias(ki), F.col("text_key").alias(kt))
+    maybe = mark.where(F.col(hit)).join(names, F.col("doc_id").eqNullSafe(F.col(ki)) & (F.col(tk) == F.col(kt)), how)
+    out = maybe if how == "left_semi" else mark.where(~F.col(hit)).unionByName(maybe)
+    return out.select(*[out[_quoted(c)] for c in docs.columns])
 
 
 def rows_without(docs: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:

@@ -1,14 +1,17 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 Each document is the set of its word shingles.  Documents with the same set form a class and go on as one.
-A class gets ``t`` minwise tokens.  ``trees`` independent trees start at the root with all classes; a node
-sends each class down one branch for a minwise token that the node's own hash selects (and at times a
-second one: about 1 / similarity of them), so classes that are alike tend to stay together and others part:
+A class gets ``t`` minwise tokens (their low bytes travel, which are enough to branch and to compare by).  ``trees``
+independent trees start at the root with all classes; a node sends each class down one branch for a minwise token that
+the node's own hash selects (and at times a second one: about 1 / similarity of them), so classes that are alike
+tend to stay together and others part:
 
 * a node of up to ``small`` classes is compared exhaustively, on minwise tokens;
-* a larger one compares all its classes with two members picked by hashes, and is branched again, ``depth`` times at most;
-* nodes that are large to the end hold groups of copies, or of documents on one template.  Those that share members form one group, whose
-  classes, where confirmed links haven't joined them already, are compared whole: in pairs of blocks, on their full
+* a larger one compares all its classes with one member picked by a hash, and is branched again, ``depth`` times at most;
+* links of the first level are confirmed at once, and what they join counts as one from then on: nodes whose classes are
+  all joined end there, and no pair within a component is compared again;
+* nodes that are large to the end hold documents on one template.  Those that share members form one group, whose
+  classes, where links haven't joined them already, are compared whole: in pairs of blocks, on their full
   sets, so that no sample decides; of each pair of blocks only links that join something come out.
 
 Candidates of the trees must agree on a share of minwise tokens that is five standard deviations below the threshold; every
@@ -40,8 +43,8 @@ TREES = 16
 SMALL = 24
 DEPTH = 5
 #: A block of a group that is compared whole has about so many classes and shingles at most.
-BLOCK = 512
-BLOCK_SHINGLES = 500_000
+BLOCK = 1_536
+BLOCK_SHINGLES = 1_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,37 +90,36 @@ def _minwise(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for lo in range(0, len(shingles), 1024):
         x = shingles[lo:lo + 1024, None] * a[None, :] + b[None, :]
         np.minimum(out, (x ^ (x >> np.uint64(32))).min(axis=0), out=out)
-    return (out >> np.uint64(16)).astype(np.uint32).view(np.int32)
+    return (out >> np.uint64(16)).astype(np.uint32)
 
 
-def _digest(shingles: np.ndarray) -> str:
+def _digest(shingles: np.ndarray) -> bytes:
     import xxhash
 
-    return xxhash.xxh128_hexdigest(shingles.tobytes())
+    return xxhash.xxh128_digest(shingles.tobytes())
 
 
-def _described(docs: DataFrame, width: int, t: int) -> DataFrame:
+def _described(docs: DataFrame, width: int, t: int, trees: int) -> DataFrame:
+    """Each row's set size, a digest of its set, the root tokens of all trees and the low bytes of all minwise tokens."""
     a, b = _multipliers(t)
+    roots = np.arange(trees) % t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sets = [shingle_set(x, width) for x in part.column(2).to_pylist()]
-                sigs = [_minwise(s, a, b).tobytes() if len(s) else None for s in sets]
+                tokens = [_minwise(s, a, b) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_digest(s) if len(s) else None for s in sets], pa.string()), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "text_key", "n", "cls", "sig"])
+                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([None if x is None else x[roots].astype("<u4").tobytes() for x in tokens], pa.binary()),
+                    pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in tokens], pa.binary())],
+                    names=["doc_id", "text_key", "n", "cls", "roots", "sig"])
         _hashes.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text")
-    return rows.mapInArrow(tidied(run), "doc_id long, text_key long, n long, cls string, sig binary")
-
-
-def _token(j: Column | int) -> Column:
-    """Minwise token ``j`` of the row's ``sig``."""
-    return F.substring(F.col("sig"), F.lit(1) + F.lit(4) * j if isinstance(j, int) else F.lit(1) + j * 4, F.lit(4))
+    return rows.mapInArrow(tidied(run), "doc_id long, text_key long, n long, cls binary, roots binary, sig binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float, percent: int) -> np.ndarray:
@@ -126,36 +128,34 @@ def _similar(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least
     return sizes & ((x == y).sum(axis=1) >= least * x.shape[1])
 
 
-def _pairs_batch(a: list[str], b: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+def _pairs_batch(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _sigs(column: pa.Array, t: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(-1, t)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, t)
 
 
 def _compare_small(rows: DataFrame, small: int, t: int, least: float, percent: int) -> DataFrame:
-    """Candidate pairs within nodes of up to ``small`` rows (node, cls, n, sig)."""
+    """Candidate pairs of different components within nodes of up to ``small`` rows (node, cid, comp, n, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def found(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
-            node, cls, n = table.column("node").to_numpy(), table.column("cls").to_pylist(), table.column("n").to_numpy()
+            node, cid, comp, n = (table.column(x).to_numpy() for x in ("node", "cid", "comp", "n"))
             sig = _sigs(table.column("sig"), t)
-            a, b = [], []
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, min(small, len(node))):
-                at = np.flatnonzero(node[d:] == node[:-d])
-                if not len(at):
+                near = np.flatnonzero(node[d:] == node[:-d])
+                if not len(near):
                     break
+                at = near[comp[near] != comp[near + d]]
                 at = at[_similar(sig[at], sig[at + d], n[at], n[at + d], least, percent)]
-                for i in at.tolist():
-                    x, y = cls[i], cls[i + d]
-                    if x != y:
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-            return _pairs_batch(a, b)
+                a.append(np.minimum(cid[at], cid[at + d]))
+                b.append(np.maximum(cid[at], cid[at + d]))
+            return _pairs_batch(np.concatenate(a), np.concatenate(b))
 
         for batch in batches:
             if not batch.num_rows:
@@ -171,73 +171,68 @@ def _compare_small(rows: DataFrame, small: int, t: int, least: float, percent: i
         if rest is not None:
             yield found(rest)
 
-    return rows.repartition("node").sortWithinPartitions("node").select("node", "cls", "n", "sig").mapInArrow(tidied(run), "a string, b string")
+    return rows.repartition("node").sortWithinPartitions("node").select("node", "cid", "comp", "n", "sig").mapInArrow(tidied(run), "a long, b long")
 
 
-def _compare_hub(large: DataFrame, count: int, t: int, least: float, percent: int) -> DataFrame:
-    """Candidate pairs of each row of a large node with the member that the node's hash picks."""
-    pick = lambda way: F.min(F.struct(F.xxhash64("node", "cls", F.lit(way)).alias("h"), "cls", "n", "sig", F.col("node_n")))
-    one = large.groupBy("node").agg(pick(1).alias("x"), pick(2).alias("y"))
-    hubs = one.select("node", F.col("x.node_n").alias("hub_of"), F.array(*[F.struct(f"{k}.cls", f"{k}.n", f"{k}.sig") for k in "xy"]).alias("hubs"))
-    both = attach_groups(large.select("node", "cls", "n", "sig"), hubs, "node", "hub_of", count)
+def _compare_hub(large: DataFrame, count: int, way: int, t: int, least: float, percent: int) -> DataFrame:
+    """Candidate pairs of each row of a large node with the member that a hash picks; nodes with much the same rows tend to pick the same."""
+    hubs = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cid", F.lit(way)).alias("h"), "cid", "comp", "n", "sig")).alias("x"), F.first("node_n").alias("hub_of"))
+    hubs = hubs.select("node", "hub_of", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.n").alias("hub_n"), F.col("x.sig").alias("hub_sig"))
+    both = attach_groups(large.select("node", "cid", "comp", "n", "sig"), hubs, "node", "hub_of", count).where("comp <> hub_comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cls, mine, n = batch.column(0).to_pylist(), _sigs(batch.column(2), t), batch.column(1).to_numpy()
-            for way in (3, 6):
-                hub = batch.column(way).to_pylist()
-                ok = _similar(mine, _sigs(batch.column(way + 2), t), n, batch.column(way + 1).to_numpy(), least, percent)
-                at = [i for i in np.flatnonzero(ok).tolist() if cls[i] != hub[i]]
-                yield _pairs_batch([min(cls[i], hub[i]) for i in at], [max(cls[i], hub[i]) for i in at])
+            cid, hub = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            ok = _similar(_sigs(batch.column(2), t), _sigs(batch.column(5), t), batch.column(1).to_numpy(), batch.column(4).to_numpy(), least, percent)
+            yield _pairs_batch(np.minimum(cid, hub)[ok], np.maximum(cid, hub)[ok])
 
-    hub = lambda i, name: F.col("hubs")[i][name].alias(f"{name}{i}")
-    return both.select("cls", "n", "sig", *[hub(i, name) for i in (0, 1) for name in ("cls", "n", "sig")]).mapInArrow(tidied(run), "a string, b string")
+    return both.select("cid", "n", "sig", "hub", "hub_n", "hub_sig").dropDuplicates(["cid", "hub"]).mapInArrow(tidied(run), "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, bits: int) -> DataFrame:
-    """The full sets (cls, shingles) of the ``wanted`` classes (cls), from the rows that represent them."""
-    named = reps.join(wanted, "cls", "left_semi").select("doc_id", "text_key")
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int, bits: int) -> DataFrame:
+    """The full sets (cid, shingles) of the ``wanted`` classes (cid), from the rows that represent them."""
+    named = persist(classes.join(wanted, "cid", "left_semi").select("cid", "cls", "doc_id", "text_key"), "near-wanted")
     bitmap = persist(bitmap_of(named, F.xxhash64("doc_id", "text_key"), bits), "near-reps")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text")
-    rows = in_bitmap(rows, F.xxhash64("doc_id", "text_key"), bitmap, bits).where("_hit").select("text")
+    rows = in_bitmap(rows, F.xxhash64("doc_id", "text_key"), bitmap, "hit", bits).where("hit").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 sets = [s for x in batch.column(0).slice(lo, 512).to_pylist() if len(s := shingle_set(x, width))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([_digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+                    pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
         _hashes.clear()
 
-    return persist(rows.mapInArrow(tidied(run), "cls string, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
+    found = rows.mapInArrow(tidied(run), "cls binary, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    return persist(found.join(named.select("cid", "cls"), "cls").select("cid", "shingles"), "near-sets")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
     """The pairs of classes (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = _sets(docs, wanted, reps, width, bits)
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = _sets(docs, wanted, classes, width, bits)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 keep = []
                 for i, (x, y) in enumerate(zip(part.column(2), part.column(3), strict=True)):
                     p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         keep.append(i)
-                yield _pairs_batch([a[i] for i in keep], [b[i] for i in keep])
+                yield _pairs_batch(part.column(0).to_numpy()[keep], part.column(1).to_numpy()[keep])
 
-    first = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = first.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(tidied(compare), "a string, b string")
+    first = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = first.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidied(compare), "a long, b long")
 
 
-def _shared(sets: list[np.ndarray], left: int, chunk: int = 4096) -> np.ndarray:
+def _shared(sets: list[np.ndarray], left: int, chunk: int = 2048) -> np.ndarray:
     """How many shingles each of the first ``left`` sets shares with each other one (with each of them all, if there is no other)."""
     flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat)
@@ -246,26 +241,26 @@ def _shared(sets: list[np.ndarray], left: int, chunk: int = 4096) -> np.ndarray:
     often = np.bincount(col) > 1
     who, col = who[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
     right = left if left < len(sets) else 0
-    out = np.zeros((left, len(sets) - right), dtype=np.int64)
+    out = np.zeros((left, len(sets) - right), dtype=np.int32)
     for lo in range(0, int(often.sum()), chunk):
         i, j = np.searchsorted(col, [lo, lo + chunk])
         has = np.zeros((len(sets), chunk), dtype=np.float32)
         has[who[i:j], col[i:j] - lo] = 1
-        out += (has[:left] @ has[right:].T).astype(np.int64)
+        out += (has[:left] @ has[right:].T).astype(np.int32)
     return out
 
 
 def _compare_whole(docs: DataFrame, rest: DataFrame, labels: DataFrame, classes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """Links (a, b) that join components ``labels`` (v, comp) within the groups that the large nodes ``rest`` (node, cls) form.
+    """Links (a, b) that join components ``labels`` (v, comp) within the groups that the large nodes ``rest`` (node, cid) form.
 
     A group is dealt into blocks of about one set size, those of a component with many members apart; each pair of blocks that
     isn't of one such component, and whose sizes allow links, is a unit of work.
     """
     count = rest.count()
-    hubs = rest.groupBy("node").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("of"))
-    spokes = attach_groups(rest, hubs, "node", "of", count).where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    known = components(spokes, "near-rest").select(F.col("v").alias("cls"), F.col("comp").alias("grp")).join(classes.select("cls", "n"), "cls")
-    known = known.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    hubs = rest.groupBy("node").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("of"))
+    spokes = attach_groups(rest, hubs, "node", "of", count).where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    known = components(spokes, "near-rest").select(F.col("v").alias("cid"), F.col("comp").alias("grp")).join(classes.select("cid", "n"), "cid")
+    known = known.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     known = persist(known.withColumn("part", F.xxhash64("grp", "comp")), "near-rest")
     mixed = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("of")).where("lo <> hi")
     known = attach_groups(known, mixed.select("grp", "of"), "grp", "of", count).where("of is not null").drop("of")
@@ -275,19 +270,19 @@ def _compare_whole(docs: DataFrame, rest: DataFrame, labels: DataFrame, classes:
     known = known.withColumn("size", F.floor(F.log("n") / max(1.001 * float(np.log(100 / percent)), 1e-3)))
     known = persist(known.withColumn("deal", F.xxhash64("grp", "part", "size")), "near-rest")
     dealt = known.groupBy("deal").agg(F.count(F.lit(1)).alias("of"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    rows = attach_groups(known, dealt, "deal", "of", count).withColumn("block", F.xxhash64("deal", F.pmod(F.xxhash64("cls"), F.col("blocks"))))
-    rows = persist(rows.select("grp", "part", "size", "block", "cls", "comp"), "near-rest")
+    rows = attach_groups(known, dealt, "deal", "of", count).withColumn("block", F.xxhash64("deal", F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+    rows = persist(rows.select("grp", "part", "size", "block", "cid", "comp"), "near-rest")
     blocks = persist(rows.select("grp", "part", "size", "block").distinct(), "near-blocks")
     other = blocks.select("grp", *[F.col(c).alias(f"{c}2") for c in ("part", "size", "block")])
     units = blocks.join(other, "grp").where("block <= block2 and abs(size - size2) <= 1 and (part <> part2 or part = 0)")
     units = units.select(F.xxhash64("block", "block2").alias("unit"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
     units = persist(units, "near-units")
-    rows = persist(rows.join(units, "block", "left_semi").select("block", "cls", "comp"), "near-rest")
-    sets = _sets(docs, rows.select("cls"), classes, width, bits)
+    rows = persist(rows.join(units, "block", "left_semi").select("block", "cid", "comp"), "near-rest")
+    sets = _sets(docs, rows.select("cid"), classes, width, bits)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        block, cls, comp = table.column("block").to_numpy(), table.column("cls").to_pylist(), table.column("comp").to_pylist()
+        block, cid, comp = (table.column(x).to_numpy() for x in ("block", "cid", "comp"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         n = np.array([len(s) for s in sets])
         left = int((block == block[0]).sum())
@@ -307,11 +302,11 @@ def _compare_whole(docs: DataFrame, rest: DataFrame, labels: DataFrame, classes:
             x, y = top(int(ids[i])), top(int(ids[right + j]))
             if x != y:
                 into[x] = y
-                a.append(min(cls[i], cls[right + j]))
-                b.append(max(cls[i], cls[right + j]))
+                a.append(min(cid[i], cid[right + j]))
+                b.append(max(cid[i], cid[right + j]))
         return pa.Table.from_batches([_pairs_batch(a, b)])
 
-    return rows.join(sets, "cls").join(units, "block").select("unit", "block", "cls", "comp", "shingles").groupBy("unit").applyInArrow(run, "a string, b string")
+    return rows.join(sets, "cid").join(units, "block").select("unit", "block", "cid", "comp", "shingles").groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
@@ -334,62 +329,84 @@ def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, depth: int = DEPTH, t: int = TOKENS, bits: int = 23,
 ) -> DataFrame:
     """For each row: doc_id, text_key, n_shingles, component_id (smallest doc_id of its group), kept."""
-    rows = persist(_described(docs, width, t), "near-docs")
+    rows = persist(_described(docs, width, t, trees), "near-docs")
     total = rows.count()
-    classes = persist(rows.where("cls is not null").groupBy("cls").agg(
+    classes = rows.where("cls is not null").groupBy("cls").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"),
-        F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("docs")).select(
-        "cls", "n", "sig", "docs", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")), "near-classes")
+        F.first("roots").alias("roots"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    classes = persist(classes.select(
+        F.monotonically_increasing_id().alias("cid"), "cls", "n", "roots", "sig", "docs", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")), "near-classes")
 
     p = percent / 100
     least = p - 5 * (p * (1 - p) / t) ** 0.5
-    rounds: list[DataFrame] = []
-    roots = F.array(*[F.xxhash64(F.lit(r), _token(r % t)) for r in range(trees)])
-    level = classes.select("cls", F.explode(roots).alias("node"))
-    level = persist(level, "near-level")
-    with_sig = classes.select("cls", "n", "sig")
-    rest = None
-    for d in range(depth):
-        size = level.count()
-        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("node_n")).where("node_n > 1")
-        live = attach_groups(level.select("node", "cls", *([] if d == 0 else ["n", "sig"])), counts, "node", "node_n", size).where("node_n is not null")
-        live = persist(live.join(with_sig, "cls") if d == 0 else live, "near-nodes")
-        rounds.append(persist(_compare_small(live.where(F.col("node_n") <= small), small, t, least, percent).distinct(), "near-pairs"))
-        large = live.where(F.col("node_n") > small)
-        n_large = large.count()
-        if not n_large:
-            break
-        rounds.append(persist(_compare_hub(large, n_large, t, least, percent).distinct(), "near-pairs"))
-        if d == depth - 1:
-            rest = large.select("node", "cls")
-            break
-        # which token a node selects depends on the node alone; one node in four sends its rows down a second branch
-        one = F.pmod(F.xxhash64("node", F.lit(d), F.lit("one")), F.lit(t)).cast("int")
-        two = F.pmod(F.xxhash64("node", F.lit(d), F.lit("two")), F.lit(t)).cast("int")
-        more = F.pmod(F.xxhash64("node", F.lit(d), F.lit("more")), F.lit(4)) == 0
-        branch = F.array_compact(F.array(F.xxhash64("node", one, _token(one)), F.when(more, F.xxhash64("node", two, _token(two)))))
-        level = persist(large.withColumn("next", F.explode(branch)).select("cls", "n", "sig", F.col("next").alias("node")), "near-level")
-
-    pairs = rounds[0]
-    for more_pairs in rounds[1:]:
-        pairs = pairs.union(more_pairs)
-    pairs = persist(pairs.distinct(), "near-pairs")
-    links = persist(_confirmed(docs, pairs, classes, width, percent, bits), "near-links")
+
+    def confirmed(found: list[DataFrame]) -> DataFrame:
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.union(more)
+        return persist(_confirmed(docs, persist(pairs.distinct(), "near-pairs"), classes, width, percent, bits), "near-links")
+
+    # the first level: every class stands in a node of each tree
+    roots = F.array(*[F.xxhash64(F.lit(r), F.substring("roots", 4 * r + 1, 4)) for r in range(trees)])
+    level = persist(classes.select("cid", F.explode(roots).alias("node")), "near-level")
+    counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("node_n")).where("node_n > 1")
+    live = attach_groups(level, counts, "node", "node_n", level.count()).where("node_n is not null")
+    live = persist(live.join(classes.select("cid", F.col("cid").alias("comp"), "n", "sig"), "cid"), "near-nodes")
+    found = [_compare_small(live.where(F.col("node_n") <= small), small, t, least, percent)]
+    large = live.where(F.col("node_n") > small)
+    n_large = large.count()
+    if n_large:
+        found.append(_compare_hub(large, n_large, 0, t, least, percent))
+    links = confirmed(found)
     labels = components(links)
-    if rest is not None:
-        joins = persist(_compare_whole(docs, rest, labels, classes, width, percent, bits), "near-links")
+
+    # from now on a component's classes aren't compared with each other, and nodes of one component alone end
+    found = []
+    if n_large:
+        large = large.drop("comp").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        live = _mixed(large.drop("node_n"), n_large)
+        for d in range(1, depth + 1):
+            large = live.where(F.col("node_n") > small)
+            n_large = large.count()
+            if d == depth or not n_large:
+                break
+            # which token a node selects depends on the node alone; one node in four sends its rows down a second branch
+            one = F.pmod(F.xxhash64("node", F.lit(d), F.lit("one")), F.lit(t)).cast("int")
+            two = F.pmod(F.xxhash64("node", F.lit(d), F.lit("two")), F.lit(t)).cast("int")
+            more = F.pmod(F.xxhash64("node", F.lit(d), F.lit("more")), F.lit(4)) == 0
+            token = lambda j: F.substring(F.col("sig"), j + 1, F.lit(1))
+            branch = F.array_compact(F.array(F.xxhash64("node", one, token(one)), F.when(more, F.xxhash64("node", two, token(two)))))
+            level = persist(large.select("cid", "comp", "n", "sig", F.explode(branch).alias("node")), "near-level")
+            live = _mixed(level, level.count())
+            found.append(persist(_compare_small(live.where(F.col("node_n") <= small), small, t, least, percent).distinct(), "near-pairs"))
+            large = live.where(F.col("node_n") > small)
+            if n_large := large.count():
+                found.append(persist(_compare_hub(large, n_large, d, t, least, percent).distinct(), "near-pairs"))
+    if found:
+        links = persist(links.union(confirmed(found)), "near-links")
+        labels = components(links)
+    if n_large:
+        joins = persist(_compare_whole(docs, large.select("node", "cid"), labels, classes, width, percent, bits), "near-links")
         if joins.limit(1).count():
             labels = components(persist(links.union(joins), "near-links"))
-    known = classes.select("cls", "docs", "doc_id").join(labels.withColumnRenamed("v", "cls"), "cls")
+
+    known = classes.select("cid", "cls", "docs", "doc_id").join(labels.withColumnRenamed("v", "cid"), "cid")
     first_id = persist(known.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("of")), "near-first")
-    linked = persist(attach_groups(known, first_id, "comp", "of", total).select("cls", "docs", "component_id"), "near-linked")
-    alone = classes.select("cls", "docs", F.col("doc_id").alias("component_id")).where("docs > 1").join(linked, "cls", "left_anti")
-    groups = persist(linked.unionByName(alone.select("cls", "docs", "component_id")), "near-groups")
+    linked = persist(attach_groups(known.select("cid", "cls", "docs", "comp"), first_id, "comp", "of", total).select("cid", "cls", "docs", "component_id"), "near-linked")
+    alone = classes.select("cid", "cls", "docs", F.col("doc_id").alias("component_id")).where("docs > 1").join(linked, "cid", "left_anti")
+    groups = persist(linked.select("cls", "docs", "component_id").unionByName(alone.select("cls", "docs", "component_id")), "near-groups")
     out = attach_groups(rows.select("doc_id", "text_key", "n", "cls"), groups, "cls", "docs", total)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _mixed(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` (node, cid, comp, n, sig) of nodes that hold several components, with the node's number of rows."""
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("node_n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    live = attach_groups(rows.select("node", "cid", "comp", "n", "sig"), counts.select("node", "node_n"), "node", "node_n", count)
+    return persist(live.where("node_n is not null"), "near-nodes")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one document of each group of near duplicates (of rows that repeat wholly, one)."""
     found = persist(near_duplicates(docs, width, percent).where("n_shingles > 0"), "near-found")

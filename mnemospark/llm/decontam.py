@@ -7,9 +7,9 @@ shingles are looked up among those prefixes; a match at a place fixes where the
 the document with room for the window's length (positional and length bounds); then all words of the window
 are compared.
 
-The benchmark is the small side, but its size is checked: it is split by a hash of the item into blocks of at
-most ``block_bytes`` of text, each broadcast in turn, and the words hit are joined over the blocks.  Documents
-are never shuffled.
+The benchmark is the small side, but its size is checked: its distinct rows are split by a hash into blocks of about
+``block_bytes`` of text, which are read and broadcast one after the other; what a block hits is written, and the
+words hit are joined over the blocks.  Only rows that several blocks have hit are shuffled.
 
 Defined cases: null and empty texts have no words; null item_ids count as the item "null"; items with the same id
 are one item; repeated documents are judged one by one; an empty benchmark hits nothing; other columns are ignored.
@@ -146,15 +146,13 @@ class Index:
         return [(int(starts[d + 1] - starts[d] - 1), spans.get(d, []), items.get(d, set())) for d in range(len(texts))]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_bytes`` of text: each is a bounded broadcast."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The number of blocks, and the distinct items block by block, each read when its turn comes."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // block_bytes + 1
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(2 * n))
-    return [[tuple(r) for r in items.where(block == i).collect()] for i in range(2 * n)]
+    n = 1 if total <= block_bytes else 2 * (total // block_bytes + 1)
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    return n, ([tuple(r) for r in items.where(block == i).toLocalIterator()] for i in range(n))
 
 
 def _counted(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
@@ -183,37 +181,59 @@ def _counted(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
     return out
 
 
-_STATE = "doc_id long, text_key long, text string, n_words long, spans array<int>, items array<string>"
+_FOUND = "doc_id long, text_key long, n_words long, spans array<int>, items array<string>"
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row: doc_id, text_key, n_words, spans (word places begin, end, begin, end, ...) and items (ids found)."""
     spark = docs.sparkSession
-    state = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text", F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    blocks = _blocks(benchmark, block_bytes)
-    for i, block in enumerate(blocks):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text")
+    n, blocks = _blocks(benchmark, block_bytes)
+    parts = []
+    for block in blocks:
         index = Index(block, window, shingle)
         index.order(_counted(docs, index))
-        shared, last = spark.sparkContext.broadcast(index), i == len(blocks) - 1
+        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     part = batch.slice(lo, 256)
                     found = shared.value.find(part.column("text").to_pylist())
-                    spans, items = [], []
-                    for (_, new, more), old, names in zip(found, part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True):
-                        spans.append(_joined(new, old))
-                        items.append(sorted(more | set(names)))
-                    text = pa.nulls(part.num_rows, pa.string()) if last else part.column("text")
                     yield pa.RecordBatch.from_arrays([
-                        part.column("doc_id"), part.column("text_key"), text, pa.array([f[0] for f in found], pa.int64()),
-                        pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=part.schema.names)
-
-        state = state.mapInArrow(tidied(run), _STATE)
-    return state.drop("text")
+                        part.column("doc_id"), part.column("text_key"), pa.array([f[0] for f in found], pa.int64()),
+                        pa.array([_joined(f[1], []) for f in found], pa.list_(pa.int32())),
+                        pa.array([sorted(f[2]) for f in found], pa.list_(pa.string()))], names=["doc_id", "text_key", "n_words", "spans", "items"])
+
+        found = rows.mapInArrow(tidied(run), _FOUND)
+        if n == 1:
+            return found
+        # all rows of the first block, for their numbers of words; of the others what they hit, once for rows that repeat
+        parts.append(persist(found if not parts else found.where(F.size("items") > 0).dropDuplicates(["doc_id", "text_key"]), "leak-block"))
+        shared.unpersist()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for lists in batch.column("spans").to_pylist():
+                own: list[int] = []
+                for x in lists:
+                    own = _joined([*zip(x[::2], x[1::2], strict=True)], own)
+                spans.append(own)
+            items = [sorted({i for x in lists for i in x}) for lists in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+
+    more = parts[1]
+    for part in parts[2:]:
+        more = more.unionByName(part)
+    more = more.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("more_spans"), F.collect_list("items").alias("more_items"))
+    more = persist(more.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "more_spans", "more_items"), "leak-more")
+    both = parts[0].join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    none = lambda kind: F.array().cast(f"array<array<{kind}>>")
+    both = both.select(
+        "doc_id", "text_key", "n_words", F.concat(F.array("spans"), F.coalesce("more_spans", none("int"))).alias("spans"),
+        F.concat(F.array("items"), F.coalesce("more_items", none("string"))).alias("items"))
+    return both.mapInArrow(tidied(merged), _FOUND)
 
 
 def _joined(new: list[tuple[int, int]], old: list[int]) -> list[int]:

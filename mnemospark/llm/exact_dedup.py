@@ -53,15 +53,15 @@ def exact_dedup(docs: DataFrame, prefix: int = 64, bits: int = 23, digest: bool
     by_length = persist(bitmap_of(lengths, F.xxhash64("n_norm"), bits), "dedup-lengths")
 
     prefix_key = F.xxhash64(length, F.substring("norm", 1, prefix))
-    first = in_bitmap(normed, F.xxhash64(length), by_length, bits).where("_hit")
+    first = in_bitmap(normed, F.xxhash64(length), by_length, "hit", bits).where("hit")
     prefixes = first.groupBy(prefix_key.alias("p")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     by_prefix = persist(bitmap_of(prefixes, F.col("p"), bits), "dedup-prefixes")
 
-    last = in_bitmap(normed, prefix_key, by_prefix, bits)
+    last = in_bitmap(normed, prefix_key, by_prefix, "hit", bits)
     full = F.sha2(F.col("norm").cast("binary"), 256)
     slim = persist(last.select(
         "doc_id", "text_key", F.col("n_chars").cast("long").alias("n_chars"),
-        F.when(F.col("_hit"), full).alias("full_hash"),
+        F.when(F.col("hit"), full).alias("full_hash"),
         *([full.alias("text_sha256")] if digest else [])), "dedup-hashes")
 
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id")))

@@ -8,7 +8,8 @@ that lie on or near a cut (a bounded number) are dealt at last, largest first, t
 brings the new sizes within about a small document of each other.  Slots are ranks from prefix sums too.
 
 Defined cases: a null text has no bytes (size 8); null doc_ids come first; repeated rows are placed one by one; null
-sources are one source; an empty table gives an empty result; other columns are kept by ``reshard`` alone.
+sources are one source; an empty table gives an empty result; other columns are ignored, but kept by ``rewrite`` (a column
+``shard`` is replaced by the new number).
 """
 
 from __future__ import annotations
@@ -157,14 +158,29 @@ def affected(assigned: DataFrame) -> list[int]:
 
 
 def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
-    """Write the affected shards of ``docs`` below ``path`` (folders shard=0, shard=1, ...); the others' files stay as they are."""
+    """Write the affected shards of ``docs`` below ``path`` (folders shard=0, shard=1, ...); the others' files stay as they are.
+
+    A new shard is written beside the old files; only shards that get rows are replaced, each as a whole, when all of
+    them are written.  The folders of old shards that lose all their rows are removed at last.
+    """
+    spark = docs.sparkSession
     touched = affected(assigned)
-    names = assigned.where(F.col("shard").isin(touched)).select(
-        F.col("doc_id").alias("__ms_id"), F.col("text_crc32").alias("__ms_crc"), F.col("size").alias("__ms_size"), F.col("shard").alias("__ms_shard")).withColumn(
-        "__ms_n", F.row_number().over(Window.partitionBy("__ms_id", "__ms_crc", "__ms_size").orderBy("__ms_shard")))
+    own = "__ms"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    i, crc, size, shard, n, k = (f"{own}_{x}" for x in ("id", "crc", "size", "shard", "n", "k"))
+    names = assigned.select(
+        F.col("doc_id").alias(i), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard)).withColumn(
+        n, F.row_number().over(Window.partitionBy(i, crc, size).orderBy(shard))).where(F.col(shard).isin(touched))
     raw = text_of(docs).cast("binary")
-    keyed = docs.withColumn("__ms_c", F.crc32(raw)).withColumn("__ms_s", (F.octet_length(raw) + 8).cast("long"))
-    keyed = keyed.withColumn("__ms_k", F.row_number().over(Window.partitionBy("doc_id", "__ms_c", "__ms_s").orderBy(F.lit(0))))
-    out = keyed.join(names, F.col("doc_id").eqNullSafe(F.col("__ms_id")) & (F.col("__ms_c") == F.col("__ms_crc")) & (F.col("__ms_s") == F.col("__ms_size")) & (F.col("__ms_k") == F.col("__ms_n")))
-    out.select(*docs.columns, F.col("__ms_shard").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    keyed = docs.withColumn(f"{own}_c", F.crc32(raw)).withColumn(f"{own}_s", (F.octet_length(raw) + 8).cast("long"))
+    keyed = keyed.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", f"{own}_c", f"{own}_s").orderBy(F.xxhash64(*docs.columns))))
+    out = keyed.join(names, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(f"{own}_c") == F.col(crc)) & (F.col(f"{own}_s") == F.col(size)) & (F.col(k) == F.col(n)))
+    rows = persist(out.select(*[c for c in docs.columns if c != "shard"], F.col(shard).alias("shard")), "shard-rewrite")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    left = {r["shard"] for r in rows.select("shard").distinct().collect()}
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for s in sorted(set(touched) - left):
+        gone = folder(f"{path.rstrip('/')}/shard={s}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return touched

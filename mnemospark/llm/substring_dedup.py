@@ -13,7 +13,7 @@ have equal anchors at equal places, so only anchors (about 1 in 85 bytes) take p
    which agree for s bytes before; where both hold for another anchor, the string that starts s bytes before
    the anchor is repeated.  The first and last such s give the bytes that the anchor removes.
 
-Anchors that occur over ``hot`` times (few: their number is bounded by all anchors / hot) stand in lines or passages that
+Anchors that occur over ``hot`` times (a millionth of all occurrences at least, which bounds their number) stand in lines or passages that
 repeat, so most of their surroundings are the same bytes.  Equal surroundings are counted with partial sums, within a document
 already where it is read; one of each goes to the sort, and its answer goes back to its places by ``attach_groups``.
 
@@ -37,6 +37,8 @@ GRAM = 32
 #: Bytes after the anchor's gram that the multikey quicksort looks at.
 SHALLOW = 32
 HOT = 20_000
+#: The hot anchors are broadcast: over all occurrences / MOST_HOT is hot at least, so there are fewer than that.
+MOST_HOT = 1_000_000
 #: Rows that a task sorts at once (more only where one anchor has more).
 CHUNK = 8_000
 
@@ -325,7 +327,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text_key, spans (begin, end in bytes; they may overlap) of the rows that lose bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), "text")
     counts = persist(_counted(rows), "substring-anchors")
-    n = counts.count()
+    size = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total")).first()
+    n, hot = size.n, max(hot, (size.total or 0) // MOST_HOT)
     bits = max(20, min(29, (16 * n).bit_length()))
     bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
     bit = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
@@ -333,7 +336,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         # bucket i holds the values from (i - 1) * 32768 on
         at = (r["_bm_row"] - 1) * 4096
         bitmap[at:at + 4096] = np.frombuffer(r["_bm"], np.uint8)
-    common = [r.anchor for r in counts.where(F.col("n") > hot).select("anchor").collect()]  # at most anchors / hot
+    common = [r.anchor for r in counts.where(F.col("n") > hot).select("anchor").collect()]  # at most MOST_HOT
     places = persist(_placed(rows, bitmap, bits, common), "substring-places")
     spans = _light_spans(places)
     if common:
@@ -346,12 +349,12 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, bits: int = 23) -> DataFrame
     spans = repeated_spans(docs, hot)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), text_of(docs).cast("binary").alias("raw"))
     named = F.xxhash64("doc_id", "text_key")
-    rows = in_bitmap(rows, named, persist(bitmap_of(spans, named, bits), "substring-rows"), bits)
+    rows = in_bitmap(rows, named, persist(bitmap_of(spans, named, bits), "substring-rows"), "hit", bits)
     zero = F.lit(0).cast("long")
-    whole = rows.where("not _hit").select(
+    whole = rows.where("not hit").select(
         "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("raw").alias("kept"))
     other = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans")
-    hit = rows.where("_hit").join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select("doc_id", "raw", "spans")
+    hit = rows.where("hit").join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select("doc_id", "raw", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

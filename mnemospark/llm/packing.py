@@ -35,16 +35,16 @@ def _encoded(docs: DataFrame, tokenizer: str | None, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = tokens.encoder(spec), TaskContext.get().partitionId(), 0
-        end, width = enc.one(end_id), np.dtype(enc.kind).itemsize
+        end, width = np.array([end_id], enc.kind).tobytes(), np.dtype(enc.kind).itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
-                ids = [enc.encode(t) + end for t in piece.column(1).to_pylist()]
+            for lo, texts in tokens.slices(batch.column(1)):
+                docs_here = batch.column(0).slice(lo, len(texts))
+                ids = [own.tobytes() + end for own in enc.encode_many(texts)]
                 n = np.array([len(b) // width for b in ids], dtype=np.int64)
                 starts = at + np.concatenate([[0], np.cumsum(n)[:-1]])
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, dtype=np.int32)), piece.column(0), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(n), part, dtype=np.int32)), docs_here, pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     names=["part", "doc_id", "start_in_part", "n", "ids"])
 
     return persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run, keep=True), _ENCODED), "pack-ids")

@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, n, total = TaskContext.get().partitionId(), None, 0, 0
         enc = tokens.encoder(spec)
-        end, width = enc.one(end_id), np.dtype(enc.kind).itemsize
+        end, width = np.array([end_id], enc.kind).tobytes(), np.dtype(enc.kind).itemsize
         fs, root = _filesystem(path)
         name = f"{root}/part-{part:06d}.tok"
         mine = f"{root}/.{uuid.uuid4().hex}"
@@ -125,10 +125,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
             if writer is None and batch.num_rows:
                 fs.create_dir(root, recursive=True)
                 writer = Writer(fs.open_output_stream(mine), width)
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
-                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids = enc.encode(text) + end
+            for lo, texts in tokens.slices(batch.column(1)):
+                for doc, own in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), enc.encode_many(texts), strict=True):
+                    ids = own.tobytes() + end
                     writer.add(doc, ids)
                     n, total = n + 1, total + len(ids) // width
         if writer is not None:

@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts, through the tokenizers library.
 
-``Encoder`` runs inside Python workers.  For a byte-level BPE with the usual word pattern no token spans the
-border between a character that isn't white space and a space, so a text is encoded word by word and
-the ids of each word are kept in a bounded cache; any text, or tokenizer, for which that doesn't hold is
+``Encoder`` runs inside Python workers.  For a byte-level BPE with the usual word pattern no token spans the border
+between a character that isn't white space and a space or line end, so the texts of a slice (of bounded bytes) are cut into
+words, the pre-tokens of the distinct words that are new go through the library in a few native calls, and every text's ids
+are gathered from those of its words.  The words of earlier slices are kept up to a bound.  A text, or tokenizer, for which that doesn't hold is
 given to the library whole.  The tokenizer's file is read on the driver and broadcast (checked size).
 """
 
@@ -10,18 +11,29 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 from mnemospark.llm.common import held
 
 MAX_FILE = 64 << 20
-#: Words whose ids a worker keeps at most; when half as many are new, those not asked for since the last time go.
-CACHE_WORDS = 300_000
-
+#: Characters of the texts that are cut into words together (a longer text stands alone), and words in one native call.
+SLICE_CHARS = 6 << 20
+CALL_WORDS = 20_000
+#: A longer text goes to the library whole.
+MAX_TEXT = 64 << 20
+#: Words whose ids a worker keeps at most; beyond, those not asked for since the last time go.
+CACHE_WORDS = 500_000
+
+#: The pattern of pre-tokens inside a word; it is used up to U+024F, where all tables of letters and digits agree.
+_pretoken = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+_beyond = re.compile("[\u0250-\U0010ffff]")
 _unsafe = re.compile(r"[\s\x1c-\x1f] |[^\S\n ]|[\x1c-\x1f]|\n\s")
 
 
@@ -47,8 +59,25 @@ def load(spark: SparkSession, path: str | None) -> Broadcast:
     return spark.sparkContext.broadcast(text)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary: itself where printable, else the next above 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def slices(texts: pa.Array, most: int = SLICE_CHARS, rows: int = 4096) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about ``most`` characters and at most ``rows`` rows; null is the empty text."""
+    n = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))])
+    lo = 0
+    while lo < len(texts):
+        hi = min(max(lo + 1, int(np.searchsorted(n, n[lo] + most, side="right")) - 1), lo + rows)
+        yield lo, [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 def encoder(spec: Broadcast, special_as_text: bool = False) -> Encoder:
-    """The worker's encoder for ``spec``: made once, with its cache, for all tasks of the stage that the worker runs."""
+    """The worker's encoder for ``spec``: made once, with its words, for all tasks of the stage that the worker runs."""
     key = (hash(spec.value), special_as_text)
     if key not in held:
         held.clear()
@@ -56,47 +85,29 @@ def encoder(spec: Broadcast, special_as_text: bool = False) -> Encoder:
     return held[key]
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte in a byte-level vocabulary: itself where printable, else the next above 255."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+class Words:
+    """Ids of the words seen so far: one array of ids, and each word's place in it."""
+
+    def __init__(self, kind: str):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = np.zeros(0, bool)
 
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.used = np.concatenate([self.used, np.zeros(len(words), bool)])
 
-class _Words(dict):
-    """Ids of a word that follows ``lead`` (a space, or nothing at the start of a text or line).
-
-    ``old`` holds the words of the generation before, which come back on demand.
-    """
-
-    def __init__(self, owner: Encoder, lead: str):
-        super().__init__()
-        self.owner, self.lead, self.old = owner, lead, {}
-
-    def __missing__(self, word: str) -> bytes:
-        own = self.owner
-        if (ids := self.old.get(word)) is not None:
-            return self._keep(word, ids)
-        if "\n" in word:
-            head, _, tail = word.partition("\n")
-            before = self[head] if head or self.lead else b""
-            if not head and self.lead:
-                return own.whole(self.lead + word)
-            return before + own.newline + (own.starts[tail] if tail else b"")
-        if word.isalpha():
-            ids = own.letters(self.lead + word)
-        elif len(word) > 1 and word[-1] in ".,;:!?" and word[:-1].isalpha():
-            ids = self[word[:-1]] + own.marks[word[-1]]
-        else:
-            ids = own.whole(self.lead + word)
-        return self._keep(word, ids)
-
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS // 2:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def trim(self, most: int) -> None:
+        """Past ``most`` words, keep those used since the last time (none, if they are too many themselves)."""
+        if len(self.number) <= most:
+            return
+        keep = np.flatnonzero(self.used) if self.used.sum() <= most // 2 else np.zeros(0, np.int64)
+        names = np.array(list(self.number), dtype=object)[keep].tolist()
+        ids, counts = self.ids[_ranges(self.starts[keep], self.counts[keep])], self.counts[keep]
+        self.__init__(str(self.ids.dtype))
+        self.add(names, ids, counts)
 
 
 class Encoder:
@@ -106,7 +117,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = special_as_text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
         plan = json.loads(spec)
         pre = plan.get("pre_tokenizer") or {}
         self.by_word = (
@@ -114,38 +124,133 @@ class Encoder:
             and plan.get("normalizer") is None and plan["model"].get("type") == "BPE"
             and not plan["model"].get("dropout") and not plan["model"].get("continuing_subword_prefix")
             and not plan["model"].get("end_of_word_suffix"))
-        self.special = None
+        self.words, self.special = Words(self.kind), None
         if not special_as_text and (found := [re.escape(t["content"]) for t in plan.get("added_tokens", [])]):
             self.special = re.compile("|".join(found))
         if self.by_word:
-            self.model, self.alphabet = self.tokenizer.model, _byte_letters()
-            self.newline = self.whole("\n")
-            self.marks = {c: self.whole(c) for c in ".,;:!?"}
-            self.after, self.starts = _Words(self, " "), _Words(self, "")
-
-    def whole(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def letters(self, word: str) -> bytes:
-        """The ids of one pre-token, by the library's BPE model."""
-        mapped = word.encode().decode("latin-1").translate(self.alphabet)
-        return self.packed([t.id for t in self.model.tokenize(mapped)])
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, as little-endian integers of ``kind``; null is the empty text."""
-        if not text:
-            return b""
-        if not self.by_word or _uneven(text) or (self.special and self.special.search(text)):
-            return self.whole(text)
-        words = text.split(" ")
-        first = self.starts[words[0]] if words[0] else b""
-        return first + b"".join(map(self.after.__getitem__, words[1:]))
-
-    def one(self, id_: int) -> bytes:
-        return np.array([id_], dtype=self.kind).tobytes()
+            # the same model alone, for pre-tokens in the stand-ins of their bytes
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.model._resize_cache(0)
+            self.letters = _byte_letters()
+            self.line = self.letters[10]
+            self.fixed = {"\0" + c: self.whole(c) for c in "\n .,;:!?"}
+            vocab = self.model.get_vocab()
+            self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            self.sizes[list(vocab.values())] = [len(t) for t in vocab]
+            self.by_word = all(len(x) == 1 for x in self.fixed.values())
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in ``self.words``; those that it hasn't are encoded first.
+
+        A word follows a space, or stands at the start of a line if it begins with the line end.  ``self.words`` also has
+        pre-tokens: by their name if they follow a space, with a mark before it if they don't.
+        """
+        number = self.words.number
+        found = list(map(number.get, words))
+        if new := [w for w, i in zip(words, found, strict=True) if i is None]:
+            self._learn(new)
+            found = [number[w] if i is None else i for w, i in zip(words, found, strict=True)]
+        return np.array(found, dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        number, fixed = self.words.number, self.fixed
+        for key, ids in fixed.items():
+            if key not in number:
+                self.words.add([key], ids, np.array([1]))
+        fresh: dict[str, None] = dict.fromkeys(w for w in new if w.isalpha())
+        odd: dict[str, str] = {}
+        made: list[tuple[str, Sequence[str]]] = []
+        for w in new:
+            if w in fresh:
+                continue
+            body, mark = w[:-1], "\0" + w[-1:]
+            if mark in fixed and body.isalpha():  # a word and one of the usual marks
+                if body not in number:
+                    fresh[body] = None
+                made.append((w, (body, mark)))
+                continue
+            keys = ["\0\n"] if w[:1] == "\n" else [] if w else ["\0 "]
+            bare = w[1:] if keys else w
+            for piece in self._pretokens(bare if keys else " " + bare) if bare else ():
+                key = piece[1:] if piece[0] == " " else "\0" + piece
+                keys.append(key)
+                if key not in number:
+                    if piece[0] == " ":
+                        fresh[key] = None
+                    else:
+                        odd[key] = piece
+            if keys != [w]:
+                made.append((w, keys))
+        names, pieces = list(fresh), list(odd.values())
+        for lo in range(0, len(names), CALL_WORDS):
+            self._native(part := names[lo:lo + CALL_WORDS], " " + "\n ".join(part))
+        for lo in range(0, len(pieces), CALL_WORDS):
+            self._native([*odd][lo:lo + CALL_WORDS], "\n".join(pieces[lo:lo + CALL_WORDS]))
+        if made:
+            which = np.array([number[k] for _, keys in made for k in keys])
+            counts, last = self.words.counts[which], np.cumsum([len(keys) for _, keys in made])
+            total = np.cumsum(counts)[last - 1]
+            self.words.add([w for w, _ in made], self.words.ids[_ranges(self.words.starts[which], counts)], np.diff(total, prepend=0))
+
+    def _native(self, names: list[str], lines: str) -> None:
+        """Encode the pre-tokens in ``lines``; a pre-token's ids are those that cover its bytes."""
+        part = lines.encode().decode("latin-1").translate(self.letters).split(self.line)
+        ids = np.array(self.model.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=self.kind)
+        ends, covered = np.cumsum(list(map(len, part))), np.cumsum(self.sizes[ids])
+        stops = np.searchsorted(covered, ends) + 1
+        if stops[-1] != len(ids) or not np.array_equal(covered[stops - 1], ends):
+            raise ValueError("the ids don't cover the pre-tokens")
+        self.words.add(names, ids, np.diff(stops, prepend=0))
+
+    def _pretokens(self, word: str) -> list[str]:
+        if word.isalpha() or word[1:].isalpha() and word[0] == " ":
+            return [word]
+        if not _beyond.search(word):
+            return _pretoken.findall(word)
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(word)  # the pieces by their places: the strings are stand-ins
+        return [word[a:b] for _, (a, b) in found]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each whole text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        even = []
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = np.zeros(0, self.kind)
+            elif not self.by_word or len(t) > MAX_TEXT or _uneven(t) or (self.special and self.special.search(t)):
+                out[i] = self.whole(t)
+            else:
+                even.append(i)
+        if even:
+            # every text as if it began a line: the id of that line end is left out below
+            lines = pa.array(["\n" + texts[i].replace("\n", " \n") for i in even], pa.string())
+            parts = pc.split_pattern(lines, " ")
+            per_text, coded = np.diff(parts.offsets.to_numpy()), parts.flatten().dictionary_encode()
+            distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+            which = self._numbers(pc.binary_join(distinct, " ")[0].as_py().split(" "))[coded.indices.to_numpy()]
+            each = self.words.counts[which]
+            flat = self.words.ids[_ranges(self.words.starts[which], each)]
+            self.words.used[which] = True
+            self.words.trim(CACHE_WORDS)
+            stops = np.cumsum(each)[np.cumsum(per_text) - 1]
+            for i, a, b in zip(even, np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist(), strict=True):
+                out[i] = flat[a + 1:b]
+        return out  # type: ignore[return-value]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text; null is the empty text."""
+        return self.encode_many([text or ""])[0]
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + length - 1 of each pair, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 30 else np.int64
+    return np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
 def crc_u32(ids: np.ndarray) -> int:

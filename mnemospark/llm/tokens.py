@@ -28,7 +28,7 @@ SLICE_CHARS = 6 << 20
 CALL_WORDS = 20_000
 #: A longer text goes to the library whole.
 MAX_TEXT = 64 << 20
-#: Words whose ids a worker keeps at most; beyond, those not asked for since the last time go.
+#: Words whose ids a worker keeps at most; beyond, those that no later slice has asked for since the last time go.
 CACHE_WORDS = 500_000
 
 #: The pattern of pre-tokens inside a word; it is used up to U+024F, where all tables of letters and digits agree.
@@ -38,8 +38,8 @@ _unsafe = re.compile(r"[\s\x1c-\x1f] |[^\S\n ]|[\x1c-\x1f]|\n\s")
 
 
 def _uneven(text: str) -> bool:
-    """Whether ``text`` has white space other than single spaces and newlines; printable characters include no other."""
-    if "  " in text or "\n " in text or "\n\n" in text:
+    """Whether ``text`` has a zero character or white space other than single spaces and newlines; printable characters include no other."""
+    if "\0" in text or "  " in text or "\n " in text or "\n\n" in text:
         return True
     return not text.replace("\n", " ").isprintable() and _unsafe.search(text) is not None
 
@@ -86,28 +86,38 @@ def encoder(spec: Broadcast, special_as_text: bool = False) -> Encoder:
 
 
 class Words:
-    """Ids of the words seen so far: one array of ids, and each word's place in it."""
+    """Ids of the words seen so far: their names, one array of ids, and each word's place in it.  The first ``always`` stay."""
 
-    def __init__(self, kind: str):
-        self.number: dict[str, int] = {}
-        self.ids, self.starts, self.counts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = np.zeros(0, bool)
+    def __init__(self, names: list[str], ids: np.ndarray, counts: np.ndarray):
+        self.names, self.ids, self.counts, self.always = pa.array(names, pa.string()), ids, counts, len(names)
+        self.starts, self.used = np.cumsum(counts) - counts, np.zeros(len(names), bool)
 
-    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+    def find(self, names: pa.Array, since: int = 0) -> np.ndarray:
+        """The numbers of ``names``, from ``since`` on; -1 for those that aren't here."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names.slice(since)), -1).to_numpy().astype(np.int64)
+        return at + since * (at >= 0)
+
+    def add(self, names: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        self.used = np.concatenate([self.used, np.zeros(len(words), bool)])
+        self.used = np.concatenate([self.used, np.zeros(len(names), bool)])
 
     def trim(self, most: int) -> None:
-        """Past ``most`` words, keep those used since the last time (none, if they are too many themselves)."""
-        if len(self.number) <= most:
+        """Past ``most`` words, keep those used again since the last time (none, if they are too many themselves)."""
+        if len(self.names) <= most:
             return
-        keep = np.flatnonzero(self.used) if self.used.sum() <= most // 2 else np.zeros(0, np.int64)
-        names = np.array(list(self.number), dtype=object)[keep].tolist()
-        ids, counts = self.ids[_ranges(self.starts[keep], self.counts[keep])], self.counts[keep]
-        self.__init__(str(self.ids.dtype))
-        self.add(names, ids, counts)
+        if self.used.sum() > most * 3 // 4:
+            self.used[:] = False
+        self.used[:self.always] = True
+        keep = np.flatnonzero(self.used)
+        self.ids, self.counts = self.ids[_ranges(self.starts[keep], self.counts[keep])], self.counts[keep]
+        self.names, self.starts, self.used = self.names.take(pa.array(keep)), np.cumsum(self.counts) - self.counts, np.zeros(len(keep), bool)
+
+
+def _strings(names: pa.Array) -> list[str]:
+    """``names``, none of which has a space, as Python strings."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), " ")[0].as_py().split(" ") if len(names) else []
 
 
 class Encoder:
@@ -124,7 +134,7 @@ class Encoder:
             and plan.get("normalizer") is None and plan["model"].get("type") == "BPE"
             and not plan["model"].get("dropout") and not plan["model"].get("continuing_subword_prefix")
             and not plan["model"].get("end_of_word_suffix"))
-        self.words, self.special = Words(self.kind), None
+        self.special = None
         if not special_as_text and (found := [re.escape(t["content"]) for t in plan.get("added_tokens", [])]):
             self.special = re.compile("|".join(found))
         if self.by_word:
@@ -133,79 +143,90 @@ class Encoder:
             self.model.model._resize_cache(0)
             self.letters = _byte_letters()
             self.line = self.letters[10]
-            self.fixed = {"\0" + c: self.whole(c) for c in "\n .,;:!?"}
             vocab = self.model.get_vocab()
             self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
             self.sizes[list(vocab.values())] = [len(t) for t in vocab]
-            self.by_word = all(len(x) == 1 for x in self.fixed.values())
+            marks = "\n .,;:!?"
+            self.marks, self.blank = {c: "\0" + c for c in marks if c > " "}, "\0\0"
+            ids = [self.whole(c) for c in marks]
+            self.words = Words([self.blank if c == " " else "\0" + c for c in marks], np.concatenate(ids), np.array(list(map(len, ids))))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: pa.Array) -> np.ndarray:
         """The words' numbers in ``self.words``; those that it hasn't are encoded first.
 
         A word follows a space, or stands at the start of a line if it begins with the line end.  ``self.words`` also has
         pre-tokens: by their name if they follow a space, with a mark before it if they don't.
         """
-        number = self.words.number
-        found = list(map(number.get, words))
-        if new := [w for w, i in zip(words, found, strict=True) if i is None]:
-            self._learn(new)
-            found = [number[w] if i is None else i for w, i in zip(words, found, strict=True)]
-        return np.array(found, dtype=np.int64)
+        found = self.words.find(words)
+        miss, before = np.flatnonzero(found < 0), len(self.words.names)
+        if len(miss):
+            new = words.take(pa.array(miss))
+            self._learn(_strings(new))
+            found[miss] = self.words.find(new, before)
+        return found
 
     def _learn(self, new: list[str]) -> None:
-        number, fixed = self.words.number, self.fixed
-        for key, ids in fixed.items():
-            if key not in number:
-                self.words.add([key], ids, np.array([1]))
-        fresh: dict[str, None] = dict.fromkeys(w for w in new if w.isalpha())
-        odd: dict[str, str] = {}
-        made: list[tuple[str, Sequence[str]]] = []
-        for w in new:
-            if w in fresh:
-                continue
-            body, mark = w[:-1], "\0" + w[-1:]
-            if mark in fixed and body.isalpha():  # a word and one of the usual marks
-                if body not in number:
-                    fresh[body] = None
-                made.append((w, (body, mark)))
-                continue
-            keys = ["\0\n"] if w[:1] == "\n" else [] if w else ["\0 "]
-            bare = w[1:] if keys else w
-            for piece in self._pretokens(bare if keys else " " + bare) if bare else ():
-                key = piece[1:] if piece[0] == " " else "\0" + piece
-                keys.append(key)
-                if key not in number:
-                    if piece[0] == " ":
-                        fresh[key] = None
-                    else:
-                        odd[key] = piece
-            if keys != [w]:
-                made.append((w, keys))
-        names, pieces = list(fresh), list(odd.values())
+        since, plain = len(self.words.names), [w for w in new if w.isalpha()]
+        self._native(plain, True)
+        rest = [w for w in new if not w.isalpha()]
+        keys: list[str] = []
+        sizes: list[int] = []
+        marks, add = self.marks, keys.append
+        for w in rest:
+            before = len(keys)
+            if w[-1:] in marks and w[:-1].isalpha():  # a word and one of the usual marks
+                add(w[:-1])
+                add(marks[w[-1]])
+            elif not w:
+                add(self.blank)
+            elif w[0] == "\n":
+                add("\0\n")
+                keys.extend(["\0" + x for x in self._pretokens(w[1:])])
+            else:
+                keys.extend([x[1:] if x[0] == " " else "\0" + x for x in self._pretokens(" " + w)])
+            sizes.append(len(keys) - before)
+        if not rest:
+            return
+        coded = pa.array(keys, pa.string()).dictionary_encode()
+        numbers = self.words.find(coded.dictionary)
+        miss = np.flatnonzero(numbers < 0)
+        unknown = coded.dictionary.take(pa.array(miss))
+        texts = _strings(unknown)
+        self._native([k for k in texts if k[0] != "\0"], True)
+        self._native([k for k in texts if k[0] == "\0"], False)
+        numbers[miss] = self.words.find(unknown, since)
+        which = numbers[coded.indices.to_numpy()]
+        counts, total = self.words.counts[which], np.cumsum(self.words.counts[which])[np.cumsum(sizes) - 1]
+        names = pa.array(rest, pa.string())
+        known = self.words.find(names, since)  # a word that is one pre-token is here already
+        if (known >= 0).any():
+            first = np.cumsum(sizes) - sizes
+            at = np.flatnonzero(known < 0)
+            names, sizes_ = names.take(pa.array(at)), np.array(sizes)[at]
+            which = which[_ranges(first[at], sizes_)]
+            counts, total = self.words.counts[which], np.cumsum(self.words.counts[which])[np.cumsum(sizes_) - 1]
+        if len(names):
+            self.words.add(names, self.words.ids[_ranges(self.words.starts[which], counts)], np.diff(total, prepend=0))
+
+    def _native(self, names: list[str], after_space: bool) -> None:
+        """Encode pre-tokens (after a space, or without the mark before their names); a pre-token's ids are those that cover its bytes."""
         for lo in range(0, len(names), CALL_WORDS):
-            self._native(part := names[lo:lo + CALL_WORDS], " " + "\n ".join(part))
-        for lo in range(0, len(pieces), CALL_WORDS):
-            self._native([*odd][lo:lo + CALL_WORDS], "\n".join(pieces[lo:lo + CALL_WORDS]))
-        if made:
-            which = np.array([number[k] for _, keys in made for k in keys])
-            counts, last = self.words.counts[which], np.cumsum([len(keys) for _, keys in made])
-            total = np.cumsum(counts)[last - 1]
-            self.words.add([w for w, _ in made], self.words.ids[_ranges(self.words.starts[which], counts)], np.diff(total, prepend=0))
-
-    def _native(self, names: list[str], lines: str) -> None:
-        """Encode the pre-tokens in ``lines``; a pre-token's ids are those that cover its bytes."""
-        part = lines.encode().decode("latin-1").translate(self.letters).split(self.line)
-        ids = np.array(self.model.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=self.kind)
-        ends, covered = np.cumsum(list(map(len, part))), np.cumsum(self.sizes[ids])
-        stops = np.searchsorted(covered, ends) + 1
-        if stops[-1] != len(ids) or not np.array_equal(covered[stops - 1], ends):
-            raise ValueError("the ids don't cover the pre-tokens")
-        self.words.add(names, ids, np.diff(stops, prepend=0))
+            own = names[lo:lo + CALL_WORDS]
+            lines = " " + "\n ".join(own) if after_space else "\n".join([x[1:] for x in own])
+            part = lines.encode().decode("latin-1").translate(self.letters).split(self.line)
+            ids = np.array(self.model.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends, covered = np.cumsum(list(map(len, part))), np.cumsum(self.sizes[ids])
+            stops = np.searchsorted(covered, ends) + 1
+            if stops[-1] != len(ids) or not np.array_equal(covered[stops - 1], ends):
+                raise ValueError("the ids don't cover the pre-tokens")
+            self.words.add(pa.array(own, pa.string()), ids, np.diff(stops, prepend=0))
 
     def _pretokens(self, word: str) -> list[str]:
+        if not word:
+            return []
         if word.isalpha() or word[1:].isalpha() and word[0] == " ":
             return [word]
         if not _beyond.search(word):
@@ -229,11 +250,12 @@ class Encoder:
             lines = pa.array(["\n" + texts[i].replace("\n", " \n") for i in even], pa.string())
             parts = pc.split_pattern(lines, " ")
             per_text, coded = np.diff(parts.offsets.to_numpy()), parts.flatten().dictionary_encode()
-            distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
-            which = self._numbers(pc.binary_join(distinct, " ")[0].as_py().split(" "))[coded.indices.to_numpy()]
+            before = len(self.words.starts)
+            numbers = self._numbers(coded.dictionary)
+            self.words.used[numbers[numbers < before]] = True
+            which = numbers[coded.indices.to_numpy()]
             each = self.words.counts[which]
             flat = self.words.ids[_ranges(self.words.starts[which], each)]
-            self.words.used[which] = True
             self.words.trim(CACHE_WORDS)
             stops = np.cumsum(each)[np.cumsum(per_text) - 1]
             for i, a, b in zip(even, np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist(), strict=True):

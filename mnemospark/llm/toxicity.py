@@ -1,18 +1,24 @@
 """Toxicity by nearest labelled examples.
 
-The examples are a bounded sample of the labelled documents (``max_examples``, those with the smallest hash of doc_id;
-documents whose crc32(doc_id) mod 3 is 1 are held out).  Terms are words and the beginnings of words; the
-vocabulary is the ``max_terms`` terms most associated with label 1 in the examples, and its document
-frequencies are counted over all documents.  A document is compared with all examples by the exact cosine of TF-IDF
-vectors: an inverted index, in blocks of examples with the largest weight of each term in each block, gives every block an
-upper bound; blocks are evaluated from the highest bound down until no other can reach the ``k`` nearest.  The
-neighbours vote with weights of 1 / (distance + 0.05); an isotonic fit over the examples, each voted on without itself,
-makes the votes calibrated scores.  The index is bounded by ``max_examples`` and ``max_terms`` and is broadcast.
-
-Defined cases: a document without any term of the vocabulary, null and empty texts included, gets the rate of such
-examples (0 without any); repeated rows are scored one by one; repeated labels of a doc_id count as toxic if one is; null
-labels and null doc_ids don't train; without labels all scores are 0; an empty table gives an empty result; other
-columns are ignored, and lang, source, doc_id and labels aren't inputs of a score.
+The examples are a bounded sample of the labelled documents (``max_examples``, those with the smallest hash of doc_id, one
+text for each; documents whose crc32(doc_id) mod 3 is 1 are held out).  Terms are all words of the examples, none is left
+out; their document frequencies are counted over all documents.  A vector's weights are (1 + log tf) * idf * (1 + G2), where G2
+is the log-likelihood ratio of a term that is likelier in toxic examples (0 for all others, so that they weigh as plain
+TF-IDF).  A document is compared with all examples by the exact cosine of these vectors, over the terms that examples have:
+
+* the postings of rare terms are added up;
+* common terms lie in blocks of examples, each with the largest weight of every term: those, and the largest sum so far,
+  give a block an upper bound;
+* blocks are evaluated from the highest bound down until no other can reach the ``k`` nearest.
+
+The neighbours vote with weights of 1 / (distance + 0.05); an isotonic fit over the examples, each voted on without itself,
+makes the votes calibrated scores.  The index is bounded by the examples and is broadcast.
+
+Defined cases: a document without any word of the examples, null and empty texts included, gets the rate of such
+examples (0 without any); repeated rows are scored one by one; repeated labels of a doc_id count as toxic if one is, and of several
+texts of a labelled doc_id the first in order is the example; null labels and null doc_ids don't train; without labels all scores
+are 0; an empty table gives an empty result; other columns are ignored, and lang, source, doc_id and labels aren't
+inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,15 +33,13 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import doc_hash, persist, rows_without, text_key, tidied
 
-MAX_EXAMPLES = 20_000
-MAX_TERMS = 4_096
+MAX_EXAMPLES = 4_000
 NEIGHBOURS = 15
 BLOCK = 64
+#: A term that more than this share of the examples has is common.
+COMMON = 1 / 16
 BUCKETS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: A term's log-likelihood ratio (G squared) against the labels' mean rate, and how many times likelier it is in toxic examples, at
-#: least; 30 is passed by chance once in 20 million terms.
-LEAST_G2, LEAST_RATIO = 30.0, 3.0
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -44,69 +48,56 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The word itself and its beginnings of 3 to 6 bytes, these with a mark that no word has."""
-    return [word, *(b"^" + word[:n] for n in range(3, 7) if len(word) > n)]
-
-
-class Vocabulary(dict):
-    """word -> numbers of its terms, filled as words come; only words with terms are kept, others up to a bound."""
-
-    def __init__(self, terms: dict[bytes, int]):
-        super().__init__()
-        self.terms = terms
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = found = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-        return found
-
-    def counts(self, text: str | None) -> Counter[int]:
-        out: Counter[int] = Counter()
-        for found in filter(None, map(self.__getitem__, words_of(text))):
-            out.update(found)
-        return out
+def counts_of(text: str | None, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the text's words in the vocabulary, ascending, and how often each occurs."""
+    found = np.fromiter(filter(None, map(vocabulary.get, words_of(text))), dtype=np.int64)
+    return np.unique(found, return_counts=True)
 
 
 class Index:
     """A block-max inverted index of the examples' unit vectors."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int, block: int = BLOCK, common: float = COMMON):
         # examples whose heaviest terms are the same stand in the same blocks, which makes the bounds tight
         order = self.order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), -round(float(vectors[i][1].max()), 6), i))
-        self.labels, self.ids, self.block = labels[order], [ids[i] for i in order], block
+        self.labels, self.ids, self.block, self.blocks = labels[order], [ids[i] for i in order], block, -(-len(order) // block)
         at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        # within a block the postings stand by term, then example
-        by = np.lexsort((at, term, at // block))
-        self.terms, self.rows, self.weights = term[by], at[by] % block, weight[by]
-        self.query = np.zeros(n_terms)
-        self.blocks = -(-len(order) // block)
-        self.starts = np.searchsorted(at[by] // block, np.arange(self.blocks + 1))
-        self.highest = np.zeros((n_terms, max(1, self.blocks)), dtype=np.float32)
-        np.maximum.at(self.highest, (term, at // block), weight.astype(np.float32))
+        often = np.bincount(term, minlength=n_terms) > max(1, common * len(order))
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        rare = ~often[term]
+        by = np.flatnonzero(rare)[np.argsort(term[rare], kind="stable")]
+        self.starts = np.searchsorted(term[by], np.arange(n_terms + 1))
+        self.rows, self.weights = at[by].astype(np.int32), weight[by]
+        heavy = ~rare
+        self.dense = np.zeros((max(1, self.blocks), int(often.sum()), block), dtype=np.float32)
+        self.dense[at[heavy] // block, self.common[term[heavy]], at[heavy] % block] = weight[heavy]
+        self.highest = np.ascontiguousarray(self.dense.max(axis=2).T)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples; of cosines equal to 1e-6, those in blocks of higher bounds."""
-        bounds = weights @ self.highest[terms].astype(np.float64)
-        order = np.argsort(-bounds, kind="stable")
-        self.query[terms] = weights
+        """Places and cosines of the ``k`` nearest examples that share a term; of equal cosines (to 1e-6), those evaluated first."""
+        which = self.common[terms]
+        heavy = which >= 0
+        lo, n = self.starts[terms[~heavy]], self.starts[terms[~heavy] + 1] - self.starts[terms[~heavy]]
+        posts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.bincount(self.rows[posts], weights=self.weights[posts] * np.repeat(weights[~heavy], n), minlength=self.blocks * self.block)
+        if skip >= 0:
+            sums[skip] = -2
+        sums = sums.reshape(self.blocks, self.block)
+        which, query = which[heavy], weights[heavy].astype(np.float32)
+        bounds = sums.max(axis=1, initial=-2) + query @ self.highest[which] + 1e-5
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(cosines) >= k and bounds[b] <= cosines[k - 1] + 1e-6:
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 1e-5 or len(cosines) >= k and bounds[b] <= cosines[-1]:
                 break
-            own = slice(self.starts[b], self.starts[b + 1])
-            score = np.bincount(self.rows[own], weights=self.weights[own] * self.query[self.terms[own]])
-            at = np.flatnonzero(score > 0)
+            score = sums[b] + query @ self.dense[b].take(which, axis=0)
+            at = np.flatnonzero(score > (cosines[-1] if len(cosines) >= k else 1e-9))
+            if not len(at):
+                continue
             places, cosines = np.concatenate([places, at + b * self.block]), np.concatenate([cosines, score[at]])
-            if skip >= 0:
-                live = places != skip
-                places, cosines = places[live], cosines[live]
-            best = np.lexsort((places, -np.round(cosines, 9)))[:k]
+            best = np.argsort(-cosines, kind="stable")[:k]
             places, cosines = places[best], cosines[best]
-        self.query[terms] = 0
         return places, cosines
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[float, list]:
@@ -131,117 +122,96 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return xs, np.maximum.accumulate(ys) if len(ys) else ys
 
 
+def lean(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """G2 of each term (in so many toxic and clean examples) against the examples' rate, 0 where it isn't likelier in toxic ones."""
+    n, rate = toxic + clean, (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+    part = lambda x, share: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(n * share, 1e-9)), 0.0)
+    return np.where(toxic > n * rate, 2 * (part(toxic, rate) + part(clean, 1 - rate)), 0.0)
+
+
 class Model:
-    def __init__(self, terms: dict[bytes, int], idf: np.ndarray, examples: list, k: int):
-        self.terms, self.idf, self.k = terms, idf, k
-        full = [e for e in examples if e[2]]
-        bare = [e[1] for e in examples if not e[2]]
+    """The examples (doc_id, toxic, numbers of its terms, counts) as an index, with calibrated votes.  ``vocabulary`` numbers from 1 on."""
+
+    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, examples: list, k: int):
+        self.vocabulary, self.k = vocabulary, k
+        full = [e for e in examples if len(e[2])]
+        bare = [e[1] for e in examples if not len(e[2])]
         self.bare = sum(bare) / len(bare) if bare else 0.0
-        vectors = [self.vector(dict(zip(e[2], e[3], strict=True))) for e in full]
+        size = len(idf)
+        counted = [np.bincount(np.concatenate([e[2] for e in full if e[1] == y] or [np.zeros(0, np.int64)]), minlength=size) for y in (1, 0)]
         labels = np.array([e[1] for e in full], dtype=np.float64)
-        self.index = Index(vectors, labels, [e[0] for e in full], max(1, len(terms)))
+        self.weight = idf * (1 + lean(*counted, int(labels.sum()), int((1 - labels).sum())))
+        vectors = [self.vector(e[2], e[3]) for e in full]
+        self.index = Index(vectors, labels, [e[0] for e in full], size)
         place = {i: p for p, i in enumerate(self.index.order)}
         votes = np.array([self.index.vote(*v, k, skip=place[i])[0] for i, v in enumerate(vectors)])
         self.xs, self.ys = isotonic(votes, labels)
         self.index.order = []
-        self.memo: dict[tuple, tuple[float, list]] = {}
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=np.float64))) * self.idf[terms]
-        return terms, w / np.linalg.norm(w)
+    def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(times)) * self.weight[terms]
+        norm = np.linalg.norm(w)
+        return terms, w / norm if norm else w
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
-        if not counts or not len(self.xs):
+    def score(self, text: str | None) -> tuple[float, list]:
+        terms, times = counts_of(text, self.vocabulary)
+        if not len(terms) or not len(self.xs):
             return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) >= 20_000:
-                self.memo.clear()
-            raw, evidence = self.index.vote(*self.vector(counts), self.k)
-            self.memo[key] = float(np.interp(raw, self.xs, self.ys)), evidence
-        return self.memo[key]
+        raw, evidence = self.index.vote(*self.vector(terms, times), self.k)
+        return float(np.interp(raw, self.xs, self.ys)), evidence
 
 
-def _examples(docs: DataFrame, labels: DataFrame, max_examples: int, buckets: int, held_out: int) -> DataFrame:
+def _examples(docs: DataFrame, labels: DataFrame, max_examples: int, buckets: int, held_out: int) -> list[tuple[int, int, Counter]]:
+    """(doc_id, toxic, words) of the examples, at most ``max_examples``."""
     rule = F.pmod(doc_hash(), F.lit(buckets)) != held_out
-    known = labels.where(rule & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    sample = sample.select(F.col("doc_id").alias("__ms_id"), "toxic")
-    texts = docs.select("doc_id", "text")
-    return persist(texts.join(F.broadcast(sample), texts["doc_id"] == F.col("__ms_id")).select("doc_id", "toxic", "text"), "toxic-examples")
-
+    known = labels.where(rule & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").cast("long").alias("sample_id"), "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
-def _vocabulary(examples: DataFrame, max_terms: int) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, list[int]] = {}
+        for batch in batches:
+            found = [Counter(words_of(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([list(c.keys()) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
+                names=["doc_id", "toxic", "words", "times"])
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([
-                pa.array(counts.keys(), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-                names=["term", "clean", "toxic"])
-            counts.clear()
-            return made
+    made = rows.mapInArrow(tidied(run), "doc_id long, toxic int, words array<binary>, times array<long>")
+    return sorted((r.doc_id, r.toxic, dict(zip(map(bytes, r.words), r.times, strict=True))) for r in made.toLocalIterator())
 
-        for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in {t for w in set(words_of(text)) for t in terms_of(w)}:
-                    counts.setdefault(t, [0, 0])[y] += 1
-                if len(counts) > 100_000:
-                    yield out()
-        yield out()
-
-    size = examples.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
-    clean, toxic = max(1, size.clean), max(1, size.toxic)
-    rate = toxic / (clean + toxic)
-    seen = examples.where("toxic in (0, 1)").select("toxic", "text").mapInArrow(tidied(run), "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    n = F.col("c") + F.col("t")
-    t, c = F.col("t"), F.col("c")
-    part = lambda x, share: F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
-    g2 = 2 * (part(t, rate) + part(c, 1 - rate))
-    ratio = ((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1))
-    kept = seen.where((g2 >= LEAST_G2) & (ratio >= LEAST_RATIO))
-    return [bytes(r.term) for r in kept.orderBy(g2.desc(), "term").limit(max_terms).collect()]
-
-
-def _document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those that have each term (0 at place 0)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, df = Vocabulary(shared.value), np.zeros(len(shared.value), dtype=np.int64)
+        own, df = shared.value, np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 for text in batch.column(0).slice(lo, 512).to_pylist():
-                    if found := vocab.counts(text):
-                        df[list(found)] += 1
+                    df[counts_of(text, own)[0]] += 1
+                df[0] += min(512, batch.num_rows - lo)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
 
-    out = np.zeros(len(terms), dtype=np.float64)
-    for r in docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
-        out[r.term] = r.n
-    return out
+    counted = docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    out = np.zeros(len(vocabulary) + 1, dtype=np.float64)
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    total, out[0] = int(out[0]), 0
+    return total, out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS,
-        buckets: int = BUCKETS, held_out: int = HELD_OUT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, buckets: int = BUCKETS, held_out: int = HELD_OUT) -> Model:
     examples = _examples(docs, labels, max_examples, buckets, held_out)
-    terms = {t: i for i, t in enumerate(_vocabulary(examples, max_terms))}
-    df = _document_frequencies(docs, terms)
-    idf = np.log((docs.count() + 1) / (df + 1)) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(shared.value)
-        for batch in batches:
-            found = [vocab.counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "terms", "times"])
-
-    made = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(tidied(run), "doc_id long, toxic int, terms array<int>, times array<int>")
-    rows = sorted((r.doc_id, r.toxic, list(r.terms), list(r.times)) for r in made.collect())  # at most max_examples rows
-    return Model(terms, idf, rows, k)
+    vocabulary = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[2]}), 1)}
+    total, df = _document_frequencies(docs, vocabulary)
+    idf = np.log((total + 1) / (df + 1))
+    numbered = []
+    for doc_id, toxic, words in examples:
+        terms = np.array([vocabulary[w] for w in words], dtype=np.int64)
+        by = np.argsort(terms)
+        numbered.append((doc_id, toxic, terms[by], np.array(list(words.values()), dtype=np.int64)[by]))
+    return Model(vocabulary, idf, numbered, k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,11 +220,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        vocab = Vocabulary(own.terms)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [own.score(vocab.counts(t)) for t in part.column(2).to_pylist()]
+                found = [own.score(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
                     names=["doc_id", "text_key", "score", "evidence"])

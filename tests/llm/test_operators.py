@@ -162,20 +162,79 @@ def test_sharding(docs, empty):
     assert sharding.assign(empty).count() == 0
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("common", [0.0, 0.15, 1.0])
+def test_block_max_index_is_exact(common):
     rng = np.random.Generator(np.random.PCG64(1))
     vectors = []
     for _ in range(300):
-        t = np.sort(rng.choice(40, 5, replace=False))
-        w = rng.random(5)
+        t = np.unique((40 * rng.random(7) ** 2).astype(np.int64))
+        w = rng.random(len(t))
         vectors.append((t, w / np.linalg.norm(w)))
-    index = toxicity.Index(vectors, np.zeros(300), list(range(300)), 40, block=16)
+    index = toxicity.Index(vectors, np.zeros(300), list(range(300)), 40, block=16, common=common)
     full = np.zeros((300, 40))
     for i, (t, w) in enumerate(vectors):
         full[i, t] = w
-    for t, w in vectors[:30]:
+    place = {i: p for p, i in enumerate(index.order)}
+    for i, (t, w) in enumerate(vectors[:40]):
         _, cosines = index.nearest(t, w, 10)
-        assert np.allclose(cosines, np.sort(full[:, t] @ w)[::-1][:10])
+        want = np.sort(full @ full[i])[::-1]
+        assert np.allclose(cosines, want[:10], atol=1e-6)
+        places, cosines = index.nearest(t, w, 10, skip=place[i])
+        assert place[i] not in places and np.allclose(cosines, np.sort(np.delete(full @ full[i], i))[::-1][:10], atol=1e-6)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Every score from its definition: idf over all documents, all cosines, votes, the isotonic fit."""
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(90)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(90, 0, -1), k=rng.randint(3, 40)) + ["Vile!"] * (i % 5 == 0 and rng.random() < 0.8))) for i in range(260)]
+    rows += [(7, "another text of seven"), (300, None), (301, ""), (302, "unheard of")]
+    marks = {i: int(i % 5 == 0) for i in range(200)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, y in marks.items()] + [(3, 0, 0), (None, 0, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
+    got = {(r.doc_id, r.text_key): r.score for r in toxicity.score(docs, toxicity.fit(docs, labels, k=5)).collect()}
+    keys = {(r.doc_id, r.text): r.k for r in docs.select("doc_id", "text", toxicity.text_key(docs).alias("k")).collect()}
+
+    train = {}
+    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        if i in marks and zlib.crc32(str(i).encode()) % 3 != 1 and i not in train:
+            train[i] = toxicity.words_of(t)
+    vocabulary = sorted({w for ws in train.values() for w in ws})
+    df = {w: sum(w in toxicity.words_of(t) for _, t in rows) for w in vocabulary}
+    n_toxic = sum(marks[i] for i in train)
+    rate = (n_toxic + 0.5) / (len(train) + 1)
+
+    def weight(w):
+        a, b = (sum(w in ws for i, ws in train.items() if marks[i] == y) for y in (1, 0))
+        g = 2 * (a * np.log(a / ((a + b) * rate)) + (b * np.log(b / ((a + b) * (1 - rate))) if b else 0)) if a > (a + b) * rate else 0.0
+        return np.log((len(rows) + 1) / (df[w] + 1)) * (1 + g)
+
+    weights = {w: weight(w) for w in vocabulary}
+
+    def vector(ws):
+        v = np.array([(1 + np.log(ws.count(w))) * weights[w] if w in ws else 0.0 for w in vocabulary])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    ids = list(train)
+    table, y = np.array([vector(ws) for ws in train.values()]), np.array([marks[i] for i in ids], float)
+
+    def votes(cos):
+        at = np.argsort(-cos, kind="stable")[:5]
+        at = at[cos[at] > 1e-9]
+        w = 1 / (1 - cos[at] + 0.05)
+        return (w * y[at]).sum() / w.sum() if len(at) else 0.0, cos[at]
+
+    own = []
+    for p in range(len(ids)):
+        cos = table @ table[p]
+        cos[p] = -1
+        own.append(votes(cos)[0])
+    xs, ys = toxicity.isotonic(np.array(own), y)
+    assert not any(not ws for ws in train.values())
+    for i, t in rows:
+        v = vector(toxicity.words_of(t))
+        want = float(np.interp(votes(table @ v)[0], xs, ys)) if v.any() else 0.0
+        assert abs(got[i, keys[i, t]] - want) < 1e-4, (i, t)
 
 
 def test_toxicity(spark, empty):

@@ -2,14 +2,16 @@
 
 1. Base patterns with their checks give the sure spans of four kinds: email, ip, card, phone.
 2. Generators of high recall, one for each kind, propose looser candidates (obfuscated addresses, numbers without the
-   international prefix, other groupings); they may overlap each other and the base spans.
-3. Each candidate is described by format and context in a few small bins.  Over all documents the candidates are counted by
-   bins and by whether a checked base span of their kind overlaps them (the weak label; the bins don't show what tells
-   base from candidate, the plus sign or the at sign, so the trees must judge by the rest).  That table has at most as many rows as there are
-   combinations of bins, and gradient-boosted trees of depth two are fitted on it.
-4. The trees become one SQL expression.  For each kind the lowest score from which on the share of labelled candidates is
-   ``precision`` or more, in the table, is its threshold; candidates above it that overlap no base span of
-   their kind are added.
+   international prefix, other groupings).  For training they run over the whole text, for selection over the text with
+   the base spans of their kind blanked, so that what they add overlaps none of those.
+3. A candidate is described by format and context in a few small bins, after "[at]" and "[dot]" are read as the signs
+   they stand for.  Its weak label is evidence that the bins don't show: a letter domain at the end (email), parts at
+   most 255 (ip), the Luhn sum (card), a plus sign or a word like "tel" before it (phone).  Over all documents the candidates
+   are counted by bins and label, in two halves of the documents.  The table has at most as many rows as there are combinations.
+4. Gradient-boosted trees of depth two are fitted on one half and become one SQL expression; on the other half an isotonic
+   fit turns their scores into shares of the label.  The lowest score whose share is ``precision`` or more is the
+   threshold of its kind; candidates from there on are added.  (So numbers of a format are added without evidence of their
+   own once nine in ten of that format and context have it.)
 
 Positions are code points, ends exclusive.  Defined cases: null and empty texts have no spans; repeated rows are handled
 one by one; without labelled candidates nothing is added; an empty table gives an empty result; other columns are ignored.
@@ -44,24 +46,45 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_OK = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 #: The bins of each feature.
-FEATURES = {"kind": 4, "digits": 6, "marks": 5, "luhn": 2, "before": 3, "after": 3, "size": 4, "letters": 2}
+FEATURES = {"kind": 4, "digits": 6, "marks": 5, "first": 2, "before": 3, "after": 3, "size": 4, "parts": 4}
+#: Folds of arrays go in pieces of so many, as each step copies what it has so far.
+PIECE = 64
 
 _SPANS = "array<struct<start:int,stop:int,s:string>>"
+_BLANK = "\x01"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """The leftmost matches of ``pattern`` that don't overlap, with their places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("n"), h.alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _cut(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The leftmost matches of ``pattern`` that don't overlap, and what stands before each of them and after the last."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+
+def _placed(hits: Column, gaps: Column) -> Column:
+    """The matches with their places."""
+    steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("n"), h.alias("s")))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         span = F.struct(begin.alias("start"), (begin + x["n"]).alias("stop"), x["s"].alias("s"))
         return F.struct((begin + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    def fold(piece: Column) -> Column:
+        return F.aggregate(piece, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), add)
+
+    def shift(piece: Column, base: Column) -> Column:
+        return F.transform(piece["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["stop"] + base).alias("stop"), x["s"].alias("s")))
+
+    def shifted(folded: Column) -> Column:
+        sums = F.aggregate(folded, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(F.zip_with(folded, F.slice(sums, 1, F.size(folded)), shift))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / PIECE).cast("int")), lambda i: fold(F.slice(steps, i * PIECE + 1, F.lit(PIECE))))
+    several = F.transform(F.array(pieces), shifted)[0]
+    return F.when(F.size(hits) == 0, F.array().cast(_SPANS)).otherwise(several)
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(pattern), _placed(*_cut(text, pattern))).otherwise(F.array().cast(_SPANS))
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,53 +103,89 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def _checked(kind: str, spans: Column) -> Column:
-    n = lambda x: F.length(_digits(x["s"]))
-    rules = {
-        "ip": lambda x: x["s"].rlike(_IP_OK),
-        "card": lambda x: F.when(n(x).between(13, 19), _luhn(_digits(x["s"]))).otherwise(False),
-        "phone": lambda x: n(x).between(9, 15),
-    }
-    return F.filter(spans, rules[kind]) if kind in rules else spans
+def _valid(kind: str, s: Column) -> Column:
+    """The contract's check of a match of the base pattern."""
+    n = F.length(_digits(s))
+    if kind == "ip":
+        return s.rlike(_IP_OK)
+    if kind == "card":
+        return F.when(n.between(13, 19), _luhn(_digits(s))).otherwise(False)
+    return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"]))
+def _blanked(text: Column, kind: str) -> Column:
+    """``text`` with each base span of ``kind`` replaced by as many characters that no generator takes."""
+    hits, gaps = _cut(text, BASE[kind])
+    covers = F.concat(F.transform(hits, lambda h: F.when(_valid(kind, h), F.repeat(F.lit(_BLANK), F.length(h))).otherwise(h)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(gaps, covers, lambda g, c: F.concat(g, c)), "")
 
 
 def _character(c: Column, edge: Column) -> Column:
     return F.when(edge | c.rlike(r"[\s.,;:!?]"), 0).when(c.rlike(r"[\p{L}\p{N}]"), 1).otherwise(2)
 
 
-def _described(text: Column, kind: int, spans: Column, base: Column) -> Column:
+def _plain(s: Column) -> Column:
+    """``s`` with "[at]" and "[dot]" as the signs that they stand for."""
+    return F.regexp_replace(F.regexp_replace(s, r"(?i)\x20?[\[({]at[\])}]\x20?", "@"), r"(?i)\x20?[\[({]dot[\])}]\x20?", ".")
+
+
+def _evidence(kind: str, s: Column, before: Column) -> Column:
+    """The weak label, from the candidate in plain signs and the text before it."""
+    if kind == "email":
+        return s.rlike(r"\.[A-Za-z]{2,}$")
+    if kind == "phone":
+        return before.rlike(r"(?i)(?:\+[0-9 ().-]{0,5}|\b(?:tel|telephone|phone|call|mobile|fax)\b[^0-9\n]{0,12})$")
+    return _valid(kind, s)
+
+
+def _described(text: Column, kind: str, spans: Column) -> Column:
     """Candidates with their bins and weak label."""
 
     def describe(x: Column) -> Column:
+        return F.transform(F.array(F.struct(_plain(x["s"]).alias("s"), x["start"].alias("start"), x["stop"].alias("stop"))), bins)[0]
+
+    def bins(x: Column) -> Column:
         s, digits = x["s"], _digits(x["s"])
-        n, size = F.length(digits), F.length(x["s"])
+        n, size = F.length(digits), F.length(s)
         before, after = F.substring(text, x["start"], F.lit(1)), F.substring(text, x["stop"] + 1, F.lit(1))
-        bins = {
-            "kind": F.lit(kind),
+        lead = F.greatest(x["start"] - 24, F.lit(0))
+        found = {
+            "kind": F.lit(KINDS.index(kind)),
             "digits": F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 13, 3).when(n < 17, 4).otherwise(5),
-            "marks": F.when(s.rlike(r"[\[({][A-Za-z]"), 4).when(s.contains("("), 3).when(s.rlike("[/_]"), 2).when(s.rlike(r"[ .-]"), 1).otherwise(0),
-            "luhn": F.when(n.between(13, 19), _luhn(digits)).otherwise(False).cast("int"),
+            "marks": F.when(s.contains("("), 4).when(s.rlike("[/_]"), 3).when(s.contains("-"), 2).when(s.contains(" "), 1).otherwise(0),
+            "first": s.rlike("^[3-6]").cast("int"),
             "before": _character(before, x["start"] == 0),
             "after": _character(after, x["stop"] >= F.length(text)),
             "size": F.when(size < 12, 0).when(size < 17, 1).when(size < 25, 2).otherwise(3),
-            "letters": s.rlike("[A-Za-z]{2}$").cast("int"),
+            "parts": F.least(F.lit(3), F.length(F.regexp_replace(s, r"[^.]", ""))),
         }
-        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), *[v.cast("int").alias(k) for k, v in bins.items()], _overlaps(x, base).alias("label"))
+        label = _evidence(kind, s, F.substring(text, lead + 1, x["start"] - lead))
+        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), *[v.cast("int").alias(k) for k, v in found.items()], label.alias("label"))
 
     return F.transform(spans, describe)
 
 
+def base_spans(text: Column, kind: str) -> Column:
+    return F.filter(_spans(text, BASE[kind]), lambda x: _valid(kind, x["s"]))
+
+
+def _free(text: Column, kind: str) -> Column:
+    """The described candidates that overlap no base span; their context is that of the text."""
+    return _described(text, kind, F.transform(F.array(_blanked(text, kind)), lambda t: _spans(t, LOOSE[kind]))[0])
+
+
 def proposals(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, the base spans of each kind, and all described candidates of each row."""
+    """doc_id, half, the base spans of each kind, all described candidates of each row, and those that are free of base spans."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    df = df.select("doc_id", "text", *[_checked(k, _spans(F.col("text"), BASE[k])).alias(k) for k in KINDS])
-    found = [_described(F.col("text"), i, _spans(F.col("text"), LOOSE[k]), F.col(k)) for i, k in enumerate(KINDS)]
+    text = F.col("text")
+    df = df.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), *[base_spans(text, k).alias(k) for k in KINDS])
+    found = {k: _described(text, k, _spans(text, LOOSE[k])) for k in KINDS}
+    free = {k: _free(text, k) for k in KINDS}
+    df = df.select("doc_id", "text", "half", *KINDS, *[found[k].alias(f"c_{k}") for k in KINDS])
     bare = lambda k: F.transform(F.col(k), lambda x: F.struct(x["start"], x["stop"])).alias(k)
-    return df.select("doc_id", *(["text"] if keep_text else []), *[bare(k) for k in KINDS], F.concat(*found).alias("candidates"))
+    return df.select(
+        "doc_id", *(["text"] if keep_text else []), "half", *[bare(k) for k in KINDS], F.concat(*[f"c_{k}" for k in KINDS]).alias("candidates"),
+        F.concat(*[F.when((F.size(k) > 0) & (F.size(f"c_{k}") > 0), free[k]).otherwise(F.col(f"c_{k}")) for k in KINDS]).alias("free"))
 
 
 class Boosted:
@@ -188,24 +247,31 @@ class Boosted:
         return out
 
 
+def _lowest(scores: np.ndarray, n: np.ndarray, yes: np.ndarray, precision: float) -> float | None:
+    """The lowest score from which on an isotonic fit gives a share of ``precision`` or more, smoothed by one row without the label."""
+    blocks: list[list[float]] = []
+    for i in np.argsort(scores, kind="stable"):
+        blocks.append([scores[i], yes[i], n[i]])
+        while len(blocks) > 1 and (blocks[-2][0] == blocks[-1][0] or blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]):
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    good = [b[0] for b in blocks if b[1] >= precision * (b[2] + 1)]
+    return min(good) - 1e-9 if good else None
+
+
 def fit(found: DataFrame, precision: float = PRECISION) -> tuple[Boosted, list[float | None]]:
-    """Trees and the threshold of each kind (None: nothing is added), from the candidates of all documents."""
+    """Trees from one half of all documents, and the threshold of each kind (None: nothing is added) from the other."""
     names = list(FEATURES)
-    each = found.select(F.explode("candidates").alias("x")).select(*[F.col(f"x.{k}").alias(k) for k in names], F.col("x.label").cast("long").alias("yes"))
-    rows = each.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("yes").alias("yes")).orderBy(*names).collect()  # combinations of bins at most
+    each = found.select("half", F.explode("candidates").alias("x")).select("half", *[F.col(f"x.{k}").alias(k) for k in names], F.col("x.label").cast("long").alias("yes"))
+    rows = each.groupBy("half", *names).agg(F.count(F.lit(1)).alias("n"), F.sum("yes").alias("yes")).orderBy("half", *names).collect()  # combinations of bins at most
     bins = np.array([[r[k] for k in names] for r in rows], dtype=np.int64).reshape(-1, len(names))
-    n, yes = np.array([r.n for r in rows], dtype=np.float64), np.array([r.yes for r in rows], dtype=np.float64)
-    model = Boosted(bins, n, yes)
-    limits: list[float | None] = []
+    half, n, yes = (np.array([float(r[k]) for r in rows]) for k in ("half", "n", "yes"))
+    model = Boosted(bins[half == 0], n[half == 0], yes[half == 0])
+    scores = np.array([model.score(b) for b in bins.tolist()])
+    limits = []
     for kind in range(len(KINDS)):
-        own = sorted(((model.score(b), i) for i, b in enumerate(bins.tolist()) if b[0] == kind), reverse=True)
-        total = good = 0.0
-        limit = None
-        for s, i in own:
-            total, good = total + n[i], good + yes[i]
-            if good / total >= precision and total >= 5:
-                limit = s - 1e-9
-        limits.append(limit)
+        own = (half == 1) & (bins[:, 0] == kind)
+        limits.append(_lowest(scores[own], n[own], yes[own], precision))
     return model, limits
 
 
@@ -224,10 +290,10 @@ def _chosen(found: DataFrame, model: Boosted, limits: list[float | None]) -> Dat
         ok = F.lit(False)
         for i, limit in enumerate(limits):
             if limit is not None:
-                ok = ok | ((x["kind"] == i) & (model.column(x) >= limit) & ~_overlaps(x, F.col(KINDS[i])))
+                ok = ok | ((x["kind"] == i) & (model.column(x) >= limit))
         return ok
 
-    added = F.transform(F.filter("candidates", chosen), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+    added = F.transform(F.filter("free", chosen), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     return found.withColumns({"base": base, "added": added})
 
 
@@ -247,7 +313,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """doc_id and text of each row, each span (overlapping ones as one) replaced by the first one's [KIND]."""
-    model, limits = fit(persist(proposals(docs).select("candidates"), "pii"), precision)
+    model, limits = fit(persist(proposals(docs).select("half", "candidates"), "pii"), precision)
     rows = _chosen(proposals(docs, keep_text=True), model, limits)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")

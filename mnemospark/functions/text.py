@@ -107,11 +107,10 @@ def mostly_printable(text: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of 32 bits over the UTF-16 code units of BMP text, as 8 hex digits."""
-    mask = F.lit(0xFFFFFFFF)
-    step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(mask)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.lower(F.lpad(F.hex(F.aggregate(chars, F.lit(2166136261).cast("long"), step)), 8, "0"))
+    """FNV-1a of 32 bits over the UTF-16 code units, as 8 hex digits."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    step = lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), step)), 8, "0"))
 
 
 def citation(source: Column, start: Column, end: Column) -> Column:
@@ -136,3 +135,15 @@ def snippet(text: Column, terms: Column, width: int = 240) -> Column:
     found = F.concat(F.when(begin > 0, "…").otherwise(""), trim(F.substring(text, begin + 1, end - begin)), F.when(end < F.length(text), "…").otherwise(""))
     plain = F.concat(trim(F.substring(text, F.lit(1), F.lit(width))), F.when(F.length(text) > width, "…").otherwise(""))
     return F.when(F.size(hits) > 0, found).otherwise(plain)
+
+
+def passage(rank: Column, citation: Column, date: Column, text: Column) -> Column:
+    """A numbered passage: "[rank] citation (date)", then the text."""
+    dated = F.when(date.isNotNull(), F.concat(F.lit(" ("), date, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), citation, dated, F.lit("\n"), F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+def format_passages(rows: DataFrame) -> DataFrame:
+    """qid, passages: the passages of each query (qid, rank, citation, date, text) in the order of their ranks, parted by blank lines."""
+    each = rows.select("qid", F.struct("rank", passage(F.col("rank"), F.col("citation"), F.col("date"), F.col("text")).alias("p")).alias("x"))
+    return each.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), "\n\n").alias("passages"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DAYS = {"today": 0, "yesterday": 1, "week": 7, "last-week": 7, "month": 30, "year": 365, "d": 1, "w": 7, "m": 30, "y": 365}
+NAMED = ("today", "yesterday", "week", "last-week", "month", "year")
 HALF_LIFE_DAYS = 60
 
 
@@ -34,18 +35,26 @@ def date_to_time(date: Column) -> Column:
 
 
 def parse_when(value: str | None, now: dt.datetime) -> dt.datetime | None:
-    """A relative or absolute time; relative ones count back from ``now``, not from midnight."""
-    text = (value or "").strip().lower()
-    if not text:
+    """A relative or absolute time; relative ones count back from ``now``, not from midnight.  Case counts, and blanks aren't trimmed."""
+    if not value:
         return None
-    if text in ("today", "yesterday", "week", "last-week", "month", "year"):
-        return now - dt.timedelta(days=DAYS[text])
-    if m := re.fullmatch(r"(\d+)\s*([dwmy])", text):
+    if value in NAMED:
+        return now - dt.timedelta(days=DAYS[value])
+    if m := re.fullmatch(r"([0-9]+)\s*([dwmy])", value):
         return now - dt.timedelta(days=int(m[1]) * DAYS[m[2]])
-    when = dt.datetime.fromisoformat(value.strip())
+    when = dt.datetime.fromisoformat(value)
     return when if when.tzinfo else when.replace(tzinfo=dt.timezone.utc)
 
 
+def parse_when_column(value: Column, now: Column) -> Column:
+    """The same for a column; null where the value is empty or can't be read."""
+    number = F.regexp_extract(value, r"^([0-9]+)\s*[dwmy]$", 1)
+    unit = F.regexp_extract(value, r"^[0-9]+\s*([dwmy])$", 1)
+    days = F.create_map(*[F.lit(x) for p in DAYS.items() for x in p])
+    back = F.when(value.isin(*NAMED), F.try_element_at(days, value)).when(unit != "", number.cast("int") * F.try_element_at(days, unit))
+    return F.when(back.isNotNull(), F.timestamp_add("DAY", -back, now)).otherwise(F.try_to_timestamp(value))
+
+
 def recency(when: Column, now: Column, half_life_days: float = HALF_LIFE_DAYS) -> Column:
     """0.5 ^ (age / half-life); 1 for the future, 0 for an unknown time."""
     age = (F.unix_millis(now) - F.unix_millis(when)) / F.lit(86_400_000.0)

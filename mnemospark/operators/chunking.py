@@ -36,23 +36,31 @@ def fold_lines(text: str, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS
         yield first, len(lines), "\n".join(held).strip()
 
 
-def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, chunk_no, start_line, end_line, text, date of the printable, non-empty chunks."""
-    kind = docs.schema[key].dataType.simpleString()
+def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``carry``, chunk_no, start_line, end_line, text, date of the printable, non-empty chunks."""
+    held = docs.select(key, *carry)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, a, b, body) for k, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) if t for i, (a, b, body) in enumerate(fold_lines(t)) if body]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0].as_py() for r in rows], batch.schema.field(0).type), *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3)],
-                pa.array([r[4] for r in rows], pa.string())], names=[key, "chunk_no", "start_line", "end_line", "text"])
+            rows = [(at, i, a, b, body) for at, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if t for i, (a, b, body) in enumerate(fold_lines(t)) if body]
+            own = [c.take(pa.array([r[0] for r in rows], pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*own, *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.string())],
+                names=[*batch.schema.names[:-1], "chunk_no", "start_line", "end_line", "text"])
 
-    made = docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_no int, start_line int, end_line int, text string")
+    made = docs.select(key, *carry, F.col(text).alias("__text")).mapInArrow(run, f"{kept}, chunk_no int, start_line int, end_line int, text string")
     return made.where(T.mostly_printable(F.col("text"))).withColumn("date", D.extract_date(F.col("text")))
 
 
+def chunk_files(texts: DataFrame) -> DataFrame:
+    """Chunks of files (source, mtime, text) with their time: the date in the chunk, else the file's."""
+    made = chunk(texts, "source", "text", ("mtime",))
+    return made.withColumn("when_ts", F.coalesce(D.date_to_time(F.col("date")), F.col("mtime")))
+
+
 def records(chunks: DataFrame, source: str = "source") -> DataFrame:
     """Chunks with id, fnv (the short id), terms and len; chunks without a token are left out."""
     head = F.concat(F.col(source), F.lit(":"), F.col("start_line").cast("string"), F.lit(":"), F.substring("text", 1, 64))
-    made = chunks.withColumns({"id": F.lower(F.hex(F.xxhash64(head))), "fnv": T.fnv1a(head), "terms": T.tokenize(F.col("text"))})
+    made = chunks.withColumns({"id": F.sha2(head.cast("binary"), 256), "fnv": T.fnv1a(head), "terms": T.tokenize(F.col("text"))})
     return made.withColumn("len", F.size("terms")).where("len > 0")

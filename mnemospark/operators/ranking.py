@@ -1,7 +1,8 @@
-"""Ranking: postings, corpus statistics, BM25, proximity, phrases, recency, cosine, feedback and the composed recall.
+"""Ranking: records, postings, corpus statistics, BM25, proximity, phrases, recency, cosine, feedback and the composed recall.
 
-All take many queries at once, keyed by ``qid``.  Chunk texts aren't touched while scoring: only postings of query terms are
-joined, and the text is joined back for the rows that are left.  The query terms are broadcast only when they're few.
+All take many queries at once, keyed by ``qid``.  Texts are tokenized once, into records (key, terms, len); everything else
+comes from the records' ``len`` and from the hits: the places of query terms, a small table that is written once.  Statistics
+are those of the records as given, so a time window changes them.  Texts are joined back for the rows that are left.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
+from mnemospark.operators.scratch import written
 
 K1, B = 1.5, 0.75
 PHRASE_BOOST, PROXIMITY_BOOST = 1.0, 0.6
@@ -19,21 +21,25 @@ SEMANTIC_WEIGHTS = {"lexical": 0.45, "semantic": 0.45, "time": 0.1}
 GATE = 0.2
 
 
-def positions(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos, term: each kept token with its place."""
-    each = chunks.select(key, F.posexplode(T.words(F.col(text))).alias("pos", "word"))
-    return T.stemmed(each, "word", "term").drop("word")
+def records(chunks: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``carry``, terms, len of the chunks that have a token; the others are never stored, so they don't count anywhere."""
+    made = chunks.select(key, *carry, T.tokenize(F.col(text)).alias("terms"))
+    return written(made.withColumn("len", F.size("terms")).where("len > 0"), "records")
 
 
-def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def postings(recs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, term, tf: term frequencies."""
-    return positions(chunks, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return recs.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(post: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """n_chunks and avgdl of ``chunks`` (one row)."""
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select(
-        "n_chunks", F.coalesce(F.try_divide(F.col("tokens"), F.col("n_chunks")), F.lit(0.0)).alias("avgdl"))
+def doc_freq(recs: DataFrame) -> DataFrame:
+    """term, df: records that have a term; no row of a record leaves its task before it is counted."""
+    return recs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_stats(recs: DataFrame) -> DataFrame:
+    """n_chunks and avgdl (one row)."""
+    return recs.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -41,42 +47,59 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return T.stemmed(queries.select("qid", F.posexplode(T.words(F.col("query"))).alias("qpos", "word")), "word", "term").drop("word")
 
 
-def bm25(post: DataFrame, chunks: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """qid, key, bm25 of the chunks that hold a query term; statistics are those of ``chunks`` as given (a window changes them)."""
+def hits(recs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, len, pos, term: the places of query terms, written once."""
+    each = recs.select(key, "len", F.posexplode("terms").alias("pos", "term"))
+    return written(each.join(terms.select("term").distinct(), "term").select(key, "len", "pos", "term"), "hits")
+
+
+def bm25(found: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """qid, key, bm25 of the records that hold a query term, from ``hits`` and ``corpus_stats``."""
     wanted = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    lengths = post.groupBy(key).agg(F.sum("tf").alias("len"))
-    found = post.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = F.col("n_chunks"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avgdl))
-    scored = found.join(df, "term").join(wanted, "term").join(lengths, key).crossJoin(F.broadcast(corpus_stats(post, chunks, key)))
-    return scored.groupBy("qid", key).agg(F.sum(part * F.col("times")).alias("bm25"))
-
-
-def proximity(pos: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """qid, key, proximity: share of the query's distinct terms present, by how close together they stand."""
-    distinct = terms.select("qid", "term").distinct()
-    size = distinct.groupBy("qid").agg(F.count(F.lit(1)).alias("q"))
-    hits = pos.join(distinct, "term")
-    ahead = Window.partitionBy("qid", key).orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # the next place of every term at or after each hit
-    later = F.sort_array(F.collect_list(F.struct("pos", "term")).over(ahead))
-    first = F.aggregate(later, F.array().cast("array<struct<pos:int,term:string>>"), lambda acc, x: F.when(F.exists(acc, lambda y: y["term"] == x["term"]), acc).otherwise(F.concat(acc, F.array(F.struct(x["pos"], x["term"])))))
-    spans = hits.withColumn("first", first).select("qid", key, F.size("first").alias("have"), (F.array_max(F.col("first.pos")) - F.col("pos")).alias("span"))
-    best = spans.groupBy("qid", key).agg(F.min(F.struct((-F.col("have")).alias("have"), "span")).alias("b")).join(size, "qid")
-    d = -F.col("b.have")
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", (idf * F.col("times")).alias("weight"), avgdl.alias("avgdl"))  # stats: one row
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    return tf.join(weights, "term").groupBy("qid", key).agg(F.sum(part).alias("bm25"))
+
+
+def proximity(found: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """qid, key, proximity: share of the query's distinct terms present, by how close together they stand.
+
+    One pass over each record's hits in order: every hit ends a window that reaches back to the latest place of each
+    term so far.  There are as many running places as the longest query has terms.
+    """
+    numbered = terms.groupBy("qid", "term").agg(F.min("qpos").alias("qpos"))
+    numbered = numbered.withColumn("no", F.row_number().over(Window.partitionBy("qid").orderBy("qpos"))).drop("qpos")
+    most = terms.groupBy("qid").agg(F.count_distinct("term").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if most < 2:
+        return found.join(numbered, "term").select("qid", key).distinct().withColumn("proximity", F.lit(0.0))
+    size = numbered.groupBy("qid").agg(F.count(F.lit(1)).alias("q"))
+    so_far = Window.partitionBy("qid", key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.array(*[F.last(F.when(F.col("no") == i, F.col("pos")), ignorenulls=True).over(so_far) for i in range(1, most + 1)])
+    ended = found.join(numbered, "term").withColumn("places", F.array_compact(last))
+    ended = ended.select("qid", key, F.size("places").alias("have"), (F.col("pos") - F.array_min("places")).alias("span"))
+    best = ended.groupBy("qid", key).agg(F.min(F.struct((-F.col("have")).alias("less"), "span")).alias("b")).join(size, "qid")
+    d = -F.col("b.less")
     score = F.when((d >= 2) & (F.col("q") >= 2), d / F.col("q") * (d - 1) / F.col("b.span")).otherwise(0.0)
     return best.select("qid", key, score.alias("proximity"))
 
 
-def phrases(pos: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """qid, key of chunks in which all of a query's terms stand in a row."""
+def phrases(found: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """qid, key of records in which all of a query's terms stand in a row."""
     n = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("kinds")).where("kinds > 1")
-    rows = pos.join(terms, "term").groupBy("qid", key, (F.col("pos") - F.col("qpos")).alias("start")).agg(F.count_distinct("qpos").alias("c"))
+    rows = found.join(terms, "term").groupBy("qid", key, (F.col("pos") - F.col("qpos")).alias("start")).agg(F.count_distinct("qpos").alias("c"))
     return rows.join(n, "qid").where("c = n").select("qid", key).distinct()
 
 
+def lexical(recs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """qid, key, lexical: boosted BM25 of the records that hold a query term."""
+    found = hits(recs, terms, key)
+    return boosted(bm25(found, corpus_stats(recs), terms, key), proximity(found, terms, key), phrases(found, terms, key), key)
+
+
 def boosted(scores: DataFrame, prox: DataFrame, phrase: DataFrame, key: str = "doc_id") -> DataFrame:
     """qid, key, lexical: BM25 times the proximity and phrase boosts."""
     both = scores.join(prox, ["qid", key], "left").join(phrase.withColumn("phrase", F.lit(1)), ["qid", key], "left")
@@ -103,21 +126,26 @@ def bonus(terms: DataFrame, feedback: DataFrame) -> DataFrame:
     return pairs.groupBy("qid", "source").agg(F.max(F.col("overlap") * F.least(F.lit(0.3), 0.1 + 0.05 * F.log1p("count"))).alias("bonus"))
 
 
-def hybrid(lexical: DataFrame, chunks: DataFrame, now: Column, k: int = 8, semantic: DataFrame | None = None, feedback: DataFrame | None = None,
+def hybrid(scores: DataFrame, recs: DataFrame, now: Column, k: int = 8, semantic: DataFrame | None = None, feedback: DataFrame | None = None,
            key: str = "doc_id", weights: dict[str, float] | None = None, half_life_days: float = D.HALF_LIFE_DAYS) -> DataFrame:
-    """qid, rank, key, score: the ``k`` best chunks (key, seq, when_ts, source) of each query."""
-    scores = lexical
+    """qid, rank, key, score: the ``k`` best records (key, seq, when_ts, source) of each query.
+
+    The maxima of the queries are aggregated (partial sums, one row for each query) and joined back; the top ``k`` goes through a
+    ranked window whose limit is applied before its shuffle.  ``semantic`` has qid, key, cosine; ``feedback`` qid, source, bonus.
+    """
     if semantic is not None:
         scores = scores.join(semantic, ["qid", key], "full")
     else:
         scores = scores.withColumn("cosine", F.lit(0.0))
+    scores = scores.select("qid", key, F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    best = scores.groupBy("qid").agg(F.max("lexical").alias("top_lex"), F.max("cosine").alias("top_sem"))
     w = weights or (SEMANTIC_WEIGHTS if semantic is not None else WEIGHTS)
-    best = lambda c: F.greatest(F.lit(0.0), F.max(c).over(Window.partitionBy("qid")))
-    norm = lambda c: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0.0)), F.nullif(best(c), F.lit(0.0))), F.lit(0.0))
-    scores = scores.withColumns({"lex": norm("lexical"), "sem": norm("cosine")})
-    gate = (F.coalesce("lexical", F.lit(0.0)) > 0) | (F.coalesce("cosine", F.lit(0.0)) > GATE)
-    gate = gate | ((F.col("sem") > GATE) if semantic is not None else F.lit(False))
-    rows = scores.where(gate).join(chunks.select(key, "seq", "when_ts", *(["source"] if feedback is not None else [])), key)
+    norm = lambda c, top: F.when(F.col(top) > 0, F.col(c) / F.col(top)).otherwise(0.0)
+    scores = scores.join(best, "qid").withColumns({"lex": norm("lexical", "top_lex"), "sem": norm("cosine", "top_sem")})
+    gate = (F.col("lexical") > 0) | (F.col("cosine") > GATE)
+    if semantic is not None:
+        gate = gate | (F.col("sem") > GATE)
+    rows = scores.where(gate).join(recs.select(key, "seq", "when_ts", *(["source"] if feedback is not None else [])), key)
     extra = F.lit(0.0)
     if feedback is not None:
         rows, extra = rows.join(feedback, ["qid", "source"], "left"), F.coalesce("bonus", F.lit(0.0))
@@ -126,16 +154,33 @@ def hybrid(lexical: DataFrame, chunks: DataFrame, now: Column, k: int = 8, seman
     return rows.withColumn("raw", score).withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", key, F.round("raw", 4).alias("score"))
 
 
-def recall(chunks: DataFrame, queries: DataFrame, now: Column, k: int = 8, since: Column | None = None, until: Column | None = None,
-           semantic: DataFrame | None = None, feedback: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """qid, rank, key, score for queries (qid, query); statistics come from the chunks within the window."""
-    seen = chunks
+def within(rows: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """The rows whose ``at`` (their time, else that of their file) lies in the window, both ends included; a plain column, so the filter reaches the scan."""
     if since is not None:
-        seen = seen.where(F.coalesce("when_ts", "mtime") >= since)
-    if until is not None:
-        seen = seen.where(F.coalesce("when_ts", "mtime") <= until)
-    pos, terms = positions(seen, key), query_terms(queries)
-    post = pos.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    near = pos.join(terms.select("term").distinct(), "term", "left_semi")
-    lexical = boosted(bm25(post, seen, terms, key), proximity(near, terms, key), phrases(near, terms, key), key)
-    return hybrid(lexical, seen, now, k, semantic, bonus(terms, feedback) if feedback is not None else None, key)
+        rows = rows.where(F.col("at") >= since)
+    return rows if until is None else rows.where(F.col("at") <= until)
+
+
+def limit_of(limit: float | None, default: int = 8) -> int:
+    """A number of results: rounded down, at least 1; missing, not finite, zero and negative ones give the default."""
+    if not isinstance(limit, (int, float)) or isinstance(limit, bool) or limit != limit or limit in (float("inf"), float("-inf")) or limit <= 0:
+        return default
+    return max(1, int(limit))
+
+
+def recall(recs: DataFrame, queries: DataFrame, now: Column, k: int = 8, since: Column | None = None, until: Column | None = None,
+           semantic: DataFrame | None = None, feedback: DataFrame | None = None, key: str = "doc_id", weights: dict[str, float] | None = None,
+           half_life_days: float = D.HALF_LIFE_DAYS) -> DataFrame:
+    """qid, rank, key, score for queries (qid, query) over records (key, seq, at, when_ts, source, terms, len) within the window."""
+    seen, terms = within(recs, since, until), query_terms(queries)
+    extra = bonus(terms, feedback) if feedback is not None else None
+    return hybrid(lexical(seen, terms, key), seen, now, k, semantic, extra, key, weights, half_life_days)
+
+
+def results(top: DataFrame, chunks: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``recall`` with source, lines, date, citation, snippet and text of their chunks, joined for the few rows that are left."""
+    terms = query_terms(queries).groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    rows = chunks.select(key, "source", "start_line", "end_line", "when_ts", "date", "text").join(F.broadcast(top), key).join(terms, "qid", "left")  # top: k rows a query
+    return rows.select(
+        "qid", "rank", key, "score", "source", F.array("start_line", "end_line").alias("lines"), "when_ts", "date", T.citation(F.col("source"), F.col("start_line"), F.col("end_line")).alias("citation"),
+        T.snippet(F.col("text"), F.coalesce("terms", F.array().cast("array<string>"))).alias("snippet"), "text")

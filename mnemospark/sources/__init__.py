@@ -1 +1 @@
-"""Part of the retrieval engine."""
+"""Where texts come from: files of several kinds, and a stream of changed files."""

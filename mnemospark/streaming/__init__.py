@@ -1 +1 @@
-"""Part of the retrieval engine."""
+"""Structured Streaming: a watch over folders."""

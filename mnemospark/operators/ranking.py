@@ -7,8 +7,14 @@ are those of the records as given, so a time window changes them.  Texts are joi
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
@@ -116,6 +122,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(same, F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0)))).otherwise(0.0)
 
 
+#: Query vectors that go to every task at once.
+VECTORS = 4096
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
+    """q, key, cosine, rank: the ``k`` nearest rows of each query by cosine (to nine digits, then by key).
+
+    Queries go through in blocks of ``VECTORS``, each read and broadcast in turn; a task keeps the ``k`` best of its own rows for
+    each query, so what is shuffled doesn't grow with the rows.  Vectors of other lengths, or of length 0, are at cosine 0.
+    """
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    asked = queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator()
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "key"))
+    found: list[DataFrame] = []
+    while block := list(itertools.islice(asked, VECTORS)):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, vectors = [a for a, _ in shared.value], [np.array(v, dtype=np.float64) for _, v in shared.value]
+            unit = lambda v: v / n if (n := np.linalg.norm(v)) else v
+            tables = {n: ([i for i, v in enumerate(vectors) if len(v) == n], np.array([unit(v) for v in vectors if len(v) == n])) for n in {len(v) for v in vectors}}
+            best: list[list] = [[] for _ in names]
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                own = [np.array([] if v is None else v, dtype=np.float64) for v in batch.column(1).to_pylist()]
+                scores = np.zeros((len(names), len(own)))
+                for n, (at, table) in tables.items():
+                    if same := [i for i, v in enumerate(own) if len(v) == n]:
+                        scores[np.ix_(at, same)] = np.round(np.maximum(0, table @ np.array([unit(own[i]) for i in same]).T), 9)
+                least = min(k, len(own))
+                for q, row in enumerate(scores):
+                    at = np.flatnonzero(row >= np.partition(row, -least)[-least]) if least else []
+                    best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in at])[:k]
+            out = [(names[q], y, -x) for q in range(len(names)) for x, y in best[q]]
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], types[i]) for i in (0, 1)], pa.array([r[2] for r in out], pa.float64())], names=["q", "key", "cosine"])
+
+        types = [to_arrow_type(rows.schema[key].dataType)] * 2
+        part = rows.select(key, vector).mapInArrow(run, f"q {kind}, key {kind}, cosine double")
+        found.append(written(part.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k), "nearest"))
+        shared.unpersist()
+    if not found:
+        return spark.createDataFrame([], f"q {kind}, {key} {kind}, cosine double, rank long")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("key", key)
+
+
 def bonus(terms: DataFrame, feedback: DataFrame) -> DataFrame:
     """qid, source, bonus from feedback (terms, source, count): the best entry that shares half of its terms with the query."""
     q = terms.groupBy("qid").agg(F.collect_set("term").alias("q"))

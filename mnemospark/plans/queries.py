@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
-from mnemospark.operators import chunking, ranking, store
+from mnemospark.operators import chunking, ranking, snapshots, store
 from mnemospark.plans import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ASKED = [(1, "than onesen thou"), (2, "pour le thand than"), (3, "onesen thou")]
+ASKED = [(1, "than onesen thou"), (2, "pour le thand than"), (3, "eriner thanea"), (4, "eswher thintion than eswher")]
 
 
 def query(oracle: str | None = None):
@@ -37,11 +37,21 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.timestamp_add("DAY", (F.col("doc_id") % 365).cast("int"), F.lit("2024-01-01").cast("timestamp"))
-    return docs(spark, sf_dir).select("doc_id", "text", "source", when.alias("when_ts"), when.alias("mtime"), F.col("doc_id").alias("seq"))
+    return docs(spark, sf_dir).select("doc_id", "text", "source", when.alias("when_ts"), when.alias("at"), F.col("doc_id").alias("seq"))
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASKED, "qid int, query string")
+def dated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.records(dated(spark, sf_dir), carry=("source", "when_ts", "at", "seq"))
+
+
+def asked(spark: SparkSession, queries=ASKED) -> DataFrame:
+    return spark.createDataFrame(queries, "qid int, query string")
+
+
+def asked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: user turns of the conversations whose id divides by 50."""
+    c = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0 and role = 'user'")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
 
 
 def now():
@@ -64,7 +74,7 @@ def stem_vocab(spark, sf_dir):
 
 @query(sql.terms() + " SELECT doc_id, term, tf FROM post")
 def term_freq(spark, sf_dir):
-    return ranking.postings(docs(spark, sf_dir))
+    return ranking.postings(ranking.records(docs(spark, sf_dir)))
 
 
 @query("""SELECT doc_id, coalesce(length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / nullif(length(text), 0), 0) >= 0.7 AS printable FROM documents""")
@@ -116,27 +126,38 @@ def time_window(spark, sf_dir):
 
 @query(sql.terms() + " SELECT term, df FROM df")
 def doc_freq(spark, sf_dir):
-    return ranking.postings(docs(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return ranking.doc_freq(ranking.records(docs(spark, sf_dir)))
 
 
 @query(sql.terms() + " SELECT n_chunks, round(avgdl, 6) AS avgdl FROM n")
 def corpus_stats(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return ranking.corpus_stats(ranking.postings(d), d).select("n_chunks", r6("avgdl").alias("avgdl"))
+    return ranking.corpus_stats(ranking.records(docs(spark, sf_dir))).select("n_chunks", r6("avgdl").alias("avgdl"))
 
 
-@query("SELECT count(*) AS chunks, count(DISTINCT source) AS sources, CAST(0 AS BIGINT) AS with_embedding FROM documents")
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS sources, count(embedding) AS with_embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def store_stats(spark, sf_dir):
-    return store.stats(docs(spark, sf_dir))
+    """Of documents, of which those with a vector of their number are embedded."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return store.stats(docs(spark, sf_dir).join(vectors, "doc_id", "left"))
 
 
-def _scores(spark, d):
-    return ranking.bm25(ranking.postings(d), d, ranking.query_terms(asked(spark)))
+def _scores(spark, recs, queries=ASKED):
+    terms = ranking.query_terms(asked(spark, queries))
+    return ranking.bm25(ranking.hits(recs, terms), ranking.corpus_stats(recs), terms)
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark, sf_dir):
-    return _scores(spark, docs(spark, sf_dir)).select("qid", "doc_id", r6("bm25").alias("bm25"))
+    return _scores(spark, ranking.records(docs(spark, sf_dir))).select("qid", "doc_id", r6("bm25").alias("bm25"))
+
+
+REPEATED = [(1, "thintion thintion than"), (2, "thintion than"), (3, "zzyzx quux")]
+
+
+@query(sql.terms(queries=REPEATED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
+def bm25_repeated_terms(spark, sf_dir):
+    """A term that a query repeats counts twice; the last query's terms are nowhere, and it has no rows."""
+    return _scores(spark, ranking.records(docs(spark, sf_dir)), REPEATED).select("qid", "doc_id", r6("bm25").alias("bm25"))
 
 
 _TOP = " SELECT qid, doc_id, round({c}, 6) AS {c}, row_number() OVER (PARTITION BY qid ORDER BY round({c}, 9) DESC, doc_id) AS rank FROM {t} QUALIFY rank <= 8"
@@ -149,48 +170,122 @@ def _top(df, c):
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + _TOP.format(c="bm25", t="bm"))
 def bm25_topk(spark, sf_dir):
-    return _top(_scores(spark, docs(spark, sf_dir)), "bm25")
+    return _top(_scores(spark, ranking.records(docs(spark, sf_dir))), "bm25")
 
 
 @query(sql.terms(f"SELECT * FROM ({sql.DATED}) WHERE when_ts BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-08-31'", ASKED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_windowed(spark, sf_dir):
-    return _scores(spark, dated(spark, sf_dir).where("when_ts between timestamp'2024-03-01' and timestamp'2024-08-31'")).select("qid", "doc_id", r6("bm25").alias("bm25"))
+    since, until = (F.lit(d).cast("timestamp") for d in ("2024-03-01", "2024-08-31"))
+    return _scores(spark, ranking.within(dated_records(spark, sf_dir), since, until)).select("qid", "doc_id", r6("bm25").alias("bm25"))
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + " SELECT qid, doc_id, round(proximity, 6) AS proximity FROM prox")
 def proximity(spark, sf_dir):
-    return ranking.proximity(ranking.positions(docs(spark, sf_dir)), ranking.query_terms(asked(spark))).select("qid", "doc_id", r6("proximity").alias("proximity"))
+    terms = ranking.query_terms(asked(spark))
+    found = ranking.hits(ranking.records(docs(spark, sf_dir)), terms)
+    return ranking.proximity(found, terms).select("qid", "doc_id", r6("proximity").alias("proximity"))
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + " SELECT qid, doc_id FROM ph")
 def phrase_match(spark, sf_dir):
-    return ranking.phrases(ranking.positions(docs(spark, sf_dir)), ranking.query_terms(asked(spark)))
+    terms = ranking.query_terms(asked(spark))
+    return ranking.phrases(ranking.hits(ranking.records(docs(spark, sf_dir)), terms), terms)
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + _TOP.format(c="lexical", t="lex"))
 def lexical_boost(spark, sf_dir):
-    d, terms = docs(spark, sf_dir), ranking.query_terms(asked(spark))
-    pos = ranking.positions(d)
-    return _top(ranking.boosted(_scores(spark, d), ranking.proximity(pos, terms), ranking.phrases(pos, terms)), "lexical")
+    return _top(ranking.lexical(ranking.records(docs(spark, sf_dir)), ranking.query_terms(asked(spark))), "lexical")
 
 
-@query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + f""", sc AS (
+_HYBRID = f""", sc AS (
 SELECT qid, doc_id, 0.8 * lexical / max(lexical) OVER (PARTITION BY qid) + 0.2 * {sql.RECENCY} AS raw FROM lex JOIN src USING (doc_id))
-SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8""")
+SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8"""
+
+
+@query(sql.terms(sql.DATED, sql.ASKED) + sql.BM25 + sql.BOOST + _HYBRID)
 def batch_recall(spark, sf_dir):
-    return ranking.recall(dated(spark, sf_dir), asked(spark), now()).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    top = ranking.recall(dated_records(spark, sf_dir), asked_turns(spark, sf_dir), now())
+    return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _HYBRID)
+def hybrid_topk(spark, sf_dir):
+    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now())
+    return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _semantic(spark, sf_dir):
+    """Cosines of the vectors of documents 0, 50, ... 150 (for queries 1 to 4) with those of all documents."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.where("doc_id in (0, 50, 100, 150)").select((F.col("doc_id") / 50 + 1).cast("int").alias("qid"), F.col("embedding").alias("q"))
+    pairs = e.crossJoin(F.broadcast(q))  # four rows
+    return pairs.select("qid", "doc_id", F.round(ranking.cosine(F.col("embedding"), F.col("q")), 9).alias("cosine"))
+
+
+_SEM = """, sem AS (SELECT q.vec_id // 50 + 1 AS qid, e.vec_id AS doc_id, round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 9) AS cosine
+  FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 50, 100, 150)),
+both_ AS (SELECT coalesce(lex.qid, sem.qid) AS qid, coalesce(lex.doc_id, sem.doc_id) AS doc_id, coalesce(lexical, 0) AS lexical, coalesce(cosine, 0) AS cosine
+  FROM lex FULL JOIN sem ON lex.qid = sem.qid AND lex.doc_id = sem.doc_id),
+nrm AS (SELECT *, coalesce(lexical / nullif(max(lexical) OVER (PARTITION BY qid), 0), 0) AS l, coalesce(cosine / nullif(max(cosine) OVER (PARTITION BY qid), 0), 0) AS s FROM both_),
+gated AS (SELECT * FROM nrm WHERE lexical > 0 OR cosine > 0.2 OR s > 0.2)"""
+
+
+@query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _SEM + f""", sc AS (SELECT qid, doc_id, 0.45 * l + 0.45 * s + 0.1 * {sql.RECENCY} AS raw FROM gated JOIN src USING (doc_id) JOIN len USING (doc_id))
+SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8""")
+def hybrid_semantic(spark, sf_dir):
+    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now(), semantic=_semantic(spark, sf_dir))
+    return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _SEM + " SELECT qid, count(*) AS rows_in FROM gated JOIN len USING (doc_id) GROUP BY qid")
+def semantic_gate(spark, sf_dir):
+    """How many rows the gate lets in for each query."""
+    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now(), k=1 << 30, semantic=_semantic(spark, sf_dir))
+    return top.groupBy("qid").agg(F.count(F.lit(1)).alias("rows_in"))
+
+
+FED = [("than thou", "src1", 3), ("than thou", "src3", 200), ("pour", "src5", 1), ("than onesen thou zzyzx quux quuz", "src7", 9), ("eriner", "src2", 1), ("thanea", "src2", 50), ("eriner thanea zzyzx", "src4", 2)]
 
 
-@query("""SELECT vec_id, round(greatest(0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))), 6) AS cosine FROM embeddings""")
-def cosine_all(spark, sf_dir):
+def _fed(spark):
+    return spark.createDataFrame([(sorted(t.split()), s, c) for t, s, c in FED], "terms array<string>, source string, count long")
+
+
+_BONUS = ", fb AS (SELECT string_split(t, ' ') AS terms, source, c FROM (VALUES " + ", ".join(f"('{t}', '{s}', {c})" for t, s, c in FED) + """) v(t, source, c)),
+ql AS (SELECT qid, list(DISTINCT term) AS q FROM qt GROUP BY qid),
+bon AS (SELECT qid, source, max(o * least(0.3, 0.1 + 0.05 * ln(1 + c))) AS bonus
+  FROM (SELECT qid, source, c, len(list_intersect(terms, q)) / len(terms) AS o FROM fb, ql) WHERE o >= 0.5 GROUP BY ALL)"""
+
+
+@query(sql.terms(queries=ASKED) + _BONUS + " SELECT qid, source, round(bonus, 6) AS bonus FROM bon")
+def feedback_bonus(spark, sf_dir):
+    return ranking.bonus(ranking.query_terms(asked(spark)), _fed(spark)).select("qid", "source", r6("bonus").alias("bonus"))
+
+
+@query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _BONUS + f""", sc AS (
+SELECT lex.qid, doc_id, 0.8 * lexical / max(lexical) OVER (PARTITION BY lex.qid) + 0.2 * {sql.RECENCY} + coalesce(bonus, 0) AS raw
+FROM lex JOIN src USING (doc_id) LEFT JOIN bon ON bon.qid = lex.qid AND bon.source = src.source)
+SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8""")
+def feedback_rerank(spark, sf_dir):
+    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now(), feedback=_fed(spark))
+    return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT vec_id, q, round(cosine, 6) AS cosine, rank FROM (
+SELECT e.vec_id, q.vec_id AS q, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS cosine,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 9) DESC, e.vec_id) AS rank
+FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    """The ten nearest of all vectors for each one whose id divides by 50."""
     e = table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(one)).select("vec_id", r6(ranking.cosine(F.col("embedding"), F.col("q"))).alias("cosine"))
+    return ranking.nearest(e.where("vec_id % 50 = 0"), e, 10, "vec_id").select("vec_id", "q", r6("cosine").alias("cosine"), "rank")
 
 
-@query("SELECT vec_id, 0.0::DOUBLE AS cosine FROM embeddings")
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS cosine FROM embeddings")
 def cosine_dim_mismatch(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", ranking.cosine(F.col("embedding"), F.slice("embedding", 1, 3)).alias("cosine"))
+    """Every other vector is compared with a part of itself, which has another length."""
+    other = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))
+    return table(spark, sf_dir, "embeddings").select("vec_id", r6(ranking.cosine(F.col("embedding"), other)).alias("cosine"))
 
 
 def _events(spark, sf_dir):
@@ -198,7 +293,7 @@ def _events(spark, sf_dir):
     return c.select(T.tokenize(F.col("text")).alias("terms"), F.concat(F.lit("src"), F.col("conv_id") % 5).alias("source"), F.col("turn").alias("at"))
 
 
-_FED = sql.terms("SELECT conv_id * 1000 + turn AS doc_id, substr(text, 1, 40) AS text FROM conversations WHERE role = 'user'") + """, ev AS (
+_FED = sql.terms("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'user'") + """, ev AS (
 SELECT array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms, 'src' || ((doc_id // 1000) % 5) AS source, doc_id % 1000 AS tm FROM pos GROUP BY doc_id),
 fb AS (SELECT terms, source, count(*) AS "count", max(tm) AS last_at FROM ev GROUP BY terms, source)"""
 
@@ -218,13 +313,15 @@ def feedback_cap(spark, sf_dir):
     return _feedback(spark, sf_dir, 50).select(F.array_join("terms", " ").alias("terms"), "source", "count", "last_at")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0) UNION ALL SELECT doc_id + 1000000, source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 97 = 0)")
+_HALF = "substr(md5(source), 1, 1) < '8'"
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE NOT ({_HALF}) UNION ALL SELECT -doc_id - 1, source FROM documents WHERE {_HALF}")
 def upsert_by_source(spark, sf_dir):
-    """Sources of some rows are ingested again, all their rows with new ids."""
+    """Half of the sources are ingested again, all their rows with new ids."""
     d = docs(spark, sf_dir).select("doc_id", "source")
-    changed = d.where("doc_id % 97 = 0").select("source").distinct()
-    batch = d.join(changed, "source", "left_semi").select((F.col("doc_id") + 1000000).alias("doc_id"), "source")
-    return store.upsert(d, batch, changed, key="doc_id", order="doc_id")
+    batch = d.where(F.substring(F.md5(F.col("source").cast("binary")), 1, 1) < "8").select((-F.col("doc_id") - 1).alias("doc_id"), "source")
+    return store.upsert(d, batch, batch, key="doc_id", order="doc_id")
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS id FROM documents GROUP BY 2")
@@ -275,12 +372,55 @@ def citations(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.citation(F.col("source"), F.lit(1), F.size(F.split("text", "\n"))).alias("citation"))
 
 
+_PASSED = "SELECT doc_id % 20 AS qid, doc_id, source || ':1-' || len(string_split(text, chr(10))) AS citation, CASE WHEN doc_id % 3 = 0 THEN '2024-05-0' || (doc_id % 9 + 1) END AS date, text FROM documents"
+
+
+@query(f"""SELECT qid, md5(string_agg('[' || doc_id || '] ' || citation || coalesce(' (' || date || ')', '') || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY doc_id)) AS passages
+FROM ({_PASSED}) GROUP BY qid""")
+def format_passages(spark, sf_dir):
+    d = docs(spark, sf_dir).select(
+        (F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("rank"), T.citation(F.col("source"), F.lit(1), F.size(F.split("text", "\n"))).alias("citation"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-05-0"), (F.col("doc_id") % 9 + 1).cast("string"))).alias("date"), "text")
+    return T.format_passages(d).select("qid", F.md5(F.col("passages").cast("binary")).alias("passages"))
+
+
+@query(sql.terms() + " SELECT doc_id, CAST(len AS BIGINT) AS len, md5(string_agg(term, ' ' ORDER BY pos)) AS terms FROM pos JOIN len USING (doc_id) GROUP BY ALL")
+def token_migration(spark, sf_dir):
+    """Records of an older tokenizer, made anew."""
+    old = docs(spark, sf_dir).select("doc_id", "text", F.array(F.lit("old")).alias("terms"), F.lit(1).alias("len"))
+    new = snapshots.migrated(old).where("len > 0")
+    return new.select("doc_id", F.col("len").cast("long").alias("len"), F.md5(F.array_join("terms", " ").cast("binary")).alias("terms"))
+
+
+WHENS = ("today", "yesterday", "week", "last-week", "month", "year", "7d", "2 w", "1m", "1y", "2024-01-05", "")
+
+
+@query("""SELECT event_id, CASE event_id % 12 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 1 DAY WHEN 2 THEN ts - INTERVAL 7 DAY WHEN 3 THEN ts - INTERVAL 7 DAY WHEN 4 THEN ts - INTERVAL 30 DAY
+WHEN 5 THEN ts - INTERVAL 365 DAY WHEN 6 THEN ts - INTERVAL 7 DAY WHEN 7 THEN ts - INTERVAL 14 DAY WHEN 8 THEN ts - INTERVAL 30 DAY WHEN 9 THEN ts - INTERVAL 365 DAY
+WHEN 10 THEN TIMESTAMP '2024-01-05' END AS since FROM events""")
+def parse_when_relative(spark, sf_dir):
+    """Every form of a time, counted back from the event's time."""
+    value = F.element_at(F.array(*map(F.lit, WHENS)), (F.col("event_id") % 12 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", D.parse_when_column(value, F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("since"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN NULL WHEN 2 THEN strftime(o_orderdate, '%Y') || '-02-31' WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y') || '-09-09' END AS date,
+CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(strftime(o_orderdate, '%Y-03-01')::DATE + CASE WHEN year(o_orderdate) % 4 = 0 THEN 1 ELSE 2 END, '%Y-%m-%d') WHEN 4 THEN strftime(o_orderdate, '%Y') || '-09-09' END AS day FROM orders""")
+def extract_date_edge(spark, sf_dir):
+    """Dates beside letters of other scripts, second dates, days that a month doesn't have, words that begin like months, short names."""
+    o = table(spark, sf_dir, "orders")
+    iso, year, key = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy"), F.col("o_orderkey") % 5
+    text = (F.when(key == 0, F.concat(F.lit("é"), iso)).when(key == 1, F.concat(F.lit("2026-13-01 then "), iso)).when(key == 2, F.concat(year, F.lit("-02-31 x")))
+            .when(key == 3, F.concat(F.lit("Mayhem 3 "), year, F.lit(", marathon 7, "), year)).otherwise(F.concat(F.lit("on Sept. 9, "), year)))
+    date = D.extract_date(text)
+    return o.select("o_orderkey", date.alias("date"), F.date_format(D.date_to_time(date), "yyyy-MM-dd").alias("day"))
+
+
 @query()
 def snippets(spark, sf_dir):
-    d = dated(spark, sf_dir)
-    top = ranking.recall(d, asked(spark), now())
-    terms = ranking.query_terms(asked(spark)).groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    return top.join(d, "doc_id").join(terms, "qid").select("qid", "rank", "doc_id", T.snippet(F.col("text"), F.col("terms")).alias("snippet"))
+    d = dated(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.size(F.split("text", "\n")), "date": F.lit(None).cast("string")})
+    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now())
+    return ranking.results(top, d, asked(spark)).select("qid", "rank", "doc_id", "citation", "snippet")
 
 
 @query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + f""", sc AS (
@@ -290,7 +430,7 @@ SELECT avg((rank = 1)::INT) AS hit1, avg((rank <= 3)::INT) AS hit3, round(avg(1.
 FROM (SELECT qid, min(rank) AS rank FROM sc JOIN src USING (doc_id) WHERE contains(source, 'src1') AND rank <= 8 GROUP BY qid)""")
 def eval_metrics(spark, sf_dir):
     """hit@1, hit@3 and mean reciprocal rank of the first result from an expected source."""
-    d = dated(spark, sf_dir)
-    found = ranking.recall(d, asked(spark), now()).join(d.select("doc_id", "source"), "doc_id").where(F.col("source").contains("src1"))
+    recs = dated_records(spark, sf_dir)
+    found = ranking.recall(recs, asked(spark), now()).join(recs.select("doc_id", "source"), "doc_id").where(F.col("source").contains("src1"))
     rank = found.groupBy("qid").agg(F.min("rank").alias("rank"))
     return rank.agg(F.avg((F.col("rank") == 1).cast("int")).alias("hit1"), F.avg((F.col("rank") <= 3).cast("int")).alias("hit3"), r6(F.avg(1 / F.col("rank"))).alias("mrr"))

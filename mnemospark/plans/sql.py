@@ -34,12 +34,12 @@ def stem(word: str) -> str:
     return f"{out}[1]"
 
 
-def terms(source: str = "SELECT doc_id, text FROM documents", queries: list[tuple[int, str]] | None = None) -> str:
-    """CTEs tok, stems, pos (doc_id, pos, term), post (doc_id, term, tf), len, n; with ``queries`` also qt (qid, qpos, term)."""
+def terms(source: str = "SELECT doc_id, text FROM documents", queries: list[tuple[int, str]] | str | None = None) -> str:
+    """CTEs tok, stems, pos (doc_id, pos, term), post (doc_id, term, tf), len, n; with ``queries`` (rows, or SQL for qid, q) also qt (qid, qpos, term)."""
     asked = ""
     if queries:
-        rows = ", ".join(f"({i}, '{q}')" for i, q in queries)
-        asked = f""", ask AS (SELECT qid, {words('q')} AS ws FROM (VALUES {rows}) v(qid, q)),
+        rows = queries if isinstance(queries, str) else "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in queries) + ") v(qid, q)"
+        asked = f""", ask AS (SELECT qid, {words('q')} AS ws FROM ({rows})),
 qw AS (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS qpos FROM ask),
 qt AS (SELECT qid, qpos, {stem('w')} AS term FROM qw)"""
     return f"""WITH src AS ({source}),
@@ -50,7 +50,7 @@ pos AS (SELECT doc_id, pos, term FROM flat JOIN stems USING (w)),
 post AS (SELECT doc_id, term, count(*) AS tf FROM pos GROUP BY ALL),
 len AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY doc_id),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-n AS (SELECT (SELECT count(*) FROM src) AS n_chunks, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM src) AS avgdl){asked}"""
+n AS (SELECT count(*) AS n_chunks, coalesce(avg(len), 0) AS avgdl FROM len){asked}"""
 
 
 BM25 = """, bm AS (
@@ -69,4 +69,5 @@ lex AS (SELECT bm.qid, bm.doc_id, bm25 * (1 + 0.6 * coalesce(proximity, 0) + CAS
   FROM bm LEFT JOIN prox ON prox.qid = bm.qid AND prox.doc_id = bm.doc_id LEFT JOIN ph ON ph.qid = bm.qid AND ph.doc_id = bm.doc_id)"""
 
 DATED = "SELECT doc_id, text, source, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 365) AS when_ts FROM documents"
+ASKED = "SELECT conv_id * 1000 + turn AS qid, text AS q FROM conversations WHERE conv_id % 50 = 0 AND role = 'user'"
 RECENCY = "pow(0.5, greatest(0, epoch_ms(TIMESTAMP '2024-12-31') - epoch_ms(when_ts)) / 86400000.0 / 60)"

@@ -1,11 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
-from mnemospark.operators import chunking, store
+from mnemospark.operators import chunking, ranking, store
 from mnemospark.plans import queries
 
 
@@ -35,8 +36,9 @@ def test_parse_when():
     now = dt.datetime(2026, 6, 10, tzinfo=dt.timezone.utc)
     assert [(now - D.parse_when(v, now)).days for v in ("today", "7d", "2 w", "1m", "1y")] == [0, 7, 14, 30, 365]
     assert D.parse_when("", now) is None
-    with pytest.raises(ValueError):
-        D.parse_when("soon", now)
+    for bad in ("soon", "Today", " 7d", "7 D"):
+        with pytest.raises(ValueError):
+            D.parse_when(bad, now)
 
 
 def test_html(spark):
@@ -69,3 +71,71 @@ def test_feedback_takes_whole_turns(spark, tmp_path):
     want = {(stems[w], *rest) for w, *rest in want}
     assert {tuple(r) for r in queries.feedback_upsert(spark, str(tmp_path)).collect()} == want
     assert {tuple(r) for r in queries.feedback_cap(spark, str(tmp_path)).collect()} == want
+
+
+def _snippet_by_hand(text, terms, width=240):
+    lower, hits = text.lower(), []
+    for t in filter(None, terms):
+        at = lower.find(t)
+        while at >= 0:
+            hits.append(at)
+            at = lower.find(t, at + len(t))
+    if not hits:
+        return text[:width].strip() + ("…" if len(text) > width else "")
+    hits.sort()
+    begin = max(0, max(hits, key=lambda h: (sum(h <= x < h + width for x in hits), -h)) - width // 6)
+    end = min(len(text), begin + width)
+    return ("…" if begin else "") + text[begin:end].strip() + ("…" if end < len(text) else "")
+
+
+def test_snippet_against_brute_force(spark):
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gam", "a.b", "x(y", "filler", "\n", "  "]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 120))), rng.sample(["alpha", "gam", "a.b", "x(y", "", "none"], rng.randint(0, 4))) for _ in range(200)]
+    got = spark.createDataFrame(rows, "t string, w array<string>").select(T.snippet(F.col("t"), F.col("w")).alias("s")).collect()
+    assert [r.s for r in got] == [_snippet_by_hand(*r) for r in rows]
+
+
+def test_fnv1a_takes_utf16_units(spark):
+    def by_hand(text):
+        h = 2166136261
+        raw = text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[i:i + 2], "little")) * 16777619) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    texts = ["", "a", "note:1:é", "日本", "😀 x"]
+    assert [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fnv1a(F.col("t")).alias("x")).collect()] == list(map(by_hand, texts))
+
+
+@pytest.mark.parametrize(("limit", "want"), [(None, 8), (0, 8), (-3, 8), (0.5, 1), (3.9, 3), (float("nan"), 8), (float("inf"), 8), ("4", 8)])
+def test_limit(limit, want):
+    assert ranking.limit_of(limit) == want
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)] if i % 9 else [0.0] * 4) for i in range(120)] + [(200, [1.0]), (201, None)]
+    rows = spark.createDataFrame(vectors, "id long, embedding array<double>").repartition(3)
+    one = sorted(map(tuple, ranking.nearest(rows.where("id % 10 = 0"), rows, 3, "id").collect()))
+    monkeypatch.setattr(ranking, "VECTORS", 5)
+    assert sorted(map(tuple, ranking.nearest(rows.where("id % 10 = 0"), rows, 3, "id").collect())) == one and len(one) == 13 * 3
+    assert {(q, k) for q, k, _, r in one if r == 1 and q % 9 and q < 200} == {(q, q) for q in range(0, 120, 10) if q % 9}
+    assert ranking.nearest(rows.limit(0), rows, 3, "id").count() == 0
+
+
+NOTES = {
+    "stack": "# Stack\n\n2026-01-20 - we picked postgres over mongo as the database.\n", "pricing-old": "# Plans\n\n2026-02-01 - pricing is one flat fee.\n",
+    "pricing-new": "# Plans\n\n2026-06-01 - pricing is a free tier with credits.\n", "outage": "# Incident\n\n2026-05-10 - webhook retries caused the outage; we shipped a fix.\n",
+}
+
+
+@pytest.mark.parametrize(("asked", "since", "want"), [
+    ("which database did we choose, postgres?", None, ["stack"]), ("pricing fee", None, ["pricing-old", "pricing-new"]), ("pricing", None, ["pricing-new", "pricing-old"]),
+    ("what caused the webhook outage", None, ["outage"]), ("pricing", "2026-05-01", ["pricing-new"]), ("zebra", None, [])])
+def test_recall_of_notes(spark, asked, since, want):
+    now = dt.datetime(2026, 6, 10)
+    rows = spark.createDataFrame([(k, t, now) for k, t in NOTES.items()], "source string, text string, mtime timestamp")
+    recs = chunking.records(chunking.chunk_files(rows)).withColumns({"at": F.coalesce("when_ts", "mtime"), "seq": F.xxhash64("source")})
+    found = ranking.recall(recs, spark.createDataFrame([(1, asked)], "qid int, query string"), F.lit(now), since=since and F.lit(since).cast("timestamp"), key="source")
+    assert [r.source for r in found.orderBy("rank").collect()] == want

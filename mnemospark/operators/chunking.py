@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
+from mnemospark.functions.terms import tokenized
 
 MAX_CHARS, MIN_CHARS = 900, 200
 _heading = re.compile(r"#{1,6}\s")
@@ -62,5 +63,5 @@ def chunk_files(texts: DataFrame) -> DataFrame:
 def records(chunks: DataFrame, source: str = "source") -> DataFrame:
     """Chunks with id, fnv (the short id), terms and len; chunks without a token are left out."""
     head = F.concat(F.col(source), F.lit(":"), F.col("start_line").cast("string"), F.lit(":"), F.substring("text", 1, 64))
-    made = chunks.withColumns({"id": F.sha2(head.cast("binary"), 256), "fnv": T.fnv1a(head), "terms": T.tokenize(F.col("text"))})
+    made = tokenized(chunks.withColumns({"id": F.sha2(head.cast("binary"), 256), "fnv": T.fnv1a(head), "__raw": F.col("text")}), "__raw")
     return made.withColumn("len", F.size("terms")).where("len > 0")

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
+from mnemospark.functions.terms import tokenized
 from mnemospark.operators.scratch import written
 
 K1, B = 1.5, 0.75
@@ -29,7 +30,7 @@ GATE = 0.2
 
 def records(chunks: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, ``carry``, terms, len of the chunks that have a token; the others are never stored, so they don't count anywhere."""
-    made = chunks.select(key, *carry, T.tokenize(F.col(text)).alias("terms"))
+    made = tokenized(chunks.select(key, *carry, F.col(text)), text)
     return written(made.withColumn("len", F.size("terms")).where("len > 0"), "records")
 
 
@@ -75,22 +76,37 @@ def proximity(found: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFr
     """qid, key, proximity: share of the query's distinct terms present, by how close together they stand.
 
     One pass over each record's hits in order: every hit ends a window that reaches back to the latest place of each
-    term so far.  There are as many running places as the longest query has terms.
+    term so far.  The terms stand in the order of those places, so the window's start is the first of them.
     """
-    numbered = terms.groupBy("qid", "term").agg(F.min("qpos").alias("qpos"))
-    numbered = numbered.withColumn("no", F.row_number().over(Window.partitionBy("qid").orderBy("qpos"))).drop("qpos")
-    most = terms.groupBy("qid").agg(F.count_distinct("term").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    if most < 2:
-        return found.join(numbered, "term").select("qid", key).distinct().withColumn("proximity", F.lit(0.0))
-    size = numbered.groupBy("qid").agg(F.count(F.lit(1)).alias("q"))
-    so_far = Window.partitionBy("qid", key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.array(*[F.last(F.when(F.col("no") == i, F.col("pos")), ignorenulls=True).over(so_far) for i in range(1, most + 1)])
-    ended = found.join(numbered, "term").withColumn("places", F.array_compact(last))
-    ended = ended.select("qid", key, F.size("places").alias("have"), (F.col("pos") - F.array_min("places")).alias("span"))
-    best = ended.groupBy("qid", key).agg(F.min(F.struct((-F.col("have")).alias("less"), "span")).alias("b")).join(size, "qid")
-    d = -F.col("b.less")
-    score = F.when((d >= 2) & (F.col("q") >= 2), d / F.col("q") * (d - 1) / F.col("b.span")).otherwise(0.0)
-    return best.select("qid", key, score.alias("proximity"))
+    distinct = terms.select("qid", "term").distinct()
+    size = distinct.groupBy("qid").agg(F.count(F.lit(1)).alias("q"))
+    rows = found.join(distinct, "term").select("qid", key, "pos", "term")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("qid", key).schema) + ", have int, span int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, latest, best = None, {}, (0, 0)
+        for batch in batches:
+            done: list[tuple] = []
+            for qid, own, pos, term in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (qid, own) != now:
+                    if now is not None:
+                        done.append((*now, -best[0], best[1]))
+                    now, latest, best = (qid, own), {}, (0, 0)
+                latest.pop(term, None)
+                latest[term] = pos
+                best = min(best, (-len(latest), pos - next(iter(latest.values()))))
+            yield record(done)
+        if now is not None:
+            yield record([(*now, -best[0], best[1])])
+
+    types = [to_arrow_type(f.dataType) for f in rows.select("qid", key).schema] + [pa.int32()] * 2
+
+    def record(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=["qid", key, "have", "span"])
+
+    spans = rows.repartition("qid", key).sortWithinPartitions("qid", key, "pos").mapInArrow(run, schema).join(size, "qid")
+    score = F.when((F.col("have") >= 2) & (F.col("q") >= 2), F.col("have") / F.col("q") * (F.col("have") - 1) / F.col("span")).otherwise(0.0)
+    return spans.select("qid", key, score.alias("proximity"))
 
 
 def phrases(found: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
+from mnemospark.functions.terms import tokenized
 from mnemospark.operators import chunking, ranking, snapshots, store
 from mnemospark.plans import sql
 
@@ -64,7 +65,7 @@ def r6(c):
 
 @query(sql.terms() + " SELECT w AS word, count(*) AS n FROM flat GROUP BY w")
 def tokenize_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return tokenized(docs(spark, sf_dir).select("text"), stemming=False).select(F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql.terms() + " SELECT w AS word, term FROM stems")

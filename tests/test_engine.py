@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.functions import terms
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
 from mnemospark.operators import chunking, ranking, store
@@ -16,7 +17,7 @@ from mnemospark.plans import queries
     ("nation", "n"), ("sing", "s"), ("used", "us"), ("need", "ne"), ("ment", ""),
 ])
 def test_stem(spark, word, stem):
-    assert T.stemmed(spark.createDataFrame([(word,)], "w string"), "w", "s").first().s == stem
+    assert T.stemmed(spark.createDataFrame([(word,)], "w string"), "w", "s").first().s == stem == terms.stem(word)
 
 
 def test_tokenize_keeps_order_and_drops_other_scripts(spark):
@@ -24,6 +25,16 @@ def test_tokenize_keeps_order_and_drops_other_scripts(spark):
     assert [r.x for r in df.collect()] == [["don't", "use", "caf"], []]
 
 
+def test_both_tokenizers_agree(spark):
+    rng = random.Random(1)
+    parts = [*T.SUFFIXES, *T.LEMMAS, *T.ALIASES, *T.STOPWORDS, "ss", "ies", "sses", "ly", "ee", "y", "ay", "bb", "ll", "zz", "x", "'", "-", "_", "é", "Ü", "9", " ", ". "]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 30)))) for i in range(3000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    for stemming in (True, False):
+        got = {r.i: r.terms for r in terms.tokenized(df, "t", stemming=stemming).collect()}
+        assert got == {r.i: r.x or [] for r in df.select("i", T.tokenize(F.col("t"), stemming).alias("x")).collect()}
+
+
 @pytest.mark.parametrize(("text", "date"), [
     ("2026-13-01 … May 3, 2026", "2026-05-03"), ("2026-13-01 … 2026-05-03", None), ("Mayhem 3 2026", None), ("Sept. 9, 2026", "2026-09-09"),
     ("2026-02-31", "2026-02-31"), ("é2026-05-20", "2026-05-20"), ("none", None),

@@ -78,6 +78,15 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return task
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let fewer rows travel to Python workers at once than Spark's 10,000: whole texts are long, and stages share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The whole text; null counts as the empty text."""
     return F.coalesce(df[column], F.lit(""))

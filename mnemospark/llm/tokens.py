@@ -24,12 +24,12 @@ from mnemospark.llm.common import held
 
 MAX_FILE = 64 << 20
 #: Characters of the texts that are cut into words together (a longer text stands alone), and words in one native call.
-SLICE_CHARS = 6 << 20
+SLICE_CHARS = 3 << 20
 CALL_WORDS = 20_000
 #: A longer text goes to the library whole.
 MAX_TEXT = 64 << 20
 #: Words whose ids a worker keeps at most; beyond, those that no later slice has asked for since the last time go.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 #: The pattern of pre-tokens inside a word; it is used up to U+024F, where all tables of letters and digits agree.
 _pretoken = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")

@@ -161,8 +161,8 @@ class Model:
         return float(np.interp(raw, self.xs, self.ys)), evidence
 
 
-def _examples(docs: DataFrame, labels: DataFrame, max_examples: int, buckets: int, held_out: int) -> list[tuple[int, int, Counter]]:
-    """(doc_id, toxic, words) of the examples, at most ``max_examples``."""
+def _examples(docs: DataFrame, labels: DataFrame, max_examples: int, buckets: int, held_out: int) -> tuple[dict[bytes, int], list[tuple]]:
+    """The vocabulary, numbered from 1 on in order, and (doc_id, toxic, numbers of its words, counts) of the examples, at most ``max_examples``."""
     rule = F.pmod(doc_hash(), F.lit(buckets)) != held_out
     known = labels.where(rule & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").cast("long").alias("sample_id"), "toxic")
@@ -177,7 +177,18 @@ def _examples(docs: DataFrame, labels: DataFrame, max_examples: int, buckets: in
                 names=["doc_id", "toxic", "words", "times"])
 
     made = rows.mapInArrow(tidied(run), "doc_id long, toxic int, words array<binary>, times array<long>")
-    return sorted((r.doc_id, r.toxic, dict(zip(map(bytes, r.words), r.times, strict=True))) for r in made.toLocalIterator())
+    seen: dict[bytes, int] = {}
+    numbered = [
+        (r.doc_id, r.toxic, np.array([seen.setdefault(bytes(w), len(seen)) for w in r.words], dtype=np.int64), np.array(r.times, dtype=np.int64))
+        for r in made.toLocalIterator()]
+    vocabulary = {w: i for i, w in enumerate(sorted(seen), 1)}
+    place = np.fromiter(map(vocabulary.__getitem__, seen), dtype=np.int64, count=len(seen))
+    out = []
+    for doc_id, toxic, words, times in sorted(numbered, key=lambda e: e[0]):
+        terms = place[words]
+        by = np.argsort(terms)
+        out.append((doc_id, toxic, terms[by], times[by]))
+    return vocabulary, out
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
@@ -202,16 +213,9 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, buckets: int = BUCKETS, held_out: int = HELD_OUT) -> Model:
-    examples = _examples(docs, labels, max_examples, buckets, held_out)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[2]}), 1)}
+    vocabulary, examples = _examples(docs, labels, max_examples, buckets, held_out)
     total, df = _document_frequencies(docs, vocabulary)
-    idf = np.log((total + 1) / (df + 1))
-    numbered = []
-    for doc_id, toxic, words in examples:
-        terms = np.array([vocabulary[w] for w in words], dtype=np.int64)
-        by = np.argsort(terms)
-        numbered.append((doc_id, toxic, terms[by], np.array(list(words.values()), dtype=np.int64)[by]))
-    return Model(vocabulary, idf, numbered, k)
+    return Model(vocabulary, np.log((total + 1) / (df + 1)), examples, k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

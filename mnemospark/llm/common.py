@@ -50,6 +50,7 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,15 +72,20 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Give the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:

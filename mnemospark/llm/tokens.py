@@ -20,16 +20,16 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from mnemospark.llm.common import held
+from mnemospark.llm.common import give_back, held
 
 MAX_FILE = 64 << 20
 #: Characters of the texts that are cut into words together (a longer text stands alone), and words in one native call.
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 2 << 20
 CALL_WORDS = 20_000
 #: A longer text goes to the library whole.
 MAX_TEXT = 64 << 20
 #: Words whose ids a worker keeps at most; beyond, those that no later slice has asked for since the last time go.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: The pattern of pre-tokens inside a word; it is used up to U+024F, where all tables of letters and digits agree.
 _pretoken = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
@@ -73,6 +73,7 @@ def slices(texts: pa.Array, most: int = SLICE_CHARS, rows: int = 4096) -> Iterat
     while lo < len(texts):
         hi = min(max(lo + 1, int(np.searchsorted(n, n[lo] + most, side="right")) - 1), lo + rows)
         yield lo, [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+        give_back()  # a slice's arrays are gone by now
         lo = hi
 
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +207,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    shared.destroy()
     out = np.zeros(len(vocabulary) + 1, dtype=np.float64)
     out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     total, out[0] = int(out[0]), 0
@@ -218,9 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k:
     return Model(vocabulary, np.log((total + 1) / (df + 1)), examples, k)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | Broadcast) -> DataFrame:
     """doc_id, text_key, score, evidence (doc_ids of the nearest examples) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -244,5 +246,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the rows that score ``threshold`` or more."""
-    found = persist(score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("doc_id", "text_key").distinct(), "toxic")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    found = persist(score(docs, shared).where(F.col("score") >= threshold).select("doc_id", "text_key").distinct(), "toxic")
+    shared.destroy()  # the result is written: nothing is left that could need the model again
     return rows_without(docs, found)

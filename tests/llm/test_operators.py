@@ -213,8 +213,21 @@ def test_packing_round_trip(docs, empty):
 
 
 def test_language_model(docs, empty):
+    """Counts and base scores against brute force."""
     got = class_lm.scores(docs).collect()
     assert len(got) == len(_texts()) and all(r.score < 0 and r.base_score < 0 for r in got)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) + [None]  # noqa: E731  None: the end
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    count: dict = {}
+    for i, t in _texts():
+        if not held(i):
+            for w in words(t):
+                count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    want = sorted(
+        (str(i), held(i), len(words(t)), sum(w in count for w in words(t)), n, round(float(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words(t))), 6)) for i, t in _texts())
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert class_lm.scores(empty).count() == 0
 
 
@@ -225,6 +238,21 @@ def test_min_cost_flow_moves_the_fewest():
     assert sum(b[2] - b[1] for b in blocks) == 60
 
 
+def test_rewriting_leaves_other_shards(spark, tmp_path):
+    """Shard 2 is untouched; 0 gives a row to 1; all of 3 goes to 1, so its folder goes."""
+    rows = [(0, "a", 0, 0), (1, "b", 0, 1), (2, "c", 1, 1), (3, "d", 2, 2), (4, None, 2, 2), (5, "f", 3, 1), (5, "f", 3, 1)]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s, _ in rows], "doc_id long, text string, shard int")
+    path = str(tmp_path / "shards")
+    docs.write.partitionBy("shard").parquet(path)
+    before = {p.name for p in (tmp_path / "shards" / "shard=2").iterdir()}
+    assigned = spark.createDataFrame(
+        [(i, len(t or "") + 8, zlib.crc32((t or "").encode()), s, j) for i, t, s, j in rows], "doc_id long, size long, text_crc32 long, old_shard int, shard int")
+    assert sharding.rewrite(spark.read.parquet(path), assigned, path) == [0, 1, 3]
+    left = sorted((r.shard, r.doc_id, r.text) for r in spark.read.parquet(path).where("text is not null").collect())
+    assert left == sorted((j, i, t) for i, t, _, j in rows if t is not None) and spark.read.parquet(path).count() == 7
+    assert {p.name for p in (tmp_path / "shards" / "shard=2").iterdir()} == before and not (tmp_path / "shards" / "shard=3").exists()
+
+
 def test_sharding(docs, empty):
     got = sharding.assign(docs, n_new=4).collect()
     sizes = [sum(r["size"] for r in got if r.shard == s) for s in range(4)]

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import (
+    centroids,
     class_lm,
     decontam,
     exact_dedup,
+    funnel,
+    html_article,
     near_dedup,
     packing,
     pii,
@@ -70,6 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.count_funnels(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_article.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_funnel": op11_funnel,
+    "op12_centroids": op12_centroids,
+    "op13_html_article": op13_html_article,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +106,6 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE,
     "op3_near_dedup": near_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op11_funnel": funnel.oracle(),
+    "op12_centroids": centroids.oracle(),
 }

@@ -6,7 +6,7 @@ microsecond, so it sees later rows only.
 
 One client may hold any share of the rows, so the fill runs over slices of a minute.  What an attempt needs from beyond its
 minute are the first rows of each kind in the following ones: they are aggregated once for each minute (map-side first), filled
-over the minutes of an hour and the next, and enter each slice as one row at its end.  So no task gets a client whole: a group
+over the minutes of an hour and the next, and enter each slice as candidate rows beyond its end.  So no task gets a client whole: a group
 has the rows of one client and minute, or at most 120 minutes' summaries.
 
 Percentiles are selected exactly in two levels: counts in bins of about a second give the bin that holds the wanted value, then
@@ -56,48 +56,54 @@ def _micros(clicks: DataFrame) -> Column:
     return seconds * 1_000_000 + (F.expr("extract(SECOND FROM ts)") * 1_000_000).cast("long")
 
 
-def _start(time: Column, width: int) -> Column:
-    """The start of the slice of ``width`` microseconds that holds ``time``."""
-    return time - F.pmod(time, F.lit(width))
+#: Rows travel as client_id, minute (its number), off (microseconds from the minute's start) and code: the number of a kind, or
+#: for an attempt one less than none, and so on, by the number of its funnel.  Attempts so come before the rows of their own microsecond.
+ROW = ("client_id", "minute", "off", "code")
 
 
-def _first(kind: str) -> str:
-    return f"next_{kind}"
+def _placed(us: Column) -> tuple[Column, Column]:
+    off = F.pmod(us, F.lit(MINUTE))
+    return F.floor((us - off) / MINUTE).alias("minute"), off.alias("off")
 
 
-def _carried(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """For each client and minute with rows, one row at the minute's end with the first row of each kind in the minutes after it."""
-    own = rows.groupBy("client_id", _start(F.col("us"), MINUTE).alias("minute")).agg(
-        *[F.min(F.when(F.col("kind") == k, F.col("us"))).alias(f"own_{k}") for k in kinds])
-    hour = _start(F.col("minute"), WITHIN)
-    twice = own.withColumn("hour", F.explode(F.array(hour, hour - F.lit(WITHIN))))
+def _time() -> Column:
+    return F.col("minute") * MINUTE + F.col("off")
+
+
+def _attempt(number: int | Column) -> Column:
+    return F.lit(-1) - number
+
+
+def _carried(rows: DataFrame, codes: Sequence[int]) -> DataFrame:
+    """For each client and minute with rows, the first row of each kind in the minutes after it, as a row of that minute (whose ``off`` lies beyond it)."""
+    own = rows.groupBy("client_id", "minute").agg(*[F.min(F.when(F.col("code") == k, F.col("off"))).alias(f"own{k}") for k in codes])
+    hour = F.floor(F.col("minute") / 60)
+    twice = own.withColumn("hour", F.explode(F.array(hour, hour - 1)))
     later = Window.partitionBy("client_id", "hour").orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
-    filled = twice.select("client_id", "hour", "minute", *[F.last(f"own_{k}", ignorenulls=True).over(later).alias(_first(k)) for k in kinds])
-    return filled.where(F.col("hour") == hour).select(
-        "client_id", "minute", (F.col("minute") + MINUTE).alias("us"), F.lit(0).alias("tag"), *[_first(k) for k in kinds])
+    first = [F.last(F.col("minute") * MINUTE + F.col(f"own{k}"), ignorenulls=True).over(later) for k in codes]
+    filled = twice.select("client_id", "hour", "minute", *[f.alias(f"next{k}") for k, f in zip(codes, first, strict=True)]).where(F.col("hour") == hour)
+    each = F.array(*[F.struct((F.col(f"next{k}") - F.col("minute") * MINUTE).alias("off"), F.lit(k).alias("code")) for k in codes])
+    return filled.select("client_id", "minute", F.inline(F.filter(each, lambda x: x["off"] < MINUTE + WITHIN)))  # null and farther ones end no attempt of this minute
 
 
-def _stepped(attempts: DataFrame, rows: DataFrame, carried: DataFrame, step: int, funnels: Sequence[Funnel]) -> DataFrame:
+def _stepped(attempts: DataFrame, rows: DataFrame, carried: DataFrame, step: int, funnels: Sequence[Funnel], kinds: Sequence[str]) -> DataFrame:
     """funnel, client_id, us, d: the attempts (funnel, client_id, us) that reach their next step, at its time and ``d`` after the one before."""
-    wanted = {f.name: f.steps[step] for f in funnels}
-    kinds = sorted({*wanted.values(), *(f.without for f in funnels)})
-    none = F.lit(None).cast("long")
-    minute = _start(F.col("us"), MINUTE)
-    tried = attempts.select("client_id", minute.alias("minute"), "us", F.lit(1).alias("tag"), "funnel", *[none.alias(_first(k)) for k in kinds])
-    may = rows.where(F.col("kind").isin(kinds)).select(
-        "client_id", minute.alias("minute"), "us", F.lit(2).alias("tag"), F.lit(None).cast("string").alias("funnel"),
-        *[F.when(F.col("kind") == k, F.col("us")).alias(_first(k)) for k in kinds])
-    ends = carried.select("client_id", "minute", "us", "tag", F.lit(None).cast("string").alias("funnel"), *[_first(k) for k in kinds])
-    order = Window.partitionBy("client_id", "minute").orderBy(F.desc("us"), "tag").rowsBetween(Window.unboundedPreceding, 0)
-    filled = tried.unionAll(may).unionAll(ends).select(
-        "client_id", "us", "tag", "funnel", *[F.last(_first(k), ignorenulls=True).over(order).alias(_first(k)) for k in kinds]).where("tag = 1")
-
-    def of(kind_of) -> Column:
-        return F.coalesce(*[F.when(F.col("funnel") == f.name, F.col(_first(kind_of(f)))) for f in funnels])
-
-    found = filled.select("funnel", "client_id", "us", of(lambda f: wanted[f.name]).alias("to"), of(lambda f: f.without).alias("stop"))
-    reached = (F.col("to") - F.col("us") <= WITHIN) & (F.col("stop").isNull() | (F.col("stop") > F.col("to")))
-    return found.where(reached).select("funnel", "client_id", F.col("to").alias("us"), (F.col("to") - F.col("us")).alias("d"))
+    wanted, without = ({i: kinds.index(k) for i, k in enumerate(x)} for x in ([f.steps[step] for f in funnels], [f.without for f in funnels]))
+    codes = sorted({*wanted.values(), *without.values()})
+    number = F.coalesce(*[F.when(F.col("funnel") == f.name, i) for i, f in enumerate(funnels)])
+    tried = attempts.select("client_id", *_placed(F.col("us")), _attempt(number).alias("code"))
+    may = rows.unionByName(carried).where(F.col("code").isin(codes)).select(*ROW)
+    order = Window.partitionBy("client_id", "minute").orderBy(F.desc("off"), "code").rowsBetween(Window.unboundedPreceding, 0)
+    following = {k: F.last(F.when(F.col("code") == k, F.col("off")), ignorenulls=True).over(order) for k in codes}
+    filled = tried.unionAll(may).select(*ROW, *[f.alias(f"next{k}") for k, f in following.items()]).where("code < 0")
+
+    def of(kind: dict[int, int]) -> Column:
+        return F.coalesce(*[F.when(F.col("code") == _attempt(i), F.col(f"next{k}")) for i, k in kind.items()])
+
+    name = F.element_at(F.array(*[F.lit(f.name) for f in funnels]), -F.col("code"))
+    found = filled.select(name.alias("funnel"), "client_id", "minute", "off", of(wanted).alias("to"), of(without).alias("stop"))
+    reached = (F.col("to") - F.col("off") <= WITHIN) & (F.col("stop").isNull() | (F.col("stop") > F.col("to")))
+    return found.where(reached).select("funnel", "client_id", (F.col("minute") * MINUTE + F.col("to")).alias("us"), (F.col("to") - F.col("off")).alias("d"))
 
 
 def _percentiles(times: DataFrame, keys: Sequence[str], percent: int) -> DataFrame:
@@ -119,14 +125,16 @@ def count_funnels(clicks: DataFrame, funnels: Sequence[Funnel] = FUNNELS, percen
         raise ValueError("funnels of one call have the same number of steps")
     steps = depth.pop()
     kinds = sorted({k for f in funnels for k in (*f.steps, f.without)})
-    rows = clicks.select("client_id", "kind", _micros(clicks).alias("us")).where(F.col("client_id").isNotNull() & F.col("kind").isin(kinds) & F.col("us").isNotNull())
-    rows = persist(rows.distinct(), "funnel-rows")
-    carried = persist(_carried(rows, kinds), "funnel-minutes")
-    starts = F.filter(F.array(*[F.when(F.col("kind") == f.steps[0], F.lit(f.name)) for f in funnels]), lambda x: x.isNotNull())
-    attempts = rows.select(F.explode(starts).alias("funnel"), "client_id", "us", F.lit(None).cast("long").alias("d"))
+    code = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int") - 1
+    rows = clicks.where(F.col("client_id").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isin(kinds)).select("client_id", *_placed(_micros(clicks)), code.alias("code"))
+    carried = persist(_carried(rows, range(len(kinds))), "funnel-minutes")
+    starts = F.filter(F.array(*[F.when(F.col("code") == kinds.index(f.steps[0]), F.lit(f.name)) for f in funnels]), lambda x: x.isNotNull())
+    # repeated rows change no fill, so the attempts alone are made distinct
+    first = rows.where(F.col("code").isin([kinds.index(f.steps[0]) for f in funnels])).distinct().select(F.explode(starts).alias("funnel"), "client_id", _time().alias("us"))
+    attempts = persist(first.withColumn("d", F.lit(None).cast("long")), "funnel-step1")
     reached = [attempts.withColumn("step", F.lit(1))]
     for step in range(1, steps):
-        attempts = persist(_stepped(attempts.select("funnel", "client_id", "us"), rows, carried, step, funnels), f"funnel-step{step + 1}")
+        attempts = persist(_stepped(attempts.select("funnel", "client_id", "us"), rows, carried, step, funnels, kinds), f"funnel-step{step + 1}")
         reached.append(attempts.withColumn("step", F.lit(step + 1)))
     every = reached[0]
     for part in reached[1:]:

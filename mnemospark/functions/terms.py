@@ -7,6 +7,7 @@ worker and looked up from then on, which is many times cheaper over a corpus.  B
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,3 +81,25 @@ def tokenized(df: DataFrame, text: str = "text", out: str = "terms", stemming: b
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*kept, out])
 
     return df.select(*kept, F.col(text)).mapInArrow(run, schema)
+
+
+def counted(df: DataFrame, text: str = "text", out: str = "term", stemming: bool = True) -> DataFrame:
+    """``out``, n: how often each term occurs in all of ``text``; a task adds up its own texts before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from mnemospark.functions import terms  # the worker's own module, which outlives the task
+
+        own, found = terms._held.setdefault(stemming, Terms(stemming)), Counter()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=[out, "n"])
+
+        for given in batches:
+            for t in given.column(0).to_pylist():
+                found.update(own.of(t))
+                if len(found) >= MOST_WORDS:
+                    yield batch()
+                    found.clear()
+        yield batch()
+
+    return df.select(text).mapInArrow(run, f"`{out}` string, n long").groupBy(out).agg(F.sum("n").alias("n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,16 @@ from mnemospark.functions import time as D
 from mnemospark.functions.terms import tokenized
 from mnemospark.operators.scratch import written
 
+if TYPE_CHECKING:
+    from mnemospark.operators.index import Index
+
 K1, B = 1.5, 0.75
 PHRASE_BOOST, PROXIMITY_BOOST = 1.0, 0.6
 WEIGHTS = {"lexical": 0.8, "semantic": 0.0, "time": 0.2}
 SEMANTIC_WEIGHTS = {"lexical": 0.45, "semantic": 0.45, "time": 0.1}
 GATE = 0.2
+#: Query terms that are broadcast to the records; more of them are joined.
+MOST_TERMS = 200_000
 
 
 def records(chunks: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -57,7 +63,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def hits(recs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, len, pos, term: the places of query terms, written once."""
     each = recs.select(key, "len", F.posexplode("terms").alias("pos", "term"))
-    return written(each.join(terms.select("term").distinct(), "term").select(key, "len", "pos", "term"), "hits")
+    wanted = written(terms.select("term").distinct(), "wanted")
+    if wanted.count() <= MOST_TERMS:
+        wanted = F.broadcast(wanted)  # at most MOST_TERMS rows
+    return written(each.join(wanted, "term").select(key, "len", "pos", "term"), "hits")
 
 
 def bm25(found: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,10 +125,10 @@ def phrases(found: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFram
     return rows.join(n, "qid").where("c = n").select("qid", key).distinct()
 
 
-def lexical(recs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """qid, key, lexical: boosted BM25 of the records that hold a query term."""
-    found = hits(recs, terms, key)
-    return boosted(bm25(found, corpus_stats(recs), terms, key), proximity(found, terms, key), phrases(found, terms, key), key)
+def lexical(recs: DataFrame, terms: DataFrame, key: str = "doc_id", index: Index | None = None) -> DataFrame:
+    """qid, key, lexical: boosted BM25 of the records that hold a query term; from a stored ``index`` of all of ``recs``, if there is one."""
+    found, stats = (hits(recs, terms, key), corpus_stats(recs)) if index is None else (index.hits(terms, key), index.stats())
+    return boosted(bm25(found, stats, terms, key), proximity(found, terms, key), phrases(found, terms, key), key)
 
 
 def boosted(scores: DataFrame, prox: DataFrame, phrase: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -240,11 +249,16 @@ def limit_of(limit: float | None, default: int = 8) -> int:
 
 def recall(recs: DataFrame, queries: DataFrame, now: Column, k: int = 8, since: Column | None = None, until: Column | None = None,
            semantic: DataFrame | None = None, feedback: DataFrame | None = None, key: str = "doc_id", weights: dict[str, float] | None = None,
-           half_life_days: float = D.HALF_LIFE_DAYS) -> DataFrame:
-    """qid, rank, key, score for queries (qid, query) over records (key, seq, at, when_ts, source, terms, len) within the window."""
+           half_life_days: float = D.HALF_LIFE_DAYS, index: Index | None = None) -> DataFrame:
+    """qid, rank, key, score for queries (qid, query) over records (key, seq, at, when_ts, source, terms, len) within the window.
+
+    Without a window an ``index`` of the records serves for their terms, which the records needn't have then.
+    """
+    if index is not None and (since is not None or until is not None):
+        raise ValueError("an index has the statistics of all records: a window needs the records' terms")
     seen, terms = within(recs, since, until), query_terms(queries)
     extra = bonus(terms, feedback) if feedback is not None else None
-    return hybrid(lexical(seen, terms, key), seen, now, k, semantic, extra, key, weights, half_life_days)
+    return hybrid(lexical(seen, terms, key, index), seen, now, k, semantic, extra, key, weights, half_life_days)
 
 
 def results(top: DataFrame, chunks: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:

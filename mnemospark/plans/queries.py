@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
-from mnemospark.functions.terms import tokenized
-from mnemospark.operators import chunking, ranking, snapshots, store
+from mnemospark.functions.terms import counted
+from mnemospark.operators import chunking, index, pointers, ranking, snapshots, store
+from mnemospark.operators.scratch import folder
 from mnemospark.plans import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,21 @@ def dated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.records(dated(spark, sf_dir), carry=("source", "when_ts", "at", "seq"))
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the documents: built when a session first asks for it, and again if the files of the table have changed."""
+    fs, at = pointers.file_system(spark, f"{sf_dir}/documents.parquet")
+    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+    own = (spark.sparkContext.applicationId, state)
+    if own not in _indexes:
+        path = folder(spark, "index")
+        index.append(dated_records(spark, sf_dir), path)
+        _indexes[own] = path
+    return index.open_index(spark, _indexes[own])
+
+
 def asked(spark: SparkSession, queries=ASKED) -> DataFrame:
     return spark.createDataFrame(queries, "qid int, query string")
 
@@ -65,7 +81,7 @@ def r6(c):
 
 @query(sql.terms() + " SELECT w AS word, count(*) AS n FROM flat GROUP BY w")
 def tokenize_counts(spark, sf_dir):
-    return tokenized(docs(spark, sf_dir).select("text"), stemming=False).select(F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted(docs(spark, sf_dir), out="word", stemming=False)
 
 
 @query(sql.terms() + " SELECT w AS word, term FROM stems")
@@ -127,7 +143,7 @@ def time_window(spark, sf_dir):
 
 @query(sql.terms() + " SELECT term, df FROM df")
 def doc_freq(spark, sf_dir):
-    return ranking.doc_freq(ranking.records(docs(spark, sf_dir)))
+    return indexed(spark, sf_dir).doc_freq()
 
 
 @query(sql.terms() + " SELECT n_chunks, round(avgdl, 6) AS avgdl FROM n")
@@ -142,14 +158,18 @@ def store_stats(spark, sf_dir):
     return store.stats(docs(spark, sf_dir).join(vectors, "doc_id", "left"))
 
 
+def _asked_terms(spark, queries=ASKED):
+    return ranking.query_terms(asked(spark, queries))
+
+
 def _scores(spark, recs, queries=ASKED):
-    terms = ranking.query_terms(asked(spark, queries))
+    terms = _asked_terms(spark, queries)
     return ranking.bm25(ranking.hits(recs, terms), ranking.corpus_stats(recs), terms)
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark, sf_dir):
-    return _scores(spark, ranking.records(docs(spark, sf_dir))).select("qid", "doc_id", r6("bm25").alias("bm25"))
+    return indexed(spark, sf_dir).scores(_asked_terms(spark)).select("qid", "doc_id", r6("bm25").alias("bm25"))
 
 
 REPEATED = [(1, "thintion thintion than"), (2, "thintion than"), (3, "zzyzx quux")]
@@ -158,7 +178,7 @@ REPEATED = [(1, "thintion thintion than"), (2, "thintion than"), (3, "zzyzx quux
 @query(sql.terms(queries=REPEATED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_repeated_terms(spark, sf_dir):
     """A term that a query repeats counts twice; the last query's terms are nowhere, and it has no rows."""
-    return _scores(spark, ranking.records(docs(spark, sf_dir)), REPEATED).select("qid", "doc_id", r6("bm25").alias("bm25"))
+    return indexed(spark, sf_dir).scores(_asked_terms(spark, REPEATED)).select("qid", "doc_id", r6("bm25").alias("bm25"))
 
 
 _TOP = " SELECT qid, doc_id, round({c}, 6) AS {c}, row_number() OVER (PARTITION BY qid ORDER BY round({c}, 9) DESC, doc_id) AS rank FROM {t} QUALIFY rank <= 8"
@@ -171,7 +191,8 @@ def _top(df, c):
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + _TOP.format(c="bm25", t="bm"))
 def bm25_topk(spark, sf_dir):
-    return _top(_scores(spark, ranking.records(docs(spark, sf_dir))), "bm25")
+    top, _, _ = indexed(spark, sf_dir).topk(_asked_terms(spark), 8)
+    return top.select("qid", "doc_id", r6("bm25").alias("bm25"), "rank")
 
 
 @query(sql.terms(f"SELECT * FROM ({sql.DATED}) WHERE when_ts BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-08-31'", ASKED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
@@ -183,19 +204,20 @@ def bm25_windowed(spark, sf_dir):
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + " SELECT qid, doc_id, round(proximity, 6) AS proximity FROM prox")
 def proximity(spark, sf_dir):
     terms = ranking.query_terms(asked(spark))
-    found = ranking.hits(ranking.records(docs(spark, sf_dir)), terms)
+    found = indexed(spark, sf_dir).hits(terms)
     return ranking.proximity(found, terms).select("qid", "doc_id", r6("proximity").alias("proximity"))
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + " SELECT qid, doc_id FROM ph")
 def phrase_match(spark, sf_dir):
     terms = ranking.query_terms(asked(spark))
-    return ranking.phrases(ranking.hits(ranking.records(docs(spark, sf_dir)), terms), terms)
+    return ranking.phrases(indexed(spark, sf_dir).hits(terms), terms)
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + _TOP.format(c="lexical", t="lex"))
 def lexical_boost(spark, sf_dir):
-    return _top(ranking.lexical(ranking.records(docs(spark, sf_dir)), ranking.query_terms(asked(spark))), "lexical")
+    own = indexed(spark, sf_dir)
+    return _top(ranking.lexical(own.records, _asked_terms(spark), index=own), "lexical")
 
 
 _HYBRID = f""", sc AS (
@@ -203,15 +225,21 @@ SELECT qid, doc_id, 0.8 * lexical / max(lexical) OVER (PARTITION BY qid) + 0.2 *
 SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8"""
 
 
+def _recall(spark, sf_dir, queries, **options):
+    """Recall over the stored index, as of the last day of the year."""
+    own = indexed(spark, sf_dir)
+    return ranking.recall(own.records, queries, now(), index=own, **options)
+
+
 @query(sql.terms(sql.DATED, sql.ASKED) + sql.BM25 + sql.BOOST + _HYBRID)
 def batch_recall(spark, sf_dir):
-    top = ranking.recall(dated_records(spark, sf_dir), asked_turns(spark, sf_dir), now())
+    top = _recall(spark, sf_dir, asked_turns(spark, sf_dir))
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _HYBRID)
 def hybrid_topk(spark, sf_dir):
-    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now())
+    top = _recall(spark, sf_dir, asked(spark))
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -234,14 +262,14 @@ gated AS (SELECT * FROM nrm WHERE lexical > 0 OR cosine > 0.2 OR s > 0.2)"""
 @query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _SEM + f""", sc AS (SELECT qid, doc_id, 0.45 * l + 0.45 * s + 0.1 * {sql.RECENCY} AS raw FROM gated JOIN src USING (doc_id) JOIN len USING (doc_id))
 SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8""")
 def hybrid_semantic(spark, sf_dir):
-    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now(), semantic=_semantic(spark, sf_dir))
+    top = _recall(spark, sf_dir, asked(spark), semantic=_semantic(spark, sf_dir))
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _SEM + " SELECT qid, count(*) AS rows_in FROM gated JOIN len USING (doc_id) GROUP BY qid")
 def semantic_gate(spark, sf_dir):
     """How many rows the gate lets in for each query."""
-    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now(), k=1 << 30, semantic=_semantic(spark, sf_dir))
+    top = _recall(spark, sf_dir, asked(spark), k=1 << 30, semantic=_semantic(spark, sf_dir))
     return top.groupBy("qid").agg(F.count(F.lit(1)).alias("rows_in"))
 
 
@@ -268,7 +296,7 @@ SELECT lex.qid, doc_id, 0.8 * lexical / max(lexical) OVER (PARTITION BY lex.qid)
 FROM lex JOIN src USING (doc_id) LEFT JOIN bon ON bon.qid = lex.qid AND bon.source = src.source)
 SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8""")
 def feedback_rerank(spark, sf_dir):
-    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now(), feedback=_fed(spark))
+    top = _recall(spark, sf_dir, asked(spark), feedback=_fed(spark))
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -420,7 +448,7 @@ def extract_date_edge(spark, sf_dir):
 @query()
 def snippets(spark, sf_dir):
     d = dated(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.size(F.split("text", "\n")), "date": F.lit(None).cast("string")})
-    top = ranking.recall(dated_records(spark, sf_dir), asked(spark), now())
+    top = _recall(spark, sf_dir, asked(spark))
     return ranking.results(top, d, asked(spark)).select("qid", "rank", "doc_id", "citation", "snippet")
 
 
@@ -431,7 +459,7 @@ SELECT avg((rank = 1)::INT) AS hit1, avg((rank <= 3)::INT) AS hit3, round(avg(1.
 FROM (SELECT qid, min(rank) AS rank FROM sc JOIN src USING (doc_id) WHERE contains(source, 'src1') AND rank <= 8 GROUP BY qid)""")
 def eval_metrics(spark, sf_dir):
     """hit@1, hit@3 and mean reciprocal rank of the first result from an expected source."""
-    recs = dated_records(spark, sf_dir)
-    found = ranking.recall(recs, asked(spark), now()).join(recs.select("doc_id", "source"), "doc_id").where(F.col("source").contains("src1"))
+    recs = indexed(spark, sf_dir).records
+    found = _recall(spark, sf_dir, asked(spark)).join(recs.select("doc_id", "source"), "doc_id").where(F.col("source").contains("src1"))
     rank = found.groupBy("qid").agg(F.min("rank").alias("rank"))
     return rank.agg(F.avg((F.col("rank") == 1).cast("int")).alias("hit1"), F.avg((F.col("rank") <= 3).cast("int")).alias("hit3"), r6(F.avg(1 / F.col("rank"))).alias("mrr"))

@@ -52,16 +52,15 @@ def embedded(rows: DataFrame, embed: Embedder, text: str = "text") -> DataFrame:
 
 
 class Memory:
-    """A store of chunks below ``path``; every change is a new snapshot."""
+    """A store of chunks below ``path``; every change adds a part of its own size."""
 
     def __init__(self, spark: SparkSession, path: str, embed: Embedder | None = None, chat: Chat | None = None, clock: Callable[[], dt.datetime] | None = None):
         self.spark, self.path, self.embed, self.chat = spark, path.rstrip("/"), embed, chat
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc))
         self.store = snapshots.load(spark, self.path)
 
-    def _save(self, chunks: DataFrame | None = None, feedback: DataFrame | None = None) -> None:
-        now = self.store
-        self.store = snapshots.save(self.spark, self.path, snapshots.Snapshot(now.chunks if chunks is None else chunks, now.feedback if feedback is None else feedback))
+    def _change(self, **parts: DataFrame | None) -> None:
+        self.store = snapshots.change(self.spark, self.path, self.store, **parts)
 
     def _now(self) -> Column:
         return F.lit(self.clock())
@@ -73,10 +72,13 @@ class Memory:
             recs = recs.withColumn("embedding", F.lit(None).cast("array<float>"))
         ordered = recs.repartitionByRange("source", "chunk_no").sortWithinPartitions("source", "chunk_no")
         batch = written(ordered.withColumn("seq", F.lit(first) + F.monotonically_increasing_id()).withColumn("at", F.coalesce("when_ts", "mtime")), "batch")
-        names = self.store.chunks.columns
-        kept = self.store.chunks if replaced is None else self.store.chunks.join(replaced.select("source").distinct(), "source", "left_anti").select(*names)
-        fresh = written(store.first_of_each(batch.select(*names).join(kept.select("id"), "id", "left_anti").select(*names), "id", "seq"), "fresh")
-        self._save(chunks=kept.unionByName(fresh))
+        before = self.store
+        known = snapshots.known_ids(self.spark, self.path, before, batch)
+        if replaced is not None:  # ids of sources that are replaced may come again
+            again = before.chunks.join(F.broadcast(written(known, "known")), "id").select("id", "source")  # ids of the batch alone
+            known = again.join(replaced.select("source").distinct(), "source", "left_anti").select("id").distinct()
+        fresh = written(store.first_of_each(batch.join(known, "id", "left_anti"), "id", "seq").select(*before.chunks.columns), "fresh")
+        self._change(added=fresh, removed=replaced)
         return fresh.count()
 
     def ingest(self, paths: Sequence[str], force: bool = False) -> dict:
@@ -116,8 +118,10 @@ class Memory:
         ends = {"since": None if lo is None else F.lit(lo), "until": None if hi is None else F.lit(hi)}
         semantic = None
         if "embedding" in queries.columns:
-            asked = queries.select("qid", F.col("embedding").alias("asked")).where("asked is not null")
-            near = ranking.within(recs, **ends).where("embedding is not null").select("id", "embedding").join(asked)
+            asked = written(queries.select("qid", F.col("embedding").alias("asked")).where("asked is not null"), "asked")
+            if asked.limit(ranking.VECTORS + 1).count() > ranking.VECTORS:
+                raise ValueError(f"at most {ranking.VECTORS} queries with embeddings at once")
+            near = ranking.within(recs, **ends).where("embedding is not null").select("id", "embedding").join(F.broadcast(asked))  # at most VECTORS rows
             semantic = near.select("qid", "id", ranking.cosine(F.col("embedding"), F.col("asked")).alias("cosine")).where("cosine > 0")
             if semantic.isEmpty():
                 semantic = None
@@ -139,13 +143,14 @@ class Memory:
         events = written(events.where(F.size("terms") > 0).withColumn("at", self._now()), "events")
         found = sorted(r.source for r in events.select("source").collect())
         if found:
-            self._save(feedback=store.reinforce(self.store.feedback, events))
+            self._change(feedback=store.events_counted(events))
         return found
 
     def forget(self, needle: str) -> int:
         """Remove the chunks and the feedback of all sources that contain ``needle``; how many chunks went."""
         before = self.store.chunks.count()
-        self._save(store.forget(self.store.chunks, needle), store.forget(self.store.feedback, needle))
+        sources = self.store.chunks.select("source").unionByName(self.store.feedback.select("source"))
+        self._change(removed=sources.where(F.col("source").contains(needle)))
         return before - self.store.chunks.count()
 
     def status(self) -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark import __main__ as command
 from mnemospark.memory import Memory, embedded, respond
-from mnemospark.operators import snapshots
+from mnemospark.operators import pointers, snapshots
 from mnemospark.sources import files
 
 NOW = dt.datetime(2026, 6, 10, tzinfo=dt.timezone.utc)
@@ -87,6 +87,7 @@ def test_ingest_is_incremental_and_idempotent(spark, notes, tmp_path):
     assert memory.ingest([notes])["chunks"] == 1 and memory.status()["chunks"] == 5
     assert memory.ingest([notes], force=True)["changed"] == 5 and memory.status() | {"updated_at": 0} == {"chunks": 5, "sources": 5, "with_embedding": 0, "updated_at": 0}
     assert Memory(spark, str(tmp_path / "store")).status()["chunks"] == 5
+    memory.store = snapshots.compacted(spark, str(tmp_path / "store"), memory.store, most=0)
     assert len(snapshots.prune(spark, str(tmp_path / "store"))) >= 2 and Memory(spark, str(tmp_path / "store")).status()["chunks"] == 5
 
 
@@ -138,16 +139,17 @@ def test_embeddings_and_answers(spark, notes, tmp_path):
         embedded(spark.createDataFrame([("a",)], "text string"), broken)
 
 
-def test_snapshots_of_another_tokenizer_are_migrated(spark, tmp_path):
-    memory = Memory(spark, str(tmp_path / "store"), clock=lambda: NOW)
+def test_parts_of_another_tokenizer_are_migrated(spark, tmp_path):
+    path = str(tmp_path / "store")
+    memory = Memory(spark, path, clock=lambda: NOW)
     memory.remember("running tests", "a")
-    memory._save(memory.store.chunks.withColumn("terms", F.array(F.lit("old"))))
-    assert memory.store.chunks.first().terms == ["old"]
-    pointer = tmp_path / "store" / "CURRENT"
-    now = json.loads(pointer.read_text())
-    pointer.write_text(json.dumps(now | {"tokenizer": 2}))
-    (tmp_path / "store" / ".CURRENT.crc").unlink(missing_ok=True)
-    assert Memory(spark, str(tmp_path / "store")).store.chunks.first().terms == ["run", "test"]
+    old = memory.store.chunks.withColumns({"terms": F.array(F.lit("old")), "id": F.lit("other"), "text": F.lit("walked dogs")})
+    snapshots.change(spark, path, memory.store, added=old)
+    state = pointers.latest(spark, path, snapshots.NAME)
+    assert sorted(r.terms[0] for r in Memory(spark, path).store.chunks.collect()) == ["old", "run"]
+    state["chunks"][1]["tokenizer"] = 2
+    pointers.publish(spark, path, snapshots.NAME, state)
+    assert sorted(r.terms[0] for r in Memory(spark, path).store.chunks.collect()) == ["run", "walk"]
 
 
 def test_requests(spark, notes, tmp_path, capsys):

@@ -56,6 +56,15 @@ def test_walk_takes_known_files(spark, notes):
         files.walk(spark, [notes + "/nowhere"])
 
 
+def test_walk_judges_folders_from_its_target_on(spark, tmp_path):
+    for name in ("build/notes/a.md", "build/notes/dist/b.md", "build/notes/deep/build/c.md", "build/notes/building/d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("text")
+    names = lambda *paths: sorted(os.path.basename(r.source) for r in files.walk(spark, [str(tmp_path / p) for p in paths]).collect())
+    assert names("build/notes") == names("build/notes/") == ["a.md", "d.md"]
+    assert names("build") == [] and names("build/notes/a.md") == ["a.md"] and names("build/notes", "build/notes/deep") == ["a.md", "d.md"]
+
+
 def test_extraction(spark, notes):
     rows = {os.path.basename(r.source): r for r in files.extracted(files.contents(spark, [notes], files.walk(spark, [notes]))).collect()}
     assert rows["page.html"].text == "database & stack: postgres over mongo"

@@ -121,20 +121,21 @@ class Memory:
             asked = written(queries.select("qid", F.col("embedding").alias("asked")).where("asked is not null"), "asked")
             if asked.limit(ranking.VECTORS + 1).count() > ranking.VECTORS:
                 raise ValueError(f"at most {ranking.VECTORS} queries with embeddings at once")
-            near = ranking.within(recs, **ends).where("embedding is not null").select("id", "embedding").join(F.broadcast(asked))  # at most VECTORS rows
-            semantic = near.select("qid", "id", ranking.cosine(F.col("embedding"), F.col("asked")).alias("cosine")).where("cosine > 0")
+            near = ranking.within(recs, **ends).where("embedding is not null").select("seq", "embedding").join(F.broadcast(asked))  # at most VECTORS rows
+            semantic = near.select("qid", "seq", ranking.cosine(F.col("embedding"), F.col("asked")).alias("cosine")).where("cosine > 0")
             if semantic.isEmpty():
                 semantic = None
         plain = queries.select("qid", "query")
-        top = ranking.recall(recs, plain, F.lit(now), ranking.limit_of(limit), **ends, semantic=semantic, feedback=self.store.feedback, key="id", weights=weights, half_life_days=half_life_days)
-        return ranking.results(written(top, "top"), recs, plain, "id").orderBy("qid", "rank")
+        top = ranking.recall(recs, plain, F.lit(now), ranking.limit_of(limit), **ends, semantic=semantic, feedback=self.store.feedback, key="seq", weights=weights, half_life_days=half_life_days,
+                             index=snapshots.indexed(self.spark, self.path, self.store))
+        return ranking.results(written(top, "top"), recs, plain, "seq").orderBy("qid", "rank")
 
     def recall(self, query: str, limit: float | None = None, **options) -> list[dict]:
         """The best chunks for one query, as dictionaries."""
         vector = self.embed(query[:MAX_EMBED_CHARS]) if self.embed is not None else None
         rows = [(0, query, vector)] if vector is not None else [(0, query)]
         asked = self.spark.createDataFrame(rows, "qid int, query string" + (", embedding array<float>" if vector is not None else ""))
-        return [{k: v for k, v in r.asDict().items() if k not in ("qid", "id", "rank")} for r in self.recall_batch(asked, limit, **options).collect()]
+        return [{k: v for k, v in r.asDict().items() if k not in ("qid", "seq", "rank")} for r in self.recall_batch(asked, limit, **options).collect()]
 
     def reinforce(self, query: str, source: str) -> list[str]:
         """Count ``query`` as answered by the sources that contain ``source``; their names."""

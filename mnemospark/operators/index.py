@@ -97,37 +97,39 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Index:
-    """An index below ``path``; ``parts`` are the folders of its parts."""
+    """An index of ``parts``, each with the folder of its postings and their number of buckets; those that ``append`` wrote lie below ``path`` and
+    have records and statistics beside them."""
 
     spark: SparkSession
-    path: str
-    parts: list[str]
-    buckets: int
+    parts: list[dict]
+    path: str | None = None
 
     @property
     def records(self) -> DataFrame:
         """The records' columns but for their terms."""
-        return self.spark.read.parquet(*[f"{self.path}/{p}/records" for p in self.parts])
+        return self.spark.read.parquet(*[f"{self.path}/{p['name']}/records" for p in self.parts])
 
     def stats(self) -> DataFrame:
         """n_chunks and avgdl (one row), from one row for each part."""
-        sums = self.spark.read.schema("n long, total long").parquet(*[f"{self.path}/{p}/stats" for p in self.parts])
+        sums = self.spark.read.schema("n long, total long").parquet(*[f"{self.path}/{p['name']}/stats" for p in self.parts])
         return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("avgdl"))
 
     def blocks(self, terms: DataFrame) -> DataFrame:
         """The blocks of ``terms`` (term): of the folders of these terms, while they can be named."""
-        wanted = terms.select("term").distinct()
-        few = wanted.select("term", _bucket(self.buckets).alias("bucket")).limit(TERMS + 1).collect()
+        few = [r.term for r in terms.select("term").distinct().limit(TERMS + 1).collect()]
         if len(few) > TERMS:
-            return self._read(range(self.buckets)).join(wanted, "term", "left_semi")
-        named = self.spark.createDataFrame([(r.term,) for r in few], "term string")
-        return self._read(sorted({r.bucket for r in few})).join(F.broadcast(named), "term", "left_semi")  # at most TERMS rows
+            return self._read().join(terms.select("term").distinct(), "term", "left_semi")
+        named = self.spark.createDataFrame([(t,) for t in few], "term string")
+        return self._read(named).join(F.broadcast(named), "term", "left_semi")  # at most TERMS rows
 
-    def _read(self, buckets: Sequence[int]) -> DataFrame:
-        frames = []
+    def _read(self, named: DataFrame | None = None) -> DataFrame:
+        """All blocks, or those in the folders of the ``named`` terms."""
+        frames, wanted = [], {}
         for p in self.parts:
-            root = f"{self.path}/{p}/postings"
-            found = [f"{root}/bucket={b}" for b in buckets if pointers.exists(self.spark, f"{root}/bucket={b}")]
+            n, root = p["buckets"], f"{self.path}/{p['name']}/postings" if self.path else p["postings"]
+            if n not in wanted:
+                wanted[n] = range(n) if named is None else sorted(r.b for r in named.select(_bucket(n).alias("b")).distinct().collect())
+            found = [f"{root}/bucket={b}" for b in wanted[n] if pointers.exists(self.spark, f"{root}/bucket={b}")]
             if found:
                 frames.append(self.spark.read.schema(POSTINGS).option("basePath", root).parquet(*found))
         out = frames[0] if frames else self.spark.createDataFrame([], POSTINGS)
@@ -140,14 +142,20 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for term, base, gaps, tf, lens, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    keys, tf = np.cumsum([base, *gaps]), np.array(tf)
-                    steps = np.cumsum(places)
+                if not batch.num_rows:
+                    continue
+                out: list[list[np.ndarray]] = [[], [], []]
+                sizes = []
+                for base, gaps, tf, lens, places in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                    tf, steps = np.array(tf), np.cumsum(places)
                     begins = np.cumsum(tf) - tf
                     before = np.where(begins > 0, steps[begins - 1], 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(keys, tf)), pa.array(np.repeat(np.array(lens, dtype=np.int32), tf)), pa.array((steps - np.repeat(before, tf)).astype(np.int32)), pa.array([term] * int(tf.sum()), pa.string())],
-                        names=[key, "len", "pos", "term"])
+                    for held, x in zip(out, (np.repeat(np.cumsum([base, *gaps]), tf), np.repeat(lens, tf), steps - np.repeat(before, tf)), strict=True):
+                        held.append(x)
+                    sizes.append(len(steps))
+                keys, lens, pos = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(lens, pa.int32()), pa.array(pos, pa.int32()), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], names=[key, "len", "pos", "term"])
 
         blocks = self.blocks(terms).select("term", "base", "gaps", "tf", "len", "places")
         return written(blocks.mapInArrow(run, f"{key} long, len int, pos int, term string"), "hits")
@@ -163,7 +171,7 @@ class Index:
 
     def doc_freq(self) -> DataFrame:
         """term, df of the whole index, from the blocks' heads."""
-        return self._read(range(self.buckets)).groupBy("term").agg(F.sum("n").alias("df"))
+        return self._read().groupBy("term").agg(F.sum("n").alias("df"))
 
     def scores(self, terms: DataFrame, key: str = "doc_id") -> DataFrame:
         """qid, key, bm25 of all records that hold a query term; neither places nor other terms are read."""
@@ -252,10 +260,18 @@ def _covers(spark: SparkSession, candidates: list, key: str):
     return covers(F.col("qid"), F.col("base"), F.col("last"))
 
 
+def write_postings(recs: DataFrame, path: str, n: int, key: str, buckets: int) -> None:
+    """The blocks of ``n`` records (key, terms) in folders below ``path``."""
+    slices = max(1, -(-n // SLICE))
+    posts = _postings(recs, key).withColumns({"bucket": _bucket(buckets), "slice": F.pmod(F.xxhash64("key"), F.lit(slices))})
+    dealt = posts.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "term", "key").select("bucket", "term", "key", "len", "places")
+    dealt.mapInArrow(_blocks, POSTINGS).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
 def open_index(spark: SparkSession, path: str) -> Index | None:
     """The index below ``path``, if there is one."""
     found = pointers.latest(spark, path, "INDEX")
-    return Index(spark, path, found["parts"], found["buckets"]) if found else None
+    return Index(spark, found["parts"], path) if found else None
 
 
 def append(recs: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS) -> Index:
@@ -263,18 +279,12 @@ def append(recs: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKE
 
     A part is written whole before the list of parts names it, so readers see it whole or not at all; there is one writer.
     """
-    spark = recs.sparkSession
-    known = pointers.latest(spark, path, "INDEX") or {"parts": [], "buckets": buckets}
-    part = f"part-{uuid.uuid4().hex}"
-    recs.drop("terms").write.parquet(f"{path}/{part}/records")
-    own = spark.read.parquet(f"{path}/{part}/records")
-    sums = own.where("len > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
-    sums.write.parquet(f"{path}/{part}/stats")
-    n = spark.read.parquet(f"{path}/{part}/stats").first().n
-    slices = max(1, -(-n // SLICE))
-    posts = _postings(recs, key).withColumns({"bucket": _bucket(known["buckets"]), "slice": F.floor(F.pmod(F.xxhash64("key"), F.lit(slices)))})
-    dealt = posts.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "term", "key").select("bucket", "term", "key", "len", "places")
-    dealt.mapInArrow(_blocks, POSTINGS).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/{part}/postings")
-    known = {"parts": [*known["parts"], part], "buckets": known["buckets"]}
-    pointers.publish(spark, path, "INDEX", known)
-    return Index(spark, path, known["parts"], known["buckets"])
+    spark, name = recs.sparkSession, f"part-{uuid.uuid4().hex}"
+    recs.drop("terms").write.parquet(f"{path}/{name}/records")
+    own = spark.read.parquet(f"{path}/{name}/records")
+    own.where("len > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).write.parquet(f"{path}/{name}/stats")
+    write_postings(recs, f"{path}/{name}/postings", spark.read.parquet(f"{path}/{name}/stats").first().n, key, buckets)
+    known = pointers.latest(spark, path, "INDEX") or {"parts": [], "number": 0}
+    parts = [*known["parts"], {"name": name, "buckets": buckets}]
+    pointers.publish(spark, path, "INDEX", {"parts": parts}, known["number"])
+    return Index(spark, parts, path)

@@ -125,9 +125,25 @@ def phrases(found: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFram
     return rows.join(n, "qid").where("c = n").select("qid", key).distinct()
 
 
-def lexical(recs: DataFrame, terms: DataFrame, key: str = "doc_id", index: Index | None = None) -> DataFrame:
-    """qid, key, lexical: boosted BM25 of the records that hold a query term; from a stored ``index`` of all of ``recs``, if there is one."""
-    found, stats = (hits(recs, terms, key), corpus_stats(recs)) if index is None else (index.hits(terms, key), index.stats())
+def of_records(found: DataFrame, recs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The ``hits`` of an index that are in ``recs``, of which the keys alone are read."""
+    keys = written(found.select(key).distinct(), "found")
+    few = keys.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    own = recs.select(key).join(F.broadcast(keys) if few else keys, key, "left_semi")
+    return written(found.join(F.broadcast(own) if few else own, key, "left_semi").select(*found.columns), "hits")
+
+
+def lexical(recs: DataFrame, terms: DataFrame, key: str = "doc_id", index: Index | None = None, whole: bool = False) -> DataFrame:
+    """qid, key, lexical: boosted BM25 of the records that hold a query term.
+
+    A stored ``index`` of these and possibly more records serves for their terms, which ``recs`` needn't have then; ``whole``: it has no more.
+    """
+    if index is None:
+        found, stats = hits(recs, terms, key), corpus_stats(recs)
+    elif whole:
+        found, stats = index.hits(terms, key), index.stats()
+    else:
+        found, stats = of_records(index.hits(terms, key), recs, key), corpus_stats(recs)
     return boosted(bm25(found, stats, terms, key), proximity(found, terms, key), phrases(found, terms, key), key)
 
 
@@ -224,7 +240,7 @@ def hybrid(scores: DataFrame, recs: DataFrame, now: Column, k: int = 8, semantic
     gate = (F.col("lexical") > 0) | (F.col("cosine") > GATE)
     if semantic is not None:
         gate = gate | (F.col("sem") > GATE)
-    rows = scores.where(gate).join(recs.select(key, "seq", "when_ts", *(["source"] if feedback is not None else [])), key)
+    rows = scores.where(gate).join(recs.select(*dict.fromkeys((key, "seq", "when_ts", *(["source"] if feedback is not None else [])))), key)
     extra = F.lit(0.0)
     if feedback is not None:
         rows, extra = rows.join(feedback, ["qid", "source"], "left"), F.coalesce("bonus", F.lit(0.0))
@@ -249,16 +265,15 @@ def limit_of(limit: float | None, default: int = 8) -> int:
 
 def recall(recs: DataFrame, queries: DataFrame, now: Column, k: int = 8, since: Column | None = None, until: Column | None = None,
            semantic: DataFrame | None = None, feedback: DataFrame | None = None, key: str = "doc_id", weights: dict[str, float] | None = None,
-           half_life_days: float = D.HALF_LIFE_DAYS, index: Index | None = None) -> DataFrame:
+           half_life_days: float = D.HALF_LIFE_DAYS, index: Index | None = None, whole: bool = False) -> DataFrame:
     """qid, rank, key, score for queries (qid, query) over records (key, seq, at, when_ts, source, terms, len) within the window.
 
-    Without a window an ``index`` of the records serves for their terms, which the records needn't have then.
+    ``index`` and ``whole`` (for searches without a window) as for ``lexical``.
     """
-    if index is not None and (since is not None or until is not None):
-        raise ValueError("an index has the statistics of all records: a window needs the records' terms")
     seen, terms = within(recs, since, until), query_terms(queries)
+    whole = whole and since is None and until is None
     extra = bonus(terms, feedback) if feedback is not None else None
-    return hybrid(lexical(seen, terms, key, index), seen, now, k, semantic, extra, key, weights, half_life_days)
+    return hybrid(lexical(seen, terms, key, index, whole), seen, now, k, semantic, extra, key, weights, half_life_days)
 
 
 def results(top: DataFrame, chunks: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,8 @@ source was removed after its part was written, and feedback is the sum of its pa
 state, and a second writer is refused, not overwritten.  Readers hold the state that they loaded; ``prune`` removes what the last one
 doesn't name.
 
-Each part of chunks has a Bloom filter of its ids, sized by its rows, so new ids are told from stored ones without moving those.
+Each part of chunks has its postings, so a recall reads those of its terms instead of all chunks' terms, and a Bloom filter of its ids,
+sized by its rows, so new ids are told from stored ones without moving those.
 When there are more than ``MOST_PARTS`` parts, the newest ones, as far back as they aren't much smaller than the next older one, become one part: what
 is written again in all grows with the logarithm of the number of changes.
 """
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators import bloom, pointers, store
+from mnemospark.operators import bloom, index, pointers, store
 from mnemospark.operators.scratch import written
 
 #: Terms that another version of the tokenizer made are made anew when a part is loaded.
 TOKENIZER_VERSION = 3
+#: Chunks of a folder of a part's postings.
+CHUNKS_PER_BUCKET = 20_000
 #: Parts of chunks, or of removed sources, or of feedback, before they are merged.
 MOST_PARTS = 32
 #: Rows of small tables that are broadcast: removed sources, and ids that may be known.
@@ -97,11 +100,20 @@ def _write(rows: DataFrame, path: str, kind: str, n: int) -> dict:
     rows.write.parquet(f"{path}/{folder}/{kind}")
     part = {"n": n, "folder": folder, "rows": spark.read.parquet(f"{path}/{folder}/{kind}").count()}
     if kind == "chunks":
-        part |= {"tokenizer": TOKENIZER_VERSION, "blocks": bloom.blocks_for(part["rows"])}
-        bloom.build(spark.read.schema(CHUNKS).parquet(f"{path}/{folder}/chunks"), "id", part["blocks"]).write.parquet(f"{path}/{folder}/ids")
+        part |= {"tokenizer": TOKENIZER_VERSION, "blocks": bloom.blocks_for(part["rows"]), "buckets": min(index.BUCKETS, 1 + part["rows"] // CHUNKS_PER_BUCKET)}
+        own = spark.read.schema(CHUNKS).parquet(f"{path}/{folder}/chunks")
+        bloom.build(own, "id", part["blocks"]).write.parquet(f"{path}/{folder}/ids")
+        index.write_postings(own, f"{path}/{folder}/postings", part["rows"], "seq", part["buckets"])
     return part
 
 
+def indexed(spark: SparkSession, path: str, now: Snapshot) -> index.Index | None:
+    """The index (by seq) of all chunks of the parts, removed ones too; None if another tokenizer made some of it."""
+    if any(p["tokenizer"] != TOKENIZER_VERSION for p in now.state["chunks"]):
+        return None
+    return index.Index(spark, [{"postings": f"{path}/{p['folder']}/postings", "buckets": p["buckets"]} for p in now.state["chunks"]])
+
+
 def known_ids(spark: SparkSession, path: str, now: Snapshot, batch: DataFrame) -> DataFrame:
     """id: those of ``batch`` that the stored chunks have.  The stored ids stay where they are, unless a filter lets some of the batch through."""
     ids = batch.select("id").distinct()

@@ -162,11 +162,6 @@ def _asked_terms(spark, queries=ASKED):
     return ranking.query_terms(asked(spark, queries))
 
 
-def _scores(spark, recs, queries=ASKED):
-    terms = _asked_terms(spark, queries)
-    return ranking.bm25(ranking.hits(recs, terms), ranking.corpus_stats(recs), terms)
-
-
 @query(sql.terms(queries=ASKED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark, sf_dir):
     return indexed(spark, sf_dir).scores(_asked_terms(spark)).select("qid", "doc_id", r6("bm25").alias("bm25"))
@@ -198,7 +193,10 @@ def bm25_topk(spark, sf_dir):
 @query(sql.terms(f"SELECT * FROM ({sql.DATED}) WHERE when_ts BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-08-31'", ASKED) + sql.BM25 + " SELECT qid, doc_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_windowed(spark, sf_dir):
     since, until = (F.lit(d).cast("timestamp") for d in ("2024-03-01", "2024-08-31"))
-    return _scores(spark, ranking.within(dated_records(spark, sf_dir), since, until)).select("qid", "doc_id", r6("bm25").alias("bm25"))
+    own, terms = indexed(spark, sf_dir), _asked_terms(spark)
+    seen = ranking.within(own.records, since, until)
+    found = ranking.of_records(own.hits(terms), seen)
+    return ranking.bm25(found, ranking.corpus_stats(seen), terms).select("qid", "doc_id", r6("bm25").alias("bm25"))
 
 
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + " SELECT qid, doc_id, round(proximity, 6) AS proximity FROM prox")
@@ -217,7 +215,7 @@ def phrase_match(spark, sf_dir):
 @query(sql.terms(queries=ASKED) + sql.BM25 + sql.BOOST + _TOP.format(c="lexical", t="lex"))
 def lexical_boost(spark, sf_dir):
     own = indexed(spark, sf_dir)
-    return _top(ranking.lexical(own.records, _asked_terms(spark), index=own), "lexical")
+    return _top(ranking.lexical(own.records, _asked_terms(spark), index=own, whole=True), "lexical")
 
 
 _HYBRID = f""", sc AS (
@@ -228,7 +226,7 @@ SELECT qid, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY qid
 def _recall(spark, sf_dir, queries, **options):
     """Recall over the stored index, as of the last day of the year."""
     own = indexed(spark, sf_dir)
-    return ranking.recall(own.records, queries, now(), index=own, **options)
+    return ranking.recall(own.records, queries, now(), index=own, whole=True, **options)
 
 
 @query(sql.terms(sql.DATED, sql.ASKED) + sql.BM25 + sql.BOOST + _HYBRID)

@@ -115,3 +115,20 @@ def test_upsert_doesn_t_move_the_stored_ids(spark):
     assert plan.count("Range (0, 3000") >= 1
     for part in plan.split("Exchange hashpartitioning")[1:]:
         assert "Range (0, 3000" not in part.split("Exchange")[0] or "BroadcastHashJoin" in part.split("Range (0, 3000")[0]
+
+
+def test_recall_from_the_parts_postings_is_that_from_the_terms(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    memory = Memory(spark, path, clock=lambda: NOW)
+    for i in range(6):
+        memory.remember(f"zebra note {i} about pricing plan " + "zebra " * i, f"s{i % 3}", f"2026-0{i + 1}-01")
+    memory.forget("s1")
+    memory.remember("another zebra pricing plan", "s1")
+    memory.reinforce("zebra plan", "s0")
+    asked = spark.createDataFrame([(1, "zebra pricing"), (2, "note about plans"), (3, "nothing at all here")], "qid int, query string")
+    options = ({}, {"since": "2026-03-01"}, {"until": "2026-05-15", "limit": 2})
+    rows = lambda: [[tuple(r) for r in memory.recall_batch(asked, **o).collect()] for o in options]
+    stored = rows()
+    assert len(stored[0]) >= 8 and not any("s1" in r and "note 1" in str(r) for r in stored[0])
+    monkeypatch.setattr(snapshots, "indexed", lambda *_: None)
+    assert rows() == stored

@@ -3,8 +3,8 @@
 Each document is the set of its word shingles.  Documents with the same set form a class and go on as one.
 A class gets ``t`` minwise tokens (their low bytes travel, which are enough to branch and to compare by).  ``trees``
 independent trees start at the root with all classes; a node sends each class down one branch for a minwise token that
-the node's own hash selects (one node in sixteen for a second one too), so classes that are alike
-tend to stay together and others part:
+the node's own hash selects, and a share of the nodes, drawn by their hashes, down a second one too, so that a node has 1 / similarity
+branches for a class on average (1.25 at 0.8); so classes that are alike tend to stay together and others part:
 
 * a node of up to ``small`` classes is compared exhaustively, on minwise tokens;
 * a larger one compares all its classes with one member picked by a hash, and is branched again, ``depth`` times at most;
@@ -370,10 +370,10 @@ def near_duplicates(
             n_large = large.count()
             if d == depth or not n_large:
                 break
-            # which token a node selects depends on the node alone; one node in sixteen sends its rows down a second branch
+            # which token a node selects depends on the node alone; 1 / p - 1 of the nodes send their rows down a second branch
             one = F.pmod(F.xxhash64("node", F.lit(d), F.lit("one")), F.lit(t)).cast("int")
             two = F.pmod(F.xxhash64("node", F.lit(d), F.lit("two")), F.lit(t)).cast("int")
-            more = F.pmod(F.xxhash64("node", F.lit(d), F.lit("more")), F.lit(16)) == 0
+            more = F.pmod(F.xxhash64("node", F.lit(d), F.lit("more")), F.lit(10_000)) < round(10_000 * (1 / p - 1))
             token = lambda j: F.substring(F.col("sig"), j + 1, F.lit(1))
             branch = F.array_compact(F.array(F.xxhash64("node", one, token(one)), F.when(more, F.xxhash64("node", two, token(two)))))
             level = persist(large.select("cid", "comp", "n", "sig", F.explode(branch).alias("node")), "near-level")

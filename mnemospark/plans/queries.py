@@ -284,11 +284,6 @@ bon AS (SELECT qid, source, max(o * least(0.3, 0.1 + 0.05 * ln(1 + c))) AS bonus
   FROM (SELECT qid, source, c, len(list_intersect(terms, q)) / len(terms) AS o FROM fb, ql) WHERE o >= 0.5 GROUP BY ALL)"""
 
 
-@query(sql.terms(queries=ASKED) + _BONUS + " SELECT qid, source, round(bonus, 6) AS bonus FROM bon")
-def feedback_bonus(spark, sf_dir):
-    return ranking.bonus(ranking.query_terms(asked(spark)), _fed(spark)).select("qid", "source", r6("bonus").alias("bonus"))
-
-
 @query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + _BONUS + f""", sc AS (
 SELECT lex.qid, doc_id, 0.8 * lexical / max(lexical) OVER (PARTITION BY lex.qid) + 0.2 * {sql.RECENCY} + coalesce(bonus, 0) AS raw
 FROM lex JOIN src USING (doc_id) LEFT JOIN bon ON bon.qid = lex.qid AND bon.source = src.source)
@@ -320,9 +315,11 @@ def _events(spark, sf_dir):
     return c.select(T.tokenize(F.col("text")).alias("terms"), F.concat(F.lit("src"), F.col("conv_id") % 5).alias("source"), F.col("turn").alias("at"))
 
 
-_FED = sql.terms("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'user'") + """, ev AS (
+_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'user'"
+_EVENTS = """, ev AS (
 SELECT array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms, 'src' || ((doc_id // 1000) % 5) AS source, doc_id % 1000 AS tm FROM pos GROUP BY doc_id),
 fb AS (SELECT terms, source, count(*) AS "count", max(tm) AS last_at FROM ev GROUP BY terms, source)"""
+_FED, _FED_ASKED = sql.terms(_TURNS) + _EVENTS, sql.terms(_TURNS, sql.ASKED) + _EVENTS
 
 
 def _feedback(spark, sf_dir, limit=None):
@@ -330,6 +327,14 @@ def _feedback(spark, sf_dir, limit=None):
     return store.reinforce(none, _events(spark, sf_dir), limit)
 
 
+@query(_FED_ASKED + """, ql AS (SELECT qid, list(DISTINCT term) AS q FROM qt GROUP BY qid)
+SELECT qid, source, round(max(o * least(0.3, 0.1 + 0.05 * ln(1 + c))), 6) AS bonus
+FROM (SELECT qid, source, c, len(list_intersect(string_split(terms, ' '), q)) / len(string_split(terms, ' ')) AS o FROM (SELECT terms, source, "count" AS c FROM fb), ql) WHERE o >= 0.5 GROUP BY ALL""")
+def feedback_bonus(spark, sf_dir):
+    """The bonus of each source for the stated queries, from the feedback of all user turns."""
+    return ranking.bonus(ranking.query_terms(asked_turns(spark, sf_dir)), _feedback(spark, sf_dir)).select("qid", "source", r6("bonus").alias("bonus"))
+
+
 @query(_FED + ' SELECT terms, source, "count", last_at FROM fb')
 def feedback_upsert(spark, sf_dir):
     return _feedback(spark, sf_dir).select(F.array_join("terms", " ").alias("terms"), "source", "count", "last_at")
@@ -399,16 +404,19 @@ def citations(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.citation(F.col("source"), F.lit(1), F.size(F.split("text", "\n"))).alias("citation"))
 
 
-_PASSED = "SELECT doc_id % 20 AS qid, doc_id, source || ':1-' || len(string_split(text, chr(10))) AS citation, CASE WHEN doc_id % 3 = 0 THEN '2024-05-0' || (doc_id % 9 + 1) END AS date, text FROM documents"
-
-
-@query(f"""SELECT qid, md5(string_agg('[' || doc_id || '] ' || citation || coalesce(' (' || date || ')', '') || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY doc_id)) AS passages
-FROM ({_PASSED}) GROUP BY qid""")
+@query(sql.terms(sql.DATED, ASKED) + sql.BM25 + sql.BOOST + f""", sc AS (
+SELECT qid, doc_id, 0.8 * lexical / max(lexical) OVER (PARTITION BY qid) + 0.2 * {sql.RECENCY} AS raw FROM lex JOIN src USING (doc_id)),
+tops AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8),
+p AS (SELECT qid, rank, '[' || rank || '] ' || source || ':1-' || len(string_split(text, chr(10))) || CASE WHEN doc_id % 3 = 0 THEN ' (2024-05-0' || (doc_id % 9 + 1) || ')' ELSE '' END
+  || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS passage FROM tops JOIN documents USING (doc_id))
+SELECT qid, md5(string_agg(passage, chr(10) || chr(10) ORDER BY rank)) AS passages FROM p GROUP BY qid""")
 def format_passages(spark, sf_dir):
+    """The results of each query as numbered passages, some of them dated."""
     d = docs(spark, sf_dir).select(
-        (F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("rank"), T.citation(F.col("source"), F.lit(1), F.size(F.split("text", "\n"))).alias("citation"),
+        "doc_id", T.citation(F.col("source"), F.lit(1), F.size(F.split("text", "\n"))).alias("citation"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-05-0"), (F.col("doc_id") % 9 + 1).cast("string"))).alias("date"), "text")
-    return T.format_passages(d).select("qid", F.md5(F.col("passages").cast("binary")).alias("passages"))
+    best = d.join(F.broadcast(_recall(spark, sf_dir, asked(spark))), "doc_id")  # eight rows a query
+    return T.format_passages(best).select("qid", F.md5(F.col("passages").cast("binary")).alias("passages"))
 
 
 @query(sql.terms() + " SELECT doc_id, CAST(len AS BIGINT) AS len, md5(string_agg(term, ' ' ORDER BY pos)) AS terms FROM pos JOIN len USING (doc_id) GROUP BY ALL")

@@ -14,6 +14,7 @@ is written again in all grows with the logarithm of the number of changes.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -91,9 +92,19 @@ def _loaded(spark: SparkSession, path: str, state: dict) -> Snapshot:
 def load(spark: SparkSession, path: str) -> Snapshot:
     """The current state; an empty one where there is none yet."""
     state = pointers.latest(spark, path, NAME)
+    if state is None and pointers.exists(spark, f"{path}/CURRENT"):
+        return _adopted(spark, path)
     return _loaded(spark, path, state or Snapshot(None, None).state)
 
 
+def _adopted(spark: SparkSession, path: str) -> Snapshot:
+    """The state of a store that an earlier version wrote as one whole folder, taken over as the first parts."""
+    old = json.loads(spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0])
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/{old['folder']}/chunks")
+    chunks = chunks if old["tokenizer"] == TOKENIZER_VERSION else migrated(chunks)
+    return change(spark, path, _loaded(spark, path, Snapshot(None, None).state), added=chunks, feedback=spark.read.schema(FEEDBACK).parquet(f"{path}/{old['folder']}/feedback"))
+
+
 def _write(rows: DataFrame, path: str, kind: str, n: int) -> dict:
     """A part of ``rows``, whole before anything names it."""
     spark, folder = rows.sparkSession, f"{kind}-{uuid.uuid4().hex}"

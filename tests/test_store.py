@@ -132,3 +132,13 @@ def test_recall_from_the_parts_postings_is_that_from_the_terms(spark, tmp_path,
     assert len(stored[0]) >= 8 and not any("s1" in r and "note 1" in str(r) for r in stored[0])
     monkeypatch.setattr(snapshots, "indexed", lambda *_: None)
     assert rows() == stored
+
+
+def test_a_store_of_the_former_form_is_taken_over(spark, tmp_path):
+    path = tmp_path / "store"
+    _chunks(spark, 7).withColumn("terms", F.array(F.lit("old"))).write.parquet(f"{path}/snapshot-1/chunks")
+    spark.createDataFrame([(["w"], "s1", 3, NOW)], snapshots.FEEDBACK).write.parquet(f"{path}/snapshot-1/feedback")
+    (path / "CURRENT").write_text('{"folder": "snapshot-1", "updated_at": "2026-01-01", "tokenizer": 2}')
+    now = snapshots.load(spark, str(path))
+    assert _ids(now) == _ids(snapshots.load(spark, str(path))) == [f"id{i}" for i in range(7)] and now.chunks.where("array_contains(terms, 'old')").count() == 0
+    assert [(r.source, r["count"]) for r in now.feedback.collect()] == [("s1", 3)]

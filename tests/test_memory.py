@@ -79,6 +79,30 @@ def test_pdf_strings(content, text):
     assert files.pdf_text(_pdf(content)) == text
 
 
+def test_pdf_streams_by_their_dictionaries():
+    page = b"BT (one endstream two) Tj ET"
+    packed = zlib.compress(b"BT (three) Tj ET")
+    data = b"%PDF-1.7\n1 0 obj\n<< /Length 9 0 R /Note (a >> b \\( c) /Inner << /Length 3 >> >>\nstream\n" + page + b"\nendstream\nendobj\n"
+    data += b"9 0 obj\n%d\nendobj\n" % len(page)
+    data += b"2 0 obj << /Filter [/FlateDecode] /Length %d >> stream\r\n" % len(packed) + packed + b"\r\nendstream endobj\n"
+    data += b"3 0 obj << /Subtype /Image /Filter /DCTDecode /Length 16 >> stream\nBT (image) Tj ET\nendstream endobj\n"
+    data += b"4 0 obj << /Length 999999 >> stream\nBT (wrong length) Tj ET\nendstream endobj\n"
+    data += b"5 0 obj << /Filter /FlateDecode /Length 5 >> stream\nxxxxx\nendstream endobj\n6 0 obj << /Length 3 >> stream\nBT"
+    assert files.pdf_text(data) == "one endstream two\nthree\nwrong length"
+    assert files.pdf_text(b"") == files.pdf_text(b"%PDF-1.4\n1 0 obj << /A") == ""
+
+
+def test_epub_packages_with_prefixes_and_other_quotes():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("OPS/b.opf", "<opf:package><opf:item href='x%20y.xhtml' id='p'/><opf:item id='q' href=\"./sub/../z&amp;.html\"/><opf:item id='c' href='s.css'/>"
+                   "<opf:itemref idref='q'/><opf:itemref idref='none'/><opf:itemref idref='c'/><opf:itemref idref='p'/></opf:package>")
+        z.writestr("OPS/x y.xhtml", "X")
+        z.writestr("OPS/z&.html", "Z")
+        z.writestr("OPS/extra.html", "E")
+    assert files.epub_chapters(out.getvalue()) == ["Z", "X"]
+
+
 def test_epub_without_a_spine_goes_by_names():
     assert files.epub_chapters(_epub({"b.html": "B", "a.html": "A"}, [])) == ["A", "B"]
 

@@ -59,7 +59,7 @@ class Memory:
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc))
         self.store = snapshots.load(spark, self.path)
 
-    def _change(self, **parts: DataFrame | None) -> None:
+    def _change(self, **parts) -> None:
         self.store = snapshots.change(self.spark, self.path, self.store, **parts)
 
     def _now(self) -> Column:
@@ -83,7 +83,18 @@ class Memory:
 
     def ingest(self, paths: Sequence[str], force: bool = False) -> dict:
         """Read the changed files below ``paths``; counts of files, and the ones that failed.  Files that are gone stay in the store."""
-        listing = written(files.walk(self.spark, paths), "listing")
+        return self._read(paths, written(files.walk(self.spark, paths), "listing"), force)
+
+    def ingest_files(self, paths: Sequence[str], listing: DataFrame, gone: DataFrame | None = None, watched: dict[str, int] | None = None) -> dict:
+        """Read those of the listed files (source, mtime) below ``paths`` that the store doesn't hold as they are, and remove the sources that are ``gone``.
+
+        ``watched`` names the batch of a stream that this is; a store that has it isn't given it again.
+        """
+        out = self._read(paths, listing, False)
+        self._change(removed=gone, watched=watched)
+        return out
+
+    def _read(self, paths: Sequence[str], listing: DataFrame, force: bool) -> dict:
         total = listing.count()
         todo = listing if force else store.changed(listing, self.store.chunks)
         todo = written(todo.select("source"), "changed")
@@ -177,11 +188,11 @@ class Memory:
     def to_json(self, query: str, **options) -> str:
         return json.dumps(self.recall(query, **options), default=str, ensure_ascii=False)
 
-    def watch(self, paths: Sequence[str], interval: str = "2 seconds", on_error: Callable[[Exception], None] = print):
+    def watch(self, paths: Sequence[str], interval: str = "2 seconds", on_error: Callable[[Exception], None] = print, **options):
         """Ingest ``paths`` now and whenever their files change; returns the streaming query, whose ``stop`` ends it."""
         from mnemospark.streaming.watch import watch
 
-        return watch(self, paths, interval, on_error)
+        return watch(self, paths, interval, on_error, **options)
 
 
 # The error codes of JSON-RPC 2.0.

@@ -135,8 +135,12 @@ def known_ids(spark: SparkSession, path: str, now: Snapshot, batch: DataFrame) -
     return maybe.join(now.chunks.select("id"), "id", "left_semi") if not few else now.chunks.join(F.broadcast(maybe), "id").select("id").distinct()
 
 
-def change(spark: SparkSession, path: str, now: Snapshot, added: DataFrame | None = None, removed: DataFrame | None = None, feedback: DataFrame | None = None) -> Snapshot:
-    """The state after ``removed`` sources (source) have gone, then chunks been ``added`` and ``feedback`` (terms, source, count, last_at) been counted in."""
+def change(spark: SparkSession, path: str, now: Snapshot, added: DataFrame | None = None, removed: DataFrame | None = None, feedback: DataFrame | None = None,
+           watched: dict[str, int] | None = None) -> Snapshot:
+    """The state after ``removed`` sources (source) have gone, then chunks been ``added`` and ``feedback`` (terms, source, count, last_at) been counted in.
+
+    ``watched`` (stream, batch) is kept with it.
+    """
     state, n = {k: list(v) if isinstance(v, list) else v for k, v in now.state.items()}, now.state["number"] + 1
     if removed is not None:
         part = _write(removed.select("source").distinct(), path, "removed", n)
@@ -147,6 +151,8 @@ def change(spark: SparkSession, path: str, now: Snapshot, added: DataFrame | Non
     if feedback is not None:
         part = _write(feedback.select(*names(FEEDBACK)), path, "feedback", n)
         state["feedback"] += [part] if part["rows"] else []
+    if watched:
+        state["watched"] = state.get("watched", {}) | watched
     out = _publish(spark, path, state, now.state["number"])
     if feedback is not None and (len(state["feedback"]) > MOST_PARTS or out.feedback.count() > store.MAX_FEEDBACK):
         # a table of MAX_FEEDBACK rows at most: written anew when entries go or parts are many

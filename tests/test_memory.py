@@ -6,6 +6,7 @@ import time
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from mnemospark import __main__ as command
 from mnemospark.memory import Memory, embedded, respond
 from mnemospark.operators import pointers, snapshots
 from mnemospark.sources import files
+from mnemospark.streaming import watch
 
 NOW = dt.datetime(2026, 6, 10, tzinfo=dt.timezone.utc)
 
@@ -200,17 +202,84 @@ def test_requests(spark, notes, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)[0]["source"] == "s"
 
 
+def _until(query, holds) -> None:
+    for _ in range(150):
+        if query.exception() is not None:
+            raise query.exception()
+        if holds():
+            return
+        time.sleep(0.2)
+    raise AssertionError("the watch didn't get there")
+
+
 def test_watch_ingests_changes(spark, notes, tmp_path):
-    memory = Memory(spark, str(tmp_path / "store"), clock=lambda: NOW)
-    query = memory.watch([notes], "200 milliseconds")
+    memory, errors = Memory(spark, str(tmp_path / "store"), clock=lambda: NOW), []
+    names = lambda: {os.path.basename(r.source) for r in memory.store.chunks.select("source").collect()}
+    query = memory.watch([notes], "200 milliseconds", errors.append, forget_removed=True)
     try:
         assert memory.status()["chunks"] == 5
-        with open(notes + "/new.md", "w") as f:
+        _until(query, lambda: memory.store.state.get("watched"))  # the files that were there have been told
+        with open(notes + "/deep/new.md", "w") as f:
             f.write("a new note about zebras\n")
-        for _ in range(100):
-            if memory.status()["chunks"] == 6:
-                break
-            time.sleep(0.3)
+        _until(query, lambda: "new.md" in names())
         assert memory.recall("zebras")[0]["source"].endswith("new.md")
+        os.remove(notes + "/pricing.md")
+        _until(query, lambda: "pricing.md" not in names())
+    finally:
+        query.stop()
+    number = memory.store.state["number"]
+    with open(notes + "/later.md", "w") as f:
+        f.write("written while nobody watched\n")
+    query = memory.watch([notes], "200 milliseconds", errors.append, forget_removed=True)  # goes on from its checkpoint
+    try:
+        assert "later.md" in names() and memory.store.state["number"] > number
+        os.remove(notes + "/old.TXT")
+        _until(query, lambda: "old.TXT" not in names())
     finally:
         query.stop()
+    # bad.epub has no chunks, so it is reported as failed and not held; no batch failed
+    assert names() == {"page.html", "paper.pdf", "book.epub", "new.md", "later.md"} and not errors
+    assert len(memory.store.state["watched"]) == 1
+
+
+class _State:
+    """What a step sees of its state."""
+
+    hasTimedOut, exists, get, wait = False, False, None, None
+
+    def update(self, new):
+        self.exists, self.get = True, new
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_a_file_is_told_once_it_is_quiet():
+    state, step = _State(), watch.told(600)
+    see = lambda at, mtime, length=1: [r.kind for d in step(("a",), iter([pd.DataFrame({"seen": [at], "mtime": [mtime], "length": [length]})]), state) for r in d.itertuples()]
+    burst = [see(100 * i, 100 * i) for i in range(10)]
+    assert burst == [[]] * 10 and see(1400, 900) == [] and see(1500, 900) == ["added"] and see(9000, 900) == [] and state.wait == 600
+    assert see(9100, 900, 2) == [] and see(9699, 900, 2) == [] and see(9700, 900, 2) == ["changed"]
+    assert see(9800, 950) == [] and see(9900, 900, 2) == [] and see(10600, 900, 2) == []  # as it was told before
+    state.hasTimedOut = True
+    assert [r.kind for d in step(("a",), iter([]), state) for r in d.itertuples()] == ["removed"] and not state.exists
+    state.update((1, 1, 0, -1, -1))
+    assert not [*step(("a",), iter([]), state)]  # gone before it was told
+
+
+def test_watch_takes_what_a_walk_takes(spark, notes, tmp_path):
+    reader = watch.Listing([notes, notes + "/pricing.md"])
+    listed = {row[0]: row[1] for p in reader.partitions({"ms": 0}, {"ms": 1}) for row in reader.read(p)}
+    walked = {r.source: int(r.mtime.replace(tzinfo=dt.timezone.utc).timestamp() * 1000 + 0.5) for r in files.walk(spark, [notes]).collect()}
+    assert listed == walked
+    assert watch.taken("/build/x/a.md", "/build/x") and not watch.taken("/x/build/a.md", "/x/build") and not watch.taken("/x/y/.z/a.md", "/x")
+
+
+def test_a_batch_that_comes_again_is_dropped(spark, tmp_path):
+    path = str(tmp_path / "store")
+    now = snapshots.change(spark, path, snapshots.load(spark, path), watched={"s": 3})
+    now = snapshots.change(spark, path, now, watched={"t": 1})
+    assert snapshots.load(spark, path).state["watched"] == {"s": 3, "t": 1}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as T
 from mnemospark.functions import time as D
 from mnemospark.functions.terms import counted
-from mnemospark.operators import chunking, index, pointers, ranking, snapshots, store
+from mnemospark.operators import chunking, index, pointers, ranking, snapshots, store, vectors
 from mnemospark.operators.scratch import folder
 from mnemospark.plans import sql
 
@@ -46,14 +46,18 @@ def dated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.records(dated(spark, sf_dir), carry=("source", "when_ts", "at", "seq"))
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """The session and the files of a table as they are."""
+    fs, at = pointers.file_system(spark, path)
+    return spark.sparkContext.applicationId, tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
 _indexes: dict[tuple, str] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
     """The stored index of the documents: built when a session first asks for it, and again if the files of the table have changed."""
-    fs, at = pointers.file_system(spark, f"{sf_dir}/documents.parquet")
-    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
-    own = (spark.sparkContext.applicationId, state)
+    own = _state(spark, f"{sf_dir}/documents.parquet")
     if own not in _indexes:
         path = folder(spark, "index")
         index.append(dated_records(spark, sf_dir), path)
@@ -303,6 +307,26 @@ def cosine_topk(spark, sf_dir):
     return ranking.nearest(e.where("vec_id % 50 = 0"), e, 10, "vec_id").select("vec_id", "q", r6("cosine").alias("cosine"), "rank")
 
 
+_vectors: dict[tuple, str] = {}
+
+
+def vector_indexed(spark: SparkSession, sf_dir: str) -> vectors.Vectors:
+    """The stored index of the embeddings, built when a session first asks for it, and again if the table's files have changed."""
+    own = _state(spark, f"{sf_dir}/embeddings.parquet")
+    if own not in _vectors:
+        path = folder(spark, "vectors")
+        vectors.append(table(spark, sf_dir, "embeddings"), path, "vec_id")
+        _vectors[own] = path
+    return vectors.open_vectors(spark, _vectors[own])
+
+
+@query(ORACLES["cosine_topk"])
+def vector_index_topk(spark, sf_dir):
+    """As cosine_topk, from the stored cells that can hold one of the ten nearest."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return vectors.nearest(vector_indexed(spark, sf_dir), asked, 10, "vec_id").select("vec_id", "q", r6("cosine").alias("cosine"), "rank")
+
+
 @query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS cosine FROM embeddings")
 def cosine_dim_mismatch(spark, sf_dir):
     """Every other vector is compared with a part of itself, which has another length."""

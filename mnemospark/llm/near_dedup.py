@@ -7,7 +7,8 @@ the node's own hash selects, and a share of the nodes, drawn by their hashes, do
 branches for a class on average (1.25 at 0.8); so classes that are alike tend to stay together and others part:
 
 * a node of up to ``small`` classes is compared exhaustively, on minwise tokens;
-* a larger one compares all its classes with one member picked by a hash, and is branched again, ``depth`` times at most;
+* a larger one compares all its classes with one member picked by a hash, and is branched again, ``depth`` times at most: within one
+  task if it has up to ``inside`` rows, and else by Spark, row by row, until its branches have no more;
 * links of the first level are confirmed at once, and what they join counts as one from then on: nodes whose classes are
   all joined end there, and no pair within a component is compared again;
 * nodes that are large to the end hold documents on one template.  Those that share members form one group, whose
@@ -42,6 +43,8 @@ TOKENS = 64
 TREES = 16
 SMALL = 24
 DEPTH = 5
+#: A node of up to so many rows (about 200 KB) goes down its further levels within one task.
+INSIDE = 2_048
 #: A block of a group that is compared whole has about so many classes and shingles at most.
 BLOCK = 1_536
 BLOCK_SHINGLES = 1_000_000
@@ -136,44 +139,126 @@ def _sigs(column: pa.Array, t: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, t)
 
 
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task, sorted by node, in tables that hold whole nodes; no more than one node beyond a batch is kept."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        node = table.column("node").to_numpy()
+        cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if (node != node[-1]).any() else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut)
+    if rest is not None:
+        yield rest.combine_chunks()
+
+
+class _Nodes:
+    """Rows of nodes as arrays (``cid``, ``comp``, ``n``, ``sig``), and what can be links among them."""
+
+    def __init__(self, table: pa.Table, t: int, least: float, percent: int):
+        self.node, self.cid, self.comp, self.n = (table.column(x).to_numpy() for x in ("node", "cid", "comp", "n"))
+        self.sig, self.least, self.percent = _sigs(table.column("sig"), t), least, percent
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows (i, j) that are candidates, by their classes."""
+        apart = self.comp[i] != self.comp[j]
+        i, j = i[apart], j[apart]
+        ok = _similar(self.sig[i], self.sig[j], self.n[i], self.n[j], self.least, self.percent)
+        a, b = self.cid[i[ok]], self.cid[j[ok]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def within(self, node: np.ndarray, at: np.ndarray, small: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Candidates among rows ``at`` that stand in one node of up to ``small`` (``node``: ascending)."""
+        out = []
+        for d in range(1, min(small, len(node))):
+            near = np.flatnonzero(node[d:] == node[:-d])
+            if not len(near):
+                break
+            out.append(self.pairs(at[near], at[near + d]))
+        return out
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of all ``found``."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *[x[i] for x in found]]) for i in (0, 1))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _compare_small(rows: DataFrame, small: int, t: int, least: float, percent: int) -> DataFrame:
     """Candidate pairs of different components within nodes of up to ``small`` rows (node, cid, comp, n, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def found(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            node, cid, comp, n = (table.column(x).to_numpy() for x in ("node", "cid", "comp", "n"))
-            sig = _sigs(table.column("sig"), t)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d in range(1, min(small, len(node))):
-                near = np.flatnonzero(node[d:] == node[:-d])
-                if not len(near):
-                    break
-                at = near[comp[near] != comp[near + d]]
-                at = at[_similar(sig[at], sig[at + d], n[at], n[at + d], least, percent)]
-                a.append(np.minimum(cid[at], cid[at + d]))
-                b.append(np.maximum(cid[at], cid[at + d]))
-            return _pairs_batch(np.concatenate(a), np.concatenate(b))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            node = table.column("node").to_numpy()
-            cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if (node != node[-1]).any() else 0
-            if cut:
-                yield found(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None:
-            yield found(rest)
+        for table in _whole_nodes(batches):
+            rows = _Nodes(table, t, least, percent)
+            yield _pairs_batch(*_joined(rows.within(rows.node, np.arange(len(rows.node)), small)))
 
     return rows.repartition("node").sortWithinPartitions("node").select("node", "cid", "comp", "n", "sig").mapInArrow(tidied(run), "a long, b long")
 
 
+def _mixed_bits(x: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = x.astype(np.int64).view(np.uint64) + np.uint64(salt + 1) * _MIX
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def _descend(rows: DataFrame, count: int, level: int, depth: int, inside: int, small: int, t: int, least: float, percent: int) -> DataFrame:
+    """All further levels of nodes of up to ``inside`` rows (node, cid, comp, n, sig), each node in one task.
+
+    The branching is that of larger nodes.  Gives candidates (a, b), and as ``stuck`` the rows of nodes that are
+    large at the last level, as (node, cid).  A task gets several nodes' worth of rows, so that tasks are even.
+    """
+    second = 100 / percent - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_nodes(batches):
+            rows = _Nodes(table, t, least, percent)
+            node, at, found = rows.node, np.arange(len(rows.node)), []
+            for d in range(level, depth + 1):
+                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+                own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
+                # the member that each is compared with: the one with the smallest hash
+                by = np.lexsort((_mixed_bits(rows.cid[at], 1_000 + d), own))
+                found.append(rows.pairs(at, at[by[starts]][own]))
+                if d == depth or not len(node):
+                    break
+                ids = node[starts]
+                one = (_mixed_bits(ids, 3 * d) % np.uint64(t)).astype(np.int64)
+                two = (one + 1 + (_mixed_bits(ids, 3 * d + 1) % np.uint64(max(1, t - 1))).astype(np.int64)) % t
+                more = np.flatnonzero((_mixed_bits(ids, 3 * d + 2) >> np.uint64(11)).astype(np.float64)[own] < second * 2.0**53)
+                own, at, token = np.r_[own, own[more]], np.r_[at, at[more]], np.r_[one[own], two[own[more]]]
+                # a child is named by its node, the number of the token and the token itself
+                node = _mixed_bits(ids[own] ^ _mixed_bits(token * 256 + rows.sig[at, token], 7).view(np.int64), 3 * depth + d).view(np.int64)
+                order = np.argsort(node, kind="stable")
+                node, at = node[order], at[order]
+                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                size = np.diff(np.r_[starts, len(node)])
+                comp = rows.comp[at]
+                size[np.minimum.reduceat(comp, starts) == np.maximum.reduceat(comp, starts)] = 0  # of one component
+                size = np.repeat(size, np.diff(np.r_[starts, len(node)]))
+                few = (size > 0) & (size <= small)
+                found += rows.within(node[few], at[few], small)
+                node, at = node[size > small], at[size > small]
+            a, b = _joined(found)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.r_[a, node], pa.int64()), pa.array(np.r_[b, rows.cid[at]], pa.int64()),
+                pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(node), bool)], pa.bool_())], names=["a", "b", "stuck"])
+
+    tasks = max(1, -(-count // (4 * inside)))
+    dealt = rows.repartition(tasks, "node").sortWithinPartitions("node").select("node", "cid", "comp", "n", "sig")
+    return dealt.mapInArrow(tidied(run), "a long, b long, stuck boolean")
+
+
 def _compare_hub(large: DataFrame, count: int, way: int, t: int, least: float, percent: int) -> DataFrame:
     """Candidate pairs of each row of a large node with the member that a hash picks; nodes with much the same rows tend to pick the same."""
     hubs = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cid", F.lit(way)).alias("h"), "cid", "comp", "n", "sig")).alias("x"), F.first("node_n").alias("hub_of"))
@@ -327,6 +412,7 @@ def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, depth: int = DEPTH, t: int = TOKENS, bits: int = 23,
+    inside: int = INSIDE,
 ) -> DataFrame:
     """For each row: doc_id, text_key, n_shingles, component_id (smallest doc_id of its group), kept."""
     rows = persist(_described(docs, width, t, trees), "near-docs")
@@ -361,14 +447,22 @@ def near_duplicates(
     labels = components(links)
 
     # from now on a component's classes aren't compared with each other, and nodes of one component alone end
-    found = []
+    found, stuck = [], []
     if n_large:
         large = large.drop("comp").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         live = _mixed(large.drop("node_n"), n_large)
         for d in range(1, depth + 1):
             large = live.where(F.col("node_n") > small)
-            n_large = large.count()
-            if d == depth or not n_large:
+            if d == depth:
+                stuck.append(large.select("node", "cid"))
+                break
+            fit = large.where(F.col("node_n") <= inside)
+            if n_fit := fit.count():
+                below = persist(_descend(fit, n_fit, d, depth, inside, small, t, least, percent), "near-below")
+                found.append(below.where("not stuck").select("a", "b"))
+                stuck.append(below.where("stuck").select(F.col("a").alias("node"), F.col("b").alias("cid")))
+            large = large.where(F.col("node_n") > inside)
+            if not large.limit(1).count():
                 break
             # which token a node selects depends on the node alone; 1 / p - 1 of the nodes send their rows down a second branch
             one = F.pmod(F.xxhash64("node", F.lit(d), F.lit("one")), F.lit(t)).cast("int")
@@ -379,16 +473,20 @@ def near_duplicates(
             level = persist(large.select("cid", "comp", "n", "sig", F.explode(branch).alias("node")), "near-level")
             live = _mixed(level, level.count())
             found.append(persist(_compare_small(live.where(F.col("node_n") <= small), small, t, least, percent).distinct(), "near-pairs"))
-            large = live.where(F.col("node_n") > small)
+            large = live.where(F.col("node_n") > inside)
             if n_large := large.count():
                 found.append(persist(_compare_hub(large, n_large, d, t, least, percent).distinct(), "near-pairs"))
     if found:
         links = persist(links.union(confirmed(found)), "near-links")
         labels = components(links)
-    if n_large:
-        joins = persist(_compare_whole(docs, large.select("node", "cid"), labels, classes, width, percent, bits), "near-links")
-        if joins.limit(1).count():
-            labels = components(persist(links.union(joins), "near-links"))
+    if stuck:
+        rest = stuck[0]
+        for more in stuck[1:]:
+            rest = rest.union(more)
+        if rest.limit(1).count():
+            joins = persist(_compare_whole(docs, rest, labels, classes, width, percent, bits), "near-links")
+            if joins.limit(1).count():
+                labels = components(persist(links.union(joins), "near-links"))
 
     known = classes.select("cid", "cls", "docs", "doc_id").join(labels.withColumnRenamed("v", "cid"), "cid")
     first_id = persist(known.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("of")), "near-first")

@@ -13,6 +13,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -211,14 +212,78 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str =
     return out.withColumnRenamed("key", key)
 
 
+#: Queries and feedback entries that one task compares, and numbers that it holds for them at once.
+BLOCK_QUERIES, BLOCK_ENTRIES, CELLS = 2_048, 16_384, 4_000_000
+
+
+def _block(count: int, size: int, *columns: str) -> Column:
+    """The block of a row, of about ``size`` rows each."""
+    return F.pmod(F.xxhash64(*columns), F.lit(max(1, -(-count // size)))).cast("int")
+
+
+def _gathered(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each of the slices, one slice after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
+
+
 def bonus(terms: DataFrame, feedback: DataFrame) -> DataFrame:
-    """qid, source, bonus from feedback (terms, source, count): the best entry that shares half of its terms with the query."""
-    q = terms.groupBy("qid").agg(F.collect_set("term").alias("q"))
-    overlap = F.size(F.array_intersect("terms", "q")) / F.size("terms")
-    entries = feedback.withColumn("entry", F.xxhash64("terms", "source"))
-    near = entries.select("entry", "terms", "source", "count", F.explode("terms").alias("term")).join(terms.select("qid", "term").distinct(), "term")
-    pairs = near.dropDuplicates(["qid", "entry"]).join(q, "qid").withColumn("overlap", overlap).where("overlap >= 0.5")
-    return pairs.groupBy("qid", "source").agg(F.max(F.col("overlap") * F.least(F.lit(0.3), 0.1 + 0.05 * F.log1p("count"))).alias("bonus"))
+    """qid, source, bonus from feedback (terms, source, count): the best entry that shares half of its terms with the query.
+
+    Queries and entries are dealt into blocks, and each pair of blocks is a unit of work, which counts the shared terms of all its
+    pairs in arrays; what is shuffled is each entry once for every block of queries, and never a row for each pair.
+    """
+    asked = written(terms.where("term is not null").groupBy("qid").agg(F.collect_set("term").alias("q")), "asked")
+    weight = F.least(F.lit(0.3), 0.1 + 0.05 * F.log1p("count")).alias("weight")
+    entries = written(feedback.where(F.size("terms") > 0).select("terms", "source", weight), "entries")
+    n_asked, n_entries = asked.count(), entries.count()
+    q_blocks, e_blocks = max(1, -(-n_asked // BLOCK_QUERIES)), max(1, -(-n_entries // BLOCK_ENTRIES))
+    unit = lambda q, e: (q * F.lit(e_blocks) + e).alias("unit")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("own", _block(n_asked, BLOCK_QUERIES, "qid")).withColumn("other", each(e_blocks)).select(unit(F.col("own"), F.col("other")), "qid", "q")
+    right = entries.withColumn("own", _block(n_entries, BLOCK_ENTRIES, "terms", "source")).withColumn("other", each(q_blocks))
+    right = right.select(unit(F.col("other"), F.col("own")), "terms", "source", "weight")
+    kind = to_arrow_type(asked.schema["qid"].dataType)
+
+    def run(queries: pa.Table, given: pa.Table) -> pa.Table:
+        nothing = pa.table({"qid": pa.array([], kind), "source": pa.array([], pa.string()), "bonus": pa.array([], pa.float64())})
+        if not queries.num_rows or not given.num_rows:
+            return nothing
+        lists = queries.column("q").combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        code, who = words.indices.to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(code, kind="stable")
+        who, df = who[order], np.bincount(code, minlength=len(words.dictionary))
+        begins = np.cumsum(df) - df
+        lists, n_q = given.column("terms").combine_chunks(), queries.num_rows
+        size = np.diff(lists.offsets.to_numpy())
+        own = pc.fill_null(pc.index_in(lists.flatten(), words.dictionary), -1).to_numpy()
+        entry = np.repeat(np.arange(len(lists)), size)
+        # a term that an entry repeats is shared once
+        both = np.unique(entry[own >= 0] * np.int64(len(df)) + own[own >= 0])
+        entry, own = both // len(df), both % len(df)
+        weight, source = given.column("weight").to_numpy(), given.column("source").combine_chunks().dictionary_encode()
+        kinds = pc.fill_null(source.indices, len(source.dictionary)).to_numpy().astype(np.int64)
+        best = np.zeros((len(source.dictionary) + 1, n_q))
+        found = np.zeros(best.shape, dtype=bool)
+        lo, work = 0, np.cumsum(np.bincount(entry, weights=df[own], minlength=len(lists)) + n_q)
+        while lo < len(lists):
+            hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + CELLS, "right")))
+            i, j = np.searchsorted(entry, [lo, hi])
+            sizes = df[own[i:j]]
+            pairs = np.repeat((entry[i:j] - lo) * n_q, sizes) + who[_gathered(begins[own[i:j]], sizes)]
+            shared = np.bincount(pairs, minlength=(hi - lo) * n_q).reshape(hi - lo, n_q)
+            e, q = np.nonzero((shared > 0) & (2 * shared >= size[lo:hi, None]))
+            at = kinds[lo + e], q
+            np.maximum.at(best, at, shared[e, q] / size[lo + e] * weight[lo + e])
+            found[at] = True
+            lo = hi
+        s, q = np.nonzero(found)
+        names = pa.concat_arrays([source.dictionary, pa.nulls(1, source.dictionary.type)]).cast(pa.string())
+        return pa.table({"qid": queries.column("qid").take(pa.array(q)), "source": names.take(pa.array(s)), "bonus": best[s, q]})
+
+    pairs = left.groupBy("unit").cogroup(right.groupBy("unit")).applyInArrow(run, f"qid {asked.schema['qid'].dataType.simpleString()}, source string, bonus double")
+    return pairs.groupBy("qid", "source").agg(F.max("bonus").alias("bonus"))
 
 
 def hybrid(scores: DataFrame, recs: DataFrame, now: Column, k: int = 8, semantic: DataFrame | None = None, feedback: DataFrame | None = None,

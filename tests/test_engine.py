@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -150,3 +151,25 @@ def test_recall_of_notes(spark, asked, since, want):
     recs = chunking.records(chunking.chunk_files(rows)).withColumns({"at": F.coalesce("when_ts", "mtime"), "seq": F.xxhash64("source")})
     found = ranking.recall(recs, spark.createDataFrame([(1, asked)], "qid int, query string"), F.lit(now), since=since and F.lit(since).cast("timestamp"), key="source")
     assert [r.source for r in found.orderBy("rank").collect()] == want
+
+
+def test_bonus_of_all_pairs_of_blocks(spark, monkeypatch):
+    """Every pair of a query and an entry counts, whatever the blocks, and no row is made for a pair that shares a common term only."""
+    monkeypatch.setattr(ranking, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ranking, "BLOCK_ENTRIES", 11)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    asked = {q: rng.choices(words, k=rng.randint(1, 12)) for q in range(30)}
+    fed = [(sorted({"all", *rng.sample(words, rng.randint(0, 6))}), rng.choice(["a", "b", None]), rng.randint(1, 300)) for _ in range(80)]
+    terms = spark.createDataFrame([(q, i, t) for q, x in asked.items() for i, t in enumerate([*x, "all"])], "qid long, qpos int, term string")
+    want: dict[tuple, float] = {}
+    for q, x in asked.items():
+        for t, s, c in fed:
+            o = len({*x, "all"} & set(t)) / len(t)
+            if o >= 0.5:
+                want[q, s] = max(want.get((q, s), 0), o * min(0.3, 0.1 + 0.05 * math.log1p(c)))
+    made = ranking.bonus(terms, spark.createDataFrame([*fed, ([], "a", 5)], "terms array<string>, source string, count long"))
+    assert {(r.qid, r.source): round(r.bonus, 9) for r in made.collect()} == {k: round(v, 9) for k, v in want.items()}
+    plan = made._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in plan
+    assert ranking.bonus(terms.limit(0), spark.createDataFrame(fed, "terms array<string>, source string, count long")).count() == 0

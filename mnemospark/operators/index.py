@@ -1,7 +1,7 @@
 """A stored inverted index: postings in blocks by term, read for the terms of the queries alone.
 
-``build`` turns records into postings where they stand (one row for each term of a record, with its places) and writes blocks of at most
-``BLOCK`` postings in the order of their keys.  Keys and places are stored as differences, which Parquet packs well.  Files lie in folders
+``append`` turns records into runs of postings where they stand (one row for each term of the records that a task holds at once, in arrays) and
+packs the runs of a term into blocks of at most ``BLOCK`` postings in the order of their keys.  Keys and places are stored as differences, which Parquet packs well.  Files lie in folders
 by the hash of their term, so a query opens the folders of its terms and no others.  A term may be in any share of the records: each folder is
 split into slices of keys, so no task holds the postings of a term whole.  ``append`` adds records as a further part of the index; df, length
 and number of records add up over the parts.
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ BLOCK = 128
 BUCKETS = 64
 #: Records of a slice: a task of the build has at most so many postings of one term.
 SLICE = 1_000_000
+#: Tokens whose postings a task makes or packs at once, and places that it reads back at once.
+TOKENS, PLACES = 1_000_000, 250_000
 #: Query terms that are broadcast, and candidates of all queries that are; with more of them, terms are joined and all blocks are read.
 TERMS, CANDIDATES = 200_000, 200_000
 POSTINGS = "term string, n int, base long, last long, gaps array<long>, tf array<int>, len array<int>, places array<int>, max_tf int, min_ratio double, bucket int"
@@ -42,57 +45,114 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def _postings(recs: DataFrame, key: str) -> DataFrame:
-    """term, key, len, places of each record's terms, made where the record stands."""
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """``values``, one after the other, as lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind))
+
+
+def _begins(changed: np.ndarray) -> np.ndarray:
+    """Where runs begin, if ``changed`` tells it of all values but the first."""
+    return np.flatnonzero(np.r_[True, changed])
+
+
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``, of one row at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _postings(recs: DataFrame, key: str, slices: int) -> DataFrame:
+    """slice, term, base and keys, tf, len, places of runs of postings: those of one term in records that stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, keys, lens, places = [], [], [], []
-            for own, all_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at: dict[str, list[int]] = {}
-                for i, t in enumerate(all_ or ()):
-                    at.setdefault(t, []).append(i)
-                terms += at
-                places += at.values()
-                keys += [own] * len(at)
-                lens += [len(all_ or ())] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(keys, pa.int64()), pa.array(lens, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["term", "key", "len", "places"])
+        for whole in batches:
+            for lo, hi in _chunks(_lengths(whole.column(1)) + 1, TOKENS):
+                batch = whole.slice(lo, hi - lo)
+                lens, keys = _lengths(batch.column(1)), batch.column(0).to_numpy()
+                words = batch.column(1).flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                doc = np.repeat(np.arange(len(keys)), lens)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(lens) - lens, lens)
+                part = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices
+                run_of = words.indices.to_numpy().astype(np.int64) * slices + part[doc]
+                order = np.argsort(run_of, kind="stable")
+                doc, pos, run_of = doc[order], pos[order], run_of[order]
+                posts = _begins((doc[1:] != doc[:-1]) | (run_of[1:] != run_of[:-1]))
+                tf = np.diff(np.r_[posts, len(doc)])
+                places = np.diff(pos, prepend=0)
+                places[posts] = pos[posts]
+                doc, run_of = doc[posts], run_of[posts]
+                runs = _begins(run_of[1:] != run_of[:-1])
+                size, bounds = np.diff(np.r_[runs, len(doc)]), np.add.reduceat(tf, runs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(run_of[runs] % slices, pa.int32()), words.dictionary.take(pa.array(run_of[runs] // slices)), pa.array(keys[doc[runs]]), _lists(keys[doc], size, pa.int64()),
+                     _lists(tf, size, pa.int32()), _lists(lens[doc], size, pa.int32()), _lists(places, bounds, pa.int32())], names=["slice", "term", "base", "keys", "tf", "len", "places"])
 
-    return recs.select(F.col(key).cast("long"), "terms").mapInArrow(run, "term string, key long, len int, places array<int>")
+    return recs.select(F.col(key).cast("long"), "terms").mapInArrow(run, "slice int, term string, base long, keys array<long>, tf array<int>, len array<int>, places array<int>")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (bucket, term, key, len, places), in order, as blocks."""
-    rows: dict[str, list] = {}
-
-    def flush(term: str, bucket: int, held: list) -> None:
-        keys, lens, places = zip(*held, strict=True)
-        tf = [len(p) for p in places]
-        for name, value in (
-                ("term", term), ("n", len(keys)), ("base", keys[0]), ("last", keys[-1]), ("gaps", np.diff(keys)), ("tf", tf), ("len", lens),
-                ("places", np.concatenate([np.diff(p, prepend=0) for p in places])), ("max_tf", max(tf)), ("min_ratio", min(n / t for n, t in zip(lens, tf, strict=True))), ("bucket", bucket)):
-            rows.setdefault(name, []).append(value)
-
-    def batch() -> pa.RecordBatch:
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.float64(), pa.int32()]
-        names = [c.split()[0] for c in POSTINGS.split(", ")]
-        out = pa.RecordBatch.from_arrays([pa.array(rows.get(n, []), t) for n, t in zip(names, types, strict=True)], names=names)
-        rows.clear()
-        return out
-
-    now, held = None, []
-    for given in batches:
-        for bucket, term, key, length, places in zip(*(c.to_pylist() for c in given.columns), strict=True):
-            if (term, bucket) != now or len(held) == BLOCK:
-                if held:
-                    flush(*now, held)
-                now, held = (term, bucket), []
-            held.append((key, length, places))
-        if rows:
-            yield batch()
-    if held:
-        flush(*now, held)
-        yield batch()
+    """Runs (bucket, term, keys, tf, len, places), in the order of terms, as blocks; of the last term a part of a block at most is carried on."""
+    rest: pa.RecordBatch | None = None
+    for whole in batches:
+        for lo, hi in _chunks(_lengths(whole.column(5)), TOKENS):
+            given = whole.slice(lo, hi - lo)
+            made, rest = _cut(given if rest is None else pa.concat_batches([rest, given]))
+            yield made
+    if rest is not None:
+        yield _cut(rest, True)[0]
+
+
+def _cut(runs: pa.RecordBatch, all_: bool = False) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """The blocks of ``runs``; the postings of its last term that don't fill a block are given back, unless ``all_``."""
+    size = _lengths(runs.column(2))
+    keys, tf, lens, places = (runs.column(i).flatten().to_numpy() for i in (2, 3, 4, 5))
+    firsts = _begins(pc.not_equal(runs.column(1)[1:], runs.column(1)[:-1]).to_numpy(zero_copy_only=False))
+    of_row = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(size)]))
+    term = np.repeat(of_row, size)
+    if not ((keys[1:] > keys[:-1]) | (term[1:] != term[:-1])).all():
+        order, at = np.lexsort((keys, term)), np.cumsum(tf) - tf
+        places = places[ranking._gathered(at[order], tf[order])]
+        keys, tf, lens = keys[order], tf[order], lens[order]
+    starts = _begins(term[1:] != term[:-1])
+    within = np.arange(len(term)) - np.repeat(starts, np.diff(np.r_[starts, len(term)]))
+    rest, left = None, 0
+    if not all_ and (left := (within[-1] + 1) % BLOCK):
+        i, words = len(keys) - left, int(tf[len(keys) - left:].sum())
+        last = [*(runs.column(c).slice(len(size) - 1) for c in (0, 1)), *(_lists(x, np.array([len(x)]), k) for x, k in (
+            (keys[i:], pa.int64()), (tf[i:], pa.int32()), (lens[i:], pa.int32()), (places[len(places) - words:], pa.int32())))]
+        rest = pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(last, runs.schema, strict=True)], schema=runs.schema)
+        keys, tf, lens, places, term, within = keys[:i], tf[:i], lens[:i], places[:len(places) - words], term[:i], within[:i]
+    names, types = [c.split()[0] for c in POSTINGS.split(", ")], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.float64(), pa.int32()]
+    if not len(keys):
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names), rest
+    b = np.flatnonzero(within % BLOCK == 0)
+    n, row = np.diff(np.r_[b, len(keys)]), pa.array(firsts[term[b]])
+    made = [runs.column(1).take(row), pa.array(n, pa.int32()), pa.array(keys[b]), pa.array(keys[b + n - 1]), _lists(np.delete(np.diff(keys), b[1:] - 1), n - 1, pa.int64()),
+            _lists(tf, n, pa.int32()), _lists(lens, n, pa.int32()), _lists(places, np.add.reduceat(tf, b), pa.int32()), pa.array(np.maximum.reduceat(tf, b), pa.int32()),
+            pa.array(np.minimum.reduceat(lens / tf, b)), runs.column(0).take(row)]
+    return pa.RecordBatch.from_arrays(made, names=names), rest
+
+
+def _read_back(base: pa.Array, gaps: pa.Array, tf: pa.Array, lens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of postings of each block, and the keys, tf and len of all postings of the blocks."""
+    n = _lengths(tf)
+    starts = np.cumsum(n) - n
+    steps = np.zeros(int(n.sum()), dtype=np.int64)
+    own = np.ones(len(steps), dtype=bool)
+    own[starts] = False
+    steps[own] = gaps.flatten().to_numpy()
+    keys = np.cumsum(steps)
+    keys += np.repeat(base.to_numpy() - keys[starts], n)
+    return n, keys, tf.flatten().to_numpy(), lens.flatten().to_numpy()
 
 
 @dataclass
@@ -104,10 +164,15 @@ class Index:
     parts: list[dict]
     path: str | None = None
 
+    @property
+    def whole_records(self) -> DataFrame:
+        """The records with their terms in order."""
+        return self.spark.read.parquet(*[f"{self.path}/{p['name']}/records" for p in self.parts])
+
     @property
     def records(self) -> DataFrame:
         """The records' columns but for their terms."""
-        return self.spark.read.parquet(*[f"{self.path}/{p['name']}/records" for p in self.parts])
+        return self.whole_records.drop("terms")
 
     def stats(self) -> DataFrame:
         """n_chunks and avgdl (one row), from one row for each part."""
@@ -141,21 +206,15 @@ class Index:
         """key, len, pos, term: the places of ``terms``, written once."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                out: list[list[np.ndarray]] = [[], [], []]
-                sizes = []
-                for base, gaps, tf, lens, places in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                    tf, steps = np.array(tf), np.cumsum(places)
-                    begins = np.cumsum(tf) - tf
-                    before = np.where(begins > 0, steps[begins - 1], 0)
-                    for held, x in zip(out, (np.repeat(np.cumsum([base, *gaps]), tf), np.repeat(lens, tf), steps - np.repeat(before, tf)), strict=True):
-                        held.append(x)
-                    sizes.append(len(steps))
-                keys, lens, pos = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(lens, pa.int32()), pa.array(pos, pa.int32()), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], names=[key, "len", "pos", "term"])
+            for whole in batches:
+                for lo, hi in _chunks(_lengths(whole.column(5)), PLACES):
+                    batch = whole.slice(lo, hi - lo)
+                    n, keys, tf, lens = _read_back(*batch.columns[1:5])
+                    steps, begins = np.cumsum(batch.column(5).flatten().to_numpy(), dtype=np.int64), np.cumsum(tf, dtype=np.int64) - tf
+                    pos = steps - np.repeat(np.where(begins > 0, steps[begins - 1], 0), tf)
+                    own = np.repeat(np.repeat(np.arange(len(n)), n), tf)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(keys, tf)), pa.array(np.repeat(lens, tf), pa.int32()), pa.array(pos, pa.int32()), batch.column(0).take(pa.array(own))], names=[key, "len", "pos", "term"])
 
         blocks = self.blocks(terms).select("term", "base", "gaps", "tf", "len", "places")
         return written(blocks.mapInArrow(run, f"{key} long, len int, pos int, term string"), "hits")
@@ -223,15 +282,13 @@ def _parts(rows: DataFrame, key: str) -> DataFrame:
     kind, k1, b = rows.schema["qid"].dataType, ranking.K1, ranking.B
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            qids, keys, parts = [], [], []
-            for qid, base, gaps, tf, lens, weight, avgdl in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tf, lens = np.array(tf, dtype=np.float64), np.array(lens, dtype=np.float64)
-                keys.append(np.cumsum([base, *gaps]))
-                parts.append(weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / avgdl)))
-                qids += [qid] * len(tf)
-            if qids:
-                yield pa.RecordBatch.from_arrays([pa.array(qids, batch.schema.field(0).type), pa.array(np.concatenate(keys)), pa.array(np.concatenate(parts))], names=["qid", key, "part"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                n, keys, tf, lens = _read_back(*batch.columns[1:5])
+                weight, avgdl = (np.repeat(batch.column(i).to_numpy(), n) for i in (5, 6))
+                part = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / avgdl))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(keys), pa.array(part)], names=["qid", key, "part"])
 
     return rows.select("qid", "base", "gaps", "tf", "len", "weight", "avgdl").mapInArrow(run, f"qid {kind.simpleString()}, {key} long, part double")
 
@@ -263,8 +320,8 @@ def _covers(spark: SparkSession, candidates: list, key: str):
 def write_postings(recs: DataFrame, path: str, n: int, key: str, buckets: int) -> None:
     """The blocks of ``n`` records (key, terms) in folders below ``path``."""
     slices = max(1, -(-n // SLICE))
-    posts = _postings(recs, key).withColumns({"bucket": _bucket(buckets), "slice": F.pmod(F.xxhash64("key"), F.lit(slices))})
-    dealt = posts.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "term", "key").select("bucket", "term", "key", "len", "places")
+    posts = _postings(recs, key, slices).withColumn("bucket", _bucket(buckets))
+    dealt = posts.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "term", "base").select("bucket", "term", "keys", "tf", "len", "places")
     dealt.mapInArrow(_blocks, POSTINGS).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
@@ -280,7 +337,7 @@ def append(recs: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKE
     A part is written whole before the list of parts names it, so readers see it whole or not at all; there is one writer.
     """
     spark, name = recs.sparkSession, f"part-{uuid.uuid4().hex}"
-    recs.drop("terms").write.parquet(f"{path}/{name}/records")
+    recs.write.parquet(f"{path}/{name}/records")
     own = spark.read.parquet(f"{path}/{name}/records")
     own.where("len > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).write.parquet(f"{path}/{name}/stats")
     write_postings(recs, f"{path}/{name}/postings", spark.read.parquet(f"{path}/{name}/stats").first().n, key, buckets)

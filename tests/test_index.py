@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemospark.operators import index, pointers, ranking
 
@@ -122,3 +124,20 @@ def test_pointers(spark, tmp_path):
         pointers.publish(spark, path, "P", {"a": i})
     pointers.forget(spark, path, "P")
     assert pointers.latest(spark, path, "P") == {"a": 2, "number": 5}
+
+
+def test_the_build_deals_runs_and_reads_back_in_pieces(spark, monkeypatch):
+    """What is dealt out is a row for each term of what a task holds, not for each posting; places are read back a bounded piece at a time."""
+    recs = _records(spark, 600).coalesce(1)
+    runs = index._postings(recs, "doc_id", 1)
+    assert runs.count() <= 200 < ranking.postings(recs).count() / 10
+    batches = runs.withColumn("bucket", F.lit(0)).orderBy("term", "base").select("bucket", "term", "keys", "tf", "len", "places").toArrow().to_batches()
+    monkeypatch.setattr(index, "TOKENS", 50)
+    blocks = [b for given in batches for b in index._blocks(iter([given.slice(i, 1) for i in range(given.num_rows)]))]
+    found = {}
+    for b in blocks:
+        n, keys, tf, lens = index._read_back(b.column(2), b.column(4), b.column(5), b.column(6))
+        for t, k, f in zip(np.repeat(b.column(0).to_pylist(), n), keys, tf, strict=True):
+            found[t, k] = f
+        assert not len(n) or n.max() <= index.BLOCK
+    assert found == {(r.term, r.doc_id): r.tf for r in ranking.postings(recs).collect()}

@@ -1,12 +1,13 @@
 """The stored index: parts, what is read, and the pruned top k against plain BM25."""
 
+import datetime as dt
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import index, pointers, ranking
+from mnemospark.operators import batch, index, pointers, ranking
 
 
 def _records(spark, n, begin=0, seed=1):
@@ -141,3 +142,27 @@ def test_the_build_deals_runs_and_reads_back_in_pieces(spark, monkeypatch):
             found[t, k] = f
         assert not len(n) or n.max() <= index.BLOCK
     assert found == {(r.term, r.doc_id): r.tf for r in ranking.postings(recs).collect()}
+
+
+def test_many_queries_in_arrays_as_few_from_postings(spark, tmp_path, monkeypatch):
+    """The same rows both ways: phrases, places, repeated and unknown terms, equal records, blocks of queries and pieces of records."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        text = " ".join(rng.choices(words, [1 / (j + 1) for j in range(30)], k=rng.randint(1, 40))) if i % 7 else "w3 w9 w4 w4 w20"
+        rows.append((i, text, f"s{i % 5}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 90)))
+    chunks = spark.createDataFrame(rows, "doc_id long, text string, source string, when_ts timestamp").withColumns({"at": F.col("when_ts"), "seq": F.col("doc_id")})
+    own = index.append(ranking.records(chunks, carry=("source", "when_ts", "at", "seq")), f"file://{tmp_path}/i", buckets=4)
+    asked = [(q, " ".join(rng.choices(words, k=rng.randint(1, 8)))) for q in range(20)] + [(90, "w3 w9 w4 w4 w20"), (91, "nowhere"), (92, "w4 nowhere w9"), (93, "w1 w1")]
+    asked = spark.createDataFrame(asked, "qid long, query string")
+    now = F.lit("2024-12-31").cast("timestamp")
+    monkeypatch.setattr(batch, "QUERIES", 9)
+    monkeypatch.setattr(batch, "WORK", 2_000)
+    monkeypatch.setattr(ranking, "FEW_QUERIES", 99)
+    few = ranking.recall(own.records, asked, now, index=own, whole=True)
+    monkeypatch.setattr(ranking, "FEW_QUERIES", 0)
+    many = ranking.recall(own.records, asked, now, index=own, whole=True)
+    want, got = (sorted((r.qid, r["rank"], r.doc_id, r.score) for r in x.collect()) for x in (few, many))
+    assert got == want and len(got) == 23 * 8
+    assert "Join" not in batch._best(own.whole_records.withColumn("recency", F.lit(1.0)), None, "doc_id", 8, {})._jdf.queryExecution().toString().split("== Physical Plan ==")[1]

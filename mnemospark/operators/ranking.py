@@ -166,8 +166,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(same, F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0)))).otherwise(0.0)
 
 
-#: Query vectors that go to every task at once.
-VECTORS = 4096
+#: Query vectors that go to every task at once, and rows that a task compares with them at once.
+VECTORS, ROWS = 4096, 512
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, ``ROWS`` rows at a time: what is held for each query and row is bounded, whatever the batches are."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
@@ -187,18 +194,21 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str =
             names, vectors = [a for a, _ in shared.value], [np.array(v, dtype=np.float64) for _, v in shared.value]
             unit = lambda v: v / n if (n := np.linalg.norm(v)) else v
             tables = {n: ([i for i, v in enumerate(vectors) if len(v) == n], np.array([unit(v) for v in vectors if len(v) == n])) for n in {len(v) for v in vectors}}
-            best: list[list] = [[] for _ in names]
-            for batch in batches:
+            best, least = [[] for _ in names], np.full(len(names), -1.0)
+            for batch in pieces(batches):
                 keys = batch.column(0).to_pylist()
                 own = [np.array([] if v is None else v, dtype=np.float64) for v in batch.column(1).to_pylist()]
                 scores = np.zeros((len(names), len(own)))
                 for n, (at, table) in tables.items():
                     if same := [i for i, v in enumerate(own) if len(v) == n]:
                         scores[np.ix_(at, same)] = np.round(np.maximum(0, table @ np.array([unit(own[i]) for i in same]).T), 9)
-                least = min(k, len(own))
-                for q, row in enumerate(scores):
-                    at = np.flatnonzero(row >= np.partition(row, -least)[-least]) if least else []
+                few = min(k, len(own))
+                for q in np.flatnonzero(scores.max(axis=1) >= least).tolist():
+                    row = scores[q]
+                    at = np.flatnonzero(row >= max(least[q], np.partition(row, -few)[-few]))
                     best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in at])[:k]
+                    if len(best[q]) == k:
+                        least[q] = -best[q][-1][0]
             out = [(names[q], y, -x) for q in range(len(names)) for x, y in best[q]]
             yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], types[i]) for i in (0, 1)], pa.array([r[2] for r in out], pa.float64())], names=["q", "key", "cosine"])
 

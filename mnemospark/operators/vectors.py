@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.operators import pointers
-from mnemospark.operators.ranking import VECTORS
+from mnemospark.operators.ranking import VECTORS, pieces
 from mnemospark.operators.scratch import written
 
 SAMPLE = 20_000
@@ -71,7 +71,7 @@ def _assigned(rows: DataFrame, key: str, vector: str, centroids: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             vectors = batch.column(1).to_pylist()
             cell, near = np.full(len(vectors), -1), np.zeros(len(vectors))
             if at := [i for i, v in enumerate(vectors) if len(own) and v is not None and len(v) == own.shape[1] and None not in v]:
@@ -150,8 +150,9 @@ def _best(rows: DataFrame, vectors: list[np.ndarray], wanted: dict[int, list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, wants = shared.value
         best: dict[int, list] = {}
+        kth = np.full(len(asked), -1.0)
         schema = None
-        for batch in batches:
+        for batch in pieces(batches):
             schema = batch.schema.field(0).type
             keys, own, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for cell in np.unique(cells).tolist():
@@ -164,10 +165,13 @@ def _best(rows: DataFrame, vectors: list[np.ndarray], wanted: dict[int, list[int
                     if same and length:
                         found = np.array([asked[queries[i]] for i in mine]) @ _units([own[at[i]] for i in same], length).T
                         scores[np.ix_(mine, same)] = np.round(np.maximum(0, np.nan_to_num(found)), 9)
-                least = min(k, len(at))
-                for i, q in enumerate(queries):
-                    good = np.flatnonzero(scores[i] >= np.partition(scores[i], -least)[-least])
+                few = min(k, len(at))
+                for i in np.flatnonzero(scores.max(axis=1, initial=-1.0) >= kth[queries]).tolist():
+                    q = queries[i]
+                    good = np.flatnonzero(scores[i] >= max(kth[q], np.partition(scores[i], -few)[-few]))
                     best[q] = sorted(best.get(q, []) + [(-scores[i][g], keys[at[g]]) for g in good], key=lambda x: (x[0], x[1] is None, x[1]))[:k]
+                    if len(best[q]) == k:
+                        kth[q] = -best[q][-1][0]
         out = [(q, y, -x) for q, found in best.items() for x, y in found]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], schema), pa.array([r[2] for r in out], pa.float64())], names=["q", "key", "cosine"])

@@ -76,3 +76,17 @@ def test_as_the_plain_search(spark, tmp_path):
     asked = rows.where("vec_id < 20")
     assert {(r.q, r.rank, r.vec_id) for r in vectors.nearest(own, asked, 5, "vec_id").collect()} == {
         (r.q, r.rank, r.vec_id) for r in ranking.nearest(asked, rows, 5, "vec_id").collect()}
+
+
+def test_rows_are_compared_a_bounded_number_at_a_time(spark, tmp_path, monkeypatch):
+    """Pieces of any size give the same rows, and no array of a task has more rows than a piece."""
+    rows = _rows(spark, 700)
+    path = f"file://{tmp_path}/v"
+    vectors.append(rows, path, "vec_id", cells=3)
+    asked = rows.where("vec_id % 20 = 0")
+    both = lambda: [sorted(map(tuple, x.select("q", "rank", "vec_id").collect())) for x in (ranking.nearest(asked, rows, 5, "vec_id"), vectors.nearest(vectors.open_vectors(spark, path), asked, 5, "vec_id"))]
+    want = both()
+    monkeypatch.setattr(ranking, "ROWS", 7)
+    given = spark.range(100).coalesce(1).toArrow().to_batches()
+    assert [p.num_rows for p in ranking.pieces(iter(given))] == [7] * 14 + [2]
+    assert both() == want

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions import text as T
+from mnemospark.functions.terms import tokenized
 from mnemospark.operators import bloom, index, pointers, store
 from mnemospark.operators.scratch import written
 
@@ -55,7 +55,8 @@ class Snapshot:
 
 def migrated(chunks: DataFrame) -> DataFrame:
     """``chunks`` with terms and len made anew from their texts."""
-    return chunks.withColumn("terms", T.tokenize(F.col("text"))).withColumn("len", F.size("terms"))
+    made = tokenized(chunks.drop("terms", "len").withColumn("_raw", F.col("text")), "_raw", "terms").withColumn("len", F.size("terms"))
+    return made.select(*chunks.columns, *[c for c in ("terms", "len") if c not in chunks.columns])
 
 
 def _union(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:

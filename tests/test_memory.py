@@ -283,3 +283,11 @@ def test_a_batch_that_comes_again_is_dropped(spark, tmp_path):
     now = snapshots.change(spark, path, snapshots.load(spark, path), watched={"s": 3})
     now = snapshots.change(spark, path, now, watched={"t": 1})
     assert snapshots.load(spark, path).state["watched"] == {"s": 3, "t": 1}
+
+
+def test_migrated_terms_are_made_in_batches(spark):
+    """The terms of an older tokenizer are made anew as those of new texts are, not step by step for each token; other columns stay in their places."""
+    old = spark.createDataFrame([(1, "Queries and caches", ["old"], 1, "s"), (2, None, ["old"], 1, "s"), (3, "", None, 0, None)], "id long, text string, terms array<string>, len int, source string")
+    new = snapshots.migrated(old)
+    assert new.columns == old.columns and "MapInArrow" in new._jdf.queryExecution().toString()
+    assert sorted(map(tuple, new.collect()), key=lambda r: r[0]) == [(1, "Queries and caches", ["queri", "cach"], 2, "s"), (2, None, [], 0, "s"), (3, "", [], 0, None)]

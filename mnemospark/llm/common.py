@@ -120,12 +120,13 @@ HOT_SHARE = 1 / 500
 HOT_LEAST = 500
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, named: bool = False) -> DataFrame:
     """``rows`` left-joined with ``groups`` on ``key`` (one row of groups for each key; null keys match nothing).
 
     Hot groups (``size`` over ``total * HOT_SHARE``: at most 500, so their broadcast is bounded) are
     joined where their rows stand; the rows of all other groups meet in a shuffled join, in which rows that
-    are already served, or have a null key, get a spread-out key whose match, if any, is ignored.
+    are already served, or have a null key, get a spread-out key whose match, if any, is ignored.  ``named``: the hot groups (at most
+    500) are read to the driver and looked up by name, so the rows of ordinary groups don't pass through a join for them.
     """
     if key in groups.columns and len(groups.columns) == 1:
         raise ValueError("groups has no values to attach")
@@ -133,8 +134,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     values = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
     cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
-    joined = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
     kind = rows.schema[key].dataType
+    if named:
+        joined = rows.withColumn("_hot", _looked_up(hot, key))
+    else:
+        joined = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
     spread = F.xxhash64(*[F.col(c) for c in rows.columns])
     spread = (spread.cast("string") if kind.typeName() == "binary" else spread).cast(kind)
     joined = joined.withColumn("_rs", F.col("_hot").isNull() & F.col(key).isNotNull())
@@ -144,6 +148,18 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col("_hot")[v], found[v]).alias(v) for v in values])
 
 
+def _looked_up(hot: DataFrame, key: str) -> Column:
+    """The values ``_hot`` of the groups ``_hk``, a bounded number, as an expression of ``key``."""
+    kinds, found = hot.schema["_hot"].dataType, hot.collect()
+    plain = lambda v: F.lit(bytearray(v) if isinstance(v, bytes) else v)
+    if not found:
+        return F.lit(None).cast(kinds)
+    names = [plain(r["_hk"]).cast(hot.schema["_hk"].dataType) for r in found]
+    values = [F.struct(*[plain(v).cast(f.dataType).alias(f.name) for v, f in zip(r["_hot"], kinds, strict=True)]) for r in found]
+    of = F.map_from_arrays(F.array(*names), F.array(*values))
+    return F.when(F.col(key).isin(names), F.element_at(of, F.col(key))).cast(kinds)
+
+
 def bitmap_of(keys: DataFrame, key: Column, bits: int = 23) -> DataFrame:
     """The set of ``key`` (a long hash) as at most ``2**bits / 32768`` rows of 4 KiB: its size is bounded by ``bits``."""
     k = F.pmod(key, F.lit(1 << bits)) + F.lit(1)

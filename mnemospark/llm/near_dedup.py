@@ -263,7 +263,7 @@ def _compare_hub(large: DataFrame, count: int, way: int, t: int, least: float, p
     """Candidate pairs of each row of a large node with the member that a hash picks; nodes with much the same rows tend to pick the same."""
     hubs = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cid", F.lit(way)).alias("h"), "cid", "comp", "n", "sig")).alias("x"), F.first("node_n").alias("hub_of"))
     hubs = hubs.select("node", "hub_of", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.n").alias("hub_n"), F.col("x.sig").alias("hub_sig"))
-    both = attach_groups(large.select("node", "cid", "comp", "n", "sig"), hubs, "node", "hub_of", count).where("comp <> hub_comp")
+    both = attach_groups(large.select("node", "cid", "comp", "n", "sig"), hubs, "node", "hub_of", count, named=True).where("comp <> hub_comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,7 +436,7 @@ def near_duplicates(
     roots = F.array(*[F.xxhash64(F.lit(r), F.substring("roots", 4 * r + 1, 4)) for r in range(trees)])
     level = persist(classes.select("cid", F.explode(roots).alias("node")), "near-level")
     counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("node_n")).where("node_n > 1")
-    live = attach_groups(level, counts, "node", "node_n", level.count()).where("node_n is not null")
+    live = attach_groups(level, counts, "node", "node_n", level.count(), named=True).where("node_n is not null")
     live = persist(live.join(classes.select("cid", F.col("cid").alias("comp"), "n", "sig"), "cid"), "near-nodes")
     found = [_compare_small(live.where(F.col("node_n") <= small), small, t, least, percent)]
     large = live.where(F.col("node_n") > small)
@@ -501,7 +501,7 @@ def near_duplicates(
 def _mixed(rows: DataFrame, count: int) -> DataFrame:
     """``rows`` (node, cid, comp, n, sig) of nodes that hold several components, with the node's number of rows."""
     counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("node_n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    live = attach_groups(rows.select("node", "cid", "comp", "n", "sig"), counts.select("node", "node_n"), "node", "node_n", count)
+    live = attach_groups(rows.select("node", "cid", "comp", "n", "sig"), counts.select("node", "node_n"), "node", "node_n", count, named=True)
     return persist(live.where("node_n is not null"), "near-nodes")
 
 

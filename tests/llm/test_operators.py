@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import class_lm, decontam, exact_dedup, near_dedup, packing, pii, sharding, substring_dedup, token_files, toxicity
+from mnemospark.llm import class_lm, common, decontam, exact_dedup, near_dedup, packing, pii, sharding, substring_dedup, token_files, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string"
 
@@ -343,3 +343,16 @@ def test_toxicity(spark, empty):
     got = {r.doc_id: r.predicted for r in toxicity.scored(docs, labels).collect()}
     assert all(got[i] == (i % 4 == 0) for i in range(200)) and got[500] == 0
     assert toxicity.scored(empty, labels).count() == 0 and toxicity.scored(docs, labels.limit(0)).where("score > 0").count() == 0
+
+
+def test_hot_groups_are_looked_up_by_name(spark):
+    """With ``named`` the rows of ordinary groups pass through one join, not through a second one for the few hot groups; the values are the same."""
+    rows = spark.range(3000).selectExpr("if(id < 1500, 7L, id) AS node", "id AS cid").unionByName(spark.createDataFrame([(None, -1)], "node long, cid long"))
+    groups = rows.where("node % 2 = 1").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").cast("string").cast("binary")).alias("sig"))
+    some, all_ = (common.attach_groups(rows, groups, "node", "n", 3001, named=named) for named in (True, False))
+    assert sorted(map(str, some.collect())) == sorted(map(str, all_.collect())) and some.where("n = 1500").count() == 1500
+    assert some.schema == all_.schema
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert (joins(some), joins(all_)) == (1, 2)
+    none = groups.where("n > 9999")
+    assert common.attach_groups(rows, none, "node", "n", 3001, named=True).where("n is null").count() == 3001

@@ -1,16 +1,20 @@
-"""Language-model scores from Brown-style class bigrams.
+"""Language-model scores from class bigrams, classes by exchange clustering of every training word.
 
-Words are counted over all training documents.  The ``known`` most frequent words (a bounded broadcast) split
-into the ``moved`` most frequent, which exchange clustering assigns to ``classes`` classes, and bands of falling
-frequency, each a class of its own; all other words share one class, and so does the end of a text.  Exchange
-clustering takes the bigram counts of these symbols over the whole training part (at most (moved + bands + 2)^2
-numbers, whatever the input) and moves one word at a time to the class that raises the likelihood most.
+Words are counted over all training documents.  The ``known`` most frequent words (a bounded broadcast) go by number, all others
+by a 64-bit hash (two words of equal hash would move together; nothing else depends on it).  Classes are made in two steps:
 
-    p(w | v) = p(class(w) | class(v)) * p(w | class(w))
+* ``exchange``: the ``moved`` most frequent words go one at a time to the class that raises the likelihood most; bands of falling
+  frequency and one class of rare words stand in for the others.
+* ``_everywhere``: rounds over the whole vocabulary.  Every word, the rarest too, has the counts of its left and right neighbours'
+  classes (those of rare neighbours come as messages through a shuffle) and goes to the best class by the same gain.  The first round
+  empties the bands and the rare class.  A round takes the class table as it was at its start, so the result doesn't depend on the
+  partitions; a later round that doesn't raise the likelihood is dropped.
 
-Transitions are smoothed towards the classes' own frequencies.  In the class of rare words, the share of words seen
-once is set aside for the one outcome "a word never seen"; the counts of rare words, which grow with the input,
-are joined by word and never broadcast.
+    p(w | v) = (1 - unseen(class(v))) * p(class(w) | class(v)) * p(w | class(w))
+
+Transitions are smoothed towards the classes' own frequencies.  ``unseen`` is the share set aside for the one outcome "a word never
+seen": how often a word seen once follows that class.  Counts and classes of rare words grow with the input; they are joined by word
+and never broadcast.
 
 Defined cases: a null or empty text is its end alone; null doc_ids are hashed as the empty text; repeated rows are
 scored one by one (and all train); without training documents nothing is known; an empty table gives an empty
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +40,7 @@ KNOWN = 65_536
 MOVED = 2_048
 CLASSES = 64
 ROUNDS = 3
+ALL_ROUNDS = 2
 BUCKETS, HELD_OUT = 7, 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -67,10 +73,9 @@ def _word_counts(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Symbols:
-    """The numbers that words go by in class counts: moved words, then bands, then rare words, then the end."""
+    """The numbers that words go by in the first step's counts: moved words, then bands, then rare words, then the end."""
 
     number: dict[bytes, int]
-    counts: dict[bytes, int]
     moved: int
     bands: int
 
@@ -90,40 +95,192 @@ def _symbols(top: list[tuple[bytes, int]], moved: int) -> Symbols:
         band = max(0, ((i // moved).bit_length() - 1)) if i >= moved else 0
         number[w] = i if i < moved else moved + band
         bands = max(bands, band + 1 if i >= moved else 0)
-    return Symbols(number, dict(top), moved, bands)
+    return Symbols(number, moved, bands)
 
 
-def _bigrams(train: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts of neighbouring symbols over all training texts, as a matrix whose size the symbols fix."""
-    shared, n = train.sparkSession.sparkContext.broadcast((symbols.number, symbols.rare, symbols.end)), symbols.end + 1
+def _ids(words: list[bytes]) -> np.ndarray:
+    """Negative ids of words outside the known ones, by hash."""
+    return -1 - (pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> 2).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rare, end = shared.value
-        get, held, size = number.get, [], 0
 
-        def out() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+class _Sums:
+    """Sums of ``n`` by ``code``, compressed as they grow."""
+
+    def __init__(self) -> None:
+        self.codes, self.n, self.size = [], [], 0
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        self.codes.append(code)
+        self.n.append(n)
+        self.size += len(code)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """All sums by ascending code; nothing is left."""
+        if not self.codes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(self.n), minlength=len(codes)).astype(np.int64)
+        self.codes, self.n, self.size = [], [], 0
+        return codes, n
+
+    def full(self, most: int = 1_000_000) -> bool:
+        if self.size > 2 * most:
+            self.add(*self.taken())
+        return self.size > most
+
+
+#: Most integers of a known word's row, so that a batch of rows stays small.
+_RUN = 128
+
+
+def _runs(key: np.ndarray, values: np.ndarray, each: int = 1, most: int = _RUN) -> pa.RecordBatch:
+    """Rows of sorted keys and their values (``each`` for a key), in runs of at most ``most`` keys."""
+    start = _starts(key)
+    place = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
+    start = np.flatnonzero(place % most == 0)
+    return pa.RecordBatch.from_arrays([pa.array(key[start]), _blobs(values, each * np.diff(np.append(start, len(key))))], names=["key", "near"])
+
+
+def _neighbours(train: DataFrame, number: dict[bytes, int]) -> tuple[DataFrame, DataFrame]:
+    """Neighbours over all training texts, of known words and of rare ones.
+
+    Of known words, for both sides: n * 2 size + 2 * other + (1: it follows), in one or more rows.  All rare words share the number
+    after the last there; the end of a text has the next one; ``size`` is the number of all these.  Of rare words, one row for each
+    id: the words before and after each place in turn, by number or id.
+    """
+    rare, end, n = len(number), len(number) + 1, len(number) + 2
+    shared = train.sparkSession.sparkContext.broadcast(number)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = shared.value, [], 0
+        get = number.get
+
+        def out() -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate([[end], *held])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+            symbol = np.where(flat < 0, rare, flat)
+            codes, counts = np.unique(symbol[:-1] * n + symbol[1:], return_counts=True)
+            a, b = codes // n, codes % n
+            yield _runs(a, counts * 2 * n + 2 * b + 1)
+            order = np.argsort(b, kind="stable")
+            yield _runs(b[order], (counts * 2 * n + 2 * a)[order])
+            at = np.flatnonzero(flat < 0)
+            at = at[np.argsort(flat[at], kind="stable")]
+            yield _runs(flat[at], np.stack([flat[at - 1], flat[at + 1]], axis=1).ravel(), 2)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                for t in batch.column(0).slice(lo, 512).to_pylist():
-                    ids = np.array([end, *[get(w, rare) for w in words_of(t)], end], dtype=np.int64)
-                    held.append(ids[:-1] * n + ids[1:])
-                    size += len(ids)
+                texts = [words_of(t) for t in batch.column(0).slice(lo, 512).to_pylist()]
+                ids = np.array([x for t in texts for x in (*[get(w, rare) for w in t], end)], dtype=np.int64)
+                ids[ids == rare] = _ids([w for t in texts for w in t if w not in number])
+                held.append(ids)
+                size += len(ids)
                 if size > 4_000_000:
-                    yield out()
+                    yield from out()
                     size = 0
         if held:
-            yield out()
+            yield from out()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
 
-    table = train.select("text").mapInArrow(tidied(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        def known() -> pa.RecordBatch:
+            codes, counts = sums.taken()
+            return _runs(codes // (2 * n), counts * 2 * n + codes % (2 * n))
+
+        for rows in _whole_keys(batches, loose=True):
+            key = rows.column(0).to_numpy()
+            values, lengths = _flat(rows.column(1))
+            if key[0] < 0:
+                start = _starts(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[start]), _blobs(values, np.add.reduceat(lengths, start))], names=["key", "near"])
+            else:
+                sums.add(np.repeat(key, lengths) * 2 * n + values % (2 * n), values // (2 * n))
+                if sums.full():
+                    yield known()
+        yield known()
+
+    kind = "key long, near binary"
+    found = train.select("text").mapInArrow(tidied(scan), kind).repartition("key").sortWithinPartitions("key").mapInArrow(tidied(joined), kind)
+    found = persist(found, "lm-near")
+    return found.where("key >= 0"), found.where("key < 0")
+
+
+def _bigrams(pairs: DataFrame, symbols: Symbols, symbol: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring symbols, as a matrix whose size the symbols fix."""
+    shared, n, size = pairs.sparkSession.sparkContext.broadcast(symbol), symbols.end + 1, len(symbol)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, sums = shared.value, _Sums()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in sums.taken()], names=["code", "n"])
+
+        for batch in batches:
+            values, lengths = _flat(batch.column(1))
+            key, use = np.repeat(batch.column(0).to_numpy(), lengths), values & 1 == 1
+            sums.add(symbol[key[use]] * n + symbol[values[use] % (2 * size) >> 1], values[use] // (2 * size))
+            if sums.full():
+                yield out()
+        yield out()
+
+    table = pairs.mapInArrow(tidied(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n * n, dtype=np.float64)
     out[table.column("code").to_numpy()] = table.column("n").to_numpy()
     return out.reshape(n, n)
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], loose: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by their first column, cut only where it changes; ``loose``: known words may be cut, and come apart from rare ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if loose:
+            cut = int(np.searchsorted(batch.column(0).to_numpy(), 0))
+            if cut < batch.num_rows:
+                if cut:
+                    held = [*held, batch.slice(0, cut)]
+                if held:
+                    yield _one(held)
+                    held = []
+                yield batch.slice(cut)
+                continue
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield _one(held)
+            held = []
+        last = int(_starts(key)[-1])
+        if last:
+            yield _one([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _blobs(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Runs of 64-bit integers as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(lengths) * 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, dtype=np.int64))])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all values of ``_blobs``, and the length of each; nulls are empty."""
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1]
+    size = int(offsets[-1] - offsets[0]) // 8
+    return np.frombuffer(data, np.int64, size, int(offsets[0])) if size else np.zeros(0, np.int64), np.diff(offsets) // 8
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -170,8 +327,296 @@ def exchange(bigrams: np.ndarray, moved: int, classes: int, rounds: int = ROUNDS
     return own
 
 
+# Counts of a word's neighbours by class are packed in 64-bit integers n * (2 k + 1) + code.  Codes: the class that follows, k + the
+# class before, 2 k for the word itself (counted once; not among the others).
+_ROW = "key long, own int, near binary, around binary"
+_NAMES = ["key", "own", "near", "around"]
+
+
+def _rows(key: np.ndarray, own: np.ndarray | None, near: pa.Array | None, around: pa.Array | None) -> pa.RecordBatch:
+    n = len(key)
+    columns = [pa.array(key, pa.int64()), pa.nulls(n, pa.int32()) if own is None else pa.array(own, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns + [pa.nulls(n, pa.binary()) if x is None else x for x in (near, around)], names=_NAMES)
+
+
+def _packed(sums: _Sums, base: int) -> pa.RecordBatch:
+    """Sums by key * base + code as rows of packed counts."""
+    codes, n = sums.taken()
+    key = codes // base
+    start = _starts(key)
+    return _rows(key[start], None, None, _blobs(n * base + codes % base, np.diff(np.append(start, len(key)))))
+
+
+def _known_around(pairs: DataFrame, own: np.ndarray, k: int, with_rare: bool) -> DataFrame:
+    """Counts of the neighbours of known words by class; those of rare neighbours only where they are in one class."""
+    shared, rare, base, size = pairs.sparkSession.sparkContext.broadcast(own), len(own) - 2, 2 * k + 1, len(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = shared.value, _Sums()
+        for batch in batches:
+            values, lengths = _flat(batch.column(1))
+            key, other, n = np.repeat(batch.column(0).to_numpy(), lengths), values % (2 * size), values // (2 * size)
+            follows, other = other & 1, other >> 1
+            code = np.where(other == key, 2 * k, np.where(follows == 1, 0, k) + own[other])
+            use = (key != rare) & ((other != key) | (follows == 1)) & (with_rare | (other != rare))
+            sums.add((key * base + code)[use], n[use])
+            if sums.full():
+                yield _packed(sums, base)
+        yield _packed(sums, base)
+
+    return pairs.mapInArrow(tidied(run), _ROW)
+
+
+def _gathered(rows: DataFrame, own: np.ndarray, k: int, rare: int | None = None) -> DataFrame:
+    """One row for each key, from rows sorted by key: its class and the counts of its neighbours by class.
+
+    Neighbours that are rare words have sent their classes, unless all are in the class ``rare``.
+    """
+    shared, base = rows.sparkSession.sparkContext.broadcast(own), 2 * k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in _whole_keys(batches):
+            key, sent = batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy()
+            start = _starts(key)
+            at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+            packed, lengths = _flat(batch.column(3))
+            codes, counts = [np.repeat(at, lengths) * base + packed % base], [packed // base]
+            near, lengths = _flat(batch.column(2))
+            lengths = lengths // 2
+            for other, side in ((near[::2], k), (near[1::2], 0)):
+                itself, known = other == np.repeat(key, lengths), other >= 0
+                code = np.where(itself, 2 * k, side + np.where(known, own[np.where(known, other, 0)], rare or 0))
+                use = (known & ~itself) | (itself & (side == 0)) | (~known & ~itself & (rare is not None))
+                codes.append((np.repeat(at, lengths) * base + code)[use])
+                counts.append(np.ones(int(use.sum()), np.int64))
+            sums = np.bincount(np.concatenate(codes), weights=np.concatenate(counts), minlength=len(start) * base).astype(np.int64)
+            some = np.flatnonzero(sums)
+            around = _blobs(sums[some] * base + some % base, np.bincount(some // base, minlength=len(start)))
+            origin = np.full(len(start), -1)
+            self_rows = np.flatnonzero((sent >= 0) & (key < 0))
+            origin[at[self_rows]] = self_rows
+            take = pa.array(origin, mask=origin < 0)
+            key = key[start]
+            new = np.where(key >= 0, own[np.maximum(key, 0)], sent[origin])
+            yield _rows(key, new, batch.column(2).take(take), around)
+
+    return rows.mapInArrow(tidied(run), _ROW)
+
+
+class Gains:
+    """The best class of words by exchange gain against one table of class bigrams."""
+
+    SMALL, ENTRIES = 8, 16_384
+
+    def __init__(self, table: np.ndarray, classes: int) -> None:
+        self.table, self.classes, self.k = table, classes, len(table)
+        self.cells = np.concatenate([table[:classes].T, table[:, :classes]])
+        self.small = np.stack([_f(self.cells + n) - _f(self.cells) for n in range(1, self.SMALL + 1)])
+        self.rows, self.columns = table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]
+        self.diagonal = np.diagonal(table)[:classes]
+
+    def best(self, own: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The class of each word; its ``own`` if none is better."""
+        out, ends = np.array(own, dtype=np.int64), np.cumsum(lengths)
+        lo = 0
+        while lo < len(out):
+            begin = int(ends[lo] - lengths[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + self.ENTRIES, "right")))
+            out[lo:hi] = self._part(out[lo:hi], packed[begin:ends[hi - 1]], lengths[lo:hi])
+            lo = hi
+        return out
+
+    def _part(self, own: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        c, k, base, m = self.classes, self.k, 2 * self.k + 1, len(own)
+        word, code, n = np.repeat(np.arange(m), lengths), packed % base, packed // base
+        dense = np.bincount(word * base + code, weights=n, minlength=m * base).reshape(m, base)
+        right, left, self_n = dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k]
+        other = code < 2 * k
+        word, code, n = word[other], code[other], n[other].astype(float)
+        a = own[word]
+
+        gains = np.empty((len(code), c))
+        few = n <= self.SMALL
+        gains[few] = self.small[n[few].astype(int) - 1, code[few]]
+        full = np.flatnonzero(~few)
+        gains[full] = _f(self.cells[code[full]] + n[full, None]) - _f(self.cells[code[full]])
+        # What the word itself has put into the table is taken out: pairs with neighbours of its own class, and its own class's cells.
+        same = np.flatnonzero(code % k == a)
+        back = np.where((code[same] < k)[:, None], left[word[same], :c], right[word[same], :c])
+        cells = self.cells[code[same]] - back
+        at = np.flatnonzero(a[same] < c)
+        cells[at, a[same][at]] -= n[same][at] + self_n[word[same][at]]
+        gains[same] = _f(cells + n[same, None]) - _f(cells)
+        at = np.flatnonzero((code % k != a) & (a < c))
+        cell = self.cells[code[at], a[at]] - n[at]
+        gains[at, a[at]] = _f(cell + n[at]) - _f(cell)
+
+        total = np.zeros((m, c))
+        starts = _starts(word)
+        total[word[starts]] = np.add.reduceat(gains, starts, axis=0) if len(starts) else 0
+        r_all, l_all = (right.sum(axis=1) + self_n)[:, None], (left.sum(axis=1) + self_n)[:, None]
+        at = np.flatnonzero(own < c)
+        rows, columns, diagonal = (np.repeat(x[None, :], m, axis=0) for x in (self.rows, self.columns, self.diagonal))
+        rows[at, own[at]] -= r_all[at, 0]
+        columns[at, own[at]] -= l_all[at, 0]
+        diagonal[at, own[at]] -= right[at, own[at]] + left[at, own[at]] + self_n[at]
+        r, l = right[:, :c], left[:, :c]  # noqa: E741
+        total += _f(diagonal + r + l + self_n[:, None]) - _f(diagonal + r) - _f(diagonal + l) + _f(diagonal)
+        total -= _f(rows + r_all) - _f(rows) + _f(columns + l_all) - _f(columns)
+        b = np.argmax(total, axis=1)
+        stay = (own < c) & (total[np.arange(m), b] <= total[np.arange(m), np.minimum(own, c - 1)] + 1e-9)
+        return np.where(stay, own, b)
+
+
+def _best_known(known: DataFrame, own: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The classes of the known words after a round; the end of a text keeps its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(table, classes)
+        for batch in batches:
+            new = gains.best(batch.column(1).to_numpy(), *_flat(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.int32())], names=["key", "own"])
+
+    moved = known.where(F.col("key") < len(own) - 2).select("key", "own", "around").mapInArrow(tidied(run), "key long, own int").toArrow()
+    out = own.copy()
+    out[moved.column("key").to_numpy()] = moved.column("own").to_numpy()
+    return out
+
+
+def _best_rare(rare: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """The rare words with their classes after a round, and what they tell their neighbours."""
+    k = len(table)
+    base = 2 * k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains, sums = Gains(table, classes), _Sums()
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            new = gains.best(batch.column(1).to_numpy(), *_flat(batch.column(3)))
+            yield _rows(key, new, batch.column(2), None)
+            near, lengths = _flat(batch.column(2))
+            lengths = lengths // 2
+            for other, side in ((near[::2], 0), (near[1::2], k)):
+                code, itself = np.repeat(side + new, lengths), np.repeat(key, lengths)
+                known = other >= 0
+                sums.add(other[known] * base + code[known], np.ones(int(known.sum()), np.int64))
+                at = np.flatnonzero(~known & (other != itself))
+                if len(at):
+                    yield _rows(other[at], None, None, _blobs(base + code[at], np.ones(len(at), np.int64)))
+            if sums.full():
+                yield _packed(sums, base)
+        yield _packed(sums, base)
+
+    return rare.mapInArrow(tidied(run), _ROW)
+
+
+def _tables(state: DataFrame, k: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams; and of the words seen once, by class: how many follow it, it follows, and are in it."""
+    base = 2 * k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, once = np.zeros(k * k), np.zeros(3 * k)
+        for batch in batches:
+            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            packed, lengths = _flat(batch.column(2))
+            word, code, n = np.repeat(np.arange(len(key)), lengths), packed % base, packed // base
+            a, after = own[word], (code < k) | (code == 2 * k)
+            table += np.bincount((a * k + np.where(code == 2 * k, a, code % k))[after], weights=n[after], minlength=k * k)
+            single = (np.bincount(word[after], weights=n[after], minlength=len(key)) == 1) & (key != end)
+            use = single[word] & (code < 2 * k)
+            once[:2 * k] += np.bincount(np.where(code < k, k, 0)[use] + code[use] % k, minlength=2 * k)
+            once[2 * k:] += np.bincount(own[single], minlength=k)
+        both = np.concatenate([table, once]).astype(np.int64)
+        some = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(both[some])], names=["code", "n"])
+
+    found = state.select("key", "own", "around").mapInArrow(tidied(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k + 3 * k)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out[:k * k].reshape(k, k), out[k * k:].reshape(3, k)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log likelihood of the training texts that depends on the classes."""
+    return float(_f(table).sum() - _f(table.sum(axis=1)).sum() - _f(table.sum(axis=0)).sum())
+
+
+def _everywhere(
+    pairs: DataFrame, places: DataFrame, own: np.ndarray, table: np.ndarray, classes: int, rounds: int,
+) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word to its best class, in rounds: the state of all words, the known words' classes, class bigrams, words seen once."""
+    k, rare = len(table), int(own[-2])
+    known = _gathered(_known_around(pairs, own, k, True).repartition("key").sortWithinPartitions("key"), own, k, rare)
+    alone = places.select("key", F.lit(rare).alias("own"), "near", F.lit(None).cast("binary").alias("around"))
+    others = _gathered(alone, own, k, rare)
+    kept: tuple | None = None
+    for _ in range(max(1, rounds)):
+        new = _best_known(known, own, table, classes)
+        sent = _best_rare(others, table, classes).unionByName(_known_around(pairs, new, k, False))
+        state = persist(_gathered(sent.repartition("key").sortWithinPartitions("key"), new, k), "lm-classes")
+        table, once = _tables(state, k, len(own) - 1)
+        if kept and likelihood(table) <= likelihood(kept[2]):
+            break
+        own, kept = new, (state, new, table, once)
+        known, others = state.where("key >= 0"), state.where("key < 0")
+    return kept
+
+
+def word_classes(
+    train: DataFrame, top: list[tuple[bytes, int]], moved: int, classes: int, rounds: int,
+) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, int]:
+    """As ``_everywhere``, from the first step on, and the number of classes."""
+    symbols, number = _symbols(top, moved), {w: i for i, (w, _) in enumerate(top)}
+    symbol = np.array([*[symbols.number[w] for w, _ in top], symbols.rare, symbols.end], dtype=np.int64)
+    pairs, places = _neighbours(train, number)
+    bigrams = _bigrams(pairs, symbols, symbol)
+    own = exchange(bigrams, symbols.moved, classes)
+    k, classes = int(own.max()) + 1, max(1, min(classes, symbols.moved))
+    table = np.zeros((k, k))
+    np.add.at(table, (own[:, None].repeat(len(own), 1), own[None, :].repeat(len(own), 0)), bigrams)
+    return *_everywhere(pairs, places, own[symbol], table, classes, rounds), classes
+
+
+def transitions(table: np.ndarray, once: np.ndarray, classes: int, end: int, n: int) -> np.ndarray:
+    """log10 of a class after a class; the end of a text comes after the classes of words, and after it words never seen."""
+    use = np.array([*range(classes), end])
+    table, once = table[np.ix_(use, use)], once[:, use]
+    follow, after, within = once
+    some = table.sum(axis=0) > 0
+    some[-1] = True
+    single = np.where(some, table.sum(axis=0) + 1, 0.0)
+    single /= single.sum()
+    apart = (within.sum() + 0.5) / (n + 1)
+    rows, size = table.sum(axis=1), max(1.0, after.sum())
+    unseen = (follow + 5 * apart) / (rows + 5)
+    # Whether the word after a word seen once was itself seen once is taken from its class.
+    share = ((after * within / np.maximum(1, rows)).sum() + 5 * apart) / (size + 5)
+    p = np.zeros((classes + 2, classes + 2))
+    p[:-1, :-1] = (table + 5 * single) / (rows[:, None] + 5) * (1 - unseen[:, None])
+    p[:-1, -1] = unseen
+    p[-1, :-1] = (after + 5 * single) / (after.sum() + 5) * (1 - share)
+    p[-1, -1] = share
+    return np.log10(np.maximum(p, 1e-300))
+
+
+def _rare_classes(counts: DataFrame, top: list[tuple[bytes, int]], state: DataFrame) -> DataFrame:
+    """The words that aren't among the known ones, with count and class."""
+    rest = counts
+    if top:
+        last, least = top[-1]
+        rest = counts.where((F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > F.lit(bytearray(last)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_ids(batch.column(0).to_pylist()))], names=["word", "c", "key"])
+
+    named = rest.select("word", "c").mapInArrow(tidied(run), "word binary, c long, key long")
+    return persist(named.join(state.where("key < 0").select("key", "own"), "key").select("word", "c", "own"), "lm-rare-words")
+
+
 def scores(
     docs: DataFrame, known: int = KNOWN, moved: int = MOVED, classes: int = CLASSES, buckets: int = BUCKETS, held_out: int = HELD_OUT,
+    all_rounds: int = ALL_ROUNDS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
@@ -183,64 +628,77 @@ def scores(
     n, v = (total.n or 0) + n_docs, total.v + (n_docs > 0)
 
     top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]
-    symbols = _symbols(top, moved)
-    bigrams = _bigrams(train, symbols)
-    own = exchange(bigrams, symbols.moved, classes)
-
-    k = int(own.max()) + 1
-    table = np.zeros((k, k))
-    np.add.at(table, (own[:, None].repeat(len(own), 1), own[None, :].repeat(len(own), 0)), bigrams)
-    single = (table.sum(axis=0) + 1) / (table.sum() + k)
-    step = np.log10((table + 5 * single[None, :]) / (table.sum(axis=1)[:, None] + 5))
-
-    in_class = np.zeros(k)
-    for w, c in top:
-        in_class[own[symbols.number[w]]] += c
-    emit = {w: float(np.log10(c / in_class[own[symbols.number[w]]])) for w, c in top}
-    least = top[-1][1] if top else 0
-    last = top[-1][0] if top else b""
-    rest = counts.where((F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > F.lit(bytearray(last))))) if top else counts
-    tail = rest.agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once")).first()
-    n_rare, once = tail.n or 0, tail.once
-    unseen = (once + 0.5) / (n_rare + 1.0) if n_rare > once else 0.5
-    shared = spark.sparkContext.broadcast((
-        {w: (int(own[s]), emit[w], float(np.log10((symbols.counts[w] + 1) / (n + v + 1)))) for w, s in symbols.number.items()},
-        int(own[symbols.rare]), int(own[symbols.end]), step))
+    state, own, table, once, classes = word_classes(train, top, moved, classes, all_rounds)
+    step = transitions(table, once, classes, int(own[-1]), n)
+    in_class = table.sum(axis=1)
+    number, times = {w: i for i, (w, _) in enumerate(top)}, np.array([c for _, c in top], dtype=np.float64)
+    of = own[:len(top)]
+    info = (number, of, np.log10(times / in_class[of]), np.log10((times + 1) / (n + v + 1)))
+    rest = _rare_classes(counts, top, state)
+    size = F.element_at(F.array(*[F.lit(float(max(1.0, x))) for x in in_class[:classes]]), F.col("own") + 1)
+    rest = rest.select("word", "c", "own", F.log10(F.col("c") / size).alias("emit"))
+    shared = spark.sparkContext.broadcast(info)
     end_base = float(np.log10((n_docs + 1) / (n + v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info, rare, end, step = shared.value
-        get, rid = info.get, TaskContext.get().partitionId() << 40
+        number, own, emit, base_of = shared.value
+        get, rid, end = number.get, TaskContext.get().partitionId() << 40, classes
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for t in part.column(2).to_pylist():
                     w = words_of(t)
-                    found = [get(x) for x in w]
-                    path = np.array([end, *[rare if f is None else f[0] for f in found], end])
-                    log = float(step[path[:-1], path[1:]].sum()) + sum(f[1] for f in found if f is not None)
-                    left = Counter(x for x, f in zip(w, found, strict=True) if f is None)
-                    base = sum(f[2] for f in found if f is not None) + end_base
-                    for c, value in zip(out, (rid, len(w) + 1, len(w) - left.total() + (n_docs > 0), base, log, list(left.keys()), list(left.values())), strict=True):
+                    ids = np.array([get(x, -1) for x in w], dtype=np.int64)
+                    known, left = ids[ids >= 0], {}
+                    unknown = np.flatnonzero(ids < 0)
+                    at = np.array([left.setdefault(w[i], len(left)) for i in unknown.tolist()], dtype=np.int64)
+                    path = np.full(len(w) + 2, end)
+                    path[1:-1][ids >= 0] = own[known]
+                    path[1 + unknown] = -1 - at
+                    a, b = path[:-1], path[1:]
+                    open_ = (a < 0) | (b < 0)
+                    log = float(step[a[~open_], b[~open_]].sum() + emit[known].sum())
+                    times = np.bincount(at, minlength=len(left))
+                    base = float(base_of[known].sum()) + end_base
+                    steps = np.concatenate([a[open_], b[open_]]).astype(np.int32).tobytes()
+                    for c, value in zip(out, (rid, len(w) + 1, len(w) - int(times.sum()) + (n_docs > 0), base, log, list(left), times, steps), strict=True):
                         c.append(value)
                     rid += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *[pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)]],
-                    names=["doc_id", "held_out", "rid", "n_tokens", "n_known", "base", "log", "words", "times"])
+                    names=["doc_id", "held_out", "rid", "n_tokens", "n_known", "base", "log", "words", "times", "steps"])
 
-    schema = "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, log double, words array<binary>, times array<long>"
+    schema = ("doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, log double, words array<binary>, times array<long>, "
+              "steps binary")
     scored = persist(rows.mapInArrow(tidied(run), schema), "lm-scored")
-    each = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    each = scored.select("rid", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")).select("rid", "at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
-    seen = F.log10(c / F.lit(float(max(1, n_rare)))) + float(np.log10(1 - unseen))
     more = each.join(rest, "word", "left").select(
         "rid", F.when(c > 0, F.col("times")).otherwise(F.lit(0)).alias("known"),
         (F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("base_more"),
-        (F.col("times") * F.when(c > 0, seen).otherwise(F.lit(float(np.log10(unseen))))).alias("log_more"),
-    ).groupBy("rid").agg(F.sum("known").alias("known"), F.sum("base_more").alias("base_more"), F.sum("log_more").alias("log_more"))
+        (F.col("times") * F.coalesce("emit", F.lit(0.0))).alias("log_more"),
+        F.struct(F.col("at"), F.coalesce("own", F.lit(classes + 1)).alias("own")).alias("x"),
+    ).groupBy("rid").agg(
+        F.sum("known").alias("known"), F.sum("base_more").alias("base_more"), F.sum("log_more").alias("log_more"), F.collect_list("x").alias("x"))
     zero = F.lit(0.0)
-    return scored.drop("words", "times").join(more, "rid", "left").select(
+    joined = scored.drop("words", "times").join(more, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", zero)).alias("base_score"), (F.col("log") + F.coalesce("log_more", zero)).alias("score"))
+        (F.col("base") + F.coalesce("base_more", zero)).alias("base_score"), (F.col("log") + F.coalesce("log_more", zero)).alias("score"),
+        F.col("x.at").alias("at"), F.col("x.own").alias("own"), "steps")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add the transitions from and to words that had to be looked up."""
+        for batch in batches:
+            score = batch.column(6).to_numpy().copy()
+            for i, (at, own, steps) in enumerate(zip(batch.column(7), batch.column(8), batch.column(9), strict=True)):
+                if len(raw := steps.as_py()):
+                    number = np.empty(len(at.values), np.int64)
+                    number[at.values.to_numpy()] = own.values.to_numpy()
+                    path = np.frombuffer(raw, np.int32).astype(np.int64)
+                    path = np.where(path < 0, number[np.where(path < 0, -1 - path, 0)], path)
+                    score[i] += step[path[:len(path) // 2], path[len(path) // 2:]].sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=batch.schema.names[:7])
+
+    return joined.mapInArrow(tidied(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

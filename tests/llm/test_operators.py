@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -231,6 +232,95 @@ def test_language_model(docs, empty):
     assert class_lm.scores(empty).count() == 0
 
 
+def test_exchange_gains_against_whole_likelihoods():
+    """The class chosen for a word, its neighbours staying, is one of the best by the likelihood of the whole table."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    classes, k = 4, 6
+    text = (30 * rng.random(1_500) ** 2).astype(np.int64)
+    text[100:140] = 7
+    own = rng.integers(0, k, 30)
+    table = lambda o: np.bincount(o[text[:-1]] * k + o[text[1:]], minlength=k * k).reshape(k, k).astype(float)
+    packed, lengths = [], []
+    for w in range(30):
+        counts = np.zeros(2 * k + 1, np.int64)
+        for a, b in zip(text, text[1:], strict=False):
+            if a == b == w:
+                counts[2 * k] += 1
+            elif a == w:
+                counts[own[b]] += 1
+            elif b == w:
+                counts[k + own[a]] += 1
+        some = np.flatnonzero(counts)
+        packed += list(counts[some] * (2 * k + 1) + some)
+        lengths.append(len(some))
+    got = class_lm.Gains(table(own), classes).best(own, np.array(packed), np.array(lengths))
+    assert (got != own).sum() > 10
+    for w in range(30):
+        to = lambda c: class_lm.likelihood(table(np.where(np.arange(30) == w, c, own)))  # noqa: B023, E731
+        best = max(to(c) for c in range(classes))
+        assert got[w] < classes and abs(to(got[w]) - best) < 1e-6
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_every_word_has_a_class(docs, rounds):
+    """Few known words, so that most are rare: class bigrams and scores against brute force, after classes of all words."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [words(t) for i, t in _texts() if not held(i)]
+    count = Counter(w for t in train for w in t)
+    top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:40]
+    rows = docs.where(F.pmod(common.doc_hash(), F.lit(7)) != 2)
+    state, own, table, once, classes = class_lm.word_classes(rows, top, 20, 6, rounds)
+    keys = {w: i for i, (w, _) in enumerate(top)}
+    rare = [w for w in count if w not in keys]
+    keys |= dict(zip(rare, class_lm._ids(rare).tolist(), strict=True))
+    by_key = {r.key: r.own for r in state.collect()}
+    of = {w: by_key[i] for w, i in keys.items()}
+    assert len(rare) > 100 and all(of[w] == own[i] for i, (w, _) in enumerate(top)) and set(of.values()) <= set(range(classes))
+    assert len({of[w] for w in rare}) > 1
+
+    k, end = len(table), int(own[-1])
+    path = lambda t: [end, *[of[w] for w in t], end]
+    want, single = np.zeros((k, k)), np.zeros((3, k))
+    for t in train:
+        p = path(t)
+        for a, b in zip(p, p[1:], strict=False):
+            want[a, b] += 1
+        for i, w in enumerate(t, 1):
+            if count[w] == 1:
+                single[0, p[i - 1]] += 1
+                single[1, p[i + 1]] += 1
+                single[2, p[i]] += 1
+    assert (table == want).all() and (once == single).all()
+
+    step = class_lm.transitions(table, once, classes, end, sum(count.values()) + len(train))
+    assert np.allclose((10.0 ** step).sum(axis=1), 1)
+    size = Counter()
+    for w, c in count.items():
+        size[of[w]] += c
+    scores = []
+    for i, t in _texts():
+        p = [classes, *[of.get(w, classes + 1) for w in words(t)], classes]
+        total = sum(step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(np.log10(count[w] / size[of[w]]) for w in words(t) if w in of)
+        scores.append((str(i), held(i), round(float(total), 6)))
+    got = class_lm.scores(docs, known=40, moved=20, classes=6, all_rounds=rounds).collect()
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 6)) for r in got) == sorted(scores)
+
+
+def test_rare_words_move_by_their_neighbours(spark):
+    """Words past the moved and known ones: a text that keeps the order of two kinds of rare words is likelier than one that doesn't."""
+    rng = random.Random(6)
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    texts = [" ".join(w for _ in range(20) for w in ("left", rng.choice(a), "right", rng.choice(b))) for _ in range(60)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, t) for i, t in zip((i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2), texts, strict=False)]
+    rows += [(held[0], "left a1 right b1 left a2 right b2"), (held[1], "left b1 right a1 left b2 right a2")]
+    got = class_lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), known=10, moved=8, classes=6)
+    score = {r.doc_id: r.score for r in got.where("held_out").collect()}
+    assert score[held[0]] > score[held[1]] + 3
+
+
 def test_min_cost_flow_moves_the_fewest():
     old, caps = {0: 10, 1: 50, 2: 0}, [20, 20, 20]
     blocks = sharding.transfers(old, caps)

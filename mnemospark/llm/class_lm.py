@@ -23,13 +23,12 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,30 +42,62 @@ ROUNDS = 3
 ALL_ROUNDS = 2
 BUCKETS, HELD_OUT = 7, 2
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of texts that are cut into words together (a longer text stands alone).
+SLICE = 4 << 20
+#: Tokens whose counts, or documents, leave a task together.
+TOKENS = 4_000_000
+#: Distinct words that a task counts before they leave it.
+WORDS = 300_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, in UTF-8."""
-    return text.encode().translate(_LOWER).split() if text else []
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of about ``SLICE`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of all texts in turn with A-Z in lower case, in UTF-8, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, lengths = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty word
+    if not some.all():
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[some], minlength=len(lengths))
+        words = words.filter(pa.array(some))
+    return words, lengths.astype(np.int64)
+
+
+def _looked_up(words: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The numbers of words among ``known`` ones, or -1; and those that aren't among them."""
+    at = pc.index_in(words, value_set=known)
+    return at.fill_null(-1).to_numpy().astype(np.int64), words.filter(at.is_null())
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return made
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).select(["word", "c"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                for t in batch.column(0).slice(lo, 512).to_pylist():
-                    counts.update(words_of(t))
-                if len(counts) > 300_000:
-                    yield out()
-        yield out()
+            for _, texts in _slices(batch.column(0)):
+                coded = words_of(texts)[0].dictionary_encode()
+                counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                held.append(pa.table({"word": coded.dictionary, "c": counts}))
+                size += len(counts)
+                if size > 2 * WORDS:
+                    held = [summed()]
+                    size = held[0].num_rows
+                    if size > WORDS:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed().to_batches()
 
     return train.select("text").mapInArrow(tidied(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -98,9 +129,27 @@ def _symbols(top: list[tuple[bytes, int]], moved: int) -> Symbols:
     return Symbols(number, moved, bands)
 
 
-def _ids(words: list[bytes]) -> np.ndarray:
-    """Negative ids of words outside the known ones, by hash."""
-    return -1 - (pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> 2).astype(np.int64)
+_MIX = np.random.Generator(np.random.PCG64(8)).integers(0, (1 << 64) - 1, (64, 256), dtype=np.uint64, endpoint=True)
+
+
+def _ids(words: pa.Array | list[bytes]) -> np.ndarray:
+    """Negative ids of words outside the known ones, by hash: random numbers for each byte and place, added up."""
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    if not len(words):
+        return np.zeros(0, np.int64)
+    offsets, data = _bytes(words)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    mixed = _MIX[place & 63, data]
+    if len(far := np.flatnonzero(place > 63)):
+        mixed[far] *= np.cumprod(np.full(int(place.max() >> 6), _MIX[0, 0] | np.uint64(1)))[(place[far] >> 6) - 1]
+    return -1 - (np.add.reduceat(mixed, offsets[:-1]) >> np.uint64(2)).astype(np.int64)
+
+
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and the bytes of words."""
+    _, at, data = words.buffers()
+    offsets = np.frombuffer(at, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    return offsets - offsets[0], np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
 
 
 class _Sums:
@@ -141,19 +190,18 @@ def _runs(key: np.ndarray, values: np.ndarray, each: int = 1, most: int = _RUN)
     return pa.RecordBatch.from_arrays([pa.array(key[start]), _blobs(values, each * np.diff(np.append(start, len(key))))], names=["key", "near"])
 
 
-def _neighbours(train: DataFrame, number: dict[bytes, int]) -> tuple[DataFrame, DataFrame]:
+def _neighbours(train: DataFrame, top: pa.Array) -> tuple[DataFrame, DataFrame]:
     """Neighbours over all training texts, of known words and of rare ones.
 
     Of known words, for both sides: n * 2 size + 2 * other + (1: it follows), in one or more rows.  All rare words share the number
     after the last there; the end of a text has the next one; ``size`` is the number of all these.  Of rare words, one row for each
     id: the words before and after each place in turn, by number or id.
     """
-    rare, end, n = len(number), len(number) + 1, len(number) + 2
-    shared = train.sparkSession.sparkContext.broadcast(number)
+    rare, end, n = len(top), len(top) + 1, len(top) + 2
+    shared = train.sparkSession.sparkContext.broadcast(top)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = shared.value, [], 0
-        get = number.get
+        top, held, size = shared.value, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate([[end], *held])
@@ -169,13 +217,16 @@ def _neighbours(train: DataFrame, number: dict[bytes, int]) -> tuple[DataFrame,
             yield _runs(flat[at], np.stack([flat[at - 1], flat[at + 1]], axis=1).ravel(), 2)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                texts = [words_of(t) for t in batch.column(0).slice(lo, 512).to_pylist()]
-                ids = np.array([x for t in texts for x in (*[get(w, rare) for w in t], end)], dtype=np.int64)
-                ids[ids == rare] = _ids([w for t in texts for w in t if w not in number])
+            for _, texts in _slices(batch.column(0)):
+                words, lengths = words_of(texts)
+                number, others = _looked_up(words, top)
+                coded = others.dictionary_encode()
+                number[number < 0] = _ids(coded.dictionary)[coded.indices.to_numpy()]
+                ids = np.full(len(number) + len(lengths), end)
+                ids[np.arange(len(number)) + np.repeat(np.arange(len(lengths)), lengths)] = number
                 held.append(ids)
                 size += len(ids)
-                if size > 4_000_000:
+                if size > TOKENS:
                     yield from out()
                     size = 0
         if held:
@@ -268,17 +319,17 @@ def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _blobs(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Runs of 64-bit integers as binary values."""
-    offsets = np.concatenate([[0], np.cumsum(lengths) * 8]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, dtype=np.int64))])
+    """Runs of integers as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(lengths) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
     """The integers of all values of ``_blobs``, and the length of each; nulls are empty."""
     _, at, data = column.buffers()
-    offsets = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1]
-    size = int(offsets[-1] - offsets[0]) // 8
-    return np.frombuffer(data, np.int64, size, int(offsets[0])) if size else np.zeros(0, np.int64), np.diff(offsets) // 8
+    offsets, each = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1], np.dtype(kind).itemsize
+    size = int(offsets[-1] - offsets[0]) // each
+    return np.frombuffer(data, kind, size, int(offsets[0])) if size else np.zeros(0, kind), np.diff(offsets) // each
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -405,20 +456,55 @@ def _gathered(rows: DataFrame, own: np.ndarray, k: int, rare: int | None = None)
 
 
 class Gains:
-    """The best class of words by exchange gain against one table of class bigrams."""
+    """The best class of words by exchange gain against one table of class bigrams.
+
+    Words of one class with the same few small counts go the same way and are weighed once (``seen``, bounded).
+    """
 
-    SMALL, ENTRIES = 8, 16_384
+    SMALL, TIMES, ENTRIES, SEEN = 8, 64, 16_384, 500_000
 
     def __init__(self, table: np.ndarray, classes: int) -> None:
         self.table, self.classes, self.k = table, classes, len(table)
         self.cells = np.concatenate([table[:classes].T, table[:, :classes]])
         self.small = np.stack([_f(self.cells + n) - _f(self.cells) for n in range(1, self.SMALL + 1)])
         self.rows, self.columns = table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]
+        self.often = [np.stack([_f(x + n) - _f(x) for n in range(self.TIMES + 1)]) for x in (self.rows, self.columns)]
         self.diagonal = np.diagonal(table)[:classes]
+        self.seen = np.zeros((2, 0), np.int64)
 
     def best(self, own: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The class of each word; its ``own`` if none is better."""
         out, ends = np.array(own, dtype=np.int64), np.cumsum(lengths)
+        least = (2 * self.k + 1) * (self.SMALL + 1)
+        bits = least.bit_length()
+        most = (62 - self.k.bit_length()) // bits
+        large = np.bincount(np.repeat(np.arange(len(out)), lengths)[packed >= least], minlength=len(out))
+        alike = np.flatnonzero((lengths <= most) & (large == 0))
+        sign = out[alike]
+        for i in range(most):
+            there = lengths[alike] > i
+            sign = sign << bits
+            sign[there] |= packed[(ends - lengths)[alike][there] + i]
+        sign, first, at = np.unique(sign, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.seen[0], sign), max(0, self.seen.shape[1] - 1))
+        new = self.seen[0][place] != sign if self.seen.shape[1] else np.ones(len(sign), bool)
+        rest = np.ones(len(out), bool)
+        rest[alike] = False
+        rest[alike[first[new]]] = True
+        rest = np.flatnonzero(rest)
+        entry = np.arange(int(lengths[rest].sum())) + np.repeat((ends - lengths)[rest] - (np.cumsum(lengths[rest]) - lengths[rest]), lengths[rest])
+        out[rest] = self._all(out[rest], packed[entry], lengths[rest])
+        found = out[alike[first]]
+        if self.seen.shape[1]:
+            found = np.where(new, found, self.seen[1][place])
+        out[alike] = found[at]
+        if self.seen.shape[1] < self.SEEN:
+            both = np.concatenate([self.seen, np.stack([sign, found])[:, new]], axis=1)
+            self.seen = both[:, np.argsort(both[0], kind="stable")]
+        return out
+
+    def _all(self, own: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out, ends = own.copy(), np.cumsum(lengths)
         lo = 0
         while lo < len(out):
             begin = int(ends[lo] - lengths[lo])
@@ -436,11 +522,14 @@ class Gains:
         word, code, n = word[other], code[other], n[other].astype(float)
         a = own[word]
 
-        gains = np.empty((len(code), c))
         few = n <= self.SMALL
-        gains[few] = self.small[n[few].astype(int) - 1, code[few]]
-        full = np.flatnonzero(~few)
-        gains[full] = _f(self.cells[code[full]] + n[full, None]) - _f(self.cells[code[full]])
+        if few.all():
+            gains = self.small[n.astype(int) - 1, code]
+        else:
+            gains = np.empty((len(code), c))
+            gains[few] = self.small[n[few].astype(int) - 1, code[few]]
+            full = np.flatnonzero(~few)
+            gains[full] = _f(self.cells[code[full]] + n[full, None]) - _f(self.cells[code[full]])
         # What the word itself has put into the table is taken out: pairs with neighbours of its own class, and its own class's cells.
         same = np.flatnonzero(code % k == a)
         back = np.where((code[same] < k)[:, None], left[word[same], :c], right[word[same], :c])
@@ -455,15 +544,19 @@ class Gains:
         total = np.zeros((m, c))
         starts = _starts(word)
         total[word[starts]] = np.add.reduceat(gains, starts, axis=0) if len(starts) else 0
-        r_all, l_all = (right.sum(axis=1) + self_n)[:, None], (left.sum(axis=1) + self_n)[:, None]
         at = np.flatnonzero(own < c)
-        rows, columns, diagonal = (np.repeat(x[None, :], m, axis=0) for x in (self.rows, self.columns, self.diagonal))
-        rows[at, own[at]] -= r_all[at, 0]
-        columns[at, own[at]] -= l_all[at, 0]
-        diagonal[at, own[at]] -= right[at, own[at]] + left[at, own[at]] + self_n[at]
-        r, l = right[:, :c], left[:, :c]  # noqa: E741
-        total += _f(diagonal + r + l + self_n[:, None]) - _f(diagonal + r) - _f(diagonal + l) + _f(diagonal)
-        total -= _f(rows + r_all) - _f(rows) + _f(columns + l_all) - _f(columns)
+        for side, all_, often in ((right, self.rows, self.often[0]), (left, self.columns, self.often[1])):
+            times = side.sum(axis=1) + self_n
+            less = often[np.minimum(times, self.TIMES).astype(int)]
+            many = np.flatnonzero(times > self.TIMES)
+            less[many] = _f(all_ + times[many, None]) - _f(all_)
+            less[at, own[at]] = _f(all_[own[at]]) - _f(all_[own[at]] - times[at])
+            total -= less
+        # Pairs within the class: all classes of a word that follows itself, else those on both of its sides.
+        w, b = np.nonzero(((right[:, :c] > 0) & (left[:, :c] > 0)) | (self_n > 0)[:, None])
+        r, l, s = right[w, b], left[w, b], self_n[w]  # noqa: E741
+        diagonal = self.diagonal[b] - np.where(b == own[w], r + l + s, 0)
+        total[w, b] += _f(diagonal + r + l + s) - _f(diagonal + r) - _f(diagonal + l) + _f(diagonal)
         b = np.argmax(total, axis=1)
         stay = (own < c) & (total[np.arange(m), b] <= total[np.arange(m), np.minimum(own, c - 1)] + 1e-9)
         return np.where(stay, own, b)
@@ -566,9 +659,9 @@ def word_classes(
     train: DataFrame, top: list[tuple[bytes, int]], moved: int, classes: int, rounds: int,
 ) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, int]:
     """As ``_everywhere``, from the first step on, and the number of classes."""
-    symbols, number = _symbols(top, moved), {w: i for i, (w, _) in enumerate(top)}
+    symbols = _symbols(top, moved)
     symbol = np.array([*[symbols.number[w] for w, _ in top], symbols.rare, symbols.end], dtype=np.int64)
-    pairs, places = _neighbours(train, number)
+    pairs, places = _neighbours(train, pa.array([w for w, _ in top], pa.binary()))
     bigrams = _bigrams(pairs, symbols, symbol)
     own = exchange(bigrams, symbols.moved, classes)
     k, classes = int(own.max()) + 1, max(1, min(classes, symbols.moved))
@@ -599,19 +692,94 @@ def transitions(table: np.ndarray, once: np.ndarray, classes: int, end: int, n:
     return np.log10(np.maximum(p, 1e-300))
 
 
-def _rare_classes(counts: DataFrame, top: list[tuple[bytes, int]], state: DataFrame) -> DataFrame:
-    """The words that aren't among the known ones, with count and class."""
+#: Rows in which words are looked up: of classes (``sid`` -2; ids in turn with classes in ``n``), counts (-1; in ``n``), and words of group
+#: ``sid`` (their places there in ``n``); ``words`` one behind the other, of ``sizes`` bytes each.
+_LOOK = "part int, sid long, words binary, sizes binary, n binary"
+
+
+def _dealt(parts: int, sid: int, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """Words and their numbers, in a row for each part that has some."""
+    part = (-1 - _ids(words)) % parts
+    order = np.argsort(part, kind="stable")
+    part, (offsets, data) = part[order], _bytes(words.take(pa.array(order)))
+    start = _starts(part)
+    many = np.diff(np.append(start, len(part)))
+    cells = pa.py_buffer(offsets[np.append(start, len(part))].astype(np.int32))
+    columns = [pa.array(part[start], pa.int32()), pa.array(np.full(len(start), sid)), pa.Array.from_buffers(pa.binary(), len(start), [None, cells, pa.py_buffer(data)])]
+    return pa.RecordBatch.from_arrays([*columns, _blobs(np.diff(offsets).astype(np.int32), many), _blobs(n[order], many)], names=["part", "sid", "words", "sizes", "n"])
+
+
+def _words(data: pa.Array, sizes: pa.Array) -> pa.Array:
+    """The words of rows of ``_dealt``."""
+    lengths = _flat(sizes, np.int32)[0]
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets, pa.py_buffer(np.ascontiguousarray(_bytes(data)[1]))])
+
+
+def _rare_words(counts: DataFrame, top: list[tuple[bytes, int]], state: DataFrame, parts: int) -> DataFrame:
+    """Counts and classes of the words that aren't among the known ones, dealt to parts."""
     rest = counts
     if top:
         last, least = top[-1]
         rest = counts.where((F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > F.lit(bytearray(last)))))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered_up(batches):
+            yield _dealt(parts, -1, rows.column(0), rows.column(1).to_numpy())
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered_up(batches):
+            key, own = (c.to_numpy().astype(np.int64) for c in rows.columns)
+            part = (-1 - key) % parts
+            order = np.argsort(part, kind="stable")
+            start = _starts(part[order])
+            n = _blobs(np.stack([key, own], axis=1)[order].ravel(), 2 * np.diff(np.append(start, len(part))))
+            none = pa.nulls(len(start), pa.binary())
+            columns = [pa.array(part[order][start], pa.int32()), pa.array(np.full(len(start), -2)), none, none, n]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "sid", "words", "sizes", "n"])
+
+    classes = state.where("key < 0").select("key", "own").mapInArrow(tidied(classed), _LOOK)
+    return rest.select("word", "c").mapInArrow(tidied(counted), _LOOK).unionByName(classes)
+
+
+def _gathered_up(batches: Iterator[pa.RecordBatch], most: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``most`` rows, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            yield _one(held)
+            held, size = [], 0
+    if size:
+        yield _one(held)
+
+
+def _answers(rows: DataFrame, classes: int) -> DataFrame:
+    """Of each group's words: their places in turn with count * (classes + 2) + class; words never seen have count 0 and a class of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_ids(batch.column(0).to_pylist()))], names=["word", "c", "key"])
+        for batch in _whole_keys(batches):
+            begin = np.append(_starts(batch.column(0).to_numpy()), batch.num_rows)
+            for lo, hi in zip(begin.tolist(), begin[1:].tolist(), strict=False):
+                part = batch.slice(lo, hi - lo)
+                _, counted, asked = np.split(np.arange(hi - lo), np.searchsorted(part.column(1).to_numpy(), [-1, 0]))
+                if not len(asked):
+                    continue
+                states, seen, rest = (part.slice(int(x[0]) if len(x) else 0, len(x)) for x in (_, counted, asked))
+                words, n = _words(seen.column(2), seen.column(3)), _flat(seen.column(4))[0]
+                pairs = _flat(states.column(4))[0].reshape(-1, 2)
+                pairs = pairs[np.argsort(pairs[:, 0])]
+                own = pairs[np.searchsorted(pairs[:, 0], _ids(words)), 1]
+                at, lengths = _flat(rest.column(4))
+                found = pc.index_in(_words(rest.column(2), rest.column(3)), value_set=words).fill_null(len(words)).to_numpy()
+                told = np.append(n * (classes + 2) + own, classes + 1)[found]
+                yield pa.RecordBatch.from_arrays([rest.column(1), _blobs(np.stack([at, told], axis=1).ravel(), 2 * lengths)], names=["sid", "told"])
 
-    named = rest.select("word", "c").mapInArrow(tidied(run), "word binary, c long, key long")
-    return persist(named.join(state.where("key < 0").select("key", "own"), "key").select("word", "c", "own"), "lm-rare-words")
+    return rows.repartition("part").sortWithinPartitions("part", "sid").mapInArrow(tidied(run), "sid long, told binary")
+
+
+_DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double"
 
 
 def scores(
@@ -631,74 +799,88 @@ def scores(
     state, own, table, once, classes = word_classes(train, top, moved, classes, all_rounds)
     step = transitions(table, once, classes, int(own[-1]), n)
     in_class = table.sum(axis=1)
-    number, times = {w: i for i, (w, _) in enumerate(top)}, np.array([c for _, c in top], dtype=np.float64)
-    of = own[:len(top)]
-    info = (number, of, np.log10(times / in_class[of]), np.log10((times + 1) / (n + v + 1)))
-    rest = _rare_classes(counts, top, state)
-    size = F.element_at(F.array(*[F.lit(float(max(1.0, x))) for x in in_class[:classes]]), F.col("own") + 1)
-    rest = rest.select("word", "c", "own", F.log10(F.col("c") / size).alias("emit"))
+    times, of = np.array([c for _, c in top], dtype=np.float64), own[:len(top)]
+    info = (pa.array([w for w, _ in top], pa.binary()), of, np.log10(times / in_class[of]), np.log10((times + 1) / (n + v + 1)))
     shared = spark.sparkContext.broadcast(info)
     end_base = float(np.log10((n_docs + 1) / (n + v + 1)))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n >> 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, own, emit, base_of = shared.value
-        get, rid, end = number.get, TaskContext.get().partitionId() << 40, classes
+        """Rows of documents with what known words give, and of the other words of groups of documents; ``steps``: a << 32 | b."""
+        top, own, emit, base_of = shared.value
+        sid, end, held, size = TaskContext.get().partitionId() << 32, classes, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, held_out, found, others, lengths = zip(*held, strict=True)
+            number, n_words = np.concatenate(found), np.concatenate(lengths)
+            many, known = len(n_words), number >= 0
+            coded = pa.concat_arrays(others).dictionary_encode()
+            doc = np.repeat(np.arange(many), n_words)
+            path = np.full(len(number) + many + 1, end)
+            place = np.arange(len(number)) + doc + 1
+            path[place[known]] = own[number[known]]
+            path[place[~known]] = -1 - coded.indices.to_numpy().astype(np.int64)
+            a, b, at = path[:-1], path[1:], np.repeat(np.arange(many), n_words + 1)
+            closed = (a >= 0) & (b >= 0)
+            of_known = doc[known]
+            log = np.bincount(at[closed], step[a[closed], b[closed]], many) + np.bincount(of_known, emit[number[known]], many)
+            base = np.bincount(of_known, base_of[number[known]], many) + end_base
+            steps = _blobs((a[~closed] << 32) | (b[~closed] & 0xFFFFFFFF), np.bincount(at[~closed], minlength=many))
+            columns = [pa.concat_arrays(ids), pa.concat_arrays(held_out), *[pa.array(x) for x in (n_words + 1, np.bincount(of_known, minlength=many) + (n_docs > 0), base, log)], steps]
+            yield made(columns, pa.array(np.full(many, sid)), None)
+            if len(coded.dictionary):
+                look = _dealt(parts, sid, coded.dictionary, np.arange(len(coded.dictionary)))
+                yield made(None, look.column(1), look)
+            held.clear()
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out: list[list] = [[] for _ in range(8)]
-                for t in part.column(2).to_pylist():
-                    w = words_of(t)
-                    ids = np.array([get(x, -1) for x in w], dtype=np.int64)
-                    known, left = ids[ids >= 0], {}
-                    unknown = np.flatnonzero(ids < 0)
-                    at = np.array([left.setdefault(w[i], len(left)) for i in unknown.tolist()], dtype=np.int64)
-                    path = np.full(len(w) + 2, end)
-                    path[1:-1][ids >= 0] = own[known]
-                    path[1 + unknown] = -1 - at
-                    a, b = path[:-1], path[1:]
-                    open_ = (a < 0) | (b < 0)
-                    log = float(step[a[~open_], b[~open_]].sum() + emit[known].sum())
-                    times = np.bincount(at, minlength=len(left))
-                    base = float(base_of[known].sum()) + end_base
-                    steps = np.concatenate([a[open_], b[open_]]).astype(np.int32).tobytes()
-                    for c, value in zip(out, (rid, len(w) + 1, len(w) - int(times.sum()) + (n_docs > 0), base, log, list(left), times, steps), strict=True):
-                        c.append(value)
-                    rid += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *[pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)]],
-                    names=["doc_id", "held_out", "rid", "n_tokens", "n_known", "base", "log", "words", "times", "steps"])
-
-    schema = ("doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, log double, words array<binary>, times array<long>, "
-              "steps binary")
+            for lo, texts in _slices(batch.column(2)):
+                words, lengths = words_of(texts)
+                held.append((batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), *_looked_up(words, top), lengths))
+                size += len(words)
+                if size > TOKENS // 2:
+                    yield from out()
+                    sid, size = sid + 1, 0
+        if held:
+            yield from out()
+
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    schema = f"sid long, {_DOC}, steps binary, part int, words binary, sizes binary, n binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def made(doc: list[pa.Array] | None, sid: pa.Array, look: pa.RecordBatch | None) -> pa.RecordBatch:
+        doc = doc or [pa.nulls(len(sid), kind) for kind in kinds]
+        more = [look.column(i) for i in (0, 2, 3, 4)] if look else [pa.nulls(len(sid), kind) for kind in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([sid, *doc, *more], names=names)
+
     scored = persist(rows.mapInArrow(tidied(run), schema), "lm-scored")
-    each = scored.select("rid", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")).select("rid", "at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    more = each.join(rest, "word", "left").select(
-        "rid", F.when(c > 0, F.col("times")).otherwise(F.lit(0)).alias("known"),
-        (F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("base_more"),
-        (F.col("times") * F.coalesce("emit", F.lit(0.0))).alias("log_more"),
-        F.struct(F.col("at"), F.coalesce("own", F.lit(classes + 1)).alias("own")).alias("x"),
-    ).groupBy("rid").agg(
-        F.sum("known").alias("known"), F.sum("base_more").alias("base_more"), F.sum("log_more").alias("log_more"), F.collect_list("x").alias("x"))
-    zero = F.lit(0.0)
-    joined = scored.drop("words", "times").join(more, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", zero)).alias("base_score"), (F.col("log") + F.coalesce("log_more", zero)).alias("score"),
-        F.col("x.at").alias("at"), F.col("x.own").alias("own"), "steps")
+    look = scored.where("part is not null").select("part", "sid", "words", "sizes", "n").unionByName(_rare_words(counts, top, state, parts))
+    told = _answers(look, classes)
+    both = scored.where("part is null").select("sid", *names[1:8]).unionByName(told, allowMissingColumns=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Add the transitions from and to words that had to be looked up."""
-        for batch in batches:
-            score = batch.column(6).to_numpy().copy()
-            for i, (at, own, steps) in enumerate(zip(batch.column(7), batch.column(8), batch.column(9), strict=True)):
-                if len(raw := steps.as_py()):
-                    number = np.empty(len(at.values), np.int64)
-                    number[at.values.to_numpy()] = own.values.to_numpy()
-                    path = np.frombuffer(raw, np.int32).astype(np.int64)
-                    path = np.where(path < 0, number[np.where(path < 0, -1 - path, 0)], path)
-                    score[i] += step[path[:len(path) // 2], path[len(path) // 2:]].sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=batch.schema.names[:7])
-
-    return joined.mapInArrow(tidied(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        """Add what the words that had to be looked up give."""
+        for batch in _whole_keys(batches):
+            begin = np.append(_starts(batch.column(0).to_numpy()), batch.num_rows)
+            for lo, hi in zip(begin.tolist(), begin[1:].tolist(), strict=False):
+                group = batch.slice(lo, hi - lo)
+                is_doc = pc.is_valid(group.column(3))
+                doc, told = group.filter(is_doc), group.filter(pc.invert(is_doc))
+                pairs = _flat(told.column(8))[0].reshape(-1, 2)
+                word = np.empty(len(pairs), np.int64)
+                word[pairs[:, 0]] = pairs[:, 1]
+                c, own = word // (classes + 2), word % (classes + 2)
+                emit = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(1.0, in_class[np.where(c > 0, own, 0)])), 0.0)
+                steps, lengths = _flat(doc.column(7))
+                at, many = np.repeat(np.arange(doc.num_rows), lengths), doc.num_rows
+                a, b = steps >> 32, (steps & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
+                use = a < 0  # each such word is the first of one step
+                rare, of = -1 - a[use], at[use]
+                a, b = (np.where(x < 0, own[np.where(x < 0, -1 - x, 0)], x) if len(own) else x for x in (a, b))
+                n_known, base, log = (doc.column(i).to_numpy() for i in (4, 5, 6))
+                out = [n_known + np.bincount(of, c[rare] > 0, many).astype(np.int64), np.full(many, n), base + np.bincount(of, np.log10((c + 1) / (n + v + 1))[rare], many),
+                       log + np.bincount(at, step[a, b], many) + np.bincount(of, emit[rare], many)]
+                yield pa.RecordBatch.from_arrays([*doc.columns[1:4], *[pa.array(x) for x in out]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return both.repartition("sid").sortWithinPartitions("sid").mapInArrow(tidied(finish), kind)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,53 @@ def test_exchange_gains_against_whole_likelihoods():
         assert got[w] < classes and abs(to(got[w]) - best) < 1e-6
 
 
+def test_words_cut_in_arrow():
+    """Words of odd texts against the regular expression, also of slices of a longer array; ids of long and alike words differ."""
+    texts = [None, "", " ", "no", "  A\tb\x0b\x0cC\r\n", "\u00c9\x1c\u00c0 Z\u00a0z\u2003q\x85", "x" * 5_000 + " Y", "\x00 a", None, "ab\x1fc \U0001f600"]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))] for t in texts]
+    for lo, part in class_lm._slices(pa.array(["first", *texts]).slice(1)):
+        words, lengths = class_lm.words_of(part)
+        assert words.to_pylist() == [w for t in want[lo:lo + len(part)] for w in t] and lengths.tolist() == [len(t) for t in want[lo:lo + len(part)]]
+    x, y = b"x" * 64, b"y" * 64
+    words = [x, y, x + y, y + x, x + y + y + x, y + x + x + y, b"a", b"a\0", b"ab", b"ba"]
+    ids = class_lm._ids(words)
+    assert len(set(ids.tolist())) == len(words) and (ids < 0).all() and (class_lm._ids(pa.array([b"q", *words], pa.binary()).slice(1)) == ids).all()
+    assert len(class_lm._ids([])) == 0
+
+
+def test_alike_words_are_weighed_once(monkeypatch):
+    """Words seen once between the same classes don't cost a weighing each, in one call or in several."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    classes, k, m = 8, 10, 6_000
+    gains = class_lm.Gains(rng.integers(1, 1_000, (k, k)).astype(float), classes)
+    sides = np.stack([rng.integers(0, k, m), k + rng.integers(0, k, m)], axis=1)
+    packed, lengths, own = (sides + 2 * k + 1).ravel(), np.full(m, 2), np.full(m, classes)
+    want = np.concatenate([class_lm.Gains._part(gains, own[i:i + 1], packed[2 * i:2 * i + 2], lengths[:1]) for i in range(m)])
+    weighed, part = [], class_lm.Gains._part
+    monkeypatch.setattr(class_lm.Gains, "_part", lambda self, own, *rest: weighed.append(len(own)) or part(self, own, *rest))
+    got = [gains.best(own[i:i + 1_000], packed[2 * i:2 * i + 2_000], lengths[:1_000]) for i in range(0, m, 1_000)]
+    assert (np.concatenate(got) == want).all() and sum(weighed) <= k * k
+
+
+def test_words_are_looked_up_in_packed_rows(spark):
+    """A row for each part and group, not for each word; every place is answered once, words never seen with count 0."""
+    seen = [f"w{i}".encode() for i in range(500)]
+    asked = {g: [f"w{i}".encode() for i in range(g, 700, 3)] for g in range(3)}
+    own = {int(k): i % 5 for i, k in enumerate(class_lm._ids(seen))}
+    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(seen)], "word binary, c long")
+    state = spark.createDataFrame(list(own.items()), "key long, own int")
+    dealt = [class_lm._dealt(4, g, pa.array(w, pa.binary()), np.arange(len(w))) for g, w in asked.items()]
+    assert sum(x.num_rows for x in dealt) <= 4 * 3
+    look = spark.createDataFrame([tuple(r.values()) for x in dealt for r in x.to_pylist()], class_lm._LOOK)
+    told: dict = {}
+    for r in class_lm._answers(look.unionByName(class_lm._rare_words(counts, [], state, 4)), 5).collect():
+        for at, word in np.frombuffer(bytes(r.told), np.int64).reshape(-1, 2).tolist():
+            assert told.setdefault((r.sid, at), word) is word
+    want = {w: (i + 1) * 7 + i % 5 for i, w in enumerate(seen)}
+    assert told == {(g, at): want.get(w, 6) for g, words in asked.items() for at, w in enumerate(words)}
+
+
 @pytest.mark.parametrize("rounds", [1, 2])
 def test_every_word_has_a_class(docs, rounds):
     """Few known words, so that most are rare: class bigrams and scores against brute force, after classes of all words."""

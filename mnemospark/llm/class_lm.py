@@ -102,6 +102,20 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(tidied(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _top(counts: DataFrame, known: int) -> list[tuple[bytes, int]]:
+    """The ``known`` most frequent words, by count and word.
+
+    How many words have each count (as many rows as the root of twice the tokens at most) shows from which count on words are needed: the
+    driver gets few more than ``known`` rows, not so many from each partition, unless very many words share that least count.
+    """
+    often = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("c", "descending")])
+    if not often.num_rows:
+        return []
+    enough = int(np.searchsorted(np.cumsum(often.column("n").to_numpy()), known))
+    least = often.column("c")[min(enough, often.num_rows - 1)].as_py()
+    return [(bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(known).collect()]
+
+
 @dataclass
 class Symbols:
     """The numbers that words go by in the first step's counts: moved words, then bands, then rare words, then the end."""
@@ -795,7 +809,7 @@ def scores(
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total.n or 0) + n_docs, total.v + (n_docs > 0)
 
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]
+    top = _top(counts, known)
     state, own, table, once, classes = word_classes(train, top, moved, classes, all_rounds)
     step = transitions(table, once, classes, int(own[-1]), n)
     in_class = table.sum(axis=1)

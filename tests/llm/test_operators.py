@@ -291,6 +291,17 @@ def test_alike_words_are_weighed_once(monkeypatch):
     assert (np.concatenate(got) == want).all() and sum(weighed) <= k * k
 
 
+def test_most_frequent_words(spark):
+    """Over several partitions; ties go by word, and there may be fewer words than asked for."""
+    count = {f"w{i}".encode(): 1 + 300 // (i + 1) for i in range(300)}
+    counts = spark.createDataFrame(list(count.items()), "word binary, c long").repartition(12).cache()
+    want = sorted(count.items(), key=lambda x: (-x[1], x[0]))
+    for known in (1, 7, 150, 299, 300, 1_000):
+        assert class_lm._top(counts, known) == want[:known]
+    assert class_lm._top(counts.where("c < 0"), 5) == []
+    counts.unpersist()
+
+
 def test_words_are_looked_up_in_packed_rows(spark):
     """A row for each part and group, not for each word; every place is answered once, words never seen with count 0."""
     seen = [f"w{i}".encode() for i in range(500)]

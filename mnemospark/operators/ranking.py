@@ -345,15 +345,15 @@ def recall(recs: DataFrame, queries: DataFrame, now: Column, k: int = 8, since:
            half_life_days: float = D.HALF_LIFE_DAYS, index: Index | None = None, whole: bool = False) -> DataFrame:
     """qid, rank, key, score for queries (qid, query) over records (key, seq, at, when_ts, source, terms, len) within the window.
 
-    ``index`` and ``whole`` (for searches without a window) as for ``lexical``.  More than ``FEW_QUERIES`` queries of a whole index are
-    compared with its records in arrays (``batch``), since a row for each hit of each query grows with the product of both.
+    ``index`` and ``whole`` (for searches without a window) as for ``lexical``.  More than ``FEW_QUERIES`` queries of a whole index, or of records
+    without one, are compared with the records in arrays (``batch``), since a row for each hit of each query grows with the product of both.
     """
     seen, terms = within(recs, since, until), query_terms(queries)
     whole = whole and since is None and until is None
-    if index is not None and whole and semantic is None and feedback is None and queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
+    if (index is None or whole) and semantic is None and feedback is None and queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
         from mnemospark.operators import batch
 
-        return batch.recall(index, written(terms, "asked"), now, k, key, weights or WEIGHTS, half_life_days)
+        return batch.recall(seen if index is None else index.whole_records, written(terms, "asked"), now, k, key, weights or WEIGHTS, half_life_days)
     extra = bonus(terms, feedback) if feedback is not None else None
     return hybrid(lexical(seen, terms, key, index, whole), seen, now, k, semantic, extra, key, weights, half_life_days)
 

@@ -192,11 +192,11 @@ def test_places_of_many_pairs_at_once(monkeypatch):
     weights = [1 / (i + 1) for i in range(60)]
     queries = [rng.choices(words, weights, k=rng.randint(1, 12)) for _ in range(25)] + [["w1"], ["w2", "w2"], ["w0", "nowhere"], ["w5", "w1", "w5", "w7"]]
     texts = [rng.choices(words, weights, k=rng.randint(1, 150)) for _ in range(300)] + [[], ["w5", "w1", "w5", "w7"], ["w9", "w5", "w1", "w5", "w7", "w5"], ["w5", "w1", "w7", "w5"]]
-    term = collections.namedtuple("Term", "qpos term weight")
-    rows = [types.SimpleNamespace(qid=i, terms=[term(p, t, None if t == "nowhere" else 1.5) for p, t in enumerate(q)]) for i, q in enumerate(queries)]
-    block = batch.Block(rows, 70.0)
+    term = collections.namedtuple("Term", "qpos term")
+    rows = [types.SimpleNamespace(qid=i, terms=[term(p, t) for p, t in enumerate(q)]) for i, q in enumerate(queries)]
+    block = batch.Block(rows, collections.Counter(t for x in texts for t in {*x} & {t for q in queries for t in q}), len(texts), 70.0)
     monkeypatch.setattr(batch, "WORK", 4_000)
-    own = batch.Records(pa.array(texts, pa.list_(pa.string())), block)
+    own = batch.Records(batch.packed(pa.array([["w1"], *texts], pa.list_(pa.string())), pa.array(block.words)).slice(1), block)
     doc, query, bm25, most = [], [], [], []
     for lo, scores, bounds in own.pieces():
         d, q = np.nonzero(scores)
